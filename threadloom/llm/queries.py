@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, mixing, quality_rules, simhash, url_filter
+from threadloom.llm import byte_bpe, html_text, mixing, quality_rules, simhash, url_filter
 from threadloom.llm.common import load
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,6 +30,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(load(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(load(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: Host, path and verdict; a rule holds for its host and all subdomains.
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -60,6 +65,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
