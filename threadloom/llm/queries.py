@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, embedding_dedup, html_text, mixing, quality_rules, simhash, url_filter
+from threadloom.llm import byte_bpe, embedding_dedup, html_text, mixing, quality_model, quality_rules, simhash, url_filter
 from threadloom.llm.common import load
 
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -49,6 +49,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    vectors, network = quality_model.train(docs, load(spark, sf_dir, "labels"))
+    found = quality_model.scores(docs, vectors, network)
+    return found.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
+    "op6_quality_model": op6_quality_model,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
