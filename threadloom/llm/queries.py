@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, embedding_dedup, html_text, mixing, quality_model, quality_rules, simhash, url_filter
-from threadloom.llm.common import load
+from threadloom.llm import byte_bpe, embedding_dedup, html_text, mixing, quality_model, quality_rules, simhash, token_files, url_filter
+from threadloom.llm.common import load, shared_dir
 
+WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -49,6 +52,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(load(spark, sf_dir, "documents"), path, WORD_VOCAB, END_ID)
+    return token_files.checksums(token_files.read(spark, path, WORD_VOCAB))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     vectors, network = quality_model.train(docs, load(spark, sf_dir, "labels"))
@@ -78,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
+    "op5_token_files": op5_token_files,
     "op6_quality_model": op6_quality_model,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
