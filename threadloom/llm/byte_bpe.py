@@ -13,10 +13,11 @@ the data.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Pre-tokens whose ids a worker remembers; the cache is emptied when it is full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 #: Characters of text that are split at once, which bounds a worker's memory; a longer text is split alone.
 CHUNK_CHARS = 1_000_000
 #: Keys of a bucket of the perfect hash, on average.
@@ -76,7 +77,7 @@ class PerfectHash:
 class Codec(dict):
     """Encoder and decoder of one vocabulary, kept by each Python worker.
 
-    As a dict it is the bounded cache from pre-tokens to ids.
+    As a dict it is the bounded cache from pre-tokens to their ids' bytes.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -85,9 +86,10 @@ class Codec(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.whole = PerfectHash(ranks)
         self.width = width = max(ranks.values(), default=0) + 1
-        self.tokens = [b""] * width
+        tokens: list[bytes | None] = [None] * width
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.binary())
         self.bytes = [ranks.get(bytes([x]), -1) for x in range(256)]
         #: Rank of what two tokens make, by left * width + right.
         self.pairs = {
@@ -122,19 +124,21 @@ class Codec(dict):
                 heappush(heap, r * n + h)
         return tuple([x for x in part if x >= 0])
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         raw = piece.encode()
         own = self.whole.get(raw)
-        self[piece] = ids = self.merged(raw) if own is None else (own,)
+        self[piece] = ids = array("i", self.merged(raw) if own is None else (own,)).tobytes()
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
+    def encode(self, text: str) -> bytes:
+        """The text's ids, four bytes each in this machine's order."""
+        return b"".join(map(self.__getitem__, self.split(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids."""
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.tokens.take(lists.values)), b"")
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -170,11 +174,9 @@ def encode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text
             lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
             for start, n in _slices(lengths, CHUNK_CHARS):
                 texts = batch.column(1).slice(start, n).to_pylist()
-                ids = [pa.array(own.encode(x or ""), pa.int32()) for x in texts]
-                offsets = [0]
-                for x in ids:
-                    offsets.append(offsets[-1] + len(x))
-                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids))
+                ids = [own.encode(x or "") for x in texts]
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), column], names=[id_col, "ids"])
 
     narrow = df.select(df[id_col], df[text_col].cast("string").alias("__text"))
@@ -185,7 +187,8 @@ def encode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text
 def decode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row for each row: ``id_col``, ``ids array<int>`` and the bytes they stand for, ``decoded binary``.
 
-    Null ids decode to no bytes; an id that the vocabulary lacks is an error.
+    Null ids decode to no bytes; an id that the vocabulary
+    lacks stands for nothing or, beyond its largest id, is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +198,8 @@ def decode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", ids_
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
             for start, n in _slices(lengths, CHUNK_CHARS):
                 part = lists.slice(start, n)
-                raw = [own.decode(x or ()) for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), part, pa.array(raw, pa.binary())], names=[id_col, "ids", "decoded"])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths[start : start + n]))).astype(np.int32)), part.flatten())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), part, own.decode(ids)], names=[id_col, "ids", "decoded"])
 
     narrow = df.select(df[id_col], df[ids_col].cast("array<int>").alias("__ids"))
     kind = narrow.schema[id_col].dataType.simpleString()
