@@ -177,7 +177,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows that the mix takes, all columns, as often as it takes them, with ``shard`` and a random ``position`` in it.
 
     Rows with equal ids and equal sizes share their draws. The result is dealt by shard and
-    sorted by position within it.
+    run of positions, so a shard is no single task, and sorted by position within it.
     """
     planned = plan(docs, id_col, text_col, source_col, weights, blocks, shards, seed)
     taken = planned.groupBy("doc_id", "size", "source_key").agg(F.max_by("draws", F.size("draws")).alias("draws")).where("size(draws) > 0")
@@ -187,4 +187,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = both.select("row", F.explode("draws").alias("d"))
     place = F.xxhash64(F.lit(seed + 5), F.col("d.shard"), F.col("d.pass"), F.col("row").getField(id_col))
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "position")]
-    return rows.select(*kept, F.col("d.shard").alias("shard"), place.alias("position")).repartition("shard").sortWithinPartitions("shard", "position")
+    mix = rows.select(*kept, F.col("d.shard").alias("shard"), place.alias("position"))
+    return mix.repartition("shard", F.shiftrightunsigned("position", 54)).sortWithinPartitions("shard", "position")

@@ -176,3 +176,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = labelled.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, all columns: one with the group's smallest id.
+
+    Of rows with equal ids in a group, such as repeated rows, one stays; a group with only
+    null ids keeps one row.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    named = docs.select(F.struct("*").alias("row"), docs[id_col].alias("__id"), F.xxhash64(docs[text_col].cast("string")).alias("__text"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = named.join(kept, F.col("__id").eqNullSafe(F.col("doc_id")), "left_semi")
+    # Ids are few to a group here, so this only drops repeats of the same id.
+    return rows.groupBy("__id").agg(F.min_by("row", "__text").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
