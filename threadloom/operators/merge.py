@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fresher(rows: DataFrame, by: list[str], seq: str, updated: str, created: str, name: str = "is_record") -> DataFrame:
+def fresher(rows: DataFrame, by: list[str], seq: str, updated: Column | str, created: Column | str, name: str = "is_record") -> DataFrame:
     """Mark the shards that count as fresher than all before them, taken in the order of ``seq``.
 
     A shard's freshness is its update time, else its creation time; the merged record so far
@@ -14,10 +14,11 @@ def fresher(rows: DataFrame, by: list[str], seq: str, updated: str, created: str
     the oldest.
     """
     before = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    updated, created = (F.col(c) if isinstance(c, str) else c for c in (updated, created))
     low = F.lit(-(2**62))
     fresh = F.coalesce(updated, created, low)
     old = F.coalesce(F.max(updated).over(before), F.min(created).over(before), low)
-    tie = F.coalesce(F.col(created), low) >= F.coalesce(F.min(created).over(before), low)
+    tie = F.coalesce(created, low) >= F.coalesce(F.min(created).over(before), low)
     first = F.row_number().over(Window.partitionBy(*by).orderBy(seq)) == 1
     return rows.withColumn(name, first | (fresh > old) | ((fresh == old) & tie))
 

@@ -190,8 +190,9 @@ def prompt_pack(threads: DataFrame, turns: DataFrame, items: DataFrame) -> DataF
 
 def details(threads: DataFrame, turns: DataFrame, items: DataFrame) -> DataFrame:
     """``thread_id, json``: each thread as one JSON object with its turns and items; nulls are left out."""
-    cells = F.map_filter(F.map_concat(F.coalesce("attributes", F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")), _typed_cells()), lambda k, v: v.isNotNull())
-    entries = F.array_sort(F.map_entries(cells))
+    typed = F.map_filter(_typed_cells(), lambda k, v: v.isNotNull())
+    open_cells = F.filter(F.coalesce(F.map_entries("attributes"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: ~F.map_contains_key(typed, e["key"]))
+    entries = F.array_sort(F.concat(F.map_entries(typed), open_cells))
     fields = F.array_join(F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ",")
     item = F.concat(F.lit('{"kind":'), _quoted(F.col("kind")), F.when(fields != "", F.concat(F.lit(","), fields)).otherwise(""), F.lit("}"))
     by_turn = items.withColumn("line", item).groupBy("thread_id", "turn_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_index", "line"))), lambda x: x["line"]), ",").alias("items"))
