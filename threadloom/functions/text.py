@@ -74,7 +74,7 @@ def compact_preview(text: Column, chars: int = PREVIEW_CHARS) -> Column:
 
 def compact_text(text: Column) -> Column:
     """The trimmed non-empty lines joined by slashes."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), " / ")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " / ")
 
 
 def substring_count(text: Column, needle: Column) -> Column:
