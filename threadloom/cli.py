@@ -167,8 +167,7 @@ def run(given: dict[str, object], engine: Engine, out=sys.stdout) -> None:
             return _records(threads, given, out)
         return _lines(threads.select(F.concat_ws("\t", "thread_id", F.coalesce("status", F.lit("-")), F.coalesce("name", "preview", F.lit("(unnamed)"))).alias("line")), out)
     if command == "show":
-        row = engine.show_thread(operand, "--include-turns" in flags).select(redact.secrets(F.col("json")).alias("j")).first()
-        detail = json.loads(row["j"])
+        detail = json.loads(engine.show_thread(operand, "--include-turns" in flags).first()["json"])
         if given["json"] or given["ndjson"]:
             print(json.dumps(detail, indent=None if given["ndjson"] else 2, ensure_ascii=False), file=out)
             return None
@@ -189,8 +188,7 @@ def run(given: dict[str, object], engine: Engine, out=sys.stdout) -> None:
     if command == "export":
         text = engine.export(operand, given["format"])
         if given["format"] == "json":
-            safe = engine.spark.createDataFrame([(text,)], "t string").select(redact.secrets(F.col("t"))).first()[0]
-            print(json.dumps({"format": "json", "thread": json.loads(safe)}, indent=None if given["ndjson"] else 2, ensure_ascii=False, separators=(",", ":") if given["ndjson"] else None), file=out)
+            print(json.dumps({"format": "json", "thread": json.loads(text)}, indent=None if given["ndjson"] else 2, ensure_ascii=False, separators=(",", ":") if given["ndjson"] else None), file=out)
         else:
             print(_redacted(text, engine), file=out)
         return None

@@ -52,7 +52,7 @@ class Engine:
             raise ThreadMissing(f"thread not found: {thread_id}")
         none = F.lit(False)
         turns, items = (self._one(x, thread_id) if include_turns else x.where(none) for x in (self.history.turns, self.history.items))
-        return threads.join(export.details(threads, turns, items), "thread_id")
+        return threads.join(export.details(*map(export.redacted, (threads, turns, items))), "thread_id")
 
     def grep(self, pattern: str, regex: bool = False, thinking: bool = False, tools: bool = False) -> DataFrame:
         """Each text in scope that matches, in order: ``thread_id, turn_id, kind, text, occurrences, ordinal``."""
@@ -82,8 +82,10 @@ class Engine:
         return hits.join(info, "thread_id", "left").withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, cells)), F.lit(" |")))
 
     def export(self, thread_id: str, form: str = "json") -> str:
-        """One thread as json, markdown or prompt-pack."""
+        """One thread as json (without secrets), markdown or prompt-pack."""
         threads, turns, items = (self._one(x, thread_id) for x in (self.history.threads, self.history.turns, self.history.items))
+        if form == "json":
+            threads, turns, items = map(export.redacted, (threads, turns, items))
         render = {"json": export.details, "markdown": export.markdown, "prompt-pack": export.prompt_pack}[form]
         row = render(threads, turns, items).first()
         if row is None:

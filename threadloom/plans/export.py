@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions import redact
 from threadloom.functions.text import compact_text, rfc3339
 
 # What marks an output as an error.
@@ -210,6 +211,25 @@ def details(threads: DataFrame, turns: DataFrame, items: DataFrame) -> DataFrame
     return threads.join(listed, "thread_id", "left").select("thread_id", F.concat(F.lit("{"), top, F.lit(',"turns":['), F.coalesce("turns", F.lit("")), F.lit("]"), *counts, F.lit("}")).alias("json"))
 
 
+def redacted(frame: DataFrame) -> DataFrame:
+    """A frame of threads, turns or items with secrets taken out of its texts before they are made JSON.
+
+    Open attributes are JSON texts: those that are strings are read, cleaned and written
+    again, values of secret names go, and other ones are cleaned as they stand.
+    """
+
+    def cell(key: Column, value: Column) -> Column:
+        plain = F.try_variant_get(F.try_parse_json(value), "$", "string")
+        own = F.when(F.startswith(value, F.lit('"')), _quoted(redact.secrets(plain))).otherwise(redact.secrets(value))
+        return F.when(redact.is_secret_name(key), F.lit(f'"{redact.MARK}"')).otherwise(own)
+
+    kinds = dict(frame.dtypes)
+    ids = {"thread_id", "turn_id", "kind", "status"}
+    texts = {c: redact.secrets(F.col(c)) for c, t in kinds.items() if t == "string" and c not in ids}
+    maps = {c: F.transform_values(F.col(c), cell) for c, t in kinds.items() if t == "map<string,string>"}
+    return frame.withColumns(texts | maps)
+
+
 def _quoted(text: Column) -> Column:
     """Text as a JSON string; null stays null."""
     one = F.to_json(F.array(text))
