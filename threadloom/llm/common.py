@@ -1,13 +1,16 @@
-"""What the operators share: reading tables, and tables written in the cluster's shared folder."""
+"""What the operators share: reading tables, tables in the cluster's shared folder, and values named within a row."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.storage import shared_dir, staged
+
+__all__ = ["SPACE", "let", "load", "shared_dir", "staged"]
+
 #: What separates words: the ASCII space and the ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,27 +19,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where none is set (tests, one machine), a new temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    This cuts the lineage: what was computed survives lost executors, and later passes
-    read the narrow table and not the texts.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def words(text: Column | str) -> Column:
-    """The array of words of a text; null: no words."""
-    return F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE), lambda w: w != "")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once for each row."""
+    return F.transform(F.array(value), body)[0]

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import staged
+from threadloom.llm.common import let, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A document is taken at most so many times.
@@ -44,10 +44,6 @@ def _ln_factorial(n: Column) -> Column:
     return (x - 0.5) * F.ln(x) - x + 0.9189385332046727 + 1.0 / (12.0 * x) - 1.0 / (360.0 * x * x * x) + 1.0 / (1260.0 * F.pow(x, F.lit(5.0))) - F.ln(rising)
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _uniform(*of: Column) -> Column:
     """A number in (0, 1) from a hash."""
     return (F.pmod(F.xxhash64(*of), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
@@ -69,9 +65,9 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
             )
             return F.least(low + walked["k"], high)
 
-        return _let(F.transform(logs, lambda x: F.exp(x - F.array_max(logs))), at)
+        return let(F.transform(logs, lambda x: F.exp(x - F.array_max(logs))), at)
 
-    return _let(F.transform(F.sequence(low, high), log_weight), pick)
+    return let(F.transform(F.sequence(low, high), log_weight), pick)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -86,7 +82,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     while size > 1:
         def step(state: Column, x: Column) -> Column:
             k = hypergeometric(state["total"], x["n"], state["left"], _uniform(F.lit(seed), F.lit(size), F.col("node"), x["source_key"]))
-            return _let(k, lambda k: F.struct((state["left"] - k).alias("left"), (state["total"] - x["n"]).alias("total"), F.concat(state["out"], F.array(F.struct(x["source_key"].alias("source_key"), x["n"].alias("n"), k.alias("l")))).alias("out")))
+            return let(k, lambda k: F.struct((state["left"] - k).alias("left"), (state["total"] - x["n"]).alias("total"), F.concat(state["out"], F.array(F.struct(x["source_key"].alias("source_key"), x["n"].alias("n"), k.alias("l")))).alias("out")))
 
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         half = F.floor(total / 2 + F.when(_uniform(F.lit(seed), F.lit(size), F.col("node")) < 0.5, 0.5).otherwise(0.0)).cast("long")

@@ -17,12 +17,10 @@ other than the three named are not read, so no names clash.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import SPACE, staged
+from threadloom.llm.common import SPACE, let, staged
 
 #: Base rules: fewer words, or a larger share of words in repeated windows, fails.
 MIN_WORDS = 50
@@ -34,11 +32,6 @@ MAX_LINE_SHARE = 0.02
 MIN_LEFT_SHARE = 0.2
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once for each row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
@@ -61,16 +54,16 @@ def _repeat_words(w: Column) -> Column:
             key = lambda x: F.get(hashes, place(x).cast("int"))
             same = lambda x, y: F.coalesce(key(x) == key(y), F.lit(False))
             hit = F.filter(order, lambda x, j: same(x, F.get(order, j + 1)) | ((j > 0) & same(x, F.get(order, F.greatest(j - 1, F.lit(0))))))
-            return _let(F.sort_array(F.transform(hit, place)), covered)
+            return let(F.sort_array(F.transform(hit, place)), covered)
 
-        return _let(F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(-room).bitwiseOR(i.cast("long")))), positions)
+        return let(F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(-room).bitwiseOR(i.cast("long")))), positions)
 
     def counted(hashes: Column) -> Column:
         room = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(hashes).cast("double"))) + 1).cast("long")
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_let(room, lambda r: repeated(hashes, r)))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(room, lambda r: repeated(hashes, r)))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(F.size(w) >= 3, _let(windows, counted)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(w) >= 3, let(windows, counted)).otherwise(F.lit(0).cast("long"))
 
 
 def _figures(w: Column) -> Column:
@@ -100,9 +93,9 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         rows.select(
             "doc_id",
             *keys(F.col("__host"), F.col("__text")),
-            _let(_words(text), _figures).alias("f"),
+            let(_words(text), _figures).alias("f"),
             (F.octet_length(text) - F.octet_length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-            _let(lines, lambda x: F.struct(
+            let(lines, lambda x: F.struct(
                 (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
                 F.transform(x, lambda y: F.struct(line_hash(y).alias("h"), F.size(F.split(F.trim(F.regexp_replace(y, SPACE, " ")), " ")).alias("n"))).alias("lines"),
             )).alias("g"),

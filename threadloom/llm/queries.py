@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, embedding_dedup, html_text, mixing, quality_model, quality_rules, simhash, token_files, url_filter
+from threadloom.llm import byte_bpe, embedding_dedup, html_text, license_scan, mixing, quality_model, quality_rules, simhash, token_files, url_filter
 from threadloom.llm.common import load, shared_dir
 
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(load(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.main_text(load(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -85,6 +89,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_license_scan": op2_license_scan,
     "op3_html_text": op3_html_text,
     "op4_url_filter": op4_url_filter,
     "op5_token_files": op5_token_files,
