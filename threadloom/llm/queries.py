@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import byte_bpe, embedding_dedup, html_text, license_scan, mixing, quality_model, quality_rules, simhash, token_files, url_filter
 from threadloom.llm.common import load, shared_dir
+from threadloom.llm.oracles import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 WORD_VOCAB = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 BYTE_VOCAB = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -99,6 +101,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-
-#: DuckDB's form of those that SQL can express.
-ORACLES: dict[str, str] = {}
