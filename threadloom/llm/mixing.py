@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
 The documents of each source are dealt by hash into blocks. A source's target in words is
-met by whole passes over its blocks and, for the rest, the first blocks of a random order;
-the block in which the target is reached gives only some of its documents. That fixes each
+met by whole passes over its blocks and, for the rest, blocks in a random order, each of
+which is taken if it still fits; of the first that doesn't, some documents are taken for what
+then remains. That fixes each
 source's quota of blocks exactly. A splitting tree deals these quotas among output shards:
 at every node the left half of the shards takes a multivariate hypergeometric share of each
 source's blocks, drawn source by source. Each source's draws in random order are then cut
@@ -136,15 +137,21 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     by_block = staged(rows.groupBy("source", "source_key", "block").agg(F.sum("size").alias("words")), "source-blocks")
     sources = staged(targets(by_block.groupBy("source", "source_key").agg(F.sum("words").alias("source_size")), weights), "source-targets")
 
-    # Whole passes, then blocks in random order up to the rest of the target.
+    # Whole passes, then blocks in random order for the rest of the target.
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_REPEATS))).otherwise(0).cast("int")
     own = by_block.drop("source").join(sources.drop("source"), "source_key").withColumn("passes", passes)
     rest = F.when(F.col("passes") < MOST_REPEATS, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0)
-    order = Window.partitionBy("source_key").orderBy(F.xxhash64(F.lit(seed + 1), F.col("source_key"), F.col("block")), "block")
-    own = own.withColumn("until", F.sum("words").over(order)).withColumn("rest", rest)
-    begun = F.col("until") - F.col("words") < F.col("rest")
-    cut = begun & (F.col("until") > F.col("rest"))
-    own = own.withColumn("cut_words", F.when(cut, F.col("rest") - (F.col("until") - F.col("words"))))
+    own = own.withColumn("rest", rest)
+    # One row for each source, of at most ``blocks`` blocks in random order.
+    listed = own.groupBy("source_key", "rest").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), F.col("source_key"), F.col("block")).alias("at"), "block", "words"))).alias("order"))
+    begin = F.struct(F.col("rest").alias("left"), F.array().cast("array<int>").alias("taken"))
+    fits = lambda s, x: F.when(x["words"] <= s["left"], F.struct((s["left"] - x["words"]).alias("left"), F.concat(s["taken"], F.array(x["block"])).alias("taken"))).otherwise(s)
+    walk = listed.where("rest > 0").withColumn("s", F.aggregate("order", begin, fits))
+    over = F.get(F.filter("order", lambda x: ~F.array_contains(F.col("s.taken"), x["block"])), 0)["block"]
+    walk = walk.select("source_key", F.col("s.left").alias("left"), F.col("s.taken").alias("taken"), over.alias("cut"))
+    own = own.join(walk, "source_key", "left")
+    begun = F.coalesce(F.array_contains("taken", F.col("block")) | (F.col("block") == F.col("cut")), F.lit(False))
+    own = own.withColumn("cut_words", F.when(F.col("block") == F.col("cut"), F.col("left")))
     drawn = own.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes")))).where((F.col("pass") < F.col("passes")) | begun)
     at_random = Window.partitionBy("source_key").orderBy(F.xxhash64(F.lit(seed + 2), F.col("source_key"), F.col("block"), F.col("pass")), "block", "pass")
     drawn = staged(drawn.withColumn("idx", F.row_number().over(at_random).cast("long") - 1).select("source_key", "block", "pass", "idx"), "block-draws")
