@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Pre-tokens whose ids a worker remembers; the cache is emptied when it is full.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 #: Characters of text that are split at once, which bounds a worker's memory; a longer text is split alone.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 #: Keys of a bucket of the perfect hash, on average.
 BUCKET = 2
 #: Stands for a byte that has been merged into its left neighbour; no pair has a key this low.

@@ -42,9 +42,9 @@ MOST_LABELLED = 20_000
 #: Labelled rows kept apart to fit the temperature.
 CALIBRATION_SHARE = 0.2
 #: Words that a worker remembers the buckets of.
-CACHE_ENTRIES = 300_000
-#: Words handled at once.
-CHUNK_WORDS = 200_000
+CACHE_ENTRIES = 100_000
+#: Bytes of text handled at once; a longer text is handled alone.
+CHUNK_BYTES = 300_000
 REPEAT = BUCKETS - 1
 
 _LETTERS = re.compile(r"[^\W_]+")
@@ -68,25 +68,27 @@ _units = _Units()
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts as (start, number, unit buckets, the text of each unit); a long text is a run by itself."""
-    words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    """Runs of texts as (start, number, unit buckets, the text of each unit)."""
+    texts = pc.fill_null(texts, "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_WORDS, "right")))
-        coded = words.slice(start, stop - start).flatten().dictionary_encode()
+        before = sizes[start - 1] if start else 0
+        n = max(1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")) - start)
+        words = pc.ascii_split_whitespace(texts.slice(start, n))
+        many = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         table = np.array([_units[w] for w in coded.dictionary.to_pylist()], np.int32).reshape(-1, 2)
-        owner = np.repeat(np.arange(stop - start), np.diff(np.concatenate(([before], ends[start:stop]))))
+        owner = np.repeat(np.arange(n), many)
         again = np.zeros(len(index), bool)
         again[1:] = (index[1:] == index[:-1]) & (owner[1:] == owner[:-1])
         units = np.full((len(index), 3), -1, np.int32)
         units[:, :2] = table[index]
         units[again, 2] = REPEAT
         real = units >= 0
-        yield start, stop - start, units[real], np.repeat(owner, 3).reshape(-1, 3)[real]
-        start = stop
+        yield start, n, units[real], np.repeat(owner, 3).reshape(-1, 3)[real]
+        start += n
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +151,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.prior = float(y.mean()) if len(y) else 0.5
-        self.fitted = 0 < self.prior < 1
+        self.fitted = len(y) > 0 and 0 < self.prior < 1
         if self.fitted:
             self._fit(x, y)
 
