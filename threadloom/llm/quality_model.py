@@ -42,9 +42,9 @@ MOST_LABELLED = 20_000
 #: Labelled rows kept apart to fit the temperature.
 CALIBRATION_SHARE = 0.2
 #: Words that a worker remembers the buckets of.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 250_000
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK_BYTES = 300_000
+CHUNK_BYTES = 400_000
 REPEAT = BUCKETS - 1
 
 _LETTERS = re.compile(r"[^\W_]+")
