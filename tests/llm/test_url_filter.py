@@ -64,6 +64,24 @@ def test_links_decide_hosts_without_a_rule(spark):
     assert found == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_propagation_reaches_far_hosts_from_small_seeds(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(25)], "src string, dst string, pages long")
+    seeds = spark.createDataFrame([("h0", 1e-7, 0.0), ("h25", 0.0, 1e-7), ("elsewhere", 1 - 1e-7, 1 - 1e-7)], "host string, trust double, distrust double")
+    found = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds).collect()}
+    for i in range(26):
+        assert found[f"h{i}"] == pytest.approx((0.15e-7 * 0.85**i, 0.15e-7 * 0.85 ** (25 - i)), rel=1e-3)
+
+
+def test_hosts_ruled_in_part_are_seeds(spark):
+    link = lambda h: f"<a href='https://{h}/p'>x</a>"
+    rows = [(1, "http://bad.com/en/1", ""), (2, "http://bad.com/en/2", ""), (3, "http://bad.com/x", ""), (4, "http://farm.de/x", link("bad.com")), (5, "http://ok.net/de/1", link("fine.de")), (6, "http://ok.net/x", ""), (7, "http://fine.de/x", link("bad.com"))]
+    rows += [(8 + i, f"http://other{i}.org/es/", "") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in url_filter.judge(pages, URL_RULES).collect()}
+    assert [found[i]["verdict"] for i in range(1, 8)] == ["block", "block", "allow", "block", "allow", "allow", "allow"]
+    assert found[4]["distrust"] > 0 and found[7]["trust"] > found[7]["distrust"] > 0
+
+
 @pytest.mark.parametrize("url", [None, "", "no scheme", "x://", "HTTP://A.B.Com?q=/en/", "a://h#f", "ftp://u@H:80/P?x://y/z", "x://É.COM/a\nb", "//h/p"])
 def test_parts(spark, url):
     host, path = url_filter.host_and_path(F.col("u"))
