@@ -82,3 +82,10 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, None, 7, 9], key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.fingerprint("a " * 300_000) == fingerprint("a a a")
+
+
+def test_groups_that_share_an_id_each_keep_a_row(spark):
+    one, two, three = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white")
+    rows = [(None, one), (None, two), (None, two), (5, three), (2, "uno dos tres cuatro cinco"), (5, "uno dos tres cuatro cinco"), (6, three), (None, three), (6, "ein zwei drei vier")]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, one), (None, two), (5, three), (2, rows[4][1]), (6, rows[8][1])], key=str)

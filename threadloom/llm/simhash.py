@@ -62,16 +62,20 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, for each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed long, for each row; if ``hashed``, also ``text_hash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("__text"), *([_text_hash(docs, text_col)] if hashed else []))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + ", text_hash long" * hashed)
+
+
+def _text_hash(docs: DataFrame, text_col: str) -> Column:
+    return F.xxhash64(docs[text_col].cast("string")).alias("text_hash")
 
 
 def _embedded(fp: Column) -> Column:
@@ -166,13 +170,17 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(forests).distinct()
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """``classes``, a row for each ``fp``, with the root of its component."""
+    edges = staged(links(classes.select("fp")), "fingerprint-links")
+    roots = components(edges)
+    return classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest id reachable over links of at most three bits, for each row."""
     rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = staged(links(classes.select("fp")), "fingerprint-links")
-    roots = components(edges)
-    labelled = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = _rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = labelled.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
@@ -181,12 +189,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, all columns: one with the group's smallest id.
 
-    Of rows with equal ids in a group, such as repeated rows, one stays; a group with only
-    null ids keeps one row.
+    A group is known by its fingerprints and not by an id, so groups that share an id, or have
+    only null ids, each keep one row. Of rows with equal ids in a group one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    named = docs.select(F.struct("*").alias("row"), docs[id_col].alias("__id"), F.xxhash64(docs[text_col].cast("string")).alias("__text"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = named.join(kept, F.col("__id").eqNullSafe(F.col("doc_id")), "left_semi")
-    # Ids are few to a group here, so this only drops repeats of the same id.
-    return rows.groupBy("__id").agg(F.min_by("row", "__text").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = staged(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    labelled = _rooted(rows.groupBy("fp").agg(F.min(first).alias("first")))
+    kept = labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_text"))
+    named = docs.select(F.struct("*").alias("row"), docs[id_col].alias("__id"), _text_hash(docs, text_col).alias("__text"))
+    found = named.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
+    # An id with one text is few rows, so this only drops repeats.
+    return found.groupBy("__id", "__text").agg(F.any_value("row").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
