@@ -1,8 +1,10 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_quality_rules import verdicts
 from tests.llm.test_simhash import fingerprint, grouped
-from threadloom.llm import quality_rules
+from threadloom.llm import quality_model, quality_rules
 from threadloom.llm.queries import op1_byte_bpe
 
 
@@ -36,3 +38,19 @@ def test_stages_work_on_what_is_left(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert quality_rules.MIN_WORDS == 50
+
+
+def test_classifier_drops_all_below_one_half(spark):
+    docs = corpus_pipeline.rules(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).localCheckpoint()
+    scores = {r["doc_id"]: r["score"] for r in quality_model.scores(docs, *quality_model.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
+    assert any(0.05 <= s < 0.5 for s in scores.values())
+    assert {r["doc_id"] for r in corpus_pipeline.classifier(spark, docs, SF).collect()} == {i for i, s in scores.items() if s >= 0.5}
+
+
+def test_classifier_on_held_out_labels(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r["doc_id"] for r in corpus_pipeline.classifier(spark, docs, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(quality_model.held_out(F.col("doc_id"))).collect()
+    good, bad = ({r["doc_id"] for r in labels if r["quality"] == q} for q in (1, 0))
+    assert len(bad & left) <= 0.1 * len(bad) and len(good - left) <= 0.02 * len(good) and bad and good
