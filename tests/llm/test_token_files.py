@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tests.conftest import SF
 from threadloom.llm import id_coder, token_files
@@ -73,3 +74,16 @@ def test_edge_cases(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, found), key=lambda r: r[1]) == wanted(rows)
     token_files.write(docs.limit(0), str(tmp_path / "none"), WORD_VOCAB, END_ID)
     assert token_files.read(spark, str(tmp_path / "none"), WORD_VOCAB).count() == 0
+
+
+SPECIAL = ["a <|endoftext|> b", "a<|endoftext|>b.", "<|startoftext|><|endoftext|>!?", "<|EndOfText|>", "x\n<|endoftext|>\ty", "\u00e9<|endoftext|>\u0301's", "<|endoftext|", "1<|startoftext|>.;", "<|end oftext|>"]
+
+
+def test_special_tokens_are_one_id_as_in_the_library(spark, tmp_path):
+    fresh = Tokenizer.from_file(WORD_VOCAB)
+    ids = [fresh.encode(text, add_special_tokens=False).ids for text in SPECIAL]
+    assert ids[0] == [320, 49407, 321]
+    assert [np.frombuffer(OWN.encode(text), np.int32).tolist() for text in SPECIAL] == ids
+    token_files.write(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string"), str(tmp_path / "files"), WORD_VOCAB, END_ID)
+    found = {r["doc_id"]: list(r["ids"]) for r in token_files.read(spark, str(tmp_path / "files"), WORD_VOCAB).collect()}
+    assert found == {i: [*own, END_ID] for i, own in enumerate(ids)}

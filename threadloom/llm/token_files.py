@@ -46,13 +46,14 @@ class WordTokenizer(dict):
     """Encodes texts by the tokenizers library, word by word, with a bounded cache from a word to its ids' bytes.
 
     The tokenizer's own splitting never joins what ASCII white space separates, nor a letter
-    or digit and the punctuation after it, so the words' ids put together are the text's.
+    or digit and the punctuation after it, so the words' ids put together are the text's. A
+    word that holds a special token goes whole to the library, which gives it its one id.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ids = self.library.get_vocab_size()
         self.model = self.library.model
         # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up in order.
@@ -65,7 +66,9 @@ class WordTokenizer(dict):
             self.clear()
         text = word.decode()
         core = text.rstrip(_ENDS)
-        if core and len(core) < len(text) and core[-1].lower()[-1].isalnum():
+        if any(s in text for s in self.special):
+            found = array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        elif core and len(core) < len(text) and core[-1].lower()[-1].isalnum():
             found = self[core.encode()] + self[text[len(core) :].encode()]
         elif text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
             # One run of Latin letters: normalised by lower case alone, and one piece for the library's model.
