@@ -1,5 +1,6 @@
 import html as escapes
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -43,6 +44,56 @@ def test_pages(page, text):
     assert extract(page) == text
 
 
+L = LONG.strip()
+S = "A short one."
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        # Containers of several kinds, none of which is a flat article element.
+        (f"<article><div><p>{L}</p></div><div><p>{S}</p></div></article>", [L, S]),
+        (f"<div><section><p>{L}</p></section><section><p>{L}</p></section></div>", [L, L]),
+        (f"<body><div><div><p>{L}</p><p>{L}</p></div><p>{S}</p></div></body>", [L, L, S]),
+        (f"<div><h1>Title</h1><div><p>{L}</p></div></div>", ["Title", L]),
+        (f"<div><div class=row><div><p>{L}</p></div></div><div class=row><div><p>{L}</p><p>{L}</p></div></div></div>", [L, L, L]),
+        (f"<table><tr><td><a href=1>{S}</a> <a href=2>{S}</a></td><td><p>{L}</p><p>{S}</p></td></tr></table>", [L, S]),
+        (f"<main><h1>Title</h1><section><h2>Part</h2><p>{L}</p></section><section><h2>Next</h2><ul><li>{S}</li></ul></section></main>", ["Title", "Part", L, "Next", S]),
+        (f"<div id=content>{L}<br>{S}<br><br>{L}</div><div id=footer>{L}</div>", [f"{L} {S} {L}"]),
+        (f"<div class=story><blockquote>{L}</blockquote><pre>x = 1</pre><p>{L}</p></div>", [L, "x = 1", L]),
+        (f"<article><header><h1>Head</h1><p>By me</p></header><p>{L}</p></article>", ["Head", L]),
+        (f"<article><header class=header><div><h1>Head</h1></div><nav>Go</nav></header><p>{L}</p></article>", ["Head", L]),
+        # What is no article, by its names.
+        (f"<article><p>{L}</p><article class='comment'><p>{L}</p></article></article>", [L]),
+        (f"<div><p>{L}</p><div id='commentSection'><p>{L}</p><p>{L}</p></div></div>", [L]),
+        (f"<div><p>{L}</p><div class='discussion replies'><p>{L}</p></div></div>", [L]),
+        (f"<div><p>{L}</p><ins class='adsbygoogle'>buy</ins><div class=gdpr>{L}</div><div class=disclaimer>{L}</div></div>", [L]),
+        (f"<div><p>{L}</p><ul><li><a href=1>{S}</a><li><a href=2>{S}</a><li><a href=3>{S}</a></ul></div>", [L]),
+        (f"<div><p>{L}</p><div class='share-buttons'>Tell others</div></div>", [L]),
+        (f"<div><div><p>{L}</p></div><p>Copyright 2020 {S}</p></div>", [L]),
+        # What its names only seem to leave out.
+        (f"<div><p>{L}</p><p class='social-history'>{L}</p><div class='entry-header'><h2>Head</h2></div></div>", [L, L, "Head"]),
+        (f"<div class='page with-sidebar'><p>{L}</p></div>", [L]),
+        (f"<div class='sidebar-layout'><p>{L}</p><p>{L}</p><p>{L}</p></div>", [L, L, L]),
+        (f"<section id=discussion><p>{L}</p></section>", [L]),
+        # Elements within a line that are left out, nested or never closed.
+        (f"<article><p>{L} <span class=promo>buy <span>now</span> cheap</span> end</p></article>", [f"{L} end"]),
+        (f"<article><p>{L} <span class=promo>buy <p>{S}</article>", [L, S]),
+        (f"<article><p>{L} <button>Play <b>now</b></button> end</p></article>", [f"{L} end"]),
+        (f'<article><p>{L}</p><p title="a > b">{S}</p><p class="x>{S}</p></article>', [L, S, S]),
+    ],
+)
+def test_layouts(page, blocks):
+    assert extract(page) == "\n\n".join(blocks)
+
+
+def test_time_is_linear():
+    for page in ("<span class=promo>x " * 50_000, "<div>x" * 50_000, "<div>" * 30_000 + "</p>" * 30_000 + "<h1>x</h1>" * 3_000, '<a "' * 50_001, "<script>" * 50_000):
+        began = time.process_time()
+        extract(page)
+        assert time.process_time() - began < 5
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href='x'>", "</a>", "<li>", "<b>", "<!--", "-->", "<script>", "</script>", "text, ", "&amp;", "<", ">", '"', "<td>", "<br/>"]), max_size=40).map("".join))
 def test_any_markup_is_accepted(page):

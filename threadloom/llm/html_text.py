@@ -3,36 +3,54 @@
 Each page is tokenised once into blocks of text, every one with the path of elements it
 stands in. Blocks that are paragraphs score points for their length and commas, discounted
 by their share of link text; points go in full to the parent and in halves to each further
-ancestor. The container with the most points is kept with those siblings that score well or
-are themselves plain text, and its blocks are joined in page order. Elements that are never
-article text (menus, headers, footers, sidebars, forms, scripts, notices, adverts and
-comments, by element, role, class or id) are left out before scoring.
+ancestor. The container with the most points is the first choice. If it lies in an
+``article`` (or else ``main``) element, that is the root; otherwise the root climbs from it
+to any ancestor that holds clearly more prose at a low share of links. Kept are all blocks of
+the root, and beside it paragraphs, headings, lists and containers that score well and are not
+made of links. Blocks are joined in page order.
 
-One pass over the rows without a shuffle; a task holds one page at a time. The parser is
-lenient: unclosed and stray tags, missing ends, and attributes without quotes are accepted.
+Elements that are never article text are left out before scoring. Tags, roles and ``hidden``
+decide by themselves. Names (``class`` and ``id``, split at hyphens, underscores, digits and
+camel case, whole parts compared) decide unless the text speaks against them: a name of
+``DOUBTFUL`` is overruled by a long text without links, one of ``UNLIKELY`` if the element holds
+most of the page's text. A header inside an article keeps its headings.
 
-Defined results: null and empty pages, and pages without text, give an empty text; ids and
-URLs may be null or repeat; an empty table gives an empty table; columns other than the
-three named are not read.
+One pass over the rows without a shuffle; a task holds one page at a time, in time linear in
+its length. The parser is lenient: unclosed and stray tags, missing ends, and attributes
+without quotes are accepted.
+
+Defined results: null and empty pages, and pages without text, give an empty text; of equal
+scores the outermost, first element wins; ids and URLs may be null or repeat; an empty table
+gives an empty table; columns other than the three named are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:![^>]*|\?[^>]*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|$)", re.S
+)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACES = re.compile(r"\s+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Elements whose content is not parsed as markup.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "math", "iframe", "xmp"}
-#: Elements that are never part of an article.
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "head"}
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
+#: Elements that are never part of an article; the second set stands within lines of text.
+DROPPED = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "head"}
+DROPPED_INLINE = {"button", "select", "object", "canvas", "audio", "video", "label", "datalist", "meter", "progress"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that pass their points on to what they stand in.
+PARAGRAPHS = {"p", "pre", "td", "th", "blockquote", "li", "dd", "dt"} | HEADINGS
+LISTS = {"ul", "ol", "dl", "table", "figure", "details"}
 BLOCKS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre",
@@ -40,153 +58,285 @@ BLOCKS = {
 } | DROPPED
 #: What an opening tag ends if it is open: a paragraph by any block, an item by the next one.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-list|cookies?|consent|disqus|footer|header|menu|modal|nav|navbar|navigation"
-    r"|newsletter|notice|pagination|pager|popup|promo|related|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-]|\d)",
-    re.I,
+_SCOPES = {"ul", "ol", "dl", "table"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
+#: Parts of names. Readers' comments; what is no article as a rule; what is none if it is short or made of links.
+COMMENTS = set("comment comments commentlist commenter commenters reply replies disqus respond responses".split())
+UNLIKELY = set(
+    "ad ads advert adverts advertisement advertisements advertising adsbygoogle adslot sponsor sponsors sponsored promo promos promotion promoted breadcrumb breadcrumbs"
+    " cookie cookies consent gdpr disclaimer disclaimers footer sidebar nav navbar navigation menu newsletter subscribe subscription pagination pager popup modal"
+    " notice notices related recommended recommendations outbrain taboola toolbar paywall login signup".split()
 )
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-_LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
-#: A block with fewer characters is no paragraph and passes no points.
+DOUBTFUL = set("header masthead banner social share sharing shares sharebar widget widgets alert alerts notification topbar follow tags logo".split())
+#: Parts that turn the sense of a name: ``with-sidebar``, ``entry-header``.
+_NEGATING = set("has with no not without is hide hidden".split())
+_OWN = set("entry post article content story body main hentry".split())
+_LEGAL = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
+#: A block with fewer characters is no paragraph and passes no points; one with more is prose.
 LEAST_CHARS = 25
+PROSE_CHARS = 80
+#: A name of ``DOUBTFUL`` holds for texts below this, one of ``UNLIKELY`` for parts below this share of the page.
+LONG_CHARS = 140
+MOST_SHARE = 0.6
+#: Prose that an element of an ``UNLIKELY`` name must hold at least to be taken for a wrapper of the article.
+WRAPPED_CHARS = 500
+#: From what share of link text on an element counts as made of links.
+LINKED = 0.25
+#: How much more prose than the choice so far an ancestor must hold to take its place.
+CLIMB = 1.2
+#: A container beside the root is kept from this share of the root's points on.
+SIBLING = 0.1
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "score", "seen", "linked", "blocks", "likely", "dropped")
+    __slots__ = ("tag", "parent", "name", "dropped", "kept", "score", "chars", "linked", "links", "prose", "legal", "title")
+
+    def __init__(self, tag: str, parent: _Node | None, name: str, dropped: bool):
+        self.tag, self.parent, self.name, self.dropped = tag, parent, name, dropped
+        self.kept, self.score = False, 0.0
+        self.clear()
+
+    def clear(self) -> None:
+        self.chars = self.linked = self.links = self.prose = self.legal = self.title = 0
 
-    def __init__(self, tag: str, parent: _Node | None, likely: bool, dropped: bool):
-        self.tag, self.parent, self.likely, self.dropped = tag, parent, likely, dropped
-        self.score, self.seen, self.linked, self.blocks = 0.0, 0, 0, []
+    @property
+    def density(self) -> float:
+        return self.linked / self.chars if self.chars else 0.0
+
+
+@lru_cache(maxsize=4096)
+def _named(names: str) -> str:
+    """What the names of an element say: ``comments``, ``unlikely``, ``doubtful`` or nothing."""
+    said = ""
+    tokens = [[x.lower() for x in _PART.findall(token)] for token in names.split()]
+    own = any(len(parts) == 1 and parts[0] in _OWN for parts in tokens)
+    for parts in tokens:
+        held = set(parts)
+        if held & _NEGATING:
+            continue
+        if held & COMMENTS and not own:
+            return "comments"
+        if held & UNLIKELY:
+            said = "unlikely"
+        elif held & DOUBTFUL and not held & _OWN:
+            said = said or "doubtful"
+    return said
 
 
-def _dropped(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is left out; whether its names speak for an article."""
-    likely = tag in ("article", "main")
-    if not attributes:
-        return tag in DROPPED, likely
-    names, out = [], tag in DROPPED
+def _attributes(attributes: str) -> tuple[str, bool]:
+    """What an element's names say, and whether its role or ``hidden`` leaves it out."""
+    names, out = [], False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             out = True
         elif name in ("class", "id"):
             names.append(value)
-    if names and not likely and tag not in ("html", "body"):
-        out = out or any(map(_UNLIKELY.search, names))
-    return out, likely or any(map(_LIKELY.search, names))
+    return _named(" ".join(names)) if names else "", out
 
 
-def _blocks(html: str) -> tuple[list[tuple[str, int, _Node]], list[_Node]]:
-    """The text blocks in page order as (text, characters in links, element), and all elements."""
-    root = node = _Node("", None, False, False)
+Block = tuple[str, int, int, _Node]
+
+
+def _blocks(html: str) -> tuple[list[Block], list[_Node]]:
+    """The text blocks in page order as (text, characters in links, links, element), and all elements."""
+    root = node = _Node("", None, "", False)
     nodes, blocks = [root], []
     text: list[str] = []
-    links = in_link = at = 0
-    lower = None
+    linked = links = in_link = at = 0
+    articles = 0
+    opened: dict[str, int] = {}
+    #: An element within a line that is left out: its tag, how deep it is nested, and what it stands in.
+    mute, depth, mute_node = "", 0, root
 
     def flush() -> None:
-        nonlocal links
+        nonlocal linked, links
         if text:
             own = _SPACES.sub(" ", unescape("".join(text))).strip()
             text.clear()
             if own and not node.dropped:
-                blocks.append((own, min(links, len(own)), node))
-        links = 0
+                blocks.append((own, min(linked, len(own)), links, node))
+        linked = links = 0
+
+    def leave(up: _Node) -> None:
+        """Go on in the parent of the open element ``up``."""
+        nonlocal node, in_link, mute, articles
+        flush()
+        while node is not up.parent:
+            if node is mute_node:
+                mute = ""
+            articles -= node.tag in ("article", "main")
+            opened[node.tag] -= 1
+            node = node.parent
+        in_link = 0
+
+    def add(part: str) -> None:
+        nonlocal linked
+        if not node.dropped and not mute:
+            text.append(part)
+            linked += in_link * len(part)
 
     for match in iter(lambda: _TOKEN.search(html, at), None):
-        if match.start() > at and not node.dropped:
-            text.append(html[at : match.start()])
-            links += in_link * (match.start() - at)
+        if match.start() > at:
+            add(html[at : match.start()])
         at = match.end()
-        tag = match[2]
+        tag = match[2] or match[5]
         if not tag:
             if match.start() == match.end():
                 break
             continue
-        tag = tag.lower()
-        if match[1]:
-            if tag == "a":
+        tag, attributes = tag.lower(), match[3] or match[6] or ""
+        if match[1] or match[4]:
+            if tag == mute:
+                depth -= 1
+                mute = mute if depth else ""
+            elif tag == "a":
                 in_link = 0
             elif tag in BLOCKS:
-                up = node
-                while up is not root and up.tag != tag:
-                    up = up.parent
                 flush()
-                if up is not root:
-                    node, in_link = up.parent, 0
+                if opened.get(tag):
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
+                    leave(up)
             continue
         if tag in RAW:
-            lower = html.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            at = len(html) if end < 0 else end
-            continue
-        if tag in BLOCKS:
+            end = _RAW_END[tag].search(html, at)
+            at = end.start() if end else len(html)
+        elif tag in BLOCKS:
             flush()
-            ended = ENDS.get(tag, ()) if tag in ENDS else {"p"}
+            ended = ENDS.get(tag, {"p"})
             up = node
-            while up is not root and up.tag not in ended and (tag in ENDS and up.tag not in ("ul", "ol", "dl", "table") or up.tag == "p"):
+            while up is not root and up.tag not in ended and (tag in ENDS and up.tag not in _SCOPES or up.tag == "p"):
                 up = up.parent
             if up is not root and up.tag in ended:
-                node = up.parent
+                leave(up)
             if tag not in VOID:
-                out, likely = _dropped(tag, match[3])
-                node = _Node(tag, node, likely, node.dropped or out)
+                name, out = _attributes(attributes) if attributes else ("", False)
+                if tag in DROPPED:
+                    # Of a header in an article the headings stay: its other text is named "header".
+                    out = out or tag != "header" or not articles
+                    name = "header" if name in ("", "doubtful") else name
+                if tag in ("html", "body", "main"):
+                    name = ""
+                inner = node.name == "header" and tag not in HEADINGS
+                node = _Node(tag, node, "header" if inner else name, node.dropped or out)
+                articles += tag in ("article", "main")
+                opened[tag] = opened.get(tag, 0) + 1
                 nodes.append(node)
         elif tag == "br":
-            text.append(" ")
-        elif tag == "a" and not match[3].endswith("/"):
-            in_link = 1
-        elif match[3] and tag not in VOID and _dropped(tag, match[3])[0]:  # an inline element that is left out
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if end:
-                at = end.end()
-    if at < len(html) and not node.dropped:
-        text.append(html[at:])
+            add(" ")
+        elif tag == mute:
+            depth += 1
+        elif not mute and tag not in VOID and not attributes.endswith("/"):
+            name, out = _attributes(attributes) if attributes else ("", False)
+            if out or tag in DROPPED_INLINE or name:
+                mute, depth, mute_node = tag, 1, node
+            elif tag == "a":
+                in_link, links = 1, links + 1
+    if at < len(html):
+        add(html[at:])
     flush()
     return blocks, nodes
 
 
-def extract(html: str | None) -> str:
-    """The main text of a page: its blocks joined by two line feeds."""
-    blocks, nodes = _blocks(html or "")
-    if not blocks:
-        return ""
-    for own, linked, node in blocks:
-        up = node
-        while up is not None:
-            up.seen += len(own)
-            up.linked += linked
-            up = up.parent
+def _left_out(nodes: list[_Node]) -> None:
+    """Drop elements by their names, now that their texts are known."""
+    around = {id(nodes[0])}  # what stands around an article
+    for x in nodes:
+        if x.tag in ("article", "main") and x.chars:
+            while x is not None and id(x) not in around:
+                around.add(id(x))
+                x = x.parent
+    for x in nodes[1:]:
+        if x.parent.dropped:
+            x.dropped = True
+        elif x.name == "doubtful":
+            x.dropped = x.tag not in HEADINGS and (x.chars < LONG_CHARS or x.density >= LINKED)
+        elif x.name == "unlikely":
+            most = x.chars >= MOST_SHARE * nodes[0].chars and x.prose >= WRAPPED_CHARS and x.density < LINKED
+            x.dropped = not most or len(around) > 1 and id(x) not in around
+        elif x.name == "comments":
+            x.dropped = True
+        elif x.links > 2 and x.density > 0.8 and x.tag in ("ul", "ol", "dl", "div", "table", "section"):
+            x.dropped = True  # a menu without a name
+
+
+def _count(blocks: list[Block], nodes: list[_Node]) -> None:
+    """What the blocks of each element sum up to; elements come after those they stand in."""
+    for x in nodes:
+        x.clear()
+    for own, linked, links, node in blocks:
+        node.chars += len(own)
+        node.linked += linked
+        node.links += links
+        node.prose += len(own) if len(own) >= PROSE_CHARS and linked < LINKED * len(own) else 0
+        node.legal += len(own) < 200 and bool(_LEGAL.search(own))
+        node.title += len(own) if node.tag in HEADINGS else 0
+    for x in reversed(nodes[1:]):
+        up = x.parent
+        up.chars += x.chars
+        up.linked += x.linked
+        up.links += x.links
+        up.prose += x.prose
+        up.legal += x.legal
+        up.title += x.title
+
+
+def _score(blocks: list[Block]) -> None:
+    for own, linked, _, node in blocks:
         if len(own) < LEAST_CHARS:
             continue
         points = (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - linked / len(own))
         # A paragraph passes its points on; text directly in a container is that container's.
-        up = node.parent if node.tag in ("p", "pre", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li") and node.parent else node
+        up = node.parent if node.tag in PARAGRAPHS and node.parent else node
         while up is not None and points > 0.01:
             up.score += points
             up, points = up.parent, points / 2
-    density = lambda x: x.linked / x.seen if x.seen else 0.0
-    rated = lambda x: x.score * (1 - density(x)) * (1.5 if x.likely else 1)
-    # Of equal scores the outermost wins. Without any paragraph all text stays.
+
+
+def _root(best: _Node) -> _Node:
+    """The element that holds the article of which ``best`` scores most."""
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    for tag in ("article", "main"):
+        if own := [x for x in above if x.tag == tag]:
+            return own[-1]
+    root = best
+    for x in above[1:]:
+        if x.prose > CLIMB * root.prose and x.density < LINKED:
+            root = x
+    return root
+
+
+def _beside(x: _Node, root: _Node) -> bool:
+    """Whether a sibling of the root belongs to the article."""
+    if x.dropped or x.density >= LINKED or not x.chars or x.legal:
+        return False
+    if x.title == x.chars:
+        return True
+    if root.tag in ("article", "main"):
+        return x.tag == root.tag and x.score >= SIBLING * root.score
+    return x.tag in PARAGRAPHS or x.tag in LISTS and x.chars >= LEAST_CHARS or x.score >= max(1.0, SIBLING * root.score)
+
+
+def extract(html: str | None) -> str:
+    """The main text of a page: its blocks joined by two line feeds."""
+    blocks, nodes = _blocks(html or "")
+    _count(blocks, nodes)
+    _left_out(nodes)
+    blocks = [b for b in blocks if not b[3].dropped and b[3].name != "header"]
+    _count(blocks, nodes)
+    _score(blocks)
+    rated = lambda x: x.score * (1 - x.density)
     best = max(nodes, key=rated)
-    if rated(best) <= 0:
-        return "\n\n".join(own for own, linked, _ in blocks if linked < len(own) / 2)
-    kept = {id(best)}
-    if best.parent is not None and not (best.likely and best.tag in ("article", "main")):
-        least = max(10.0, 0.2 * rated(best))
-        for x in nodes:
-            if x.parent is best.parent and x is not best:
-                paragraph = x.tag == "p" and density(x) < 0.25 and x.seen > 80
-                if rated(x) >= least or paragraph:
-                    kept.add(id(x))
-    out = []
-    for own, _, node in blocks:
-        up = node
-        while up is not None and id(up) not in kept:
-            up = up.parent
-        if up is not None:
-            out.append(own)
-    return "\n\n".join(out)
+    if rated(best) <= 0:  # without any paragraph all text stays
+        return "\n\n".join(own for own, linked, _, _ in blocks if linked < len(own) / 2)
+    root = _root(best)
+    for x in nodes:
+        x.kept = x is root or x.parent is not None and (x.parent.kept or x.parent is root.parent and _beside(x, root))
+    return "\n\n".join(own for own, _, _, node in blocks if node.kept)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
