@@ -16,12 +16,13 @@ WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp
   windows AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM docs)),
   twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
   covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1),
-  texts AS (SELECT DISTINCT source, t, ls FROM docs),
-  lines AS (SELECT source, t, lower(trim(regexp_replace(x, '{SPACES}', ' ', 'g'))) AS line FROM (SELECT source, t, unnest(ls) AS x FROM texts)),
-  hosts AS (SELECT source, count(*) AS n FROM texts GROUP BY 1),
-  above AS (SELECT c.source, line FROM (SELECT source, line, count(DISTINCT t) AS n FROM lines GROUP BY 1, 2) c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-    WHERE c.n > {q.MAX_LINE_DOCS} AND c.n > {q.MAX_LINE_SHARE} * h.n),
-  gone AS (SELECT l.source, t, CAST(sum(len(string_split(l.line, ' '))) AS BIGINT) AS n FROM lines l JOIN above a ON l.source IS NOT DISTINCT FROM a.source AND l.line = a.line GROUP BY 1, 2),
+  texts AS (SELECT source, t, any_value(ls) AS ls, count(*) AS copies FROM docs GROUP BY 1, 2),
+  lines AS (SELECT source, t, copies, lower(trim(regexp_replace(x, '{SPACES}', ' ', 'g'))) AS line FROM (SELECT source, t, copies, unnest(ls) AS x FROM texts)),
+  hosts AS (SELECT source, greatest({q.MAX_LINE_DOCS}, pow(count(*), {q.MAX_LINE_POWER})) AS most FROM docs GROUP BY 1),
+  held AS (SELECT source, t, copies, line, count(*) AS k FROM lines GROUP BY ALL),
+  counts AS (SELECT source, line, sum(copies) AS n_docs FROM held GROUP BY 1, 2),
+  gone AS (SELECT l.source, t, CAST(sum(k * len(string_split(l.line, ' '))) AS BIGINT) AS n FROM held l JOIN counts c ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line
+    JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n_docs - copies + 1 > most GROUP BY 1, 2),
   base AS (SELECT doc_id, source, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     coalesce(covered.n, 0) AS n_repeat_words FROM docs LEFT JOIN covered USING (doc_id)),

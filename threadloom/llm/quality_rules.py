@@ -1,14 +1,17 @@
 """Quality rules: base rules of each text, and the frequency of lines across documents.
 
 Base figures come from array functions within a row, without a shuffle. For the method's
-verdict, normalised lines are hashed and the distinct texts of each host that hold a line
-are counted (exact copies count once); a line in more of them than the limits allow is
-removed, and a document that keeps too few of its words is rejected.
+verdict, normalised lines are hashed and the documents of each host that hold a line are
+counted. For a document its own exact copies count as itself and all others each: a document
+is no evidence against its copies, which are for a near-duplicate stage. A line in more
+documents than the limit for the size of its host is removed, and a document that keeps too
+few of its words is rejected. A document is a row.
 
 Everything is DataFrame functions. Texts are read once; a narrow table of figures and line
 hashes is written to the shared folder and all later steps read that. Counts combine on the
 map side and the first is by (host, line, text), so a very frequent line, host or text is
 spread; the join with frequent lines is a plain inner join that Spark can split on skew.
+Lines, hosts and windows are compared by 64-bit hashes, texts by 128-bit ones.
 
 Defined results: a null text has no words and fails the base rules; null hosts form a host
 of their own; repeated rows each get their row; an empty table gives an empty table; columns
@@ -25,11 +28,12 @@ from threadloom.llm.common import SPACE, let, staged
 #: Base rules: fewer words, or a larger share of words in repeated windows, fails.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is above the limits if more distinct texts of its host hold it than both of these.
-MAX_LINE_DOCS = 20
-MAX_LINE_SHARE = 0.02
+#: A line is above the limit if more documents of its host hold it than this number, and than
+#: this power of the host's number of documents: the share that is allowed falls as hosts grow.
+MAX_LINE_DOCS = 5
+MAX_LINE_POWER = 0.5
 #: A document that keeps a smaller share of its words is depleted.
-MIN_LEFT_SHARE = 0.2
+MIN_LEFT_SHARE = 0.8
 
 
 def _words(text: Column) -> Column:
@@ -39,28 +43,22 @@ def _words(text: Column) -> Column:
 def _repeat_words(w: Column) -> Column:
     """Words in three-word windows that the text holds twice or more.
 
-    Windows are hashed, the hash's low bits give way to the window's position and the array
-    is sorted, so equal windows become neighbours; the words covered by their positions are
-    then added up, at most three for each.
+    Windows are hashed and sorted by hash and position, so equal windows become neighbours;
+    the words covered by their positions are then added up, at most three for each.
     """
 
     def covered(at: Column) -> Column:
-        steps = F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3)).cast("int")))
+        steps = F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    def repeated(hashes: Column, room: Column) -> Column:
-        def positions(order: Column) -> Column:
-            place = lambda x: x.bitwiseAND(room - 1)
-            key = lambda x: F.get(hashes, place(x).cast("int"))
-            same = lambda x, y: F.coalesce(key(x) == key(y), F.lit(False))
-            hit = F.filter(order, lambda x, j: same(x, F.get(order, j + 1)) | ((j > 0) & same(x, F.get(order, F.greatest(j - 1, F.lit(0))))))
-            return let(F.sort_array(F.transform(hit, place)), covered)
-
-        return let(F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(-room).bitwiseOR(i.cast("long")))), positions)
+    def repeated(order: Column) -> Column:
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        hit = F.filter(order, lambda x, j: same(x, F.get(order, j + 1)) | ((j > 0) & same(x, F.get(order, F.greatest(j - 1, F.lit(0))))))
+        return let(F.sort_array(F.transform(hit, lambda x: x["p"])), covered)
 
     def counted(hashes: Column) -> Column:
-        room = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(hashes).cast("double"))) + 1).cast("long")
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(room, lambda r: repeated(hashes, r)))
+        order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(order, repeated))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     return F.when(F.size(w) >= 3, let(windows, counted)).otherwise(F.lit(0).cast("long"))
@@ -104,15 +102,16 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     )
 
 
-def removals(rows: DataFrame, max_line_docs: int = MAX_LINE_DOCS, max_line_share: float = MAX_LINE_SHARE) -> DataFrame:
-    """From ``figures``: for each (host, text) that has lines above the limits their hashes and the number of words in them."""
-    texts = rows.groupBy("host_key", "text_key").agg(F.first("lines").alias("lines"))
-    lines = texts.select("host_key", "text_key", F.explode("lines").alias("x")).select("host_key", "text_key", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    lines = lines.groupBy("host_key", "h", "text_key").agg(F.sum("n").alias("n"))
-    hosts = rows.select("host_key", "text_key").distinct().groupBy("host_key").agg(F.count("*").alias("host_docs"))
-    counts = lines.groupBy("host_key", "h").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > max_line_docs)
-    above = counts.join(hosts, "host_key").where(F.col("line_docs") > max_line_share * F.col("host_docs")).select("host_key", "h")
-    return lines.join(above, ["host_key", "h"]).groupBy("host_key", "text_key").agg(F.sum("n").alias("removed_words"), F.collect_list("h").alias("removed"))
+def removals(rows: DataFrame, max_line_docs: int = MAX_LINE_DOCS, max_line_power: float = MAX_LINE_POWER) -> DataFrame:
+    """From ``figures``: for each (host, text) that has lines above the limit their hashes and the number of words in them."""
+    texts = rows.groupBy("host_key", "text_key").agg(F.count("*").alias("copies"), F.first("lines").alias("lines"))
+    lines = texts.select("host_key", "text_key", "copies", F.explode("lines").alias("x")).select("host_key", "text_key", "copies", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    lines = lines.groupBy("host_key", "h", "text_key").agg(F.sum("n").alias("n"), F.first("copies").alias("copies"))
+    hosts = rows.groupBy("host_key").agg(F.greatest(F.lit(float(max_line_docs)), F.pow(F.count("*").cast("double"), F.lit(max_line_power))).alias("most"))
+    counts = lines.groupBy("host_key", "h").agg(F.sum("copies").alias("line_docs")).where(F.col("line_docs") > max_line_docs)
+    above = counts.join(hosts, "host_key").where(F.col("line_docs") > F.col("most"))
+    gone = lines.join(above, ["host_key", "h"]).where(F.col("line_docs") - F.col("copies") + 1 > F.col("most"))
+    return gone.groupBy("host_key", "text_key").agg(F.sum("n").alias("removed_words"), F.collect_list("h").alias("removed"))
 
 
 def verdicts(rows: DataFrame, removed: DataFrame, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
