@@ -28,7 +28,8 @@ def contexts(texts):
     for text in texts:
         units, last = [], None
         for word in (text or "").split():
-            units += [u for u in quality_model._units[word] if u >= 0] + [quality_model.REPEAT] * (word == last)
+            code = quality_model._units[word]
+            units += [u - 1 for u in (code & 0xFFFF, code >> 16) if u] + [quality_model.REPEAT] * (word == last)
             last = word
         for i, u in enumerate(units):
             for j in range(max(0, i - quality_model.WINDOW), min(len(units), i + quality_model.WINDOW + 1)):
@@ -44,6 +45,17 @@ def test_word_vectors_equal_brute_force(spark, monkeypatch):
     assert np.allclose(quality_model.word_vectors(docs), contexts(texts), atol=1e-6)
 
 
+def test_units_of_words():
+    letters, marks = quality_model.re.compile(r"[^\W_]+"), {}
+    for word in ["a", "Ab", "ab.", "AB", "AB!", "a_", "_", "...", "e-f", "x\u0301", "don't", "..a", "a.b.", "\u03a3\u03a3", "1", "1,"]:
+        code = quality_model._units[word]
+        own = "".join(letters.findall(word)).lower()
+        core, mark = (code & 0xFFFF) - 1, (code >> 16) - 1
+        assert core == (quality_model.xxhash.xxh64_intdigest(own) % (quality_model.BUCKETS - quality_model.MARKS) if own else -1)
+        marks.setdefault("".join(sorted(set(letters.sub("", word)))) + "A" * (len(own) > 1 and word.isupper()), set()).add(mark)
+    assert all(len(x) == 1 for x in marks.values()) and marks[""] == {-1}
+
+
 def test_features_do_not_depend_on_batches(monkeypatch):
     vectors = np.random.default_rng(0).normal(size=(quality_model.BUCKETS, quality_model.DIMENSIONS)).astype(np.float32)
     texts = pa.array(["one two three", None, "", "long " * 5000 + "end!", "one two three"])

@@ -51,16 +51,24 @@ _LETTERS = re.compile(r"[^\W_]+")
 
 
 class _Units(dict):
-    """A bounded cache from a word to the bucket of its letters and of its marks (-1: none)."""
+    """A bounded cache from a word to the buckets of its letters and of its marks, as one number: each plus one (0: none), the marks' above the lowest 16 bits."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        letters = "".join(_LETTERS.findall(word)).lower()
-        marks = "".join(sorted(set(_LETTERS.sub("", word)))) + ("A" if len(letters) > 1 and word.upper() == word and word.lower() != word else "")
-        core = xxhash.xxh64_intdigest(letters) % (BUCKETS - MARKS) if letters else -1
-        mark = BUCKETS - MARKS + xxhash.xxh64_intdigest(marks) % (MARKS - 1) if marks else -1
-        self[word] = found = (core, mark)
+        if word.isalnum():
+            letters, marks = word, ""
+        elif word[:-1].isalnum():  # a word and the mark after it
+            letters, marks = word[:-1], word[-1]
+        else:
+            letters = "".join(_LETTERS.findall(word))
+            marks = "".join(sorted(set(_LETTERS.sub("", word))))
+        letters = letters.lower()
+        if len(letters) > 1 and word.upper() == word and word.lower() != word:
+            marks += "A"
+        core = 1 + xxhash.xxh64_intdigest(letters) % (BUCKETS - MARKS) if letters else 0
+        mark = 1 + BUCKETS - MARKS + xxhash.xxh64_intdigest(marks) % (MARKS - 1) if marks else 0
+        self[word] = found = core | mark << 16
         return found
 
 
@@ -79,12 +87,14 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         many = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        table = np.array([_units[w] for w in coded.dictionary.to_pylist()], np.int32).reshape(-1, 2)
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        table = np.fromiter(map(_units.__getitem__, known), np.int32, len(known))[index]
         owner = np.repeat(np.arange(n), many)
         again = np.zeros(len(index), bool)
         again[1:] = (index[1:] == index[:-1]) & (owner[1:] == owner[:-1])
         units = np.full((len(index), 3), -1, np.int32)
-        units[:, :2] = table[index]
+        units[:, 0] = (table & 0xFFFF) - 1
+        units[:, 1] = (table >> 16) - 1
         units[again, 2] = REPEAT
         real = units >= 0
         yield start, n, units[real], np.repeat(owner, 3).reshape(-1, 3)[real]
