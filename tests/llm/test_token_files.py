@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,12 +14,15 @@ from threadloom.llm.queries import END_ID, WORD_VOCAB, op5_token_files
 OWN = token_files.WordTokenizer(WORD_VOCAB)
 
 
+FRESH = Tokenizer.from_file(WORD_VOCAB)
+
+
 def library(text):
-    return OWN.library.encode(text or "", add_special_tokens=False).ids
+    return FRESH.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.sampled_from(" \n\x1c\x0b'.,;!)0aIİΣé\u0301"), st.characters(exclude_categories=["Cs"])), max_size=40))
+@given(st.lists(st.one_of(st.text(st.one_of(st.sampled_from(" \n\x1c\x0b'.,;!)0aIİΣé\u0301"), st.characters(exclude_categories=["Cs"])), max_size=40), st.sampled_from(["<|endoftext|>", "<|startoftext|>", " "])), max_size=5).map("".join))
 def test_tokenizer_equals_the_library(text):
     assert np.frombuffer(OWN.encode(text), np.int32).tolist() == library(text)
 
@@ -36,8 +40,25 @@ def test_coder_learns_and_carries():
     rng = np.random.default_rng(0)
     regular = np.tile(rng.integers(0, 49408, 20), 300).astype(np.int32)
     assert len(id_coder.encode([regular], 49408)[0]) < len(regular) // 4
-    many = [rng.integers(49300, 49408, 3000).astype(np.int32) for _ in range(50)]
-    assert all((a == b).all() for a, b in zip(id_coder.decode(id_coder.encode(many, 49408), [3000] * 50, 49408), many, strict=True))
+    many = [rng.integers(49300, 49408, 1000).astype(np.int32) for _ in range(50)]
+    assert all((a == b).all() for a, b in zip(id_coder.decode(id_coder.encode(many, 49408), [1000] * 50, 49408), many, strict=True))
+
+
+def test_coded_ids_are_smaller_than_deflated_ones():
+    ids = np.concatenate([np.array([*library(r["text"]), END_ID], "<u4") for r in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).to_pylist()])
+    blocks = [ids[i : i + token_files.BLOCK_IDS] for i in range(0, len(ids), token_files.BLOCK_IDS)]
+    coded = sum(map(len, id_coder.encode(blocks, 49408)))
+    assert coded < 0.85 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    counts = np.bincount(ids)
+    assert coded < 1.05 * -np.sum(counts[counts > 0] * np.log2(counts[counts > 0] / len(ids))) / 8  # near the order-0 entropy of all ids
+
+
+def test_counts_and_buffers_at_their_limits():
+    rng = np.random.default_rng(1)
+    many = [np.full(6000, 7, np.int32), rng.integers(0, 49408, 6000).astype(np.int32), np.repeat(rng.permutation(49408)[:60], 100).astype(np.int32), np.arange(43408, 49408, dtype=np.int32)]
+    assert all((a == b).all() for a, b in zip(id_coder.decode(id_coder.encode(many, 49408), [len(b) for b in many], 49408), many, strict=True))
+    small = [np.array([0, 1, 0, 1, 1], np.int32)]
+    assert id_coder.decode(id_coder.encode(small, 2), [5], 2)[0].tolist() == small[0].tolist()
 
 
 def test_damage_is_found():
@@ -80,8 +101,7 @@ SPECIAL = ["a <|endoftext|> b", "a<|endoftext|>b.", "<|startoftext|><|endoftext|
 
 
 def test_special_tokens_are_one_id_as_in_the_library(spark, tmp_path):
-    fresh = Tokenizer.from_file(WORD_VOCAB)
-    ids = [fresh.encode(text, add_special_tokens=False).ids for text in SPECIAL]
+    ids = [library(text) for text in SPECIAL]
     assert ids[0] == [320, 49407, 321]
     assert [np.frombuffer(OWN.encode(text), np.int32).tolist() for text in SPECIAL] == ids
     token_files.write(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string"), str(tmp_path / "files"), WORD_VOCAB, END_ID)

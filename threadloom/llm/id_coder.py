@@ -7,8 +7,9 @@ For each id the two ids before it and the id before it name a slot each (order 2
 1) that holds the id last seen there and how often that was right. Whether the order-2 and,
 failing that, the order-1 prediction holds is coded with a probability mixed in the logistic
 domain from the confidences of both slots and of the lane (order 0), with weights that adapt.
-An id that no prediction gives is coded by the adaptive order-0 counts of its upper digits
-and its plain lower bits. All arithmetic is on integers, so machines agree.
+An id that neither gives is coded by the order-0 prediction of whole ids: a tree of
+``DIGITS`` digits whose every node has adaptive counts of the digits below it, so the counts
+of all ids seen in the block shape the code. All arithmetic is on integers, so machines agree.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ import math
 
 import numpy as np
 
-#: Lower bits of an id that are coded as they are.
-PLAIN_BITS = 11
-SLOTS = 512
+#: Digits of an id; the model has room for a count of each possible id in each lane.
+DIGITS = 3
+SLOTS = 2048
+#: What an id's digits gain each time they occur; the sum of a node's counts, and the single count in a byte, above which they are halved.
+GAIN, MOST, MOST_BYTE = 24, 8192, 255 - 2 * 24
 #: Probabilities have 12 bits in the model and never reach 0 or 1.
 _ONE = 4096
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4096 - p - 0.5))))) for p in range(4096)], np.int32)
 _TOP = 1 << 24
 _MASK = np.uint64(0xFFFFFFFF)
-_LOW, _EACH = (1 << PLAIN_BITS) - 1, np.uint64(1)
 _8, _12, _24 = np.uint64(8), np.uint64(12), np.uint64(24)
 
 
@@ -34,10 +36,18 @@ class _Writer:
     def __init__(self, lanes: int, longest: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.width = 64 + 4 * longest
-        self.out = np.zeros((lanes, self.width), np.uint8)
-        self.flat = self.out.reshape(-1)
         self.at = np.zeros(lanes, np.int64)
+        self.out = np.zeros((lanes, 0), np.uint8)
+        self._widen(64 + 2 * longest)
+
+    def _widen(self, width: int) -> None:
+        self.out = np.pad(self.out, ((0, 0), (0, width - self.out.shape[1])))
+        self.flat, self.width = self.out.reshape(-1), width
+
+    def room(self) -> None:
+        """Make sure that the next id of every lane fits."""
+        if self.at.max() + 32 > self.width:
+            self._widen(2 * self.width)
 
     def code(self, lanes: np.ndarray, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """Narrow each lane's interval to ``size`` parts (of the width ``part``) from ``start``."""
@@ -109,7 +119,9 @@ class _Model:
         self.trust = [np.full(lanes * SLOTS, 1024, np.int16) for _ in range(2)]
         self.plain = np.full((2, lanes), 1024, np.int32)
         self.weights = np.full((2, lanes, 3), 1 << 14, np.int32)
-        self.upper = np.ones((lanes, (ids - 1 >> PLAIN_BITS) + 1), np.int16)
+        self.base = base = max(2, math.ceil(round(ids ** (1 / DIGITS), 6)))
+        # The last digits have nearly all nodes, so their counts are bytes.
+        self.counts = [np.ones((lanes * base**k, base), np.uint8 if k == DIGITS - 1 else np.int16) for k in range(DIGITS)]
 
     def hit(self, lanes: np.ndarray, order: int, slots: tuple[np.ndarray, np.ndarray], truth: np.ndarray | None) -> np.ndarray:
         """Code whether the prediction of an order (0: by two ids, 1: by one) holds; mix, code, adapt."""
@@ -129,29 +141,29 @@ class _Model:
         self.plain[order][lanes] = plain + np.where(bit, (4095 - plain) >> 5, -(plain >> 5))
         return bit
 
-    def digit(self, lanes: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
-        """Code a digit by its lane's counts, and count it."""
-        counts = self.upper.take(lanes, axis=0)
+    def digit(self, table: np.ndarray, lanes: np.ndarray, node: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
+        """Code a digit by the counts of its node, and count it."""
+        counts = table.take(node, axis=0)
         upto = np.cumsum(counts, axis=1, dtype=np.int32)
-        width, total = counts.shape[1], upto[:, -1]
+        total = upto[:, -1]
         part = self.coder.range.take(lanes) // total.astype(np.uint64)
         digit = truth if self.writing else (upto <= np.minimum(self.coder.place(lanes, part), total - 1)[:, None]).sum(axis=1)
-        cell = np.arange(len(lanes)) * width + digit
+        cell = np.arange(len(lanes)) * self.base + digit
         size = counts.reshape(-1).take(cell)
         self.coder.code(lanes, part, upto.reshape(-1).take(cell) - size, size)
-        self.upper.reshape(-1)[lanes * width + digit] = size + 16
-        full = lanes[total > 2048]
+        table.reshape(-1)[node * self.base + digit] = size + table.dtype.type(GAIN)
+        full = node[size > MOST_BYTE if table.dtype == np.uint8 else total > MOST]
         if len(full):
-            self.upper[full] = (self.upper[full] + 1) >> 1
+            table[full] -= table[full] >> 1
         return digit
 
     def fresh(self, lanes: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
-        """Code ids that no context predicted: an adaptive upper digit and plain lower bits."""
-        upper = self.digit(lanes, None if truth is None else truth >> PLAIN_BITS)
-        part = self.coder.range.take(lanes) >> np.uint64(PLAIN_BITS)
-        low = truth & _LOW if self.writing else np.minimum(self.coder.place(lanes, part), _LOW)
-        self.coder.code(lanes, part, low, _EACH)
-        return upper << PLAIN_BITS | low
+        """Code ids that no context predicted, by the order-0 counts of their digits."""
+        found = np.zeros(len(lanes), np.int64)
+        for k, table in enumerate(self.counts):
+            digit = None if truth is None else truth // self.base ** (DIGITS - 1 - k) % self.base
+            found = found * self.base + self.digit(table, lanes, lanes * self.base**k + found, digit)
+        return found
 
     def step(self, n: int, before: np.ndarray, before2: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
         """Code the next id of the first ``n`` lanes."""
@@ -183,6 +195,8 @@ def _walk(lengths: np.ndarray, coder: _Writer | _Reader, ids: int, blocks: np.nd
     before = np.zeros(len(lengths), np.int64)
     before2 = np.zeros(len(lengths), np.int64)
     for t in range(found.shape[1]):
+        if blocks is not None:
+            coder.room()
         n = int(np.searchsorted(-lengths, -t, "left"))
         now = model.step(n, before, before2, None if blocks is None else blocks[:n, t].astype(np.int64))
         if blocks is None:

@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from threadloom.llm import id_coder
 
 MAGIC = b"TLI1"
-BLOCK_IDS = 512
+BLOCK_IDS = 4096
 CHUNK_IDS = 1 << 20
 #: Chunks that are coded at once; their blocks are the coder's lanes.
 CHUNKS_AT_ONCE = 4
@@ -206,7 +206,7 @@ def read(spark: SparkSession, path: str, vocab: str) -> DataFrame:
     order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     before = files.groupBy("file").agg(F.sum("n_ids").alias("n")).select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
     # The offset is joined to the chunks, which are few and packed, and not to the documents.
-    chunks = files.join(before, "file").select("file", (F.col("start") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
+    chunks = files.join(F.broadcast(before), "file").select("file", (F.col("start") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
     return chunks.mapInArrow(run, f"file int, start long, doc_id {kind}, ids array<int>").select("doc_id", "start", "ids")
 
 
