@@ -33,18 +33,21 @@ FROM failed f LEFT JOIN gone g ON f.source IS NOT DISTINCT FROM g.source AND f.t
 
 
 def license_scan_sql() -> str:
-    rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    q = license_scan
+    rows = ", ".join(f"({i}, '{family}', '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (family, name, text) in enumerate(q.TEMPLATES))
     words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     return f"""
-WITH known AS (SELECT *, least({license_scan.SHINGLE}, len(w)) AS k FROM (SELECT template, license, {words} AS w FROM (VALUES {rows}) AS v(template, license, text))),
-  theirs AS (SELECT *, CAST(pow(2, ceil(log2(places))) AS BIGINT) AS half FROM (SELECT template, license, k, len(w) - k + 1 AS places, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS g FROM known)),
+WITH known AS (SELECT *, CASE WHEN len(w) >= {q.SHORT} THEN {q.SHINGLE} ELSE least({q.SHORT_SHINGLE}, len(w)) END AS k FROM (SELECT template, family, license, {words} AS w FROM (VALUES {rows}) AS v(template, family, license, text))),
+  theirs AS (SELECT *, CAST(pow(2, ceil(log2(places))) AS BIGINT) AS half FROM (SELECT template, family, license, k, len(w) - k + 1 AS places, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS g FROM known)),
   sizes AS (SELECT template, count(*) AS n FROM theirs GROUP BY 1),
   docs AS (SELECT doc_id, {words} AS w FROM documents),
   ours AS (SELECT doc_id, k, i - 1 AS p, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM known))),
-  hits AS (SELECT doc_id, template, license, half, p, g FROM ours JOIN theirs USING (k, g)),
+  hits AS (SELECT doc_id, template, family, license, half, p, g FROM ours JOIN theirs USING (k, g)),
   placed AS (SELECT *, unnest([p // half, p // half - 1]) AS win FROM hits),
-  scored AS (SELECT doc_id, license, count(DISTINCT g) / any_value(n) AS containment, win * any_value(half) AS position FROM placed JOIN sizes USING (template) WHERE win >= 0 GROUP BY doc_id, template, license, win)
-SELECT doc_id, license, max(containment) AS containment, CAST(arg_min(position, (-containment, position)) AS BIGINT) AS position FROM scored WHERE containment >= {license_scan.MIN_CONTAINMENT} GROUP BY 1, 2"""
+  scored AS (SELECT doc_id, family, license, half, count(DISTINCT g) / any_value(n) AS c, min(p) AS p FROM placed JOIN sizes USING (template) WHERE win >= 0 GROUP BY doc_id, template, family, license, half, win),
+  best AS (SELECT doc_id, family, license, max(c) AS c, arg_min(p, (-c, p, half)) AS p, arg_min(half, (-c, p, half)) AS half FROM scored WHERE c >= {q.MIN_CONTAINMENT} GROUP BY 1, 2, 3)
+SELECT doc_id, license, c AS containment, CAST(p AS BIGINT) AS position FROM best x
+WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.doc_id IS NOT DISTINCT FROM x.doc_id AND y.family = x.family AND y.c > x.c AND abs(y.p - x.p) < 2 * x.half)"""
 
 
 def embedding_dedup_sql() -> str:
