@@ -174,5 +174,18 @@ def test_pairing(spark):
     rows = [(1, "call"), (2, "call"), (3, "out"), (4, "out"), (5, "other"), (6, "call"), (7, "other")]
     frame = spark.createDataFrame([("g", i, k) for i, k in rows], "g string, i int, k string")
     call, out = F.col("k") == "call", F.col("k") == "out"
-    assert {r["i"]: r["c"] for r in fold.pair_calls(frame, ["g"], ["i"], call, out, "i", "c").where(out).collect()} == {3: 2, 4: None}
-    assert [r["i"] for r in fold.pending_calls(frame, ["g"], ["i"], call, out).collect()] == [6]
+    assert {r["i"]: r["c"] for r in fold.pair_calls(frame, ["g"], ["i"], call, out, F.col("i"), "c").collect()} == {1: None, 2: None, 3: 2, 4: None, 5: None, 6: None, 7: None}
+    assert [r["i"] for r in fold.pending_calls(frame, ["g"], ["i"], call, out, "open").where("open").collect()] == [6]
+
+
+def test_content_at_any_depth(spark):
+    deep = "x"
+    for _ in range(40):
+        deep = {"content": [{"type": "t", "text": ""}, {"summary": deep}]}
+    contents = [[{"content": [{"content": [{"text": "deep"}]}]}], {"content": {"content": {"text": "x"}}}, [deep, "y"], [{"content": [], "summary": [{"text": "s"}]}], {"content": [{"text": 5}]}, [{"text": '"content": ['}, "z"]]
+    rows = [meta("08:00:00", "d"), line("08:00:01", "event_msg", type="task_started", turn_id="u")]
+    rows += [line("08:00:02", "response_item", type="message", role="assistant", content=c) for c in contents]
+    rows += [line("08:00:03", "response_item", type="reasoning", summary=contents[0], content="no"), line("08:00:04", "response_item", type="message", role="assistant", content={"content": {}}, text="own")]
+    frame = spark.createDataFrame([(0, "f", (0, i), x) for i, x in enumerate(rows)], "root_no int, path string, line_no struct<block:long,row:long>, raw string")
+    items = logs.from_lines(logs.placed(frame)).items.orderBy("item_index").collect()
+    assert [r["text"] for r in items] == ["deep", "x", "x\n\ny", "s", None, '"content": [\n\nz', "deep", "own"]

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "[REDACTED]"
+#: White space and word limits of all scripts, and letters of either case in all of them.
+UNICODE = "(?Uu)"
 # The names that hold secrets and the forms that secrets and home folders have.
 KEYS = r"(?:x-api-key|api[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|session[_-]?token|token|secret|password|passwd|cookie)"
 SECRET_NAMES = ("api_key", "apikey", "access_token", "auth_token", "refresh_token", "session_token", "token", "secret", "password", "passwd", "cookie", "authorization", "bearer")
@@ -13,27 +15,22 @@ JWT = r"\b[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}\b"
 BEARER = r"(?i)\b(Bearer\s+)([A-Za-z0-9._~+/\-=]{12,})"
 QUOTED = r"(?i)(\b" + KEYS + r"\b\s*[:=]\s*)([\"'])([^\"'\r\n]{4,})[\"']"
 BARE = r"(?i)(\b" + KEYS + r"\b\s*[:=]\s*)([A-Za-z0-9._~+/\-=]{8,})"
-VENDOR = (
-    r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_-]{16,}|rk-[A-Za-z0-9_-]{16,}"
-    r"|glpat-[A-Za-z0-9_-]{16,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{20,}|AKIA[0-9A-Z]{16})\b"
-)
+VENDOR = r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_-]{16,}|rk-[A-Za-z0-9_-]{16,}|glpat-[A-Za-z0-9_-]{16,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{20,}|AKIA[0-9A-Z]{16})\b"  # noqa: E501
 HOME = r"(^|[\s`\"'(])/(?:Users|home)/[^/\s`\"'()]+((?:/[^\s`\"'()]+)*)"
 
 
 def secrets(text: Column) -> Column:
     """Values that look like secrets replaced; names, prefixes and quotes stay."""
-    text = F.regexp_replace(text, JWT, MARK)
-    text = F.regexp_replace(text, BEARER, "$1" + MARK)
-    text = F.regexp_replace(text, QUOTED, "$1$2" + MARK + "$2")
-    text = F.regexp_replace(text, BARE, "$1" + MARK)
-    return F.regexp_replace(text, VENDOR, MARK)
+    for pattern, put in ((JWT, MARK), (BEARER, "$1" + MARK), (QUOTED, "$1$2" + MARK + "$2"), (BARE, "$1" + MARK), (VENDOR, MARK)):
+        text = F.regexp_replace(text, UNICODE + pattern, put)
+    return text
 
 
 def home_paths(text: Column, home: str | None = None) -> Column:
     """Home folders written as ``~``; ``home`` is a further one."""
     if home and home != "/":
         text = F.replace(text, F.lit(home), F.lit("~"))
-    return F.regexp_replace(text, HOME, "$1~$2")
+    return F.regexp_replace(text, UNICODE + HOME, "$1~$2")
 
 
 def human(text: Column, home: str | None = None) -> Column:
@@ -43,7 +40,8 @@ def human(text: Column, home: str | None = None) -> Column:
 
 def is_secret_name(name: Column) -> Column:
     """Whether a field of this name holds a secret, whatever its value looks like."""
-    return F.replace(F.lower(F.trim(name)), F.lit("-"), F.lit("_")).isin(*SECRET_NAMES)
+    plain = F.btrim(F.trim(name), F.lit("\"'"))
+    return F.replace(F.lower(plain), F.lit("-"), F.lit("_")).isin(*SECRET_NAMES)
 
 
 def json_values(fields: Column) -> Column:

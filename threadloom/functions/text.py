@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,14 +29,18 @@ def _accents() -> tuple[str, str]:
         base, *marks = unicodedata.normalize("NFD", chr(code))
         if marks and base.isascii() and all(map(unicodedata.combining, marks)):
             plain[chr(code)] = base
-    return "".join(plain), "".join(plain.values())
+    marks = "".join(map(chr, range(0x300, 0x370)))  # what has no counterpart is left out
+    return "".join(plain) + marks, "".join(plain.values())
 
 
 _ACCENTED, _PLAIN = _accents()
+#: What separates words: all that is neither alphabetic (vowel signs are) nor a number.
+_BETWEEN = r"[^\p{IsAlphabetic}\p{N}]+"
+_TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
 def fold_accents(text: Column) -> Column:
-    """Latin letters without their accents."""
+    """Latin letters without their accents, be these part of the letter or marks after it."""
     return F.translate(text, _ACCENTED, _PLAIN)
 
 
@@ -46,19 +51,12 @@ def ascii_lower(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null: none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda t: t != "")
 
 
 def query_tokens(query: str) -> list[str]:
     """The tokens of a query, on the driver."""
-    found, token = [], ""
-    for c in query.lower() + " ":
-        if unicodedata.category(c)[0] in "LN":
-            token += c
-        elif token:
-            found.append(token)
-            token = ""
-    return found
+    return _TOKEN.findall(query.lower())
 
 
 def compact_line(text: Column) -> Column:

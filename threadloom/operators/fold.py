@@ -1,12 +1,16 @@
-"""Order-sensitive folds of event streams as windows: current turns, promotion, pairing and last-known values."""
+"""Order-sensitive folds of event streams as windows: current turns, promotion, pairing and last-known values.
+
+Every function adds a column to all its rows. Log files and registered queries are folded by
+the same functions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def _so_far(by: list[str], order: list[str]):
+def _so_far(by: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
@@ -20,33 +24,37 @@ def forward_fill(rows: DataFrame, marker: Column, by: list[str], order: list[str
     return rows.withColumn(name, F.last(marker, ignorenulls=True).over(_so_far(by, order)))
 
 
-def promote(rows: DataFrame, by: list[str], order: list[str], explicit: str, implicit: str, name: str) -> DataFrame:
-    """The turn that each marker row stands for.
+def promote(rows: DataFrame, by: list[str], order: list[str], explicit: str, implicit: str, name: str, fresh: Column | None = None) -> DataFrame:
+    """The turn that each marker row stands for; null for rows that are no markers.
 
-    ``rows`` are markers with an ``explicit`` id or, where that is null, an ``implicit`` one.
-    An implicit marker takes the explicit id of the next marker if the group has not seen that
-    id before; otherwise it keeps its own.
+    Markers have an ``explicit`` id or, where that is null, an ``implicit`` one. An implicit
+    marker takes the explicit id of the next marker if the group has not seen that id before
+    (and ``fresh`` holds there); otherwise it keeps its own.
     """
-    at = Window.partitionBy(*by).orderBy(*order)
     seen = Window.partitionBy(*by, explicit).orderBy(*order)
-    rows = rows.withColumn("__first", F.col(explicit).isNotNull() & (F.row_number().over(seen) == 1))
-    rows = rows.withColumn("__next", F.lead(F.when(F.col("__first"), F.col(explicit))).over(at))
-    return rows.withColumn(name, F.coalesce(explicit, "__next", implicit)).drop("__first", "__next")
+    is_marker = F.col(explicit).isNotNull() | F.col(implicit).isNotNull()
+    first = F.col(explicit).isNotNull() & (F.row_number().over(seen) == 1)
+    rows = rows.withColumn("__mark", F.when(is_marker, F.struct(F.col(explicit).alias("id"), (first if fresh is None else first & fresh).alias("first"))))
+    # The next marker is the last one so far of the reversed order.
+    back = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__next", F.last("__mark", ignorenulls=True).over(back))
+    taken = F.when(F.col("__next.first"), F.col("__next.id"))
+    return rows.withColumn(name, F.coalesce(explicit, F.when(F.col(implicit).isNotNull(), F.coalesce(taken, implicit)))).drop("__mark", "__next")
+
+
+def _calls(by: list[str], order: list[str], marked: Column) -> WindowSpec:
+    """Calls and outputs by their group; any other row is alone, so that rows without a call are no hot group."""
+    return Window.partitionBy(*[F.when(marked, F.col(c)) for c in by], F.when(~marked, F.xxhash64(*order))).orderBy(*order)
 
 
-def pair_calls(rows: DataFrame, by: list[str], order: list[str], call: Column, output: Column, carried: str, name: str) -> DataFrame:
+def pair_calls(rows: DataFrame, by: list[str], order: list[str], call: Column, output: Column, carried: Column, name: str) -> DataFrame:
     """For each output row the ``carried`` value of the call just before it among the calls and outputs of its group.
 
     An output that follows another output has no call; a call that follows a call replaces it.
     """
-    at = Window.partitionBy(*by).orderBy(*order)
-    marked = rows.where(call | output)
-    before = F.lag(F.when(call, F.col(carried))).over(at)
-    return marked.withColumn(name, F.when(output, before))
+    return rows.withColumn(name, F.when(output, F.lag(F.when(call, carried)).over(_calls(by, order, call | output))))
 
 
-def pending_calls(rows: DataFrame, by: list[str], order: list[str], call: Column, output: Column) -> DataFrame:
-    """The call that is still open at the end of each group: the last row, if that is a call."""
-    at = Window.partitionBy(*by).orderBy(*order)
-    marked = rows.where(call | output).withColumn("__last", F.lead(F.lit(1)).over(at).isNull())
-    return marked.where(F.col("__last") & call).drop("__last")
+def pending_calls(rows: DataFrame, by: list[str], order: list[str], call: Column, output: Column, name: str) -> DataFrame:
+    """Whether a row is the call that is still open at the end of its group: the last call or output, if that is a call."""
+    return rows.withColumn(name, call & F.lead(F.lit(1)).over(_calls(by, order, call | output)).isNull())

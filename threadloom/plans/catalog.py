@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import redact, text
@@ -12,7 +12,8 @@ from threadloom.operators import fold, freshness, merge, ranking
 from threadloom.operators import grep as greps
 from threadloom.operators.scope import in_scope
 from threadloom.plans import export
-from threadloom.sources.tables import conversation_items, load, search_documents
+from threadloom.sources import logs
+from threadloom.sources.tables import LOG_SPLIT, conversation_items, conversation_logs, load, search_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,7 +128,7 @@ def implicit_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRED = """WITH m AS (SELECT * FROM events WHERE event_type IN ('click', 'purchase'))"""
 
 
-def _call(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, list, F.Column, F.Column]:
+def _call(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, list, Column, Column]:
     kind = F.col("event_type")
     return load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], kind == "click", kind == "purchase"
 
@@ -136,14 +137,14 @@ def _call(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, list, F.Co
   SELECT event_id AS output_id, user_id, call AS call_id, value AS output_value FROM p WHERE event_type = 'purchase'""")
 def call_output_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, by, order, call, output = _call(spark, sf_dir)
-    paired = fold.pair_calls(rows, by, order, call, output, "event_id", "call_id").where(output)
+    paired = fold.pair_calls(rows, by, order, call, output, F.col("event_id"), "call_id").where(output)
     return paired.select(F.col("event_id").alias("output_id"), "user_id", "call_id", F.col("value").alias("output_value"))
 
 
 @query("pending_unmatched", f"""{PAIRED}, p AS (SELECT *, lead(1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM m)
   SELECT event_id, user_id FROM p WHERE event_type = 'click' AND nxt IS NULL""")
 def pending_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.pending_calls(*_call(spark, sf_dir)).select("event_id", "user_id")
+    return fold.pending_calls(*_call(spark, sf_dir), "open").where("open").select("event_id", "user_id")
 
 
 @query("event_json_project", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
@@ -232,7 +233,8 @@ def grep_scope_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT k.thread_id, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(occ) AS BIGINT) AS occurrences, string_agg(kind, ',' ORDER BY pos) AS kinds,
   any_value(f.text) AS first_text FROM k JOIN (SELECT thread_id, arg_min(text, item_index) AS text FROM h GROUP BY 1) f USING (thread_id) GROUP BY 1""")
 def grep_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greps.grouped(greps.grep(conversation_items(spark, sf_dir), PHRASE), ["item_index"])
+    found = greps.grouped(greps.grep(conversation_items(spark, sf_dir), PHRASE), ["item_index"])
+    return found.select("thread_id", "hits", "occurrences", F.array_join("kinds", ",").alias("kinds"), "first_text")
 
 
 @query("occurrences_tokens", f"SELECT doc_id, CAST(len(list_filter({TOKENS.format('text')}, lambda t: t IN ('with', 'this'))) AS BIGINT) AS occurrences FROM documents")
@@ -271,11 +273,18 @@ def compact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.compact_text(F.col("text")).alias("compact"))
 
 
-@query("markdown_cells", f"""WITH {ITEMS}, h AS ({LITERAL}), n AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY item_index) AS ordinal, {LINE} AS l FROM h)
-  SELECT thread_id || ':' || item_index || ':' || kind || ':' || ordinal AS hit_id, '| ' || thread_id || ':' || item_index || ':' || kind || ':' || ordinal || ' | ' || thread_id || ' | '
-  || CASE kind WHEN 'user_message' THEN 'user' ELSE 'assistant' END || ' | ' || occurrences || ' | ' || replace(CASE WHEN length(l) > 160 THEN rtrim(substr(l, 1, 160)) || '...' ELSE l END, '|', '\\|') || ' |' AS line FROM n""")
+@query("grep_hit_ids", f"""WITH {ITEMS}, h AS ({LITERAL}) SELECT thread_id || ':t' || item_index || ':' || kind || ':' || row_number() OVER (PARTITION BY thread_id ORDER BY item_index) AS hit_id, occurrences FROM h""")
+def grep_hit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = conversation_items(spark, sf_dir).withColumn("turn_id", F.concat(F.lit("t"), "item_index"))
+    return greps.hit_rows(greps.grep(items, PHRASE), ["item_index"]).select("hit_id", "occurrences")
+
+
+@query("markdown_cells", f"""WITH {ITEMS}, h AS ({LITERAL}), t AS (SELECT thread_id, arg_min(text, item_index) FILTER (role = 'user' AND trim(text) <> '') AS preview FROM items GROUP BY 1),
+  c AS (SELECT *, unnest([CASE kind WHEN 'user_message' THEN 'user' ELSE 'assistant' END]) AS label FROM h JOIN t USING (thread_id))
+  SELECT thread_id, item_index, '| ' || label || ' | ' || thread_id || ' | ' || replace({LINE.replace("text", "coalesce(preview, '(unnamed)')")}, '|', '\\|') || ' | - | ' || replace({LINE}, '|', '\\|') || ' |' AS line FROM c""")
 def markdown_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greps.hit_rows(greps.grep(conversation_items(spark, sf_dir), PHRASE), ["item_index"]).select("hit_id", "line")
+    threads = thread_preview(spark, sf_dir).withColumns({"name": F.lit(" "), "cwd": F.lit(None).cast("string")})
+    return greps.table_rows(greps.grep(conversation_items(spark, sf_dir), PHRASE), threads).select("thread_id", "item_index", "line")
 
 
 # Index and ranked search
@@ -448,18 +457,92 @@ def notable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "user_id", F.concat(F.col("event_type"), F.lit(" exited with code "), F.col("code").cast("string")).alias("error"))
 
 
-COMPACT = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' / ')"
+# Session logs: lines made of conversations go the way of log files, from parsing to exports
 
 
-@query("export_markdown", f"""WITH {ITEMS} SELECT thread_id, '# Thread Export' || chr(10) || chr(10) || '## Metadata' || chr(10) || '- Thread ID: ' || thread_id || chr(10) || '- Items: ' || count(*) || chr(10) || chr(10) || '## Turns' || chr(10)
-  || string_agg(CASE kind WHEN 'user_message' THEN '- User Message: ' ELSE '- Agent Message: ' END || {COMPACT}, chr(10) ORDER BY item_index) AS markdown FROM items GROUP BY 1""")
-def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.message_markdown(conversation_items(spark, sf_dir))
+COMPACT = "array_to_string(list_filter(list_transform(string_split({}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' / ')"
+#: What the made lines say, turn by turn; ``tables.conversation_logs`` has the rules. A conversation's
+#: second file begins at the first question from its fifth row on. ``kind``: a made item; ``turn_id``: its turn.
+SAID = f"""rows AS (SELECT conv_id AS c, turn AS t, role, text, 'conv_' || conv_id AS thread_id, conv_id % 4 = 1 AS bare, TIMESTAMP '2026-01-01' + to_minutes(conv_id * 10) AS base,
+    coalesce(turn >= min(turn) FILTER (role = 'user' AND turn >= {LOG_SPLIT}) OVER (PARTITION BY conv_id), false) AS late FROM conversations),
+  asked AS (SELECT *, CASE WHEN role = 'user' THEN t END AS q, lead(t) OVER w AS next_t, lead(role) OVER w AS next_role, lead(late) OVER w AS next_late FROM rows WHERE role <> 'system' WINDOW w AS (PARTITION BY c ORDER BY t)),
+  named AS (SELECT *, CASE WHEN role = 'user' THEN CASE WHEN NOT bare THEN 't' || t WHEN next_role = 'assistant' AND next_late = late THEN 'a' || next_t
+      ELSE 'implicit:' || left(md5('made/' || c || '-' || CAST(late AS INT) || '.jsonl'), 16) || ':' || count(*) FILTER (role = 'user') OVER (PARTITION BY c, late ORDER BY t) END END AS own FROM asked),
+  said AS (SELECT *, last_value(own IGNORE NULLS) OVER w AS turn_id, last_value(q IGNORE NULLS) OVER w AS asked_at FROM named WINDOW w AS (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  turns AS (SELECT thread_id, turn_id, asked_at, CASE WHEN count(*) FILTER (role = 'assistant') > 0 THEN 'completed' ELSE 'in_progress' END AS status, min(base + to_seconds(asked_at * 10 + 1)) AS started_at,
+    max(base + to_seconds(t * 10 + 5)) FILTER (role = 'assistant') AS completed_at FROM said GROUP BY 1, 2, 3),
+  parts AS (SELECT s.*, k.* FROM said s, (VALUES ('user', 2, 'user_message'), ('assistant', 2, 'command_execution'), ('assistant', 3, 'reasoning_summary'), ('assistant', 4, 'agent_message')) AS k(who, line, kind) WHERE role = who),
+  made AS (SELECT *, CASE kind WHEN 'command_execution' THEN NULL WHEN 'reasoning_summary' THEN 'Thought ' || t ELSE text END AS said_text, CASE WHEN kind = 'command_execution' THEN 'run ' || t END AS command,
+    CASE WHEN kind = 'command_execution' THEN left(text, 40) END AS output, row_number() OVER (PARTITION BY c, turn_id ORDER BY t, line) - 1 AS item_index FROM parts)"""
+THREADS = """threads AS (SELECT thread_id, CASE WHEN c % 3 = 0 THEN 'Conversation ' || c END AS name, arg_min(text, t) FILTER (role = 'user') AS preview, min(base) AS created_at,
+    coalesce(max(base + to_seconds(t * 10 + CASE role WHEN 'user' THEN 2 ELSE 5 END)) FILTER (role <> 'system'), min(base)) AS updated_at, '/work/' || (c % 7) AS cwd, 'cli' AS source_kind,
+    CASE WHEN coalesce(arg_max(role, t) FILTER (late = last_late AND (NOT bare OR role = 'assistant') AND role <> 'system') = 'assistant', false) THEN 'completed' ELSE 'running' END AS status,
+    count(*) FILTER (role = 'user') + 3 * count(*) FILTER (role = 'assistant') AS items_count, count(*) FILTER (role = 'assistant') AS commands_count
+    FROM (SELECT *, bool_or(late) OVER (PARTITION BY c) AS last_late FROM rows) GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY thread_id, c")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> logs.History:
+    return logs.from_lines(conversation_logs(spark, sf_dir))
+
+
+@query("logs_threads", f"""WITH {SAID}, {THREADS} SELECT thread_id, name, preview, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us, cwd, source_kind, status, items_count, commands_count FROM threads""")
+def logs_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = [F.unix_micros(f"{c}_at").alias(f"{c}_us") for c in ("created", "updated")]
+    return _history(spark, sf_dir).threads.select("thread_id", "name", "preview", *times, "cwd", "source_kind", "status", "items_count", "commands_count")
+
 
+@query("logs_turns", f"""WITH {SAID} SELECT thread_id, turn_id, status, epoch_us(started_at) AS started_us, epoch_us(completed_at) AS completed_us, row_number() OVER (PARTITION BY thread_id ORDER BY asked_at) - 1 AS turn_pos FROM turns""")
+def logs_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = [F.unix_micros(f"{c}_at").alias(f"{c}_us") for c in ("started", "completed")]
+    return _history(spark, sf_dir).turns.select("thread_id", "turn_id", "status", *times, "turn_pos")
 
-@query("export_prompt_pack", f"""WITH {ITEMS}, c AS (SELECT *, {COMPACT} AS v FROM items), first AS (SELECT thread_id, v, min(item_index) AS pos FROM c WHERE kind = 'agent_message' AND v <> '' GROUP BY ALL),
+
+@query("logs_items", f"""WITH {SAID} SELECT thread_id, turn_id, item_index, kind, said_text AS text, command, output, CASE WHEN command IS NOT NULL THEN '"k' || t || '"' END AS call_id FROM made""")
+def logs_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).items.select("thread_id", "turn_id", "item_index", "kind", "text", "command", "output", F.col("attributes")["call_id"].alias("call_id"))
+
+
+@query("logs_files", f"""WITH {SAID}, f AS (SELECT c, late, count(*) FILTER (role = 'system') AS bad FROM rows GROUP BY ALL)
+  SELECT 'made/' || c || '-' || CAST(late AS INT) || '.jsonl' AS path, 'conv_' || c AS thread_id, bad + CASE WHEN c % 5 = 0 THEN 2 ELSE 0 END AS malformed_lines FROM f""")
+def logs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).files.select("path", "thread_id", "malformed_lines")
+
+
+TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
+
+
+@query("export_markdown", f"""WITH {SAID}, {THREADS}, lines AS (
+    SELECT thread_id, asked_at AS a, 0 AS b, 0 AS d, '### ' || turn_id || chr(10) || '- Status: ' || status || chr(10) || '- Started At: ' || {TIME.format('started_at')} || coalesce(chr(10) || '- Completed At: ' || {TIME.format('completed_at')}, '') AS line FROM turns
+    UNION ALL SELECT thread_id, asked_at, 1, item_index, CASE kind WHEN 'user_message' THEN '- User Message: ' || {COMPACT.format('said_text')} WHEN 'agent_message' THEN '- Agent Message: ' || {COMPACT.format('said_text')}
+      WHEN 'reasoning_summary' THEN '- Reasoning Summary: ' || said_text ELSE '- Command: `' || command || '`' || chr(10) || '- Command Output: ' || {COMPACT.format('output')} END FROM made
+    UNION ALL SELECT thread_id, asked_at, 2, 0, '' FROM turns),
+  body AS (SELECT thread_id, string_agg(line, chr(10) ORDER BY a, b, d) AS body, count(*) FILTER (b = 0) AS n FROM lines GROUP BY 1),
+  runs AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY t) AS k FROM made WHERE kind = 'command_execution'),
+  commands AS (SELECT thread_id, string_agg('### Command ' || k || chr(10) || '- Command: `' || command || '`' || chr(10) || '- Output: ' || {COMPACT.format('output')} || chr(10), chr(10) ORDER BY k) AS commands FROM runs GROUP BY 1),
+  first AS (SELECT thread_id, v, min((t, line)) AS pos FROM (SELECT *, {COMPACT.format('said_text')} AS v FROM made WHERE kind IN ('agent_message', 'reasoning_summary')) WHERE v <> '' GROUP BY ALL),
   notes AS (SELECT thread_id, string_agg('- ' || v, chr(10) ORDER BY pos) AS notes FROM first GROUP BY 1)
-  SELECT thread_id, 'OBJECTIVE' || chr(10) || coalesce(arg_min(v, item_index) FILTER (kind = 'user_message' AND v <> ''), '(none)') || chr(10) || chr(10) || 'KEY CONTEXT' || chr(10) || '- thread_id: ' || thread_id || chr(10)
-  || '- items: ' || count(*) || chr(10) || chr(10) || 'USEFUL FOLLOW-UPS' || chr(10) || coalesce(any_value(notes), '- (none)') AS pack FROM c LEFT JOIN notes USING (thread_id) GROUP BY 1""")
+  SELECT thread_id, '# Thread Export' || chr(10) || chr(10) || '## Metadata' || chr(10) || '- Thread ID: ' || thread_id || chr(10) || '- Name: ' || coalesce(name, '(unnamed)') || chr(10) || '- Preview: ' || coalesce({COMPACT.format('preview')}, '(none)')
+    || chr(10) || '- Created At: ' || {TIME.format('created_at')} || chr(10) || '- Updated At: ' || {TIME.format('updated_at')} || chr(10) || '- Status: ' || status || chr(10) || '- Cwd: `' || cwd || '`' || chr(10) || '- Source Kind: cli'
+    || chr(10) || '- Turns: ' || coalesce(n, 0) || chr(10) || '- Items: ' || items_count || chr(10) || '- Commands: ' || commands_count || chr(10) || '- Files Changed: 0' || chr(10) || chr(10) || '## Turns' || chr(10) || coalesce(body, '- (none)' || chr(10)) || chr(10)
+    || '## Commands' || chr(10) || coalesce(commands, '- (none)' || chr(10)) || chr(10) || '## File Changes' || chr(10) || '- (none)' || chr(10) || chr(10) || '## Extracted Notes' || chr(10) || coalesce(notes, '- (none)') AS markdown
+  FROM threads LEFT JOIN body USING (thread_id) LEFT JOIN commands USING (thread_id) LEFT JOIN notes USING (thread_id)""")
+def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _history(spark, sf_dir)
+    return export.markdown(found.threads, found.turns, found.items)
+
+
+@query("export_prompt_pack", f"""WITH {SAID}, {THREADS}, shown AS (SELECT thread_id, 1 AS list, command AS v, t, line FROM made WHERE kind = 'command_execution'
+    UNION ALL SELECT thread_id, 2, {COMPACT.format('output')}, t, line FROM made WHERE kind = 'command_execution' AND regexp_matches(output, '(?i)error|failed|panic|traceback|fatal')
+    UNION ALL SELECT thread_id, 3, {COMPACT.format('said_text')}, t, line FROM made WHERE kind IN ('agent_message', 'reasoning_summary')
+    UNION ALL SELECT thread_id, 3, 'Turn ' || turn_id || ' is still ' || status, 1000000 + asked_at, 0 FROM turns WHERE status <> 'completed'),
+  once AS (SELECT thread_id, list, v, min((t, line)) AS pos FROM shown WHERE v <> '' GROUP BY ALL),
+  lists AS (SELECT thread_id, string_agg('- ' || v, chr(10) ORDER BY pos) FILTER (list = 1) AS l1, string_agg('- ' || v, chr(10) ORDER BY pos) FILTER (list = 2) AS l2, string_agg('- ' || v, chr(10) ORDER BY pos) FILTER (list = 3) AS l3 FROM once GROUP BY 1),
+  n AS (SELECT thread_id, count(*) AS n FROM turns GROUP BY 1)
+  SELECT thread_id, 'OBJECTIVE' || chr(10) || coalesce({COMPACT.format('coalesce(preview, name)')}, '(none)') || chr(10) || chr(10) || 'KEY CONTEXT' || coalesce(chr(10) || '- name: ' || name, '') || chr(10) || '- thread_id: ' || thread_id || chr(10)
+    || '- created_at: ' || {TIME.format('created_at')} || chr(10) || '- updated_at: ' || {TIME.format('updated_at')} || chr(10) || '- status: ' || status || chr(10) || '- cwd: ' || cwd || chr(10) || '- source_kind: cli' || chr(10) || '- turns: ' || coalesce(n, 0) || chr(10)
+    || '- items: ' || items_count || chr(10) || '- commands: ' || commands_count || chr(10) || '- files_changed: 0' || chr(10) || chr(10) || 'COMMANDS SEEN' || chr(10) || coalesce(l1, '- (none)') || chr(10) || chr(10) || 'FILES TOUCHED' || chr(10) || '- (none)' || chr(10) || chr(10)
+    || 'NOTABLE ERRORS' || chr(10) || coalesce(l2, '- (none)') || chr(10) || chr(10) || 'USEFUL FOLLOW-UPS' || chr(10) || coalesce(l3, '- (none)') || chr(10) AS pack
+  FROM threads LEFT JOIN lists USING (thread_id) LEFT JOIN n USING (thread_id)""")
 def export_prompt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.message_prompt_pack(conversation_items(spark, sf_dir))
+    found = _history(spark, sf_dir)
+    return export.prompt_pack(found.threads, found.turns, found.items)

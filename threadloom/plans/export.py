@@ -32,33 +32,6 @@ def distinct_lines(rows: DataFrame, value: Column, order: list[str]) -> DataFram
     return found.groupBy("thread_id", "line").agg(F.min("at").alias("at"))
 
 
-def _message_line(kind: Column, text: Column) -> Column:
-    label = F.when(kind == "user_message", "- User Message: ").otherwise("- Agent Message: ")
-    return F.concat(label, compact_text(text))
-
-
-def message_markdown(items: DataFrame) -> DataFrame:
-    """Markdown of threads that are messages only: ``thread_id, markdown``."""
-    listed = F.array_sort(F.collect_list(F.struct("item_index", _message_line(F.col("kind"), F.col("text")).alias("line"))))
-    body = items.groupBy("thread_id").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("turns"))
-    head = [F.lit("# Thread Export\n\n## Metadata\n- Thread ID: "), F.col("thread_id"), F.lit("\n- Items: "), F.col("n").cast("string"), F.lit("\n\n## Turns\n"), F.col("turns")]
-    return body.select("thread_id", F.concat(*head).alias("markdown"))
-
-
-def message_prompt_pack(items: DataFrame) -> DataFrame:
-    """The hand-off of threads that are messages only: ``thread_id, pack``."""
-    text = compact_text(F.col("text"))
-    asked = F.when((F.col("kind") == "user_message") & (text != ""), F.col("item_index"))
-    heads = items.groupBy("thread_id").agg(F.count("*").alias("n"), F.min_by(text, asked).alias("objective"))
-    notes = distinct_lines(items.where("kind = 'agent_message'"), F.col("text"), ["item_index"]).withColumn("line", F.concat(F.lit("- "), "line"))
-    rows = heads.join(joined(notes, ["at"], "notes"), "thread_id", "left")
-    parts = [F.lit("OBJECTIVE\n"), F.coalesce("objective", F.lit("(none)")), F.lit("\n\nKEY CONTEXT\n- thread_id: "), F.col("thread_id"), F.lit("\n- items: "), F.col("n").cast("string"), F.lit("\n\nUSEFUL FOLLOW-UPS\n"), F.coalesce("notes", F.lit("- (none)"))]
-    return rows.select("thread_id", F.concat(*parts).alias("pack"))
-
-
-# Whole threads
-
-
 def _time(ts: Column) -> Column:
     return rfc3339(ts, "+00:00")
 

@@ -2,8 +2,8 @@
 
 A log file is one shard of a thread. Its events are folded in the order of its lines by
 windows over the file; shards are then merged by thread. Lines are read with Spark's
-splittable text source and numbered by the place of their block and row, so a large file is
-read by many tasks; only the fold of one file needs its rows together, as narrow events.
+splittable text source and placed by their block and row, so a large file is read and parsed
+by many tasks without a shuffle; only the fold of one file brings its events together.
 
 Nothing fails on bad input: lines that are no JSON objects, have wrong types or no turn to
 belong to are counted as malformed.
@@ -11,21 +11,24 @@ belong to are counted as malformed.
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators import merge
+from threadloom.operators import fold, merge
 from threadloom.storage import staged
 
 ROOT_VARIABLE = "THREADLOOM_HISTORY"
 EXEC_TOOLS = ("exec_command", "shell")
 TYPED_KINDS = ("user_message", "agent_message", "command_execution", "file_change", "reasoning_summary", "web_search", "mcp_tool_call")
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
-#: How deep text inside text is looked for in message content.
-CONTENT_DEPTH = 4
+FILE, LINE = ["root_no", "path"], ["line_no"]
+CALL, CALL_ORDER = ["thread_id", "call_id"], ["file_seq", "line_no"]
 
 
 @dataclass
@@ -46,19 +49,51 @@ def roots(home: str | None = None) -> list[tuple[str, bool]]:
     return [(p, os.path.exists(p)) for p in dict.fromkeys(paths)]
 
 
+def log_files(path: str) -> tuple[list[str], list[str]]:
+    """What to read for a root, and warnings: of a local one its ``.jsonl`` files, without symbolic links; any other one is itself.
+
+    Warnings name folders and files that cannot be read.
+    """
+    if "://" in path:
+        return [path], []
+    if os.path.islink(path):
+        return [], []
+    if os.path.isfile(path):
+        return ([path] if path.endswith(".jsonl") else []), []
+    found, warnings = [], []
+    for folder, _, names in os.walk(path, onerror=lambda e: warnings.append(f"cannot read directory {e.filename}: {e.strerror}")):
+        for name in sorted(names):
+            file = os.path.join(folder, name)
+            if name.endswith(".jsonl") and not os.path.islink(file):
+                if os.access(file, os.R_OK):
+                    found.append(file)
+                else:
+                    warnings.append(f"cannot read {file}")
+    return sorted(found), warnings
+
+
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``root_no, path, file_seq, line_no, raw`` of the lines of all ``.jsonl`` files below the paths, blank ones left out."""
+    """``root_no, path, file_seq, line_no, raw`` of the lines of all ``.jsonl`` files below the paths, blank ones left out.
+
+    ``line_no`` is a line's place: its block's first byte and its row, which have the order of the lines.
+    """
     read = None
     for n, path in enumerate(paths):
-        one = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
-        one = one.select(F.lit(n).alias("root_no"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("raw"))
-        read = one if read is None else read.unionByName(one)
+        files, _ = log_files(path)
+        if files:
+            one = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(files)
+            at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+            one = one.select(F.lit(n).alias("root_no"), F.col("_metadata.file_path").alias("path"), at.alias("line_no"), F.col("value").alias("raw"))
+            read = one if read is None else read.unionByName(one)
     if read is None:
-        read = spark.createDataFrame([], "root_no int, path string, block long, row long, raw string")
-    at = Window.partitionBy("root_no", "path").orderBy("block", "row")
-    numbered = read.withColumn("line_no", F.row_number().over(at).cast("long")).where(F.trim("raw") != "")
+        read = spark.createDataFrame([], "root_no int, path string, line_no struct<block:long,row:long>, raw string")
+    return placed(read)
+
+
+def placed(read: DataFrame) -> DataFrame:
+    """Lines (``root_no, path, line_no, raw``) with the order of their file, blank ones left out."""
     seq = F.struct("root_no", F.split("path", "/").alias("parts"))
-    return numbered.select("root_no", "path", seq.alias("file_seq"), "line_no", "raw")
+    return read.where(F.trim("raw") != "").select("root_no", "path", seq.alias("file_seq"), "line_no", "raw")
 
 
 # Values of a JSON line
@@ -96,16 +131,19 @@ def _fields(v: Column, *without: str) -> Column:
     return F.transform_values(cells, lambda k, x: F.coalesce(F.to_json(x), F.lit("null")))
 
 
-def _content(v: Column, depth: int = CONTENT_DEPTH) -> Column:
-    """The text in message content: a text, an object's text, content or summary, or the parts of an array."""
+def _content(v: Column, inner: bool = True) -> Column:
+    """The text in message content: a text, an object's text, content or summary, or the parts of an array.
+
+    Content within content is looked into where it is a text; see ``deepened`` for all else.
+    """
     whole = F.try_variant_get(v, "$", "string")
     plain = F.when((_kind(v) == "STRING") & (whole != ""), whole)
-    if not depth:
+    if not inner:
         return plain
 
     def part(x: Column) -> Column:
         own = _text(x, "text")
-        inside = F.coalesce(F.when(own != "", own), _content(_at(x, "content"), depth - 2), _content(_at(x, "summary"), depth - 2))
+        inside = F.coalesce(F.when(own != "", own), _content(_at(x, "content"), False), _content(_at(x, "summary"), False))
         alone = F.try_variant_get(x, "$", "string")
         return F.when((_kind(x) == "STRING") & (alone != ""), alone).when(_kind(x) == "OBJECT", inside)
 
@@ -113,6 +151,42 @@ def _content(v: Column, depth: int = CONTENT_DEPTH) -> Column:
     return F.coalesce(plain, F.when(_kind(v) == "ARRAY", F.when(F.size(parts) > 0, F.array_join(parts, "\n\n"))), F.when(_kind(v) == "OBJECT", part(v)))
 
 
+def _nested(v: Column) -> Column:
+    """The JSON of content that holds content or a summary of its own; null for any other, which ``_content`` reads."""
+    own = F.to_json(v)
+    return F.when(F.rlike(own, F.lit(r'"(?:content|summary)"\s*:\s*[\[{]')), own)
+
+
+def _content_text(found: object) -> str | None:
+    """``_content`` at any depth."""
+    if isinstance(found, str):
+        return found or None
+    if isinstance(found, list):
+        parts = [text for x in found if isinstance(x, str | dict) and (text := _content_text(x))]
+        return "\n\n".join(parts) if parts else None
+    if isinstance(found, dict):
+        own = found.get("text")
+        return own if isinstance(own, str) and own else _content_text(found.get("content")) or _content_text(found.get("summary"))
+    return None
+
+
+def _deep_texts(content: pd.Series) -> pd.Series:
+    sys.setrecursionlimit(max(10_000, sys.getrecursionlimit()))
+    return content.map(lambda x: None if x is None else _content_text(json.loads(x)))
+
+
+def deepened(rows: DataFrame) -> DataFrame:
+    """``events`` with the texts of content that nests further: only these rows go through Arrow batches."""
+    return rows.where("deep is null").drop("deep").unionByName(_deepened(rows.where("deep is not null")))
+
+
+def _deepened(rows: DataFrame) -> DataFrame:
+    d, read = F.col("deep"), F.pandas_udf(_deep_texts, "string")
+    content, shown = (F.coalesce(read(d[c]), d[f"plain_{c}"]) for c in ("content", "shown"))
+    text = F.when(d["thought"], F.coalesce(shown, content, d["text"])).otherwise(F.coalesce(content, d["text"]))
+    return rows.withColumn("item", F.col("item").withField("text", text)).drop("deep")
+
+
 def _words(v: Column) -> Column:
     """An array of texts joined by spaces; null for anything else."""
     parts = F.try_variant_get(v, "$", "array<variant>")
@@ -167,7 +241,10 @@ def events(raw: DataFrame) -> DataFrame:
         _text(v, "source_kind").alias("source_kind"), _text(v, "model_provider").alias("model_provider"), F.try_variant_get(v, "$.ephemeral", "boolean").alias("ephemeral"), _text(v, "status").alias("status"),
     ))
     rows = rows.withColumn("summary", summary).withColumn("content", F.when(act == "response", _content(_at(p, "content")))).withColumn("shown", F.when(act == "response", _content(_at(p, "summary"))))
-    return rows.select("root_no", "path", "file_seq", "line_no", "act", "ts", "turn_ref", "summary", _item(v, p, act, pt, t).alias("item"), _text(p, "call_id").alias("call_id"), F.when(act == "turn", F.struct(_text(v, "status").alias("status"), _time(_text(v, "started_at")).alias("started_at"), _time(_text(v, "completed_at")).alias("completed_at"))).alias("legacy_turn"))
+    nested = {c: _nested(_at(p, key)) for c, key in (("content", "content"), ("shown", "summary"))}
+    deep = F.struct(*[x.alias(c) for c, x in nested.items()], F.col("content").alias("plain_content"), F.col("shown").alias("plain_shown"), _text(p, "text").alias("text"), (pt == "reasoning").alias("thought"))
+    deep = F.when((act == "response") & pt.isin("message", "reasoning") & F.coalesce(*nested.values()).isNotNull(), deep)
+    return rows.select("root_no", "path", "file_seq", "line_no", "act", "ts", "turn_ref", "summary", _item(v, p, act, pt, t).alias("item"), deep.alias("deep"), _text(p, "call_id").alias("call_id"), F.when(act == "turn", F.struct(_text(v, "status").alias("status"), _time(_text(v, "started_at")).alias("started_at"), _time(_text(v, "completed_at")).alias("completed_at"))).alias("legacy_turn"))
 
 
 _ITEM = ["text", "command", "exit_code", "cwd", "output", "path", "change_type", "summary", "query", "title", "url", "server", "tool", "arguments", "attributes"]
@@ -228,32 +305,27 @@ def _item(v: Column, p: Column, act: Column, pt: Column, t: Column) -> Column:
 def folded(rows: DataFrame) -> DataFrame:
     """``events`` with the thread of their file, their turn, whether they count (``ok``), and calls paired with outputs."""
     act, line = F.col("act"), F.col("line_no")
-    file = Window.partitionBy("root_no", "path")
-    so_far = file.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    file = Window.partitionBy(*FILE)
+    so_far = file.orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     meta_line = F.when(F.col("summary").isNotNull(), line)
     rows = rows.withColumn("thread_id", F.max_by(F.col("summary.thread_id"), meta_line).over(file)).withColumn("meta_line", F.max(meta_line).over(file)).withColumn("has_thread", F.max(meta_line).over(so_far).isNotNull())
 
     # An output belongs to the call just before it among the calls and outputs of its id.
-    calls = Window.partitionBy("thread_id", "call_id", F.when(act.isin("exec", "output"), 0).otherwise(1)).orderBy("file_seq", "line_no")
-    rows = rows.withColumn("answers", F.coalesce((act == "output") & (F.lag("act").over(calls) == "exec"), F.lit(False)))
+    calls = CALL, CALL_ORDER, act == "exec", act == "output"
+    rows = fold.pair_calls(rows, *calls, F.lit(True), "answers").withColumn("answers", F.coalesce("answers", F.lit(False)))
 
     claims = act.isin("context", "started", "complete", "event", "exec", "tool", "bad_call", "response") | ((act == "output") & ~F.col("answers"))
     claim = F.when((claims | (act == "turn")) & F.col("turn_ref").isNotNull(), F.col("turn_ref"))
     rows = rows.withColumn("claim", claim)
-    nth = F.row_number().over(Window.partitionBy("root_no", "path", "claim").orderBy("line_no"))
-    rows = rows.withColumn("nth", F.when(F.col("claim").isNotNull(), nth))
-    again = (act == "turn") & (F.col("nth") > 1)
-    rows = rows.withColumn("act", F.when(again, "bad").otherwise(act)).withColumn("claim", F.when(~again, F.col("claim")))
+    nth = F.row_number().over(Window.partitionBy(*FILE, "claim").orderBy(*LINE))
+    again = F.coalesce((act == "turn") & F.col("claim").isNotNull() & (nth > 1), F.lit(False))
+    rows = rows.withColumn("again", again)
+    rows = rows.withColumn("act", F.when(F.col("again"), "bad").otherwise(act)).withColumn("claim", F.when(~F.col("again"), F.col("claim")))
     begins = act.isin("context", "started") & F.col("claim").isNull()
-    number = F.sum(F.when(begins, 1).otherwise(0)).over(so_far)
-    implicit = F.when(begins, F.concat_ws(":", F.lit("implicit"), F.hex(F.xxhash64("path")), number.cast("string")))
-    rows = rows.withColumn("implicit", implicit)
-    mark = F.when(F.col("claim").isNotNull() | F.col("implicit").isNotNull(), F.struct("claim", ((F.col("nth") == 1) & (act != "turn")).alias("fresh")))
-    back = file.orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("later", F.last(mark, ignorenulls=True).over(back))
-    promoted = F.when(F.col("later.fresh"), F.col("later.claim"))
-    rows = rows.withColumn("mark", F.coalesce("claim", F.when(F.col("implicit").isNotNull(), F.coalesce(promoted, "implicit"))))
-    rows = rows.withColumn("current", F.last("mark", ignorenulls=True).over(so_far))
+    rows = fold.running_turn(rows, begins, FILE, LINE, "number")
+    rows = rows.withColumn("implicit", F.when(begins, F.concat_ws(":", F.lit("implicit"), F.left(F.md5(F.col("path").cast("binary")), F.lit(16)), F.col("number").cast("string"))))
+    rows = fold.promote(rows, FILE, LINE, "claim", "implicit", "mark", act != "turn")
+    rows = fold.forward_fill(rows, F.col("mark"), FILE, LINE, "current")
 
     # Legacy items and unknown events name a turn that must be there already.
     named = act.isin("item", "unknown") & F.col("turn_ref").isNotNull()
@@ -267,10 +339,9 @@ def folded(rows: DataFrame) -> DataFrame:
         .when(act.isin("event", "response", "item", "unknown"), placed & F.col("item").isNotNull()).otherwise(False)
     )
     rows = rows.withColumn("ok", ok)
-    call = F.when(F.lag("act").over(calls) == "exec", F.struct(F.lag("turn_id").over(calls).alias("turn_id"), F.lag("item").over(calls).alias("item")))
-    rows = rows.withColumn("call", F.when(F.col("answers"), call))
-    open_call = (act == "exec") & F.col("ok") & F.lead("act").over(calls).isNull()
-    return rows.withColumn("open_call", F.coalesce(open_call, F.lit(False)))
+    rows = fold.pair_calls(rows, *calls, F.struct("turn_id", "item"), "call")
+    rows = fold.pending_calls(rows, *calls, "open_call")
+    return rows.withColumn("open_call", F.coalesce(F.col("open_call") & F.col("ok"), F.lit(False)))
 
 
 def _files(rows: DataFrame) -> DataFrame:
@@ -328,8 +399,12 @@ def _all_items(rows: DataFrame) -> DataFrame:
 
 def history(spark: SparkSession, paths: list[str], names: DataFrame | None = None) -> History:
     """Fold and merge all logs below the paths; ``names`` (``thread_id, name``) fill names that the logs lack."""
-    rows = staged(folded(staged(events(lines(spark, paths)), "events")), "folded-events")
-    return merged(rows, names)
+    return from_lines(lines(spark, paths), names)
+
+
+def from_lines(read: DataFrame, names: DataFrame | None = None) -> History:
+    """``history`` of lines that have been read."""
+    return merged(staged(folded(deepened(staged(events(read), "events"))), "folded-events"), names)
 
 
 def merged(rows: DataFrame, names: DataFrame | None = None) -> History:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources.logs import placed
+
 #: Stands in for the kinds of items where documents are searched: a kind for each language.
 LANGUAGE_KINDS = {"en": "agent_message", "fr": "user_message", "de": "command_execution", "es": "reasoning_summary"}
 
@@ -20,6 +22,53 @@ def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("conv_"), "conv_id").alias("thread_id"), F.col("turn").alias("item_index"), kind.alias("kind"), "role", "text")
 
 
+#: From which row of a conversation on its next question begins the second file of ``conversation_logs``.
+LOG_SPLIT = 4
+
+
+def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as the lines of log files, one or two for each, as ``logs.lines`` gives them.
+
+    A question begins a turn by its id, in every fourth conversation by a context without one;
+    there the answer names the turn. An answer is a command and its output, a thought and a
+    message, and completes the turn. System rows come before any turn, so they count as malformed;
+    every fifth conversation has a line that is no JSON and an output that nobody asked for.
+    """
+    c, t, text = F.col("conv_id"), F.col("turn"), F.col("text")
+    base = F.timestamp_seconds(F.lit(1767225600) + c * 600)  # the year 2026
+    stamp = lambda at: F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    bare = c % 4 == 1
+
+    def line(kind: str, at: Column, **payload: Column) -> Column:
+        return F.to_json(F.struct(stamp(at).alias("timestamp"), F.lit(kind).alias("type"), F.struct(*[v.alias(k) for k, v in payload.items()]).alias("payload")))
+
+    def said(kind: str, n: int, type: str, **payload: Column) -> Column:
+        return line(kind, base + F.make_dt_interval(secs=t * 10 + n), type=F.lit(type), **payload)
+
+    call = F.concat(F.lit("k"), t.cast("string"))
+    begins = F.when(bare, line("turn_context", base + F.make_dt_interval(secs=t * 10 + 1), cwd=F.lit("/"))).otherwise(said("event_msg", 1, "task_started", turn_id=F.concat(F.lit("t"), t.cast("string"))))
+    question = F.array(begins, said("event_msg", 2, "user_message", message=text))
+    arguments = F.to_json(F.struct(F.concat(F.lit("run "), t.cast("string")).alias("cmd")))
+    answer = F.array(
+        said("response_item", 1, "function_call", name=F.lit("exec_command"), call_id=call, arguments=arguments), said("response_item", 2, "function_call_output", call_id=call, output=F.substring(text, 1, 40)),
+        said("response_item", 3, "reasoning", summary=F.array(F.struct(F.concat(F.lit("Thought "), t.cast("string")).alias("text")))),
+        said("event_msg", 4, "agent_message", turn_id=F.when(bare, F.concat(F.lit("a"), t.cast("string"))), message=text), said("event_msg", 5, "task_complete"),
+    )
+    policy = F.array(said("response_item", 1, "message", role=F.lit("developer"), content=F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text")))))
+    rows = load(spark, sf_dir, "conversations")
+    second = rows.where((F.col("role") == "user") & (t >= LOG_SPLIT)).groupBy("conv_id").agg(F.min("turn").alias("second"))
+    rows = rows.join(second, "conv_id", "left").withColumn("late", F.coalesce(t >= F.col("second"), F.lit(False)).cast("int"))
+    listed = F.when(F.col("role") == "user", question).when(F.col("role") == "assistant", answer).otherwise(policy)
+    lines = rows.select("conv_id", "late", (t + 1).alias("block"), F.posexplode(listed).alias("row", "raw"))
+    meta = line("session_meta", base, id=F.concat(F.lit("conv_"), c.cast("string")), timestamp=stamp(base), cwd=F.concat(F.lit("/work/"), (c % 7).cast("string")), source=F.lit("cli"), name=F.when(c % 3 == 0, F.concat(F.lit("Conversation "), c.cast("string"))))
+    stray = line("response_item", base, type=F.lit("function_call_output"), call_id=F.lit("nobody"), output=F.lit("stray"))
+    heads = F.when(c % 5 == 0, F.array(meta, F.lit("not json"), stray)).otherwise(F.array(meta))
+    files = rows.select("conv_id", "late").distinct().select("conv_id", "late", F.lit(0).cast("long").alias("block"), F.posexplode(heads).alias("row", "raw"))
+    every = files.unionByName(lines)
+    path = F.concat(F.lit("made/"), c.cast("string"), F.lit("-"), F.col("late").cast("string"), F.lit(".jsonl"))
+    return placed(every.select(F.lit(0).alias("root_no"), path.alias("path"), F.struct("block", F.col("row").cast("long").alias("row")).alias("line_no"), "raw"))
+
+
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as search documents, with the source as title and a kind for each language."""
     kind = F.lit("other")
