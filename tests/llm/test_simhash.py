@@ -67,6 +67,49 @@ def test_links_equal_all_pairs(spark, monkeypatch, block):
     assert sorted(map(sorted, one.values())) == sorted(map(sorted, two.values()))
 
 
+def shingles(text, size=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate(dict.fromkeys([32, *range(9, 14)], " ")).split(" ")
+    words = [w for w in words if w]
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar_groups(rows):
+    """rows: (id, text) with distinct ids; id to the smallest id of its group by brute force over all pairs."""
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if a == b or min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    return {i: root(i) for i in ids}
+
+
+def test_representatives_of_similar_texts(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for base in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(80, 400)))]
+        for _ in range(int(rng.integers(1, 6))):
+            own = list(words)
+            for _ in range(int(rng.integers(0, 1 + len(words) // 45))):
+                own[int(rng.integers(0, len(own)))] = f"edit{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000 + i, " ".join(rng.permutation(rows[0][1].split()))) for i in range(3)]  # the same words, but not the same text
+    groups = similar_groups(rows)
+    kept = {r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = set(groups.values())
+    assert wanted <= kept and len(kept) <= len(wanted) + 0.25 * (len(rows) - len(wanted)) and len(wanted) < len(rows) - 60
+
+
 def test_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}

@@ -4,11 +4,11 @@ Every block is coded by itself, with a fresh model, so each can be read alone. T
 steps handle the n-th id of all blocks together: each block is one lane.
 
 For each id the two ids before it and the id before it name a slot each (order 2 and order
-1) that holds the id last seen there and how often that was right. Whether the order-2 and,
-failing that, the order-1 prediction holds is coded with a probability mixed in the logistic
+1) that holds the id last seen there and how often that was right. Whether the prediction of
+the slot that was right more often holds is coded with a probability mixed in the logistic
 domain from the confidences of both slots and of the lane (order 0), with weights that adapt;
 a prediction less likely than ``LEAST`` is not worth a code and only learnt from.
-An id that neither gives is coded by the order-0 prediction of whole ids: a tree of
+An id that it does not give is coded by the order-0 prediction of whole ids: a tree of
 ``DIGITS`` digits whose every node has adaptive counts of the digits below it, so the counts
 of all ids seen in the block shape the code. All arithmetic is on integers, so machines agree.
 """
@@ -22,6 +22,8 @@ import numpy as np
 #: Digits of an id; the model has room for a count of each possible id in each lane.
 DIGITS = 3
 SLOTS = 2048
+#: How far a slot's first prediction is trusted, out of 4,096.
+FIRST = 1024
 #: Least probability, out of 4,096, of a prediction that is asked for.
 LEAST = 256
 #: What an id's digits gain each time they occur; the sum of a node's counts, and the single count in a byte, above which they are halved.
@@ -119,20 +121,21 @@ class _Model:
         self.coder = coder
         self.writing = isinstance(coder, _Writer)
         self.seen = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-        self.trust = [np.full(lanes * SLOTS, 1024, np.int16) for _ in range(2)]
-        self.plain = np.full((2, lanes), 1024, np.int32)
-        self.weights = [[np.full(lanes, 1 << 14, np.int32) for _ in range(3)] for _ in range(2)]
+        self.trust = [np.zeros(lanes * SLOTS, np.int16) for _ in range(2)]
+        self.plain = np.full(2 * lanes, FIRST, np.int32)
+        self.weights = [np.full(2 * lanes, 1 << 14, np.int32) for _ in range(3)]
         self.base = base = max(2, math.ceil(round(ids ** (1 / DIGITS), 6)))
         # The last digits have nearly all nodes, so their counts are bytes.
         self.counts = [np.ones((lanes * base**k, base), np.uint8 if k == DIGITS - 1 else np.int16) for k in range(DIGITS)]
 
-    def mix(self, lanes: np.ndarray, order: int, slots: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """How likely the prediction of an order (0: by two ids, 1: by one) is right, out of ``_ONE``, and what that was mixed from."""
-        plain, trust = self.plain[order].take(lanes), [self.trust[k].take(slots[k]) for k in range(2)]
+    def mix(self, lanes: np.ndarray, best: np.ndarray, trust: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How likely predictions are right, out of ``_ONE``, and what that was mixed from; ``best`` is the order that gave each."""
+        at = lanes * 2 + best
+        plain = self.plain.take(at)
         inputs = [_STRETCH.take(x) for x in (*trust, plain)]
-        weights = [w.take(lanes) for w in self.weights[order]]
+        weights = [w.take(at) for w in self.weights]
         dot = sum((w >> 4) * x >> 6 for w, x in zip(weights, inputs, strict=True)) >> 6
-        return _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047), [plain, trust[order], *inputs, *weights]
+        return _SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047), [at, plain, *inputs, *weights]
 
     def flag(self, lanes: np.ndarray, p: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
         """Code whether predictions hold."""
@@ -141,14 +144,13 @@ class _Model:
         self.coder.code(lanes, part, np.where(bit, 0, p), np.where(bit, p, _ONE - p))
         return bit
 
-    def learn(self, lanes: np.ndarray, order: int, slots: list[np.ndarray], p: np.ndarray, of: list[np.ndarray], bit: np.ndarray) -> None:
+    def learn(self, p: np.ndarray, of: list[np.ndarray], bit: np.ndarray) -> None:
         """Adapt to whether predictions held, be that coded or not."""
-        plain, trust, inputs, weights = of[0], of[1].astype(np.int32), of[2:5], of[5:]
+        at, plain, inputs, weights = of[0], of[1], of[2:5], of[5:]
         error = np.where(bit, _ONE, 0) - p
-        for held, w, x in zip(self.weights[order], weights, inputs, strict=True):
-            held[lanes] = np.minimum(np.maximum(w + (x * error >> 8), -(1 << 18)), 1 << 18)
-        self.trust[order][slots[order]] = trust + np.where(bit, (4095 - trust) >> 2, -(trust >> 2))
-        self.plain[order][lanes] = plain + np.where(bit, (4095 - plain) >> 5, -(plain >> 5))
+        for held, w, x in zip(self.weights, weights, inputs, strict=True):
+            held[at] = np.minimum(np.maximum(w + (x * error >> 8), -(1 << 18)), 1 << 18)
+        self.plain[at] = plain + np.where(bit, (4095 - plain) >> 5, -(plain >> 5))
 
     def digit(self, table: np.ndarray, lanes: np.ndarray, node: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
         """Code a digit by the counts of its node, and count it."""
@@ -179,28 +181,28 @@ class _Model:
         lanes = np.arange(n)
         slots = lanes * SLOTS + ((before2[:n] * 40503 + before[:n] * 30011) >> 3) % SLOTS, lanes * SLOTS + (before[:n] * 40503 >> 4) % SLOTS
         found = np.full(n, -1, np.int64)
-        guesses = [self.seen[k].take(slots[k]).astype(np.int64) for k in range(2)]
-        mixed = []
-        for order in range(2):
-            can = guesses[order] >= 0
-            if order:
-                can &= (found < 0) & (guesses[1] != guesses[0])
-            own = np.flatnonzero(can)
-            if len(own):
-                at, guess = [x.take(own) for x in slots], guesses[order].take(own)
-                p, of = self.mix(own, order, at)
-                mixed.append((own, order, at, p, of, guess))
-                use = np.flatnonzero(p >= LEAST)
-                if len(use):
-                    lanes_used, guess = own.take(use), guess.take(use)
-                    bit = self.flag(lanes_used, p.take(use), None if truth is None else truth.take(lanes_used) == guess)
-                    found[lanes_used[bit]] = guess[bit]
+        guesses = [self.seen[k].take(slots[k]) for k in range(2)]
+        trust = [self.trust[k].take(slots[k]) for k in range(2)]
+        # The prediction that was right more often; a slot that is empty has no trust.
+        best = (trust[1] > trust[0]).astype(np.int64)
+        guess = np.where(best, guesses[1], guesses[0])
+        own = np.flatnonzero(guess >= 0)
+        if len(own):
+            p, of = self.mix(own, best.take(own), [x.take(own) for x in trust])
+            use = np.flatnonzero(p >= LEAST)
+            if len(use):
+                asked = own.take(use)
+                bit = self.flag(asked, p.take(use), None if truth is None else truth.take(asked) == guess.take(asked))
+                hit = asked[bit]
+                found[hit] = guess.take(hit)
         left = np.flatnonzero(found < 0)
         if len(left):
             found[left] = self.fresh(left, None if truth is None else truth.take(left))
-        for own, order, at, p, of, guess in mixed:
-            self.learn(own, order, at, p, of, found.take(own) == guess)
+        if len(own):
+            self.learn(p, of, found.take(own) == guess.take(own))
         for k in range(2):
+            was = trust[k].astype(np.int32)
+            self.trust[k][slots[k]] = np.where(guesses[k] == found, was + (4095 - was >> 2), np.where(guesses[k] < 0, FIRST, was - (was >> 2)))
             self.seen[k][slots[k]] = found
         return found
 

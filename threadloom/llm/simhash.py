@@ -22,6 +22,7 @@ the two named are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -42,6 +43,10 @@ GROUPS = 6
 BLOCK = 1024
 #: Words hashed at once in a long text.
 CHUNK = 1 << 18
+#: What ``representatives`` takes for similar, and the odd numbers by which it mixes hashes of words.
+NEAR_SHINGLE = 5
+NEAR_SIMILARITY = 0.8
+WORD_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -62,20 +67,39 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, for each row; if ``hashed``, also ``text_hash``."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed long, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("__text"), *([_text_hash(docs, text_col)] if hashed else []))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + ", text_hash long" * hashed)
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("__text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _text_hash(docs: DataFrame, text_col: str) -> Column:
-    return F.xxhash64(docs[text_col].cast("string")).alias("text_hash")
+def word_fingerprints(text: str | None) -> list[int]:
+    """The SimHashes of a text's distinct words under ``WORD_SEEDS``, unsigned; zeros without words."""
+    words = set((text or "").encode().lower().split())
+    if not words:
+        return [0] * len(WORD_SEEDS)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    found = []
+    for seed in WORD_SEEDS:
+        mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(seed)
+        mixed = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(seed)).astype(">u8")
+        counts = np.unpackbits(mixed.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        found.append(int.from_bytes(np.packbits(2 * counts > len(words)).tobytes(), "big"))
+    return found
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's runs of ``size`` words (of the whole sequence, if it is shorter), sorted."""
+    tokens = (text or "").encode().lower().split()
+    size = min(size, len(tokens))
+    pieces = {b" ".join(tokens[i : i + size]) for i in range(len(tokens) - size + 1)} if tokens else set()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces)))
 
 
 def _embedded(fp: Column) -> Column:
@@ -186,17 +210,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near duplicates, all columns: one with the group's smallest id.
+def _text_key(text: Column) -> Column:
+    """Names a text; texts without words are one."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(0)
+
+
+def _id_key(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id.cast("string"), doc_id.isNull())
+
 
-    A group is known by its fingerprints and not by an id, so groups that share an id, or have
-    only null ids, each keep one row. Of rows with equal ids in a group one stays.
+def _word_edges(classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of text keys whose fingerprints of distinct words are linked, enough of them to join all such texts."""
+    edges = []
+    for k in range(len(WORD_SEEDS)):
+        own = classes.select("key", F.col("fps")[k].alias("fp"))
+        first = staged(own.groupBy("fp").agg(F.min("key").alias("first")), "fingerprint-texts")
+        edges.append(own.join(first, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")))
+        apart = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+        edges.append(apart.join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return reduce(DataFrame.unionByName, edges).distinct()
+
+
+def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The edges between texts whose shingle sets have a Jaccard similarity of at least ``least``."""
+    both = edges.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    near = (F.least(F.size("x"), F.size("y")) >= least * F.greatest(F.size("x"), F.size("y"))) & (F.size("y") > 0)
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(near).where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts, all columns: one with the group's smallest id.
+
+    Texts are similar if their sets of ``shingle``-word shingles have a Jaccard similarity of at
+    least ``similarity``. Candidates are texts whose SimHashes of distinct words (which edits
+    move less than those of shingles) are linked under one of ``WORD_SEEDS``; each link is
+    verified exactly on the whole texts. A group is known by its texts and not by an id, so
+    groups that share an id, or have only null ids, each keep one row. Of rows with equal ids in
+    a group one stays. Texts without words are one group.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    labelled = _rooted(rows.groupBy("fp").agg(F.min(first).alias("first")))
-    kept = labelled.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_hash").alias("__kept_text"))
-    named = docs.select(F.struct("*").alias("row"), docs[id_col].alias("__id"), _text_hash(docs, text_col).alias("__text"))
-    found = named.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__text") == F.col("__kept_text")), "left_semi")
-    # An id with one text is few rows, so this only drops repeats.
-    return found.groupBy("__id", "__text").agg(F.any_value("row").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([word_fingerprints(x.as_py()) for x in batch.column(2)], np.uint64).reshape(-1, len(WORD_SEEDS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(found), pa.list_(pa.int64()))], names=["doc_id", "key", "fps"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_hashes(x.as_py(), shingle).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
+
+    text, doc_id = docs[text_col], docs[id_col]
+    narrow = docs.select(doc_id.alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("__text"))
+    rows = narrow.mapInArrow(prints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, key long, fps array<long>")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    classes = staged(rows.groupBy("key").agg(F.min(first).alias("first"), F.first("fps").alias("fps")), "texts")
+    edges = staged(_word_edges(classes), "text-links")
+
+    # One row of each text that has a link; by id and text, so copies are spread.
+    ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = ends.join(classes, "key").select("key", _id_key(F.col("first.doc_id")).alias("id_key"))
+    held = docs.select(_text_key(text).alias("key"), _id_key(doc_id).alias("id_key"), text.cast("string").alias("__text"))
+    texts = held.join(wanted, ["key", "id_key"]).groupBy("key", "id_key").agg(F.first("__text").alias("__text"))
+    sets = staged(texts.select("key", "__text").mapInArrow(shingled, "key long, hashes array<long>"), "shingle-sets")
+
+    roots = components(_similar(edges, sets, similarity))
+    labelled = classes.select("key", "first").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    kept = labelled.groupBy("root").agg(F.min(F.struct("first", "key")).alias("x")).select(F.col("x.key").alias("__key"), _id_key(F.col("x.first.doc_id")).alias("__id"))
+    named = docs.select(F.struct("*").alias("row"), _text_key(text).alias("__key"), _id_key(doc_id).alias("__id"))
+    # An id with one text is few rows, so this only drops repeats; it needs no further shuffle.
+    found = named.join(kept, ["__key", "__id"], "left_semi").groupBy("__key", "__id").agg(F.any_value("row").alias("row"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
