@@ -69,6 +69,17 @@ def test_split_quotas(spark):
     assert by_source == quotas and max(by_shard.values()) - min(by_shard.values()) <= 3 and len(by_shard) == 8
 
 
+def test_documents_larger_than_a_target(spark):
+    rows = [(i, "w " * 20, "a") for i in range(100)] + [(1000, "w " * 200_000, "b"), (1001, None, "b"), (2000, "w " * 30, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in mixing.plan(docs).collect()}
+    wanted = targets({"a": 2000, "b": 200_000, "c": 30})
+    assert len(found) == len(rows) and found[1000]["size"] == 200_000 and found[1001]["size"] == 0
+    assert all(found[i]["target"] == pytest.approx(wanted[s]) and len(found[i]["draws"]) <= 3 for i, _, s in rows)
+    taken = found[1000]["size"] * len(found[1000]["draws"])
+    assert abs(taken - wanted["b"]) <= 200_000 / 2 and len(found[2000]["draws"]) == 3
+
+
 def test_mixed_repeats_what_the_plan_takes(spark):
     rows = [(i, "w " * (i % 7), "abc"[i % 3 if i < 60 else 0]) for i in range(400)] + [(1000, None, None), (None, "x y", "b"), (5, "w " * 5, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as shard", "2 as size", "3 as draws")

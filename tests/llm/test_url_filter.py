@@ -82,6 +82,16 @@ def test_hosts_ruled_in_part_are_seeds(spark):
     assert found[4]["distrust"] > 0 and found[7]["trust"] > found[7]["distrust"] > 0
 
 
+def test_ties_and_dangling_hosts(spark):
+    link = lambda *hs: "".join(f"<a href='https://{h}/p'>x</a>" for h in hs)
+    path = "/x" * 100_000
+    rows = [(1, "http://bad.com/en/1", ""), (2, "http://ok.net/de/1", link("mid.de")), (3, f"http://mid.de{path}", link("bad.com") + "x" * 300_000), (4, "http://alone.de/", ""), (5, "http://end.de/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in url_filter.judge(pages, URL_RULES).collect()}
+    assert found[3]["trust"] == found[3]["distrust"] > 0 and found[3]["verdict"] == "allow" and found[3]["path"] == path
+    assert found[4]["verdict"] == found[5]["verdict"] == "allow" and found[4]["trust"] == 0
+
+
 @pytest.mark.parametrize("url", [None, "", "no scheme", "x://", "HTTP://A.B.Com?q=/en/", "a://h#f", "ftp://u@H:80/P?x://y/z", "x://É.COM/a\nb", "//h/p"])
 def test_parts(spark, url):
     host, path = url_filter.host_and_path(F.col("u"))

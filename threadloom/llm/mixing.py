@@ -15,10 +15,15 @@ rows for each source; windows run over those, and over the documents of one bloc
 source. The join of documents with blocks has (source, block) as its key, which spreads a
 hot source.
 
+The number of sources is taken to be moderate (some hundred thousands at most): their targets
+and the quotas of a node of the tree are one row or one task each.
+
 Defined results: a null text has size 0; null is a source of its own, last in order; a
-source without words has target 0; rows with equal ids share a block and each get a row; an
-empty table gives an empty table; columns other than those named are not read by ``plan``,
-and ``mixed`` keeps them and replaces ``shard`` and ``position``.
+source without words has target 0; rows with equal ids share a block and each get a row; a
+text of any length is one document and taken whole, so a source whose only document is larger
+than its target is taken once or not at all, whichever is nearer; an empty table gives an
+empty table; columns other than those named are not read by ``plan``, and ``mixed`` keeps
+them and replaces ``shard`` and ``position``.
 """
 
 from __future__ import annotations

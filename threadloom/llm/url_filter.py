@@ -13,8 +13,11 @@ and links is written to the shared folder. Edges are summed by pair of hosts bef
 join, sums combine on the map side, and each round is written to the shared folder.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; pages
-without html have no links; repeated rows and ids each get their row; an empty table gives
-an empty table; columns other than those named are not read.
+without html have no links; of rules of equal length the first in order decides; a host whose
+trust and distrust are equal, be they zero, is allowed; what reaches a host without further
+links stays there and flows no further; URLs and html may be of any length and are read whole;
+repeated rows and ids each get their row; an empty table gives an empty table; columns other
+than those named are not read.
 """
 
 from __future__ import annotations
