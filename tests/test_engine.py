@@ -7,6 +7,7 @@ from tests.test_logs import FILES, line, meta
 from threadloom import cli
 from threadloom.plans.engine import Engine, ThreadMissing
 from threadloom.plans.index import IndexMissing
+from threadloom.sources import logs
 from threadloom.streaming.refresh import refresh_available
 
 
@@ -45,8 +46,8 @@ def test_list_show_and_doctor(engine):
 
 
 def test_grep(engine):
-    hits = [(r["turn_id"], r["kind"], r["text"]) for r in engine.grep("ls", tools=True).collect()]
-    assert hits == [("u1", "command_execution", "ls -l")] or ("u1", "command_execution", "ls -l") in hits
+    hits = [(r["thread_id"], r["turn_id"], r["kind"], r["text"]) for r in engine.grep("ls", tools=True).collect()]
+    assert hits == [("t1", "u1", "command_execution", "ls -l"), ("t2", "v1", "command_execution", "false")]
     assert engine.grep("test").count() == 0 and engine.grep("tests? fail", regex=True, tools=True).count() == 1
     assert engine.grep("").count() == 3  # every message
     out = shown(engine, "grep", "--compact", "please")
@@ -90,6 +91,32 @@ def test_index_lifecycle(spark, engine, root):
     gone.index.refresh(gone.history, prune=True)
     assert gone.search("cafe").count() == 0
     assert shown(gone, "index", "drop", "--yes").startswith("path:") and gone.index.doctor()["exists"] is False
+    # An index can be built again after it was dropped, as often as one likes.
+    for _ in range(2):
+        gone.index.build(gone.history)
+        assert gone.search("please").count() == 1 and gone.index.doctor()["healthy"] is True
+        gone.index.drop()
+        with pytest.raises(IndexMissing):
+            gone.search("please")
+
+
+def test_refresh_leaves_other_threads_where_they_are(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    write = lambda name, *said: (logs / f"{name}.jsonl").write_text("\n".join([meta("08:00:00", name), *[line(f"08:00:{i + 1:02}", "event_msg", type="user_message", turn_id="u", message=x) for i, x in enumerate(said)]]) + "\n")
+    make = lambda: Engine(spark, [str(logs)], str(tmp_path / "index"))
+    found = lambda words: sorted((r["thread_id"], round(r["score"], 6)) for r in make().search(words).collect())
+    write("a", "first words"), write("b", "other words")
+    make().index.build(make().history)
+    write("b", "other words", "more words"), write("c", "late words")
+    done = make().index.refresh(make().history)
+    assert (done["new_threads"], done["changed_threads"], done["unchanged_threads"], done["versions"]) == ("1", "1", "1", "v0000000001,v0000000002")
+    assert [r["thread_id"] for r in spark.read.parquet(str(tmp_path / "index/v0000000002/threads")).orderBy("thread_id").collect()] == ["b", "c"]
+    after = found("words")
+    assert [t for t, _ in after] == ["a", "b", "b", "c"]
+    counts = make().index.counts(make().index.current())
+    make().index.build(make().history)
+    assert found("words") == after and make().index.counts(make().index.current()) == counts
 
 
 def test_exports_are_redacted(spark, tmp_path):
@@ -108,6 +135,31 @@ def test_wrong_usage(args):
     assert cli.main(args) == 2
 
 
+def test_help_of_commands_and_errors(spark, root, tmp_path, monkeypatch, capsys):
+    assert cli.main(["grep", "--help"]) == 0 and "grep [--regex]" in capsys.readouterr().out
+    monkeypatch.setattr(cli, "HOME", str(tmp_path))
+    monkeypatch.setenv("THREADLOOM_INDEX", str(tmp_path / "index"))
+    (tmp_path / "index").mkdir()
+    assert cli.main(["--root", str(root), "--names", str(root / "names"), "list"]) == 0 and "Second" in capsys.readouterr().out
+    assert cli.main(["--root", str(root), "search", "x"]) == 1 and capsys.readouterr().err.startswith("error: no search index at ~/index")
+    assert cli.main(["--root", str(root), "grep", "--regex", "x{2,1}"]) == 1 and "error: " in capsys.readouterr().err
+    assert cli.main(["--root", str(root), "--names", str(tmp_path / "none"), "list"]) == 1 and "Traceback" not in capsys.readouterr().err
+
+
+def test_links_are_not_followed(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "own.jsonl").write_text(meta("08:00:00", "s") + "\n")
+    (tmp_path / "logs/link.jsonl").symlink_to(tmp_path / "own.jsonl")
+    assert logs.log_files(str(tmp_path / "logs")) == ([], [])
+    assert logs.log_files(str(tmp_path)) == ([str(tmp_path / "own.jsonl")], [])
+    assert Engine(spark, [str(tmp_path / "logs")], str(tmp_path / "index")).doctor()["parsed_threads"] == 0
+
+
+def test_item_lines():
+    said = [({"kind": "user_message"}, "(empty)"), ({"kind": "command_execution", "command": "ls", "text": "x"}, "ls"), ({"kind": "file_change", "summary": "s"}, "s"), ({"kind": "web_search", "title": "t", "query": "q"}, "q"), ({"kind": "mcp_tool_call", "server": "s"}, "s"), ({"kind": "event:x", "text": "t"}, "unknown item event:x")]
+    assert [cli._said(item) for item, _ in said] == [text for _, text in said]
+
+
 def test_usage():
     assert cli.parse(["grep", "--", "--regex"])["operands"] == ["--regex"]
     assert cli.parse(["grep", "-v"])["operands"] == ["-v"]

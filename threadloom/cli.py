@@ -3,30 +3,32 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import redact
-from threadloom.functions.text import kind_label, query_tokens
-from threadloom.plans.engine import Engine, ThreadMissing
-from threadloom.plans.index import IndexMissing
+from threadloom.functions.text import query_tokens
+from threadloom.operators.grep import shown_lines
+from threadloom.plans.engine import RANK_ORDER, TEXT_ORDER, Engine
 from threadloom.session import session
+from threadloom.storage import released
 
 VERSION = "threadloom 0.1.0"
-HELP = """threadloom
-Analytics over local agent-session logs
-
-Usage: threadloom [--json | --ndjson] [--backend local|auto] [--quiet] [--verbose] [--no-color] COMMAND
-
-  list
-  show [--include-turns] THREAD
-  search [--fresh] [--include-thinking] [--include-tools] [--compact] QUERY
-  grep [--regex] [--include-thinking] [--include-tools] [--compact] PATTERN
-  export [--format json|markdown|prompt-pack] THREAD
-  doctor
-  index build | refresh | doctor | drop [--yes]"""
+ABOUT = {
+    "list": ("list", "List threads, the latest update first"),
+    "show": ("show [--include-turns] THREAD", "Show a thread, with its turns and items if asked for"),
+    "search": ("search [--fresh] [--include-thinking] [--include-tools] [--compact] QUERY", "Ranked search in the index; --fresh looks into changed threads as well"),
+    "grep": ("grep [--regex] [--include-thinking] [--include-tools] [--compact] PATTERN", "Search texts for a literal or a regular expression"),
+    "export": ("export [--format json|markdown|prompt-pack] THREAD", "Export a thread"),
+    "doctor": ("doctor", "Check log folders and count malformed files and lines"),
+    "index": ("index build | refresh | doctor | drop [--yes]", "Build, refresh, check or drop the search index"),
+}
+USAGE = "threadloom [--json | --ndjson] [--backend local|auto] [--root FOLDER]... [--names FILE] [--quiet] [--verbose] [--no-color]"
+HELP = "\n".join(["threadloom", "Analytics over local agent-session logs", "", f"Usage: {USAGE} COMMAND", "", *[f"  {usage}" for usage, _ in ABOUT.values()], "", "`threadloom COMMAND --help` tells more."])
 COMMANDS = {
     "list": ((), 0), "show": (("--include-turns",), 1), "search": (("--fresh", "--include-thinking", "--include-tools", "--compact"), 1),
     "grep": (("--regex", "--include-thinking", "--include-tools", "--compact"), 1), "export": ((), 1), "doctor": ((), 0), "index": (("--yes",), 1),
@@ -44,7 +46,7 @@ def parse(args: list[str]) -> dict[str, object]:
     After ``--``, or where only the operand is missing and the last argument is no known
     option, an argument that starts with a dash is the operand.
     """
-    found: dict[str, object] = {"json": False, "ndjson": False, "flags": set(), "format": "json", "operands": []}
+    found: dict[str, object] = {"json": False, "ndjson": False, "flags": set(), "format": "json", "operands": [], "roots": [], "names": None, "about": None}
     rest = list(args)
     while rest and rest[0].startswith("-"):
         option = rest.pop(0)
@@ -54,6 +56,14 @@ def parse(args: list[str]) -> dict[str, object]:
             value = option.partition("=")[2] if "=" in option else rest.pop(0) if rest else ""
             if value not in ("local", "auto"):
                 raise UsageError(f"unknown backend: {value or '(missing)'}")
+        elif option.partition("=")[0] in ("--root", "--names"):
+            value = option.partition("=")[2] if "=" in option else rest.pop(0) if rest else ""
+            if not value:
+                raise UsageError(f"{option} needs a value")
+            if option.startswith("--root"):
+                found["roots"].append(value)
+            else:
+                found["names"] = value
         elif option in ("-h", "--help"):
             return found | {"command": "help"}
         elif option in ("-V", "--version"):
@@ -78,7 +88,7 @@ def parse(args: list[str]) -> dict[str, object]:
             operands += rest
             break
         if arg in ("-h", "--help") and not last or arg in ("-h", "--help") and command in ("list", "doctor", "index"):
-            return found | {"command": "help"}
+            return found | {"command": "help", "about": command}
         if arg in flags:
             if arg in found["flags"]:
                 raise UsageError(f"{arg} is given twice")
@@ -89,7 +99,7 @@ def parse(args: list[str]) -> dict[str, object]:
                 raise UsageError(f"unknown format: {value or '(missing)'}")
             found["format"] = value
         elif arg in ("-h", "--help"):
-            return found | {"command": "help"}
+            return found | {"command": "help", "about": command}
         elif arg.startswith("-") and not last:
             raise UsageError(f"unknown option for {command}: {arg}")
         else:
@@ -103,44 +113,58 @@ def parse(args: list[str]) -> dict[str, object]:
     return found | {"command": command, "operands": operands}
 
 
+HOME = os.path.expanduser("~")
+
+
 def _redacted(text: str, engine: Engine) -> str:
-    return engine.spark.createDataFrame([(text,)], "t string").select(redact.human(F.col("t"))).first()[0]
+    return engine.spark.createDataFrame([(text,)], "t string").select(redact.human(F.col("t"), HOME)).first()[0]
 
 
 def _records(frame: DataFrame, given: dict[str, object], out) -> None:
-    """Rows as JSON, without secrets: one a line, or an indented array."""
+    """Rows as JSON, without secrets, one after the other: one a line, or an indented array."""
     cells = [redact.secrets(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in frame.dtypes]
-    rows = (r["j"] for r in frame.select(F.to_json(F.struct(*cells), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX"}).alias("j")).toLocalIterator())
+    rows: Iterator[str] = (r["j"] for r in frame.select(F.to_json(F.struct(*cells), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX"}).alias("j")).toLocalIterator())
     if given["ndjson"]:
         for row in rows:
             print(row, file=out)
-    else:
-        print(json.dumps([json.loads(r) for r in rows], indent=2, ensure_ascii=False), file=out)
+        return
+    between = "["
+    for row in rows:
+        print(between + "\n  " + json.dumps(json.loads(row), indent=2, ensure_ascii=False).replace("\n", "\n  "), end="", file=out)
+        between = ","
+    print("[]" if between == "[" else "\n]", file=out)
 
 
 def _lines(frame: DataFrame, out) -> None:
-    for row in frame.select(redact.human(F.col("line")).alias("line")).toLocalIterator():
+    for row in frame.select(redact.human(F.col("line"), HOME).alias("line")).toLocalIterator():
         print(row["line"], file=out)
 
 
 def _hits(engine: Engine, hits: DataFrame, given: dict[str, object], out, scored: bool) -> None:
     if given["json"] or given["ndjson"]:
-        return _records(hits.drop("turn_pos", "item_index", "nth", "heuristic", "bm25", "doc_id"), given, out)
+        return _records(hits.drop(*TEXT_ORDER, *RANK_ORDER, "heuristic", "bm25", "doc_id"), given, out)
+    order = RANK_ORDER if scored else TEXT_ORDER
     if "--compact" in given["flags"]:
         print("| SOURCE | THREAD_ID | THREAD_NAME | CWD | PREVIEW |\n| --- | --- | --- | --- | --- |", file=out)
-        return _lines(engine.compact_rows(hits), out)
-    groups: dict[str, list] = {}
-    shown = hits.withColumn("text", redact.human(F.col("text"))).withColumn("label", kind_label(F.col("kind")))
-    for row in shown.toLocalIterator():  # at most the limit of a search, or what a person asked to read
-        groups.setdefault(row["thread_id"], []).append(row)
-    for n, (thread, rows) in enumerate(groups.items(), 1):
-        print(f"{chr(10) * (n > 1)}{n}. thread_id: {thread}\n   hits: {len(rows)}\n   occurrences: {sum(r['occurrences'] for r in rows)}", file=out)
-        print(f"   matched in: {', '.join(dict.fromkeys(r['label'] for r in rows))}", file=out)
-        if scored:
-            print(f"   best score: {max(r['score'] for r in rows):.2f}", file=out)
-        for k, r in enumerate(rows, 1):
-            print(f"\n   {r['label']} | turn: {r['turn_id'] or '-'} | hit_id: {thread}:{r['turn_id'] or '-'}:{r['kind']}:{k}", file=out)
-            print("\n".join(f"     {line}" for line in r["text"].split("\n")), file=out)
+        return _lines(engine.compact_rows(hits).orderBy(*([] if scored else ["thread_id"]), *order), out)
+    lines = shown_lines(hits.withColumn("text", redact.human(F.col("text"), HOME)), order, scored, scored)
+    number = 0
+    for row in lines.toLocalIterator():
+        head = row["n"] == 0
+        number += head
+        print(f"{chr(10) * (head and number > 1)}{row['line'].replace('{n}', str(number), 1) if head else row['line']}", file=out)
+    return None
+
+
+def _said(item: dict[str, object]) -> str:
+    """What the line of an item shows."""
+    kind = item["kind"]
+    rules = {
+        "user_message": (("text",), "(empty)"), "agent_message": (("text",), "(empty)"), "command_execution": (("command",), "(command execution)"), "file_change": (("path", "summary"), "(file change)"),
+        "reasoning_summary": (("text",), "(summary)"), "web_search": (("query", "title"), "(web search)"), "mcp_tool_call": (("tool", "server"), "(mcp tool call)"),
+    }
+    fields, none = rules.get(kind, ((), f"unknown item {kind}"))
+    return next((str(item[f]) for f in fields if item.get(f) is not None), none)
 
 
 def _report(found: dict[str, object], given: dict[str, object], out) -> None:
@@ -157,7 +181,8 @@ def _report(found: dict[str, object], given: dict[str, object], out) -> None:
             print(f"{name}: {value}", file=out)
 
 
-def run(given: dict[str, object], engine: Engine, out=sys.stdout) -> None:
+def run(given: dict[str, object], engine: Engine, out=None) -> None:
+    out = out or sys.stdout
     command, flags = given["command"], given["flags"]
     operand = given["operands"][0] if given["operands"] else ""
     scope = {"thinking": "--include-thinking" in flags, "tools": "--include-tools" in flags}
@@ -176,8 +201,7 @@ def run(given: dict[str, object], engine: Engine, out=sys.stdout) -> None:
         for turn in detail["turns"]:
             lines.append(f"turn {turn['turn_id']} [{turn['status']}]")
             for item in turn["items"]:
-                said = next((item[k] for k in ("text", "command", "path", "summary", "query", "title", "tool", "server") if item.get(k)), f"unknown item {item['kind']}")
-                lines.append(f"  - {item['kind']}: {said}")
+                lines.append(f"  - {item['kind']}: {_said(item)}")
         print(_redacted("\n".join(lines), engine), file=out)
         return None
     if command == "grep":
@@ -205,20 +229,35 @@ def run(given: dict[str, object], engine: Engine, out=sys.stdout) -> None:
     return _report({"path": engine.index.path, "dropped_versions": engine.index.drop()}, given, out)
 
 
+def _failure(error: Exception, engine: Engine) -> str:
+    """What a person is told of an error, without secrets and home folders."""
+    said = str(error).split("JVM stacktrace:")[0].strip() or type(error).__name__
+    try:
+        return _redacted(said, engine)
+    except Exception:  # the session itself has failed
+        return type(error).__name__
+
+
 def main(args: list[str] | None = None) -> int:
     try:
         given = parse(sys.argv[1:] if args is None else args)
     except UsageError as error:
-        print(f"error: {error}", file=sys.stderr)
+        print(f"error: {error}\n`threadloom --help` tells how to use it.", file=sys.stderr)
         return 2
-    if given["command"] in ("help", "version"):
-        print(HELP if given["command"] == "help" else VERSION)
+    if given["command"] == "help":
+        usage, text = ABOUT.get(given["about"], (None, None))
+        print(f"threadloom {given['about']}\n{text}\n\nUsage: {USAGE} {usage}" if usage else HELP)
+        return 0
+    if given["command"] == "version":
+        print(VERSION)
         return 0
-    engine = Engine(session())
+    spark = session()
+    engine = Engine(spark, given["roots"] or None, names_path=given["names"])
     try:
-        run(given, engine)
-    except (ThreadMissing, IndexMissing, ValueError) as error:
-        print(f"error: {_redacted(str(error), engine)}", file=sys.stderr)
+        with released(spark):
+            run(given, engine)
+    except Exception as error:
+        print(f"error: {_failure(error, engine)}", file=sys.stderr)
         return 1
     return 0
 

@@ -34,8 +34,8 @@ def _accents() -> tuple[str, str]:
 
 
 _ACCENTED, _PLAIN = _accents()
-#: What separates words: all that is neither alphabetic (vowel signs are) nor a number.
-_BETWEEN = r"[^\p{IsAlphabetic}\p{N}]+"
+#: Words: what is alphabetic (vowel signs are) or a number.
+_WORD = r"[\p{IsAlphabetic}\p{N}]+"
 _TOKEN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
@@ -51,7 +51,7 @@ def ascii_lower(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null: none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
 
 
 def query_tokens(query: str) -> list[str]:

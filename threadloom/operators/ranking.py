@@ -35,11 +35,17 @@ def matches(posted: DataFrame, query: list[str]) -> DataFrame:
     return found.where(F.col("n_matched") == len(wanted))
 
 
-def bm25(posted: DataFrame, sizes: DataFrame, query: list[str], total: Column | None = None) -> DataFrame:
+def corpus(sizes: DataFrame) -> DataFrame:
+    """One row: ``n_docs, mean_tokens``."""
+    return sizes.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
+
+
+def bm25(posted: DataFrame, sizes: DataFrame, query: list[str], known: tuple[int, float] | None = None) -> DataFrame:
     """``doc_id, bm25`` (lower is better) of the documents that hold all tokens; a repeated token counts again.
 
     Only the postings of the query's tokens are read. Document frequencies and the mean
-    length are one row for each token and one row, so those joins are broadcast.
+    length are one row for each token and one row, so those joins are broadcast. Where the
+    corpus' numbers are ``known``, lengths are read for documents with such tokens only.
     """
     wanted = sorted(set(query))
     if not wanted:
@@ -47,8 +53,11 @@ def bm25(posted: DataFrame, sizes: DataFrame, query: list[str], total: Column |
     times = F.create_map(*[F.lit(x) for t in wanted for x in (t, query.count(t))])
     own = posted.where(F.col("token").isin(wanted))
     frequencies = own.groupBy("token").agg(F.count("*").alias("df"))
-    corpus = sizes.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
-    rows = own.join(F.broadcast(frequencies), "token").join(sizes, "doc_id").join(F.broadcast(corpus))
+    rows = own.join(F.broadcast(frequencies), "token").join(sizes, "doc_id")
+    if known is None:
+        rows = rows.join(F.broadcast(corpus(sizes)))
+    else:
+        rows = rows.withColumns({"n_docs": F.lit(known[0]), "mean_tokens": F.lit(float(known[1]))})
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
     tf = TITLE_WEIGHT * F.col("title_tf") + TEXT_WEIGHT * F.col("text_tf")

@@ -8,15 +8,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import compact_line, kind_label, markdown_cell, regex_count, substring_count, token_count
-from threadloom.operators.grep import check_pattern
-from threadloom.operators.scope import in_scope
+from threadloom.functions.text import token_count
+from threadloom.operators import grep as greps
 from threadloom.plans import export
 from threadloom.plans.index import Index, item_texts
 from threadloom.sources import logs
 from threadloom.storage import staged
 
 INDEX_VARIABLE = "THREADLOOM_INDEX"
+#: Where texts are in the order of a history, and hits of a search in theirs.
+TEXT_ORDER, RANK_ORDER = ["turn_pos", "item_index", "nth"], ["rank"]
 
 
 class ThreadMissing(Exception):
@@ -24,12 +25,12 @@ class ThreadMissing(Exception):
 
 
 class Engine:
-    """Commands over the logs below ``paths`` (else the usual folders) and the index at ``index_path``."""
+    """Commands over the logs below ``paths`` (else the usual folders), the index at ``index_path`` and the names in ``names_path``."""
 
     def __init__(self, spark: SparkSession, paths: list[str] | None = None, index_path: str | None = None, names_path: str | None = None):
         self.spark = spark
         self.roots = [(p, os.path.exists(p) or "://" in p) for p in paths] if paths else logs.roots()
-        self.names_path = names_path
+        self.names_path = names_path or logs.names_file()
         self.index = Index(spark, index_path or os.environ.get(INDEX_VARIABLE) or os.path.expanduser("~/.threadloom/index"))
 
     @cached_property
@@ -56,14 +57,9 @@ class Engine:
 
     def grep(self, pattern: str, regex: bool = False, thinking: bool = False, tools: bool = False) -> DataFrame:
         """Each text in scope that matches, in order: ``thread_id, turn_id, kind, text, occurrences, ordinal``."""
-        if regex:
-            check_pattern(pattern)
-        items = self.history.items.where(in_scope(F.col("kind"), thinking, tools) & F.col("is_typed"))
-        texts = items.select("thread_id", "turn_id", "turn_pos", "item_index", "kind", F.posexplode(item_texts()).alias("nth", "text"))
-        matches = F.regexp_like("text", F.lit(pattern)) if regex else F.contains("text", F.lit(pattern))
-        count = regex_count(F.col("text"), pattern) if regex else F.greatest(substring_count(F.col("text"), F.lit(pattern)), F.lit(1)) if pattern else F.lit(1)
-        found = texts.where(matches).withColumn("occurrences", count.cast("long"))
-        return found.orderBy("thread_id", "turn_pos", "item_index", "nth").select("thread_id", "turn_id", "kind", "text", "occurrences", "turn_pos", "item_index", "nth")
+        texts = self.history.items.where("is_typed").select("thread_id", "turn_id", "turn_pos", "item_index", "kind", F.posexplode(item_texts()).alias("nth", "text"))
+        found = greps.grep(texts, pattern, regex, thinking, tools)
+        return found.orderBy("thread_id", *TEXT_ORDER).select("thread_id", "turn_id", "kind", "text", "occurrences", *TEXT_ORDER)
 
     def search(self, query: str, fresh: bool = False, thinking: bool = False, tools: bool = False, limit: int = 50) -> DataFrame:
         """Ranked hits of the index; ``fresh`` looks into threads that changed since as well."""
@@ -72,14 +68,13 @@ class Engine:
         return self.index.search(query, limit, thinking, tools)
 
     def search_occurrences(self, hits: DataFrame, words: list[str]) -> DataFrame:
-        return hits.withColumn("occurrences", F.greatest(token_count(F.col("text"), words), F.lit(1)))
+        """The hits of a search, which are limited in number, with their ``rank`` and how often they hold the words."""
+        ranked = hits.coalesce(1).withColumn("rank", F.monotonically_increasing_id())
+        return ranked.withColumn("occurrences", F.greatest(token_count(F.col("text"), words), F.lit(1).cast("long")))
 
     def compact_rows(self, hits: DataFrame) -> DataFrame:
         """Hits as rows of a markdown table, with their thread's name or preview and folder."""
-        info = self.history.threads.select("thread_id", F.when(F.trim("name") != "", F.col("name")).otherwise(F.when(F.trim("preview") != "", F.col("preview"))).alias("__name"), F.col("cwd").alias("__cwd"))
-        cell = lambda x: markdown_cell(compact_line(x))
-        cells = [kind_label(F.col("kind")), F.col("thread_id"), F.coalesce("__name", F.lit("(unnamed)")), F.coalesce("__cwd", F.lit("-")), F.col("text")]
-        return hits.join(info, "thread_id", "left").withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, cells)), F.lit(" |")))
+        return greps.table_rows(hits, self.history.threads)
 
     def export(self, thread_id: str, form: str = "json") -> str:
         """One thread as json (without secrets), markdown or prompt-pack."""
@@ -100,5 +95,6 @@ class Engine:
             F.coalesce(F.sum("malformed_lines"), F.lit(0)).alias("malformed_lines"),
         ).first()
         bare = self.history.files.where("thread_id is null").orderBy("path").select("path")
-        warnings = [f"{r['path']}: missing valid thread metadata" for r in bare.toLocalIterator()]
+        warnings = [w for p, _ in self.roots for w in logs.log_files(p)[1]]
+        warnings += [f"{r['path']}: missing valid thread metadata" for r in bare.toLocalIterator()]
         return {"roots": [{"path": p, "exists": e} for p, e in self.roots]} | row.asDict() | {"warnings": warnings}

@@ -1,14 +1,18 @@
 """The full-text index: Parquet tables in numbered versions, built, refreshed, searched and checked.
 
-A version is a folder of tables; its ``index_meta`` is written last, so a version without it
-does not exist for readers, and readers take the newest one that has it. The index can be in
-any store that Spark reaches; older versions stay as they were.
+A version is a folder with the rows of the threads that it indexed: all of them for a build,
+new and changed ones for a refresh. Its manifest names every live thread and the version that
+holds its rows, so a refresh leaves the rows of other threads where they are, and a build
+starts anew. ``index_meta`` is written last: a version without it does not exist for readers,
+and readers take the newest one that has it. The index can be in any store that Spark reaches.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,9 +22,11 @@ from threadloom.functions.text import fold_accents, query_tokens
 from threadloom.operators import freshness, ranking
 from threadloom.operators.scope import in_scope
 from threadloom.sources.logs import History
+from threadloom.storage import staged
 
-SCHEMA_VERSION = 1
-TABLES = ("threads", "turns", "items", "search_docs", "postings", "lengths", "thread_manifest")
+SCHEMA_VERSION = 2
+TABLES = ("threads", "turns", "items", "search_docs", "postings", "lengths")
+MANIFEST = "thread_manifest"
 
 
 class IndexMissing(Exception):
@@ -99,66 +105,100 @@ class Index:
             raise IndexMissing(f"the index at {self.path} has schema version {meta.get('schema_version')}, not {SCHEMA_VERSION}; run `index build`")
         return meta
 
-    def table(self, name: str, version: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{version or self.current()['version']}/{name}")
-
-    def _write(self, tables: dict[str, DataFrame], facts: dict[str, str], after: str | None) -> dict[str, str]:
-        version = f"v{int(after[1:]) + 1 if after else 1:010d}"
-        for name in TABLES:
-            out = tables[name].write.mode("overwrite")
+    def manifest(self, meta: dict[str, str]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{meta['version']}/{MANIFEST}")
+
+    def table(self, name: str, meta: dict[str, str] | None = None) -> DataFrame:
+        """The live rows of a table: those of versions that are used, of threads that the manifest has there."""
+        meta = meta or self.current()
+        rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{v}/{name}") for v in meta["versions"].split(",")])
+        if meta["whole"] != "true":
+            rows = rows.join(self.manifest(meta).select("thread_id", "version"), ["thread_id", "version"], "left_semi")
+        return rows.drop("version")
+
+    def _next_version(self) -> str:
+        """A name after all folders there are, whatever became of them."""
+        found = [0]
+        for name in ("index_meta", MANIFEST, "threads"):
+            try:
+                files = self.spark.read.parquet(f"{self.path}/v*/{name}").inputFiles()
+            except AnalysisException:
+                continue
+            found += [int(x) for f in files for x in re.findall(r"/v(\d{10})/", f)]
+        return f"v{max(found) + 1:010d}"
+
+    def _write(self, version: str, tables: dict[str, DataFrame], manifest: DataFrame, facts: dict[str, str]) -> dict[str, str]:
+        for name, rows in tables.items():
+            rows = rows.withColumn("version", F.lit(version))
+            if name == "postings":
+                # Sorted by token, so a search reads the row groups of its tokens only.
+                rows = rows.repartitionByRange("token").sortWithinPartitions("token", "doc_id")
+            out = rows.write.mode("overwrite")
             (out.partitionBy("kind") if name == "search_docs" else out).parquet(f"{self.path}/{version}/{name}")
-        seen = self.table("thread_manifest", version).agg(F.date_format(F.max("last_seen_updated_at"), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.count("*")).first()
-        facts = facts | {"schema_version": str(SCHEMA_VERSION), "source_backend": "local", "last_manifest_watermark": seen[0] or "", "tracked_thread_count": str(seen[1])}
+        manifest.write.mode("overwrite").parquet(f"{self.path}/{version}/{MANIFEST}")
+        facts = facts | {"version": version}
+        seen = self.manifest(facts).agg(F.date_format(F.max("last_seen_updated_at"), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.count("*")).first()
+        size = ranking.corpus(self.table("lengths", facts)).first()
+        facts |= {"schema_version": str(SCHEMA_VERSION), "source_backend": "local", "last_manifest_watermark": seen[0] or "", "tracked_thread_count": str(seen[1])}
+        facts |= {"n_docs": str(size["n_docs"]), "mean_tokens": repr(size["mean_tokens"] or 0.0)}
         rows = self.spark.createDataFrame([(version, k, v) for k, v in facts.items()], "version string, key string, value string")
-        rows.coalesce(1).write.parquet(f"{self.path}/{version}/index_meta")
-        return facts | {"version": version}
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{version}/index_meta")
+        return facts
 
     def _tables(self, history: History) -> dict[str, DataFrame]:
         docs = search_documents(history)
         order = [F.desc_nulls_last("updated_at"), "thread_id", "turn_pos", "item_index"]
         # Documents are named by their place, so a thread's names do not change when others do.
         docs = docs.withColumn("doc_id", F.concat_ws(":", "thread_id", F.coalesce("turn_id", F.lit("-")), "kind", F.row_number().over(Window.partitionBy("thread_id").orderBy(*order)).cast("string")))
-        now = F.current_timestamp()
-        known = manifest(history).withColumn("last_indexed_at", now).withColumn("source_backend", F.lit("local"))
         of = docs.select("doc_id", "thread_id")
         return {
             "threads": history.threads, "turns": history.turns, "items": history.items, "search_docs": docs,
-            "postings": ranking.postings(docs, fold_accents).join(of, "doc_id"), "lengths": ranking.lengths(docs, fold_accents).join(of, "doc_id"), "thread_manifest": known,
+            "postings": ranking.postings(docs, fold_accents).join(of, "doc_id"), "lengths": ranking.lengths(docs, fold_accents).join(of, "doc_id"),
         }
 
+    def _indexed(self, known: DataFrame, version: str) -> DataFrame:
+        return known.withColumns({"last_indexed_at": F.current_timestamp(), "source_backend": F.lit("local"), "version": F.lit(version)})
+
     def build(self, history: History) -> dict[str, str]:
         """Index everything anew."""
-        at = datetime.now(UTC).isoformat(timespec="seconds")
-        meta = self._write(self._tables(history), {"last_build_at": at, "last_refresh_at": at}, self.meta().get("version"))
-        return meta | self.counts(meta["version"])
+        at, version = datetime.now(UTC).isoformat(timespec="seconds"), self._next_version()
+        facts = {"last_build_at": at, "last_refresh_at": at, "versions": version, "whole": "true"}
+        meta = self._write(version, self._tables(history), self._indexed(manifest(history), version), facts)
+        return meta | self.counts(meta)
 
     def refresh(self, history: History, prune: bool = False) -> dict[str, str]:
-        """Index new and changed threads, keep the others; threads that are gone stay unless ``prune``."""
-        meta = self.current()
-        fresh = self._tables(history)
-        classes = freshness.classify(manifest(history).select("thread_id", "content_fingerprint"), self.table("thread_manifest", meta["version"]))
+        """Index new and changed threads; the rows of others stay where they are. Threads that are gone stay unless ``prune``."""
+        meta, version = self.current(), self._next_version()
+        now, old = staged(manifest(history), "manifest"), self.manifest(meta)
+        classes = freshness.classify(now.select("thread_id", "content_fingerprint"), old)
         counts = {r["freshness"]: r["count"] for r in classes.groupBy("freshness").count().collect()}
-        tables = {name: freshness.refreshed(self.table(name, meta["version"]).select(fresh[name].columns), fresh[name], classes, prune) for name in TABLES}
-        facts = {"last_build_at": meta["last_build_at"], "last_refresh_at": datetime.now(UTC).isoformat(timespec="seconds")}
         new, changed = counts.get("new", 0), counts.get("changed", 0)
+        known = freshness.refreshed(old, self._indexed(now, version).select(old.columns), classes, prune)
+        facts = {"last_build_at": meta["last_build_at"], "last_refresh_at": datetime.now(UTC).isoformat(timespec="seconds"), "versions": meta["versions"], "whole": "false"}
+        tables: dict[str, DataFrame] = {}
+        if new + changed:
+            stale = classes.where("freshness <> 'unchanged'").select("thread_id")
+            only = lambda x: x.join(stale, "thread_id", "left_semi")
+            tables = self._tables(History(only(history.threads), only(history.turns), only(history.items), history.files))
+            facts["versions"] += f",{version}"
         done = {"new_threads": new, "changed_threads": changed, "unchanged_threads": counts.get("unchanged", 0), "indexed_threads": new + changed}
-        return self._write(tables, facts, meta["version"]) | {k: str(v) for k, v in done.items()}
+        return self._write(version, tables, known, facts) | {k: str(v) for k, v in done.items()}
 
-    def counts(self, version: str) -> dict[str, str]:
-        names = ("threads", "turns", "items", "search_docs", "thread_manifest")
-        return {name: str(self.table(name, version).count()) for name in names}
+    def counts(self, meta: dict[str, str]) -> dict[str, str]:
+        """How many live rows each table has."""
+        return {name: str(self.table(name, meta).count()) for name in ("threads", "turns", "items", "search_docs")} | {MANIFEST: str(self.manifest(meta).count())}
 
     def search(self, query: str, limit: int | None = ranking.LIMIT, thinking: bool = False, tools: bool = False, without: DataFrame | None = None) -> DataFrame:
         """Ranked hits: ``thread_id, turn_id, kind, text, score, updated_at, cwd``. ``without``: threads left out."""
         if not query.strip():
             raise ValueError("search query must not be empty")
-        version = self.current()["version"]
-        docs = self.table("search_docs", version).where(in_scope(F.col("kind"), thinking, tools) & F.col("is_typed"))
+        meta = self.current()
+        docs = self.table("search_docs", meta).where(in_scope(F.col("kind"), thinking, tools) & F.col("is_typed"))
         if without is not None:
             docs = docs.join(without.select("thread_id"), "thread_id", "left_anti")
         words = query_tokens(query)
         folded = self.spark.range(1).select(F.transform(F.array(*map(F.lit, words)), fold_accents).alias("w")).first()["w"] if words else []
-        scored = ranking.bm25(self.table("postings", version), self.table("lengths", version), folded)
+        scored = ranking.bm25(self.table("postings", meta), self.table("lengths", meta), folded, (int(meta["n_docs"]), float(meta["mean_tokens"])))
         hits = ranking.rank(docs, scored, query)
         if limit is not None:
             hits = ranking.top(hits, limit, [F.desc("updated_at")])
@@ -166,7 +206,7 @@ class Index:
 
     def fresh_search(self, query: str, history: History, limit: int = ranking.LIMIT, thinking: bool = False, tools: bool = False) -> DataFrame:
         """Indexed hits of unchanged threads, and hits in the logs of new and changed ones."""
-        known = self.table("thread_manifest")
+        known = self.manifest(self.current())
         classes = freshness.classify(manifest(history).select("thread_id", "content_fingerprint"), known)
         stale = classes.where("freshness <> 'unchanged'").select("thread_id")
         if stale.isEmpty():
@@ -186,10 +226,10 @@ class Index:
         if meta.get("schema_version") != str(SCHEMA_VERSION):
             issues.append(f"schema version {meta.get('schema_version')} is not {SCHEMA_VERSION}")
         counts: dict[str, str] = {}
-        for name in TABLES:
+        for name in (*TABLES, MANIFEST):
             try:
-                counts[name] = str(self.table(name, meta["version"]).count())
-            except AnalysisException:
+                counts[name] = str((self.manifest(meta) if name == MANIFEST else self.table(name, meta)).count())
+            except (AnalysisException, KeyError):
                 issues.append(f"missing table: {name}")
         return {"path": self.path, "exists": True, "healthy": not issues, "schema_version": meta.get("schema_version")} | counts | {"issues": issues}
 

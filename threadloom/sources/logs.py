@@ -24,6 +24,7 @@ from threadloom.operators import fold, merge
 from threadloom.storage import staged
 
 ROOT_VARIABLE = "THREADLOOM_HISTORY"
+NAMES_VARIABLE = "THREADLOOM_NAMES"
 EXEC_TOOLS = ("exec_command", "shell")
 TYPED_KINDS = ("user_message", "agent_message", "command_execution", "file_change", "reasoning_summary", "web_search", "mcp_tool_call")
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
@@ -49,6 +50,12 @@ def roots(home: str | None = None) -> list[tuple[str, bool]]:
     return [(p, os.path.exists(p)) for p in dict.fromkeys(paths)]
 
 
+def names_file(home: str | None = None) -> str | None:
+    """The file of session names: the one in ``$THREADLOOM_NAMES``, else the usual one if it is there."""
+    usual = os.path.join(home or os.path.expanduser("~"), ".threadloom/session_index.jsonl")
+    return os.environ.get(NAMES_VARIABLE) or (usual if os.path.exists(usual) else None)
+
+
 def log_files(path: str) -> tuple[list[str], list[str]]:
     """What to read for a root, and warnings: of a local one its ``.jsonl`` files, without symbolic links; any other one is itself.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.plans.engine import Engine
+from threadloom.storage import released
 
 
 def refresh_available(spark: SparkSession, path: str, checkpoint: str, engine: Callable[[], Engine]) -> int:
@@ -21,7 +22,8 @@ def refresh_available(spark: SparkSession, path: str, checkpoint: str, engine: C
         nonlocal done
         if not rows.isEmpty():
             own = engine()
-            (own.index.refresh if own.index.meta() else own.index.build)(own.history)
+            with released(spark):
+                (own.index.refresh if own.index.meta() else own.index.build)(own.history)
             done += 1
 
     files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
