@@ -183,7 +183,9 @@ def _deep_texts(content: pd.Series) -> pd.Series:
 
 
 def deepened(rows: DataFrame) -> DataFrame:
-    """``events`` with the texts of content that nests further: only these rows go through Arrow batches."""
+    """Staged ``events`` with the texts of content that nests further: only these rows, if there are any, go through Arrow batches."""
+    if rows.where("deep is not null").isEmpty():
+        return rows.drop("deep")
     return rows.where("deep is null").drop("deep").unionByName(_deepened(rows.where("deep is not null")))
 
 
