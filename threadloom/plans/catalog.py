@@ -14,6 +14,7 @@ from threadloom.operators.scope import in_scope
 from threadloom.plans import export
 from threadloom.sources import logs
 from threadloom.sources.tables import LOG_SPLIT, conversation_items, conversation_logs, load, search_documents
+from threadloom.storage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,6 +486,12 @@ def _history(spark: SparkSession, sf_dir: str) -> logs.History:
     return logs.from_lines(conversation_logs(spark, sf_dir))
 
 
+def _staged_history(spark: SparkSession, sf_dir: str) -> logs.History:
+    """As the commands have it: written once, since an export reads each frame several times."""
+    found = _history(spark, sf_dir)
+    return logs.History(*[staged(getattr(found, name), name) for name in ("threads", "turns", "items", "files")])
+
+
 @query("logs_threads", f"""WITH {SAID}, {THREADS} SELECT thread_id, name, preview, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us, cwd, source_kind, status, items_count, commands_count FROM threads""")
 def logs_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = [F.unix_micros(f"{c}_at").alias(f"{c}_us") for c in ("created", "updated")]
@@ -527,7 +534,7 @@ TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
     || '## Commands' || chr(10) || coalesce(commands, '- (none)' || chr(10)) || chr(10) || '## File Changes' || chr(10) || '- (none)' || chr(10) || chr(10) || '## Extracted Notes' || chr(10) || coalesce(notes, '- (none)') AS markdown
   FROM threads LEFT JOIN body USING (thread_id) LEFT JOIN commands USING (thread_id) LEFT JOIN notes USING (thread_id)""")
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _history(spark, sf_dir)
+    found = _staged_history(spark, sf_dir)
     return export.markdown(found.threads, found.turns, found.items)
 
 
@@ -544,5 +551,5 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     || 'NOTABLE ERRORS' || chr(10) || coalesce(l2, '- (none)') || chr(10) || chr(10) || 'USEFUL FOLLOW-UPS' || chr(10) || coalesce(l3, '- (none)') || chr(10) AS pack
   FROM threads LEFT JOIN lists USING (thread_id) LEFT JOIN n USING (thread_id)""")
 def export_prompt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _history(spark, sf_dir)
+    found = _staged_history(spark, sf_dir)
     return export.prompt_pack(found.threads, found.turns, found.items)
