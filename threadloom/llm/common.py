@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.storage import shared_dir, staged
 
-__all__ = ["SPACE", "let", "load", "shared_dir", "staged"]
+__all__ = ["SPACE", "let", "load", "portions", "shared_dir", "staged"]
 
 #: What separates words: the ASCII space and the ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,3 +24,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for each row."""
     return F.transform(F.array(value), body)[0]
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces whose texts in ``column`` have ``most`` bytes together, or are a single row."""
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > start and total + n > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -60,4 +60,15 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY 1) USING (vec_id)"""
 
 
-ORACLES = {"op2_license_scan": license_scan_sql(), "op9_quality_rules": quality_rules_sql(), "op10_embedding_dedup": embedding_dedup_sql()}
+def fill_middle_sql() -> str:
+    return r"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+  drawn AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(s, i, 8) AS BIGINT)) AS h, len(u) AS n FROM cut),
+  formed AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM drawn),
+  parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS z FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m WHEN 'spm' THEN '<S>' || z || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(p || m || z) AS restored_sha256 FROM parts"""
+
+
+ORACLES = {"op2_license_scan": license_scan_sql(), "op9_quality_rules": quality_rules_sql(), "op10_embedding_dedup": embedding_dedup_sql(), "op13_fill_middle": fill_middle_sql()}
