@@ -60,6 +60,27 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY 1) USING (vec_id)"""
 
 
+def source_audit_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    share = lambda n, total: f"CAST(1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * v) AS BIGINT)"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+  sources AS (SELECT DISTINCT lang, source FROM docs),
+  found AS (SELECT r, lang, source, translate(x, '{upper}', '{upper.lower()}') AS term FROM (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS x FROM docs)),
+  kept AS (SELECT lang, term, count(*) AS lang_n FROM found GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+  langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY 1),
+  own AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+  grid AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, lang_n, v, lang_total, sum(coalesce(n, 0)) OVER (PARTITION BY s.lang, s.source) AS total
+    FROM sources s JOIN kept k USING (lang) JOIN langs USING (lang) LEFT JOIN own o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term),
+  shares AS (SELECT lang, source, term, n, {share("n", "total")} AS p, {share("lang_n", "lang_total")} AS q FROM grid),
+  sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+  terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
 def fill_middle_sql() -> str:
     return r"""
 WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
@@ -71,4 +92,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m WHEN 'spm' THEN '<S>' || z || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(p || m || z) AS restored_sha256 FROM parts"""
 
 
-ORACLES = {"op2_license_scan": license_scan_sql(), "op9_quality_rules": quality_rules_sql(), "op10_embedding_dedup": embedding_dedup_sql(), "op13_fill_middle": fill_middle_sql()}
+ORACLES = {"op2_license_scan": license_scan_sql(), "op9_quality_rules": quality_rules_sql(), "op10_embedding_dedup": embedding_dedup_sql(), "op11_source_audit": source_audit_sql(), "op13_fill_middle": fill_middle_sql()}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, embedding_dedup, fill_middle, html_text, license_scan, mixing, quality_model, quality_rules, simhash, token_files, url_filter
+from threadloom.llm import byte_bpe, embedding_dedup, fill_middle, html_text, license_scan, mixing, quality_model, quality_rules, simhash, source_audit, token_files, url_filter
 from threadloom.llm.common import load, shared_dir
 from threadloom.llm.oracles import ORACLES
 
@@ -89,6 +89,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(load(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle.transformed(load(spark, sf_dir, "documents"))
     digests = [F.sha2(c.cast("binary"), 256) for c in (F.col("output"), fill_middle.restored(F.col("form"), F.col("output")))]
@@ -106,5 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_source_audit": op11_source_audit,
     "op13_fill_middle": op13_fill_middle,
 }
