@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import byte_bpe, embedding_dedup, fill_middle, html_text, license_scan, mixing, quality_model, quality_rules, simhash, source_audit, token_files, url_filter
+from threadloom.llm import byte_bpe, embedding_dedup, fill_middle, html_text, license_scan, mixing, personal_data, quality_model, quality_rules, simhash, source_audit, token_files, url_filter
 from threadloom.llm.common import load, shared_dir
 from threadloom.llm.oracles import ORACLES
 
@@ -93,6 +93,14 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(load(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(load(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(personal_data.listed(base).cast("binary"), 256).alias("base_sha256"), personal_data.listed(F.col("spans")).alias("spans"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle.transformed(load(spark, sf_dir, "documents"))
     digests = [F.sha2(c.cast("binary"), 256) for c in (F.col("output"), fill_middle.restored(F.col("form"), F.col("output")))]
@@ -111,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_source_audit": op11_source_audit,
+    "op12_personal_data": op12_personal_data,
     "op13_fill_middle": op13_fill_middle,
 }
