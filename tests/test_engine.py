@@ -40,6 +40,7 @@ def test_list_show_and_doctor(engine):
     assert "turn u1 [in_progress]" in shown(engine, "show", "--include-turns", "t1")
     with pytest.raises(ThreadMissing):
         engine.show_thread("t9")
+    assert f"root [option] {engine.roots[0].path} (exists=true, session_files=4)" in shown(engine, "doctor")
     found = engine.doctor()
     assert (found["parsed_threads"], found["malformed_files"], found["malformed_lines"]) == (2, 3, 6)
     assert len(found["warnings"]) == 1 and "missing valid thread metadata" in found["warnings"][0]
@@ -52,7 +53,7 @@ def test_grep(engine):
     assert engine.grep("").count() == 3  # every message
     out = shown(engine, "grep", "--compact", "please")
     assert out.splitlines()[2] == "| user | t1 | First | /work | please fix |"
-    assert "1. thread_id: t1\n   hits: 1\n   occurrences: 1\n   matched in: user" in shown(engine, "grep", "please")
+    assert "1. thread_id: t1\n   name: First\n   cwd: /work\n   hits: 1\n   occurrences: 1\n   matched in: user" in shown(engine, "grep", "please")
 
 
 def test_index_lifecycle(spark, engine, root):
@@ -146,6 +147,20 @@ def test_help_of_commands_and_errors(spark, root, tmp_path, monkeypatch, capsys)
     assert cli.main(["--root", str(root), "--names", str(tmp_path / "none"), "list"]) == 1 and "Traceback" not in capsys.readouterr().err
 
 
+def test_heads_of_grouped_hits(spark, tmp_path):
+    said = lambda text: line("08:00:01", "event_msg", type="user_message", turn_id="u", message=text)
+    (tmp_path / "a.jsonl").write_text("\n".join([meta("08:00:00", "a"), said("Clean up the\n leftover argv"), line("08:00:02", "event_msg", type="agent_message", message="the leftover argv is gone")]))
+    (tmp_path / "b.jsonl").write_text("\n".join([line("08:00:00", "session_meta", id="b", timestamp="2026-05-01T08:00:00Z", name=" \t"), "\t \t", said("x" * 170 + " leftover argv")]))
+    out = shown(Engine(spark, [str(tmp_path)], str(tmp_path / "index")), "grep", "leftover argv")
+    assert "1. thread_id: a\n   first prompt: Clean up the leftover argv\n   cwd: /work\n   hits: 2\n   occurrences: 4\n   matched in: user, assistant\n" in out
+    assert f"2. thread_id: b\n   first prompt: {'x' * 160}...\n   hits: 1\n   occurrences: 2\n" in out
+
+
+def test_a_session_that_fails_to_start_is_no_traceback(monkeypatch, capsys):
+    monkeypatch.setattr(cli, "session", lambda: 1 / 0)
+    assert cli.main(["list"]) == 1 and capsys.readouterr().err == "error: ZeroDivisionError\n"
+
+
 def test_links_are_not_followed(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "own.jsonl").write_text(meta("08:00:00", "s") + "\n")

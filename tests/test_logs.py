@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from threadloom.operators import fold, merge
 from threadloom.plans import export
 from threadloom.sources import logs
-from threadloom.storage import staged
 
 
 def line(stamp, kind, **payload):
@@ -61,8 +60,7 @@ def history(spark, tmp_path_factory):
         (root / name).parent.mkdir(exist_ok=True)
         (root / name).write_text("\n".join(rows) + "\n")
     (root / "a/skip.txt").write_text("no log")
-    found = logs.history(spark, [str(root)])
-    return logs.History(*[staged(x, "t") for x in (found.threads, found.turns, found.items, found.files)])
+    return logs.history(spark, [str(root)]).written()
 
 
 def test_threads(history):

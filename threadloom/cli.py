@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import redact
-from threadloom.functions.text import query_tokens
 from threadloom.operators.grep import shown_lines
 from threadloom.plans.engine import RANK_ORDER, TEXT_ORDER, Engine
 from threadloom.session import session
@@ -147,7 +146,7 @@ def _hits(engine: Engine, hits: DataFrame, given: dict[str, object], out, scored
     if "--compact" in given["flags"]:
         print("| SOURCE | THREAD_ID | THREAD_NAME | CWD | PREVIEW |\n| --- | --- | --- | --- | --- |", file=out)
         return _lines(engine.compact_rows(hits).orderBy(*([] if scored else ["thread_id"]), *order), out)
-    lines = shown_lines(hits.withColumn("text", redact.human(F.col("text"), HOME)), order, scored, scored)
+    lines = shown_lines(hits.withColumn("text", redact.human(F.col("text"), HOME)), engine.shown_threads(HOME), order, scored, scored)
     number = 0
     for row in lines.toLocalIterator():
         head = row["n"] == 0
@@ -175,7 +174,7 @@ def _report(found: dict[str, object], given: dict[str, object], out) -> None:
         if not isinstance(value, list):
             print(f"{key}: {str(value).lower() if isinstance(value, bool) else value}", file=out)
     for root in found.get("roots", []):
-        print(f"root {root['path']} (exists={str(root['exists']).lower()})", file=out)
+        print(f"root [{root['source']}] {root['path']} (exists={str(root['exists']).lower()}, session_files={root['session_files']})", file=out)
     for key, name in (("warnings", "warning"), ("issues", "issue")):
         for value in found.get(key, []):
             print(f"{name}: {value}", file=out)
@@ -208,7 +207,7 @@ def run(given: dict[str, object], engine: Engine, out=None) -> None:
         return _hits(engine, engine.grep(operand, "--regex" in flags, **scope), given, out, False)
     if command == "search":
         hits = engine.search(operand, "--fresh" in flags, **scope)
-        return _hits(engine, engine.search_occurrences(hits, query_tokens(operand)), given, out, True)
+        return _hits(engine, engine.search_occurrences(hits, operand), given, out, True)
     if command == "export":
         text = engine.export(operand, given["format"])
         if given["format"] == "json":
@@ -229,11 +228,11 @@ def run(given: dict[str, object], engine: Engine, out=None) -> None:
     return _report({"path": engine.index.path, "dropped_versions": engine.index.drop()}, given, out)
 
 
-def _failure(error: Exception, engine: Engine) -> str:
-    """What a person is told of an error, without secrets and home folders."""
+def _failure(error: Exception, engine: Engine | None) -> str:
+    """What a person is told of an error, without secrets and home folders; without a session only its kind."""
     said = str(error).split("JVM stacktrace:")[0].strip() or type(error).__name__
     try:
-        return _redacted(said, engine)
+        return _redacted(said, engine) if engine else type(error).__name__
     except Exception:  # the session itself has failed
         return type(error).__name__
 
@@ -251,9 +250,10 @@ def main(args: list[str] | None = None) -> int:
     if given["command"] == "version":
         print(VERSION)
         return 0
-    spark = session()
-    engine = Engine(spark, given["roots"] or None, names_path=given["names"])
+    engine = None
     try:
+        spark = session()
+        engine = Engine(spark, given["roots"] or None, names_path=given["names"])
         with released(spark):
             run(given, engine)
     except Exception as error:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import trimmed
+
 MARK = "[REDACTED]"
 #: White space and word limits of all scripts, and letters of either case in all of them.
 UNICODE = "(?Uu)"
@@ -40,7 +42,7 @@ def human(text: Column, home: str | None = None) -> Column:
 
 def is_secret_name(name: Column) -> Column:
     """Whether a field of this name holds a secret, whatever its value looks like."""
-    plain = F.btrim(F.trim(name), F.lit("\"'"))
+    plain = F.btrim(trimmed(name), F.lit("\"'"))
     return F.replace(F.lower(plain), F.lit("-"), F.lit("_")).isin(*SECRET_NAMES)
 
 

@@ -15,10 +15,8 @@ KIND_LABELS = {
     "command_execution": "command",
     "file_change": "file",
     "reasoning_summary": "reasoning",
-    "web_search": "web",
-    "mcp_tool_call": "tool",
-    "thread_name": "title",
-    "thread_preview": "preview",
+    "thread_name": "thread name",
+    "thread_preview": "thread preview",
 }
 
 
@@ -49,6 +47,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def has_text(text: Column) -> Column:
+    """Whether there is anything but white space."""
+    return F.rlike(text, F.lit(r"(?U)\S"))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order; null: none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
@@ -67,12 +75,12 @@ def compact_line(text: Column) -> Column:
 def compact_preview(text: Column, chars: int = PREVIEW_CHARS) -> Column:
     """``compact_line`` cut to ``chars`` characters and three dots."""
     line = compact_line(text)
-    return F.when(F.length(line) > chars, F.concat(F.rtrim(F.substring(line, 1, chars)), F.lit("..."))).otherwise(line)
+    return F.when(F.length(line) > chars, F.concat(F.substring(line, 1, chars), F.lit("..."))).otherwise(line)
 
 
 def compact_text(text: Column) -> Column:
     """The trimmed non-empty lines joined by slashes."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " / ")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: x != ""), " / ")
 
 
 def substring_count(text: Column, needle: Column) -> Column:
@@ -91,6 +99,13 @@ def token_count(text: Column, query: list[str]) -> Column:
     return F.size(F.filter(tokens(text), lambda t: t.isin(query))).cast("long")
 
 
+def term_count(text: Column, pattern: str) -> Column:
+    """How often a text that is known to match holds the pattern's words; if none of them is a word of the text, how often the pattern itself, and one at least."""
+    words, needle = query_tokens(pattern), pattern.strip()
+    whole = F.greatest(substring_count(text, F.lit(needle)), F.lit(1)) if needle else F.lit(1)
+    return (F.coalesce(F.nullif(token_count(text, words), F.lit(0)), whole) if words else whole).cast("long")
+
+
 def contains_phrase(haystack: Column, query: list[str]) -> Column:
     """Whether the query's tokens follow one another in an array of tokens."""
     return F.contains(F.concat(F.lit(" "), F.array_join(haystack, " "), F.lit(" ")), F.lit(" " + " ".join(query) + " "))

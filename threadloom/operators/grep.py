@@ -2,38 +2,26 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import compact_line, kind_label, markdown_cell, regex_count, substring_count
+from threadloom.functions.text import compact_line, compact_preview, has_text, kind_label, markdown_cell, regex_count, term_count
+from threadloom.operators.pattern import java_pattern
 from threadloom.operators.scope import in_scope
 
-_UNSUPPORTED = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<")
-
-
-def check_pattern(pattern: str) -> None:
-    """Refuse what is no pattern of finite automata: look-around and references to groups."""
-    plain = pattern.replace("\\\\", "")
-    if _UNSUPPORTED.search(plain):
-        raise ValueError(f"invalid regex: look-around and back-references are not supported: {pattern}")
-    try:
-        re.compile(re.sub(r"\\[pP]\{\w+\}|\\[pP]\w", "x", pattern))
-    except re.error as error:
-        raise ValueError(f"invalid regex: {error}") from None
-
 
 def grep(texts: DataFrame, pattern: str, regex: bool = False, thinking: bool = False, tools: bool = False) -> DataFrame:
-    """Rows in scope whose ``text`` holds the pattern (case matters), with ``occurrences``; an empty literal matches all."""
+    """Rows in scope whose ``text`` holds the pattern (case matters), with ``occurrences``; an empty literal matches all.
+
+    Occurrences of a literal are those of its words, wherever they stand.
+    """
     text = F.col("text")
     rows = texts.where(in_scope(F.col("kind"), thinking, tools) & text.isNotNull())
     if regex:
-        check_pattern(pattern)
-        return rows.where(F.regexp_like(text, F.lit(pattern))).withColumn("occurrences", regex_count(text, pattern))
+        own = java_pattern(pattern)
+        return rows.where(F.regexp_like(text, F.lit(own))).withColumn("occurrences", regex_count(text, own))
     found = rows.where(F.contains(text, F.lit(pattern)))
-    count = F.greatest(substring_count(text, F.lit(pattern)), F.lit(1)) if pattern else F.lit(1)
-    return found.withColumn("occurrences", count.cast("long"))
+    return found.withColumn("occurrences", term_count(text, pattern))
 
 
 def grouped(hits: DataFrame, order: list[str]) -> DataFrame:
@@ -60,25 +48,32 @@ def hit_rows(hits: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("hit_id", F.concat_ws(":", "thread_id", F.coalesce("turn_id", F.lit("-")), "kind", F.col("ordinal").cast("string")))
 
 
+def _given(column: str) -> Column:
+    """A text, null where it is blank."""
+    return F.when(has_text(F.col(column)), F.col(column))
+
+
 def table_rows(hits: DataFrame, threads: DataFrame) -> DataFrame:
     """Hits with the ``line`` of a compact markdown table, with their thread's name or preview and folder."""
-    name = F.when(F.trim("name") != "", F.col("name")).otherwise(F.when(F.trim("preview") != "", F.col("preview")))
+    name = F.coalesce(_given("name"), _given("preview"))
     info = threads.select("thread_id", name.alias("__name"), F.col("cwd").alias("__cwd"))
     cells = [kind_label(F.col("kind")), F.col("thread_id"), F.coalesce("__name", F.lit("(unnamed)")), F.coalesce("__cwd", F.lit("-")), F.col("text")]
     line = F.concat_ws(" | ", *[markdown_cell(compact_line(x)) for x in cells])
     return hits.join(info, "thread_id", "left").withColumn("line", F.concat(F.lit("| "), line, F.lit(" |"))).drop("__name", "__cwd")
 
 
-def shown_lines(hits: DataFrame, order: list[str], by_place: bool, scored: bool) -> DataFrame:
+def shown_lines(hits: DataFrame, threads: DataFrame, order: list[str], by_place: bool, scored: bool) -> DataFrame:
     """The lines of a grouped view of hits, in order of ``key, thread_id, n``: a head for each thread, then its hits.
 
-    Threads are in order of their first place or of their ids. ``{n}`` in a head stands for
+    A head has the thread's name, or else how its first prompt begins, and its folder. Threads are in order of their first place or of their ids. ``{n}`` in a head stands for
     the thread's number.
     """
-    groups = grouped(hits, order)
+    named = F.coalesce(F.concat(F.lit("\n   name: "), _given("name")), F.concat(F.lit("\n   first prompt: "), compact_preview(_given("preview"))), F.lit(""))
+    about = threads.select("thread_id", F.concat(named, F.coalesce(F.concat(F.lit("\n   cwd: "), "cwd"), F.lit(""))).alias("about"))
+    groups = grouped(hits, order).join(about, "thread_id", "left")
     key = (lambda c: F.col(c)) if by_place else (lambda c: F.lit(0))
     label = lambda ks: F.array_join(F.array_distinct(F.transform(ks, kind_label)), ", ")
-    head = F.concat(F.lit("{n}. thread_id: "), "thread_id", F.lit("\n   hits: "), F.col("hits").cast("string"), F.lit("\n   occurrences: "), F.col("occurrences").cast("string"), F.lit("\n   matched in: "), label(F.col("kinds")))
+    head = F.concat(F.lit("{n}. thread_id: "), "thread_id", F.coalesce("about", F.lit("")), F.lit("\n   hits: "), F.col("hits").cast("string"), F.lit("\n   occurrences: "), F.col("occurrences").cast("string"), F.lit("\n   matched in: "), label(F.col("kinds")))
     if scored:
         groups = groups.join(hits.groupBy("thread_id").agg(F.max("score").alias("best")), "thread_id")
         head = F.concat(head, F.lit("\n   best score: "), F.format_string("%.2f", "best"))

@@ -14,7 +14,6 @@ from threadloom.operators.scope import in_scope
 from threadloom.plans import export
 from threadloom.sources import logs
 from threadloom.sources.tables import LOG_SPLIT, conversation_items, conversation_logs, load, search_documents
-from threadloom.storage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,7 +211,9 @@ def name_backfill_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Grep and counting
 
 
-LITERAL = f"SELECT thread_id, item_index, kind, text, greatest(CAST((length(text) - length(replace(lower(text), '{PHRASE}', ''))) / {len(PHRASE)} AS BIGINT), 1) AS occurrences FROM items WHERE contains(text, '{PHRASE}')"
+#: Of a literal's occurrences those of its words count, or else those of the whole.
+LITERAL = f"""SELECT thread_id, item_index, kind, text, coalesce(nullif(CAST(len(list_filter({TOKENS.format('text')}, lambda t: t IN ('of', 'the'))) AS BIGINT), 0),
+  greatest(CAST((length(text) - length(replace(lower(text), '{PHRASE}', ''))) / {len(PHRASE)} AS BIGINT), 1)) AS occurrences FROM items WHERE contains(text, '{PHRASE}')"""
 
 
 @query("grep_literal", f"WITH {ITEMS} {LITERAL}")
@@ -243,6 +244,15 @@ def occurrences_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.token_count(F.col("text"), SEARCH_TOKENS).alias("occurrences"))
 
 
+#: A letter of any script that is no ASCII one, within words; DuckDB's own syntax has to spell the classes out.
+UNICODE_PATTERN, UNICODE_WORDS = r"(?i)\w*[É-ÿ]\w+[[:punct:]]", r"(?i)[\p{L}\p{M}\p{Nd}\p{Pc}]*[É-ÿ][\p{L}\p{M}\p{Nd}\p{Pc}]+[!-/:-@\[-`{-~]"
+
+
+@query("grep_unicode", rf"WITH {ITEMS} SELECT thread_id, item_index, CAST(len(regexp_extract_all(text, '{UNICODE_WORDS}')) AS BIGINT) AS occurrences FROM items WHERE regexp_matches(text, '{UNICODE_WORDS}')")
+def grep_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return greps.grep(conversation_items(spark, sf_dir), UNICODE_PATTERN, regex=True).select("thread_id", "item_index", "occurrences")
+
+
 @query("occurrences_regex", f"SELECT doc_id, greatest(CAST(len(regexp_extract_all(text, '{PATTERN}')) AS BIGINT), 1) AS occurrences FROM documents")
 def occurrences_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.regex_count(F.col("text"), PATTERN).alias("occurrences"))
@@ -264,14 +274,20 @@ def compact_single_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.compact_line(F.col("text")).alias("line"))
 
 
-@query("compact_preview", f"SELECT doc_id, CASE WHEN length(l) > 160 THEN rtrim(substr(l, 1, 160)) || '...' ELSE l END AS preview FROM (SELECT doc_id, {LINE} AS l FROM documents)")
+@query("compact_preview", f"SELECT doc_id, CASE WHEN length(l) > 160 THEN substr(l, 1, 160) || '...' ELSE l END AS preview FROM (SELECT doc_id, {LINE} AS l FROM documents)")
 def compact_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", text.compact_preview(F.col("text")).alias("preview"))
 
 
-@query("compact_text", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' / ') AS compact FROM documents")
+#: The trimmed lines of a text that are not blank, whatever white space there is.
+COMPACT = r"array_to_string(list_filter(list_transform(string_split({}, chr(10)), lambda x: regexp_replace(x, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), ' / ')"
+
+
+@query("compact_text", f"SELECT doc_id, {COMPACT.format('t')} AS compact FROM (SELECT doc_id, replace(replace(text, '. ', '.' || chr(9) || chr(13) || chr(10) || chr(160)), ', ', chr(10) || chr(9) || chr(10) || ' ') AS t FROM documents)")
 def compact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", text.compact_text(F.col("text")).alias("compact"))
+    """Documents with line ends of several kinds and lines of white space put between sentences."""
+    lines = F.replace(F.replace("text", F.lit(". "), F.lit(".\t\r\n\u00a0")), F.lit(", "), F.lit("\n\t\n "))
+    return load(spark, sf_dir, "documents").select("doc_id", text.compact_text(lines).alias("compact"))
 
 
 @query("grep_hit_ids", f"""WITH {ITEMS}, h AS ({LITERAL}) SELECT thread_id || ':t' || item_index || ':' || kind || ':' || row_number() OVER (PARTITION BY thread_id ORDER BY item_index) AS hit_id, occurrences FROM h""")
@@ -461,7 +477,6 @@ def notable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Session logs: lines made of conversations go the way of log files, from parsing to exports
 
 
-COMPACT = "array_to_string(list_filter(list_transform(string_split({}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' / ')"
 #: What the made lines say, turn by turn; ``tables.conversation_logs`` has the rules. A conversation's
 #: second file begins at the first question from its fifth row on. ``kind``: a made item; ``turn_id``: its turn.
 SAID = f"""rows AS (SELECT conv_id AS c, turn AS t, role, text, 'conv_' || conv_id AS thread_id, conv_id % 4 = 1 AS bare, TIMESTAMP '2026-01-01' + to_minutes(conv_id * 10) AS base,
@@ -486,12 +501,6 @@ def _history(spark: SparkSession, sf_dir: str) -> logs.History:
     return logs.from_lines(conversation_logs(spark, sf_dir))
 
 
-def _staged_history(spark: SparkSession, sf_dir: str) -> logs.History:
-    """As the commands have it: written once, since an export reads each frame several times."""
-    found = _history(spark, sf_dir)
-    return logs.History(*[staged(getattr(found, name), name) for name in ("threads", "turns", "items", "files")])
-
-
 @query("logs_threads", f"""WITH {SAID}, {THREADS} SELECT thread_id, name, preview, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us, cwd, source_kind, status, items_count, commands_count FROM threads""")
 def logs_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = [F.unix_micros(f"{c}_at").alias(f"{c}_us") for c in ("created", "updated")]
@@ -534,7 +543,7 @@ TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
     || '## Commands' || chr(10) || coalesce(commands, '- (none)' || chr(10)) || chr(10) || '## File Changes' || chr(10) || '- (none)' || chr(10) || chr(10) || '## Extracted Notes' || chr(10) || coalesce(notes, '- (none)') AS markdown
   FROM threads LEFT JOIN body USING (thread_id) LEFT JOIN commands USING (thread_id) LEFT JOIN notes USING (thread_id)""")
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _staged_history(spark, sf_dir)
+    found = _history(spark, sf_dir)
     return export.markdown(found.threads, found.turns, found.items)
 
 
@@ -551,5 +560,5 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     || 'NOTABLE ERRORS' || chr(10) || coalesce(l2, '- (none)') || chr(10) || chr(10) || 'USEFUL FOLLOW-UPS' || chr(10) || coalesce(l3, '- (none)') || chr(10) AS pack
   FROM threads LEFT JOIN lists USING (thread_id) LEFT JOIN n USING (thread_id)""")
 def export_prompt_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _staged_history(spark, sf_dir)
+    found = _history(spark, sf_dir)
     return export.prompt_pack(found.threads, found.turns, found.items)

@@ -8,12 +8,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import token_count
+from threadloom.functions import redact
+from threadloom.functions.text import compact_preview, term_count
 from threadloom.operators import grep as greps
 from threadloom.plans import export
 from threadloom.plans.index import Index, item_texts
 from threadloom.sources import logs
-from threadloom.storage import staged
 
 INDEX_VARIABLE = "THREADLOOM_INDEX"
 #: Where texts are in the order of a history, and hits of a search in theirs.
@@ -29,15 +29,14 @@ class Engine:
 
     def __init__(self, spark: SparkSession, paths: list[str] | None = None, index_path: str | None = None, names_path: str | None = None):
         self.spark = spark
-        self.roots = [(p, os.path.exists(p) or "://" in p) for p in paths] if paths else logs.roots()
+        self.roots = [logs.Root("option", p, os.path.exists(p) or "://" in p) for p in paths] if paths else logs.roots()
         self.names_path = names_path or logs.names_file()
         self.index = Index(spark, index_path or os.environ.get(INDEX_VARIABLE) or os.path.expanduser("~/.threadloom/index"))
 
     @cached_property
     def history(self) -> logs.History:
         names = logs.session_names(self.spark, self.names_path) if self.names_path else None
-        found = logs.history(self.spark, [p for p, exists in self.roots if exists], names)
-        return logs.History(staged(found.threads, "threads"), staged(found.turns, "turns"), staged(found.items, "items"), staged(found.files, "files"))
+        return logs.history(self.spark, [x.path for x in self.roots if x.exists], names).written()
 
     def list_threads(self) -> DataFrame:
         """Summaries, the latest update first."""
@@ -67,10 +66,15 @@ class Engine:
             return self.index.fresh_search(query, self.history, limit, thinking, tools)
         return self.index.search(query, limit, thinking, tools)
 
-    def search_occurrences(self, hits: DataFrame, words: list[str]) -> DataFrame:
-        """The hits of a search, which are limited in number, with their ``rank`` and how often they hold the words."""
+    def search_occurrences(self, hits: DataFrame, query: str) -> DataFrame:
+        """The hits of a search, which are limited in number, with their ``rank`` and how often they hold its words."""
         ranked = hits.coalesce(1).withColumn("rank", F.monotonically_increasing_id())
-        return ranked.withColumn("occurrences", F.greatest(token_count(F.col("text"), words), F.lit(1).cast("long")))
+        return ranked.withColumn("occurrences", term_count(F.col("text"), query))
+
+    def shown_threads(self, home: str | None = None) -> DataFrame:
+        """Name, preview and folder of each thread as a person is shown them."""
+        shown = {"name": F.col("name"), "preview": compact_preview(F.col("preview")), "cwd": F.col("cwd")}
+        return self.history.threads.select("thread_id", *[redact.human(x, home).alias(c) for c, x in shown.items()])
 
     def compact_rows(self, hits: DataFrame) -> DataFrame:
         """Hits as rows of a markdown table, with their thread's name or preview and folder."""
@@ -95,6 +99,8 @@ class Engine:
             F.coalesce(F.sum("malformed_lines"), F.lit(0)).alias("malformed_lines"),
         ).first()
         bare = self.history.files.where("thread_id is null").orderBy("path").select("path")
-        warnings = [w for p, _ in self.roots for w in logs.log_files(p)[1]]
+        listed = {x.path: logs.log_files(x.path) for x in self.roots}
+        roots = [{"source": x.source, "path": x.path, "exists": x.exists, "session_files": len(listed[x.path][0])} for x in self.roots]
+        warnings = [w for _, found in listed.values() for w in found]
         warnings += [f"{r['path']}: missing valid thread metadata" for r in bare.toLocalIterator()]
-        return {"roots": [{"path": p, "exists": e} for p, e in self.roots]} | row.asDict() | {"warnings": warnings}
+        return {"roots": roots} | row.asDict() | {"warnings": warnings}

@@ -1,7 +1,8 @@
 """Exports of threads: JSON, markdown and a compact hand-off, as one text for each thread.
 
-Every export is a frame of lines (thread, section, place, line), joined in order at the end,
-so whole histories are rendered as one plan and a single thread is just a filter before it.
+Turns and items are rendered row by row; one aggregate brings those of a thread together in
+their order, and array functions put the lists of its export together. So whole histories are
+rendered with one shuffle, and a single thread is just a filter before it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import redact
-from threadloom.functions.text import compact_text, rfc3339
+from threadloom.functions.text import compact_text, has_text, rfc3339
 
 # What marks an output as an error.
 ERROR_WORDS = "(?i)error|failed|panic|traceback|fatal"
@@ -20,18 +21,6 @@ def names_an_error(text: Column) -> Column:
     return F.rlike(text, F.lit(ERROR_WORDS))
 
 
-def joined(lines: DataFrame, order: list[str], name: str) -> DataFrame:
-    """One text for each thread: its lines in order, joined by line feeds."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, "line")))
-    return lines.groupBy("thread_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias(name))
-
-
-def distinct_lines(rows: DataFrame, value: Column, order: list[str]) -> DataFrame:
-    """``thread_id, at, line``: each thread's compact values, none empty or twice, by first place."""
-    found = rows.select("thread_id", F.struct(*order).alias("at"), compact_text(value).alias("line")).where("line <> ''")
-    return found.groupBy("thread_id", "line").agg(F.min("at").alias("at"))
-
-
 def _time(ts: Column) -> Column:
     return rfc3339(ts, "+00:00")
 
@@ -41,13 +30,8 @@ def _given(label: str, value: Column, around: str = "") -> Column:
     return F.concat(F.lit(f"- {label}: {around}"), value.cast("string"), F.lit(around))
 
 
-def _exploded(frame: DataFrame, section: int, key: list[Column], lines: list[Column]) -> DataFrame:
-    """Several lines of a row as rows; null lines are left out."""
-    listed = F.posexplode(F.array_compact(F.array(*lines)))
-    return frame.select("thread_id", F.lit(section).alias("section"), F.array(*key).cast("array<bigint>").alias("place"), listed.alias("nth", "line"))
-
-
-def _item_lines() -> list[Column]:
+def _item_lines() -> Column:
+    """What the turn of an item shows of it."""
     kind, text = F.col("kind"), F.coalesce(compact_text(F.col("text")), F.lit("(none)"))
     own = F.coalesce(F.col("is_typed"), F.lit(True))
     of = lambda name: own & (kind == name)
@@ -62,104 +46,110 @@ def _item_lines() -> list[Column]:
         .when(of("mcp_tool_call"), F.concat(F.lit("- MCP Tool Call: "), F.coalesce(compact_text(F.coalesce("tool", "server")), F.lit("(none)"))))
         .otherwise(F.concat(F.lit("- Other Item ("), kind, F.lit("): (preserved)")))
     )
-    command = of("command_execution")
-    return [
+    return _joined(
         first,
-        F.when(command, _given("Command Cwd", F.col("cwd"), "`")),
-        F.when(command, _given("Command Exit Code", F.col("exit_code"))),
-        F.when(command, _given("Command Output", compact_text(F.col("output")))),
-    ]
+        F.when(of("command_execution"), _given("Command Cwd", F.col("cwd"), "`")),
+        F.when(of("command_execution"), _given("Command Exit Code", F.col("exit_code"))),
+        F.when(of("command_execution"), _given("Command Output", compact_text(F.col("output")))),
+    )
+
+
+def _joined(*lines: Column) -> Column:
+    """Lines as one text; null lines are left out."""
+    return F.array_join(F.array_compact(F.array(*lines)), "\n")
 
 
 def _updated() -> Column:
     return _time(F.coalesce("updated_at", "created_at"))
 
 
-def _notes(items: DataFrame) -> DataFrame:
-    return distinct_lines(items.where("is_typed and kind in ('agent_message', 'reasoning_summary')"), F.col("text"), ["turn_pos", "item_index"])
+def _by_thread(threads: DataFrame, turns: DataFrame, items: DataFrame, turn: dict[str, Column], item: dict[str, Column]) -> DataFrame:
+    """``threads`` with ``entries``, an array of their turns and items in order, each with the named columns.
+
+    One aggregate brings a thread's entries together; a turn stands before its items. Columns
+    that only the other kind of entry has are null.
+    """
+    at = ["turn_pos", "item_index"]
+    heads = turns.select("thread_id", "turn_pos", F.lit(-1).cast("long").alias("item_index"), *[v.alias(k) for k, v in turn.items()])
+    rows = heads.unionByName(items.select("thread_id", *at, *[v.alias(k) for k, v in item.items()]), allowMissingColumns=True)
+    listed = rows.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct(*at, *[c for c in rows.columns if c not in ("thread_id", *at)]))).alias("entries"))
+    none = F.array().cast(listed.schema["entries"].dataType)
+    found = threads.join(listed, "thread_id", "left").withColumn("entries", F.coalesce("entries", none))
+    return found.withColumn("n_turns", F.size(F.filter("entries", lambda e: e["item_index"] < 0)))
 
 
-def _listed(threads: DataFrame, section: int, title: str, found: DataFrame, empty: str = "- (none)", gap: bool = False) -> DataFrame:
-    """A titled list: its lines in order, or a word for none."""
-    key = lambda k: [F.lit(k)]
-    head = _exploded(threads, section, key(0), [F.lit(title)])
-    order = F.col("at")
-    ranked = found.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct(order, "line"))).alias("x"))
-    body = ranked.select("thread_id", F.posexplode("x").alias("p", "v")).select("thread_id", F.lit(section).alias("section"), F.array(F.lit(1), F.col("p")).cast("array<bigint>").alias("place"), F.lit(0).alias("nth"), F.concat(F.lit("- "), "v.line").alias("line"))
-    none = _exploded(threads.join(ranked, "thread_id", "left_anti"), section, key(1), [F.lit(empty)])
-    parts = head.unionByName(body).unionByName(none)
-    return parts.unionByName(_exploded(threads, section, key(2), [F.lit("")])) if gap else parts
+def _every(name: str) -> Column:
+    """A column's values that are not null, in the order of the entries."""
+    return F.array_compact(F.transform("entries", lambda e: e[name]))
+
+
+def _list(title: str, lines: Column) -> Column:
+    """A titled list of lines, or a word for none."""
+    shown = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("- (none)")
+    return F.concat(F.lit(f"{title}\n"), shown)
+
+
+def _once(values: Column) -> Column:
+    """Compact values as a list's lines, none empty or twice, by first place."""
+    return F.transform(F.array_distinct(F.filter(F.transform(values, compact_text), lambda x: x != "")), lambda x: F.concat(F.lit("- "), x))
+
+
+def _numbered(name: str, parts: Column) -> Column:
+    """Parts with numbered headings, each followed by an empty line."""
+    return F.transform(parts, lambda x, i: F.concat(F.lit(f"### {name} "), (i + 1).cast("string"), F.lit("\n"), x, F.lit("\n")))
 
 
 def markdown(threads: DataFrame, turns: DataFrame, items: DataFrame) -> DataFrame:
     """``thread_id, markdown``: metadata, turns with their items, commands, changed files and notes."""
+    of = lambda *kinds: F.col("is_typed") & F.col("kind").isin(*kinds)
+    head = _joined(F.concat(F.lit("### "), "turn_id"), _given("Status", F.col("status")), _given("Started At", _time(F.col("started_at"))), _given("Completed At", _time(F.col("completed_at"))))
+    item = {
+        "line": _item_lines(), "note": F.when(of("agent_message", "reasoning_summary"), F.col("text")),
+        "command": F.when(of("command_execution"), _joined(_given("Command", F.coalesce("command", F.lit("(unknown)")), "`"), _given("Cwd", F.col("cwd"), "`"), _given("Exit Code", F.col("exit_code")), _given("Output", compact_text(F.col("output"))))),
+        "change": F.when(of("file_change"), _joined(_given("Path", F.col("path"), "`"), _given("Change Type", F.col("change_type")), _given("Summary", compact_text(F.col("summary"))))),
+    }
+    rows = _by_thread(threads, turns, items, {"head": head}, item)
+
+    # Before a turn's head stands an empty line, and after a head without items a word for none.
+    entry, no_item = F.col("entries"), "\n- Item: (none)"
+    ends = lambda i: F.coalesce(F.get(entry, i + 1)["item_index"] < 0, F.lit(True))
+    shown = F.transform(entry, lambda e, i: F.when(e["head"].isNull(), e["line"]).otherwise(F.concat(F.when(i > 0, "\n").otherwise(""), e["head"], F.when(ends(i), no_item).otherwise(""))))
     text = lambda c, empty: F.coalesce(compact_text(F.col(c)), F.lit(empty))
-    counted = threads.join(turns.groupBy("thread_id").agg(F.count("*").alias("__turns")), "thread_id", "left")
-    metadata = [
-        F.lit("# Thread Export"), F.lit(""), F.lit("## Metadata"), _given("Thread ID", F.col("thread_id")), _given("Name", text("name", "(unnamed)")), _given("Preview", text("preview", "(none)")),
+    metadata = _joined(
+        F.lit("# Thread Export\n\n## Metadata"), _given("Thread ID", F.col("thread_id")), _given("Name", text("name", "(unnamed)")), _given("Preview", text("preview", "(none)")),
         _given("Created At", _time(F.col("created_at"))), _given("Updated At", _updated()), _given("Status", F.col("status")), _given("Cwd", F.col("cwd"), "`"), _given("Source Kind", F.col("source_kind")),
-        _given("Model Provider", F.col("model_provider")), _given("Ephemeral", F.col("ephemeral")), _given("Turns", F.coalesce("__turns", F.lit(0))), _given("Items", F.col("items_count")),
-        _given("Commands", F.col("commands_count")), _given("Files Changed", F.col("files_changed_count")), F.lit(""), F.lit("## Turns"),
-    ]
-    lines = _exploded(counted, 0, [F.lit(0)], metadata)
-    lines = lines.unionByName(_exploded(threads.join(turns, "thread_id", "left_anti"), 1, [F.lit(0)], [F.lit("- (none)"), F.lit("")]))
-    turn_head = [F.concat(F.lit("### "), "turn_id"), _given("Status", F.col("status")), _given("Started At", _time(F.col("started_at"))), _given("Completed At", _time(F.col("completed_at")))]
-    at = F.col("turn_pos")
-    lines = lines.unionByName(_exploded(turns, 1, [at, F.lit(0)], turn_head)).unionByName(_exploded(turns, 1, [at, F.lit(2)], [F.lit("")]))
-    lines = lines.unionByName(_exploded(items, 1, [at, F.lit(1), F.col("item_index")], _item_lines()))
-    lines = lines.unionByName(_exploded(turns.join(items.select("thread_id", "turn_id"), ["thread_id", "turn_id"], "left_anti"), 1, [at, F.lit(1)], [F.lit("- Item: (none)")]))
-    sections = [
-        (2, "Commands", "Command", "command_execution", [_given("Command", F.coalesce("command", F.lit("(unknown)")), "`"), _given("Cwd", F.col("cwd"), "`"), _given("Exit Code", F.col("exit_code")), _given("Output", compact_text(F.col("output")))]),
-        (3, "File Changes", "File Change", "file_change", [_given("Path", F.col("path"), "`"), _given("Change Type", F.col("change_type")), _given("Summary", compact_text(F.col("summary")))]),
-    ]
-    for section, title, name, kind, shown in sections:
-        own = items.where((F.col("kind") == kind) & F.col("is_typed"))
-        listed = own.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("turn_pos", "item_index", "command", "cwd", "exit_code", "output", "path", "change_type", "summary"))).alias("x"))
-        numbered = listed.select("thread_id", F.posexplode("x").alias("p", "v")).select("thread_id", "p", "v.*")
-        lines = lines.unionByName(_exploded(threads, section, [F.lit(0)], [F.lit(f"## {title}")]))
-        lines = lines.unionByName(_exploded(threads.join(own, "thread_id", "left_anti"), section, [F.lit(1)], [F.lit("- (none)")]))
-        lines = lines.unionByName(_exploded(numbered, section, [F.lit(1), F.col("p")], [F.concat(F.lit(f"### {name} "), (F.col("p") + 1).cast("string")), *shown, F.lit("")]))
-        # A list without entries is followed by no empty line of its own.
-    lines = lines.unionByName(_listed(threads, 4, "## Extracted Notes", _notes(items)))
-    return joined(_spaced(lines, threads, items), ["section", "place", "nth"], "markdown")
-
-
-def _spaced(lines: DataFrame, threads: DataFrame, items: DataFrame) -> DataFrame:
-    """An empty line before each heading that follows a list without entries."""
-    for section, kind in ((3, "command_execution"), (4, "file_change")):
-        bare = threads.join(items.where((F.col("kind") == kind) & F.col("is_typed")), "thread_id", "left_anti")
-        lines = lines.unionByName(_exploded(bare, section, [F.lit(-1)], [F.lit("")]))
-    return lines
+        _given("Model Provider", F.col("model_provider")), _given("Ephemeral", F.col("ephemeral")), _given("Turns", F.col("n_turns")), _given("Items", F.col("items_count")),
+        _given("Commands", F.col("commands_count")), _given("Files Changed", F.col("files_changed_count")),
+    )
+    # A list without entries is followed by one empty line, as each entry is.
+    section = lambda title, parts: F.concat(F.lit(f"## {title}\n"), F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise("- (none)\n"))
+    turn_lines = F.concat(F.lit("## Turns\n"), F.when(F.col("n_turns") > 0, F.array_join(shown, "\n")).otherwise("- (none)"), F.lit("\n"))
+    commands, changes = _numbered("Command", _every("command")), _numbered("File Change", _every("change"))
+    whole = _joined(F.concat(metadata, F.lit("\n")), turn_lines, section("Commands", commands), section("File Changes", changes), _list("## Extracted Notes", _once(_every("note"))))
+    return rows.select("thread_id", whole.alias("markdown"))
 
 
 def prompt_pack(threads: DataFrame, turns: DataFrame, items: DataFrame) -> DataFrame:
     """``thread_id, pack``: objective, context, commands, files, errors and what is left to do."""
-    order = ["turn_pos", "item_index"]
-    typed = items.where("is_typed")
-    asked = typed.where((F.col("kind") == "user_message") & (F.trim("text") != "")).groupBy("thread_id").agg(F.min_by("text", F.struct(*order)).alias("__asked"))
-    counted = threads.join(turns.groupBy("thread_id").agg(F.count("*").alias("__turns")), "thread_id", "left").join(asked, "thread_id", "left")
-    objective = F.coalesce(compact_text(F.coalesce("__asked", "preview", "name")), F.lit("(none)"))
-    head = [
+    of = lambda *kinds: F.col("is_typed") & F.col("kind").isin(*kinds)
+    command = of("command_execution")
+    code = F.when(F.col("exit_code") != 0, F.concat(F.coalesce("command", F.lit("(unknown)")), F.lit(" exited with code "), F.col("exit_code").cast("string")))
+    item = {
+        "asked": F.when(of("user_message") & has_text(F.col("text")), F.col("text")), "command": F.when(command, F.col("command")), "path": F.when(of("file_change"), F.col("path")),
+        "failure": F.when(command, code), "error": F.when(command & names_an_error(F.col("output")), F.col("output")), "note": F.when(of("agent_message", "reasoning_summary"), F.col("text")),
+    }
+    left = F.when(F.col("status") != "completed", F.concat(F.lit("Turn "), "turn_id", F.lit(" is still "), "status"))
+    rows = _by_thread(threads, turns, items, {"left": left}, item)
+    objective = F.coalesce(compact_text(F.coalesce(F.get(_every("asked"), F.lit(0)), "preview", "name")), F.lit("(none)"))
+    head = _joined(
         F.lit("OBJECTIVE"), objective, F.lit(""), F.lit("KEY CONTEXT"), _given("name", compact_text(F.col("name"))), _given("thread_id", F.col("thread_id")), _given("created_at", _time(F.col("created_at"))),
         _given("updated_at", _updated()), _given("status", F.col("status")), _given("cwd", F.col("cwd")), _given("source_kind", F.col("source_kind")), _given("model_provider", F.col("model_provider")),
-        _given("turns", F.coalesce("__turns", F.lit(0))), _given("items", F.col("items_count")), _given("commands", F.col("commands_count")), _given("files_changed", F.col("files_changed_count")), F.lit(""),
-    ]
-    commands = typed.where("kind = 'command_execution'")
-    code = F.when(F.col("exit_code") != 0, F.concat(F.coalesce("command", F.lit("(unknown)")), F.lit(" exited with code "), F.col("exit_code").cast("string")))
-    output = F.when(names_an_error(F.col("output")), F.col("output"))
-    errors = commands.select("thread_id", *order, F.posexplode(F.array(code, output)).alias("nth", "v")).where("v is not null")
-    open_turns = turns.where("status <> 'completed'").select("thread_id", (F.col("turn_pos") + 2**40).alias("turn_pos"), F.lit(0).cast("long").alias("item_index"), F.concat(F.lit("Turn "), "turn_id", F.lit(" is still "), "status").alias("v"))
-    todo = typed.where("kind in ('agent_message', 'reasoning_summary')").select("thread_id", *order, F.col("text").alias("v")).unionByName(open_turns)
-    lists = [
-        ("COMMANDS SEEN", distinct_lines(commands, F.col("command"), order)),
-        ("FILES TOUCHED", distinct_lines(typed.where("kind = 'file_change'"), F.col("path"), order)),
-        ("NOTABLE ERRORS", distinct_lines(errors, F.col("v"), [*order, "nth"])),
-        ("USEFUL FOLLOW-UPS", distinct_lines(todo, F.col("v"), order)),
-    ]
-    lines = _exploded(counted, 0, [F.lit(0)], head)
-    for section, (title, found) in enumerate(lists, 1):
-        lines = lines.unionByName(_listed(threads, section, title, found, gap=True))
-    return joined(lines, ["section", "place", "nth"], "pack")
+        _given("turns", F.col("n_turns")), _given("items", F.col("items_count")), _given("commands", F.col("commands_count")), _given("files_changed", F.col("files_changed_count")),
+    )
+    errors = F.array_compact(F.flatten(F.transform("entries", lambda e: F.array(e["failure"], e["error"]))))
+    lists = {"COMMANDS SEEN": _every("command"), "FILES TOUCHED": _every("path"), "NOTABLE ERRORS": errors, "USEFUL FOLLOW-UPS": F.concat(_every("note"), _every("left"))}
+    pack = F.concat_ws("\n\n", head, *[_list(title, _once(values)) for title, values in lists.items()])
+    return rows.select("thread_id", F.concat(pack, F.lit("\n")).alias("pack"))
 
 
 def details(threads: DataFrame, turns: DataFrame, items: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ class Index:
         if new + changed:
             stale = classes.where("freshness <> 'unchanged'").select("thread_id")
             only = lambda x: x.join(stale, "thread_id", "left_semi")
-            tables = self._tables(History(only(history.threads), only(history.turns), only(history.items), history.files))
+            tables = self._tables(History.of(only(history.threads), only(history.turns), only(history.items), history.files))
             facts["versions"] += f",{version}"
         done = {"new_threads": new, "changed_threads": changed, "unchanged_threads": counts.get("unchanged", 0), "indexed_threads": new + changed}
         return self._write(version, tables, known, facts) | {k: str(v) for k, v in done.items()}

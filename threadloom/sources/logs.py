@@ -1,9 +1,10 @@
 """Session logs: directories of JSONL files folded into frames of threads, turns and items.
 
-A log file is one shard of a thread. Its events are folded in the order of its lines by
-windows over the file; shards are then merged by thread. Lines are read with Spark's
-splittable text source and placed by their block and row, so a large file is read and parsed
-by many tasks without a shuffle; only the fold of one file brings its events together.
+A log file is one shard of a thread. Lines are read with Spark's splittable text source and
+placed by their block and row, so a large file is read and parsed by many tasks without a
+shuffle. Its events are folded in the order of its lines by segments of lines: many tasks fold
+one file, and only a short summary of each segment meets those of the others. Shards are then
+merged by thread.
 
 Nothing fails on bad input: lines that are no JSON objects, have wrong types or no turn to
 belong to are counted as malformed.
@@ -11,43 +12,87 @@ belong to are counted as malformed.
 
 from __future__ import annotations
 
-import json
 import os
-import sys
-from dataclasses import dataclass
+from functools import cached_property
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import has_text
 from threadloom.operators import fold, merge
+from threadloom.sources.events import ITEM, deepened, events, text_field
 from threadloom.storage import staged
 
 ROOT_VARIABLE = "THREADLOOM_HISTORY"
 NAMES_VARIABLE = "THREADLOOM_NAMES"
-EXEC_TOOLS = ("exec_command", "shell")
-TYPED_KINDS = ("user_message", "agent_message", "command_execution", "file_change", "reasoning_summary", "web_search", "mcp_tool_call")
-_RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+#: Lines of a segment, as a power of two.
+SEGMENT_BITS = 13
 FILE, LINE = ["root_no", "path"], ["line_no"]
 CALL, CALL_ORDER = ["thread_id", "call_id"], ["file_seq", "line_no"]
 
 
-@dataclass
 class History:
-    """The frames of a history; ``files`` has one row for each log file with its counts."""
+    """The frames of a history; ``files`` has one row for each log file with its counts.
 
-    threads: DataFrame
-    turns: DataFrame
-    items: DataFrame
-    files: DataFrame
+    What several frames are made of is written to the shared folder when it is first needed.
+    ``threads`` and ``items`` are not; use ``written`` where they are read more than once.
+    """
+
+    def __init__(self, rows: DataFrame, names: DataFrame | None = None):
+        self._rows, self._names = rows, names
+
+    @classmethod
+    def of(cls, threads: DataFrame, turns: DataFrame, items: DataFrame, files: DataFrame) -> History:
+        """A history of given frames."""
+        found = cls(files)
+        found.threads, found.turns, found.items, found.files = threads, turns, items, files
+        return found
+
+    @cached_property
+    def _shards(self) -> DataFrame:
+        return staged(_files(self._rows), "files")
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self._shards.select("path", "thread_id", "malformed_lines")
+
+    @cached_property
+    def _all_items(self) -> DataFrame:
+        return staged(_commands_once(_all_items(self._rows)), "placed-items")
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        return staged(_turns(self._rows, self._shards, self._all_items), "turns")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return _numbered(self._all_items, self.turns)
 
+    @cached_property
+    def threads(self) -> DataFrame:
+        found = _threads(self._shards, self._all_items)
+        return found if self._names is None else merge.back_fill(found, self._names, "thread_id", "name")
 
-def roots(home: str | None = None) -> list[tuple[str, bool]]:
-    """The log folders and whether each exists: the one in ``$THREADLOOM_HISTORY``, else the usual ones."""
+    def written(self) -> History:
+        """The same history with all its frames in the shared folder."""
+        return History.of(staged(self.threads, "threads"), self.turns, staged(self.items, "items"), self.files)
+
+
+class Root(NamedTuple):
+    """A log folder and what named it."""
+
+    source: str
+    path: str
+    exists: bool
+
+
+def roots(home: str | None = None) -> list[Root]:
+    """The log folders: the one in ``$THREADLOOM_HISTORY``, else the usual ones."""
     given = os.environ.get(ROOT_VARIABLE)
     home = home or os.path.expanduser("~")
-    paths = [given] if given else [f"{home}/.threadloom/sessions", f"{home}/.threadloom/archived_sessions"]
-    return [(p, os.path.exists(p)) for p in dict.fromkeys(paths)]
+    named = [(ROOT_VARIABLE, given)] if given else [(f"default:~/.threadloom/{name}", f"{home}/.threadloom/{name}") for name in ("sessions", "archived_sessions")]
+    return [Root(source, path, os.path.exists(path)) for source, path in named]
 
 
 def names_file(home: str | None = None) -> str | None:
@@ -80,7 +125,7 @@ def log_files(path: str) -> tuple[list[str], list[str]]:
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``root_no, path, file_seq, line_no, raw`` of the lines of all ``.jsonl`` files below the paths, blank ones left out.
+    """``root_no, path, file_seq, line_no, segment, raw`` of the lines of all ``.jsonl`` files below the paths, blank ones left out.
 
     ``line_no`` is a line's place: its block's first byte and its row, which have the order of the lines.
     """
@@ -98,259 +143,63 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def placed(read: DataFrame) -> DataFrame:
-    """Lines (``root_no, path, line_no, raw``) with the order of their file, blank ones left out."""
+    """Lines (``root_no, path, line_no, raw``) with the order of their file and their segment, blank ones left out."""
     seq = F.struct("root_no", F.split("path", "/").alias("parts"))
-    return read.where(F.trim("raw") != "").select("root_no", "path", seq.alias("file_seq"), "line_no", "raw")
-
-
-# Values of a JSON line
-
-
-def _at(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
-
-
-def _kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING and so on; null where there is nothing."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
-
-
-def _text(v: Column, key: str) -> Column:
-    """A field's text, if it is one."""
-    return F.when(_kind(_at(v, key)) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
-
-
-def _absent_or_text(v: Column, key: str) -> Column:
-    return F.coalesce(_kind(_at(v, key)).isin("STRING", "VOID"), F.lit(True))
-
-
-def _is_object(v: Column) -> Column:
-    return F.coalesce(_kind(v) == "OBJECT", F.lit(False))
-
-
-def _time(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit(_RFC3339)), F.upper(text).try_cast("timestamp"))
-
-
-def _fields(v: Column, *without: str) -> Column:
-    """The other fields of an object as a map to their JSON texts."""
-    cells = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: ~k.isin(*without))
-    return F.transform_values(cells, lambda k, x: F.coalesce(F.to_json(x), F.lit("null")))
-
-
-def _content(v: Column, inner: bool = True) -> Column:
-    """The text in message content: a text, an object's text, content or summary, or the parts of an array.
-
-    Content within content is looked into where it is a text; see ``deepened`` for all else.
-    """
-    whole = F.try_variant_get(v, "$", "string")
-    plain = F.when((_kind(v) == "STRING") & (whole != ""), whole)
-    if not inner:
-        return plain
-
-    def part(x: Column) -> Column:
-        own = _text(x, "text")
-        inside = F.coalesce(F.when(own != "", own), _content(_at(x, "content"), False), _content(_at(x, "summary"), False))
-        alone = F.try_variant_get(x, "$", "string")
-        return F.when((_kind(x) == "STRING") & (alone != ""), alone).when(_kind(x) == "OBJECT", inside)
-
-    parts = F.array_compact(F.transform(F.try_variant_get(v, "$", "array<variant>"), part))
-    return F.coalesce(plain, F.when(_kind(v) == "ARRAY", F.when(F.size(parts) > 0, F.array_join(parts, "\n\n"))), F.when(_kind(v) == "OBJECT", part(v)))
-
-
-def _nested(v: Column) -> Column:
-    """The JSON of content that holds content or a summary of its own; null for any other, which ``_content`` reads."""
-    own = F.to_json(v)
-    return F.when(F.rlike(own, F.lit(r'"(?:content|summary)"\s*:\s*[\[{]')), own)
-
-
-def _content_text(found: object) -> str | None:
-    """``_content`` at any depth."""
-    if isinstance(found, str):
-        return found or None
-    if isinstance(found, list):
-        parts = [text for x in found if isinstance(x, str | dict) and (text := _content_text(x))]
-        return "\n\n".join(parts) if parts else None
-    if isinstance(found, dict):
-        own = found.get("text")
-        return own if isinstance(own, str) and own else _content_text(found.get("content")) or _content_text(found.get("summary"))
-    return None
-
-
-def _deep_texts(content: pd.Series) -> pd.Series:
-    sys.setrecursionlimit(max(10_000, sys.getrecursionlimit()))
-    return content.map(lambda x: None if x is None else _content_text(json.loads(x)))
-
-
-def deepened(rows: DataFrame) -> DataFrame:
-    """Staged ``events`` with the texts of content that nests further: only these rows, if there are any, go through Arrow batches."""
-    if rows.where("deep is not null").isEmpty():
-        return rows.drop("deep")
-    return rows.where("deep is null").drop("deep").unionByName(_deepened(rows.where("deep is not null")))
-
-
-def _deepened(rows: DataFrame) -> DataFrame:
-    d, read = F.col("deep"), F.pandas_udf(_deep_texts, "string")
-    content, shown = (F.coalesce(read(d[c]), d[f"plain_{c}"]) for c in ("content", "shown"))
-    text = F.when(d["thought"], F.coalesce(shown, content, d["text"])).otherwise(F.coalesce(content, d["text"]))
-    return rows.withColumn("item", F.col("item").withField("text", text)).drop("deep")
-
-
-def _words(v: Column) -> Column:
-    """An array of texts joined by spaces; null for anything else."""
-    parts = F.try_variant_get(v, "$", "array<variant>")
-    sound = (_kind(v) == "ARRAY") & (F.size(parts) > 0) & F.forall(parts, lambda x: _kind(x) == "STRING")
-    return F.when(sound, F.array_join(F.transform(parts, lambda x: F.try_variant_get(x, "$", "string")), " "))
-
-
-# Events
-
-
-def events(raw: DataFrame) -> DataFrame:
-    """Each line's event: what it does (``act``), times, ids and the item that it may become."""
-    rows = raw.withColumn("v", F.when(F.is_valid_utf8("raw"), F.try_parse_json("raw")))
-    v, p = F.col("v"), F.col("p")
-    rows = rows.withColumn("t", F.when(_is_object(v), _text(v, "type"))).withColumn("p", _at(v, "payload"))
-    stamp = _text(v, "timestamp")
-    rows = rows.withColumn("ts", _time(stamp)).withColumn("pt", F.when(_is_object(p), _text(p, "type")))
-    sealed = F.coalesce(_kind(_at(v, "timestamp")) == "VOID", F.lit(True)) | _time(stamp).isNotNull()
-    t, pt = F.col("t"), F.col("pt")
-    event, response = (t == "event_msg") & sealed & pt.isNotNull(), (t == "response_item") & sealed & pt.isNotNull()
-    texts = lambda of, *keys: F.reduce(F.array(*[_absent_or_text(of, k) for k in keys]), F.lit(True), lambda a, b: a & b)
-    meta = (t == "session_meta") & sealed & _text(p, "id").isNotNull() & _time(_text(p, "timestamp")).isNotNull() & texts(p, "name", "title", "cwd", "originator", "model_provider")
-    legacy_thread = (t == "thread") & _text(v, "thread_id").isNotNull() & _time(_text(v, "created_at")).isNotNull() & texts(v, "name", "preview", "cwd", "source_kind", "model_provider", "status")
-    legacy_turn = (t == "turn") & _text(v, "turn_id").isNotNull() & _text(v, "status").isNotNull()
-    code = _at(v, "exit_code")
-    whole_code = F.coalesce(_kind(code).isin("VOID", "BIGINT", "INT"), F.lit(True)) & F.coalesce((_kind(code) == "VOID") | F.try_variant_get(v, "$.exit_code", "int").isNotNull(), F.lit(True))
-    legacy_item = (t == "item") & _text(v, "turn_id").isNotNull() & _text(v, "kind").isNotNull() & ((_text(v, "kind") != "command_execution") | whole_code)
-    named = {"session_meta", "thread", "turn", "item", "turn_context", "event_msg", "response_item"}
-    call = response & (pt == "function_call")
-    act = (
-        F.when(meta, "meta").when(legacy_thread, "thread").when(legacy_turn, "turn").when(legacy_item, "item")
-        .when((t == "turn_context") & sealed & _is_object(p), "context")
-        .when(event & (pt == "task_started"), "started").when(event & (pt == "task_complete"), "complete").when(event, "event")
-        .when(call & _text(p, "name").isin(*EXEC_TOOLS) & _text(p, "call_id").isNotNull(), "exec")
-        .when(call & _text(p, "name").isNotNull() & ~_text(p, "name").isin(*EXEC_TOOLS), "tool")
-        .when(call, "bad_call").when(response & (pt == "function_call_output") & _text(p, "call_id").isNotNull(), "output")
-        .when(response & (pt == "function_call_output"), "bad").when(response, "response")
-        .when(t.isNotNull() & ~t.isin(*named), "unknown").otherwise("bad")
-    )
-    rows = rows.withColumn("act", act)
-    act = F.col("act")
-    legacy = act.isin("turn", "item", "unknown")
-    rows = rows.withColumn("turn_ref", F.when(legacy, _text(v, "turn_id")).otherwise(_text(p, "turn_id")))
-    source = F.coalesce(_text(p, "source"), F.when(_kind(_at(p, "source")) == "OBJECT", F.array_min(F.map_keys(F.try_variant_get(p, "$.source", "map<string,variant>")))), _text(p, "originator"))
-    summary = F.when(act == "meta", F.struct(
-        _text(p, "id").alias("thread_id"), F.coalesce(_text(p, "name"), _text(p, "title")).alias("name"), F.lit(None).cast("string").alias("preview"),
-        _time(_text(p, "timestamp")).alias("created_at"), F.coalesce("ts", _time(_text(p, "timestamp"))).alias("updated_at"), _text(p, "cwd").alias("cwd"),
-        source.alias("source_kind"), _text(p, "model_provider").alias("model_provider"), F.lit(None).cast("boolean").alias("ephemeral"), F.lit("running").alias("status"),
-    )).when(act == "thread", F.struct(
-        _text(v, "thread_id").alias("thread_id"), _text(v, "name").alias("name"), _text(v, "preview").alias("preview"),
-        _time(_text(v, "created_at")).alias("created_at"), _time(_text(v, "updated_at")).alias("updated_at"), _text(v, "cwd").alias("cwd"),
-        _text(v, "source_kind").alias("source_kind"), _text(v, "model_provider").alias("model_provider"), F.try_variant_get(v, "$.ephemeral", "boolean").alias("ephemeral"), _text(v, "status").alias("status"),
-    ))
-    rows = rows.withColumn("summary", summary).withColumn("content", F.when(act == "response", _content(_at(p, "content")))).withColumn("shown", F.when(act == "response", _content(_at(p, "summary"))))
-    nested = {c: _nested(_at(p, key)) for c, key in (("content", "content"), ("shown", "summary"))}
-    deep = F.struct(*[x.alias(c) for c, x in nested.items()], F.col("content").alias("plain_content"), F.col("shown").alias("plain_shown"), _text(p, "text").alias("text"), (pt == "reasoning").alias("thought"))
-    deep = F.when((act == "response") & pt.isin("message", "reasoning") & F.coalesce(*nested.values()).isNotNull(), deep)
-    return rows.select("root_no", "path", "file_seq", "line_no", "act", "ts", "turn_ref", "summary", _item(v, p, act, pt, t).alias("item"), deep.alias("deep"), _text(p, "call_id").alias("call_id"), F.when(act == "turn", F.struct(_text(v, "status").alias("status"), _time(_text(v, "started_at")).alias("started_at"), _time(_text(v, "completed_at")).alias("completed_at"))).alias("legacy_turn"))
-
-
-_ITEM = ["text", "command", "exit_code", "cwd", "output", "path", "change_type", "summary", "query", "title", "url", "server", "tool", "arguments", "attributes"]
-
-
-def _item(v: Column, p: Column, act: Column, pt: Column, t: Column) -> Column:
-    """The item that a line describes, with null where its kind has no such field; null if it describes none."""
-    kinds = {"text": "string", "exit_code": "int", "attributes": "map<string,string>"}
-
-    def item(kind: Column, typed: bool = True, **fields: Column) -> Column:
-        cells = [fields[c].alias(c) if c in fields else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in _ITEM]
-        return F.struct(kind.alias("kind"), F.lit(typed).alias("is_typed"), *cells)
-
-    none = F.lit(None).cast("map<string,string>")
-    arguments = F.coalesce(_text(p, "arguments"), F.lit(""))
-    parsed = F.try_parse_json(arguments)
-    own = F.coalesce(_text(parsed, "cmd"), F.when(_at(parsed, "cmd").isNull(), F.coalesce(_text(parsed, "command"), _words(_at(parsed, "command")))), _words(_at(parsed, "argv")), _words(_at(parsed, "args")))
-    call_id = F.map_filter(_fields(p), lambda k, x: k == "call_id")
-    exec_item = item(
-        F.lit("command_execution"),
-        command=F.when(_is_object(parsed), own).otherwise(arguments),
-        cwd=F.when(_is_object(parsed), _text(parsed, "cwd")),
-        attributes=F.when(_is_object(parsed), F.map_concat(F.map_filter(_fields(parsed, "cmd", "command", "cwd"), lambda k, x: k != "call_id"), call_id)).otherwise(call_id),
-    )
-    said = _text(p, "message")
-    role = F.when(_text(p, "role") == "assistant", "agent_message").otherwise("user_message")
-    message = F.coalesce("content", _text(p, "text"))
-    thought = F.coalesce("shown", "content", _text(p, "text"))
-    tool_arguments = F.when(_text(p, "arguments").isNotNull(), F.coalesce(F.to_json(parsed), F.regexp_extract(F.to_json(F.array(arguments)), r"(?s)^\[(.*)\]$", 1)))
-    kind = _text(v, "kind")
-    legacy = item(
-        kind, True,
-        **{c: _text(v, c) for c in _ITEM if c not in ("exit_code", "arguments", "attributes")},
-        exit_code=F.try_variant_get(v, "$.exit_code", "int"), arguments=F.to_json(_at(v, "arguments")),
-        attributes=_fields(v, "type", "turn_id", "kind", *[c for c in _ITEM if c != "attributes"]),
-    )
-    legacy_other = item(kind, False, attributes=_fields(v, "type", "turn_id", "kind"))
-    return (
-        F.when((act == "event") & (pt == "user_message"), F.when(said.isNotNull(), item(F.lit("user_message"), text=said, attributes=none)))
-        .when((act == "event") & (pt == "agent_message"), F.when(said.isNotNull(), item(F.lit("agent_message"), text=said, attributes=none)))
-        .when((act == "event") & (pt == "agent_reasoning"), F.when(_text(p, "text").isNotNull(), item(F.lit("reasoning_summary"), text=_text(p, "text"), attributes=none)))
-        .when(act == "event", item(F.concat(F.lit("event:"), pt), False, attributes=_fields(p, "type", "turn_id")))
-        .when(act == "exec", exec_item)
-        .when(act == "tool", item(F.lit("mcp_tool_call"), tool=_text(p, "name"), arguments=tool_arguments, attributes=_fields(p, "type", "name", "arguments")))
-        .when(act == "output", item(F.lit("function_call_output"), False, output=_text(p, "output"), attributes=_fields(p, "type", "turn_id")))
-        .when((act == "response") & (pt == "message"), item(role, text=message, attributes=_fields(p, "type", "turn_id", "content", "text")))
-        .when((act == "response") & (pt == "reasoning"), item(F.lit("reasoning_summary"), text=thought, attributes=_fields(p, "type", "turn_id", "summary", "content", "text", "encrypted_content")))
-        .when(act == "response", item(pt, False, attributes=_fields(p, "type", "turn_id")))
-        .when((act == "item") & kind.isin(*TYPED_KINDS), legacy)
-        .when(act == "item", legacy_other)
-        .when(act == "unknown", item(F.concat(F.lit("event:"), t), False, attributes=_fields(v, "type", "turn_id")))
-    )
+    segment = F.struct("line_no.block", F.shiftright("line_no.row", SEGMENT_BITS).alias("part"))
+    return read.where(has_text(F.col("raw"))).select("root_no", "path", seq.alias("file_seq"), "line_no", segment.alias("segment"), "raw")
 
 
 # Fold of each file
 
 
 def folded(rows: DataFrame) -> DataFrame:
-    """``events`` with the thread of their file, their turn, whether they count (``ok``), and calls paired with outputs."""
-    act, line = F.col("act"), F.col("line_no")
-    file = Window.partitionBy(*FILE)
-    so_far = file.orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    meta_line = F.when(F.col("summary").isNotNull(), line)
-    rows = rows.withColumn("thread_id", F.max_by(F.col("summary.thread_id"), meta_line).over(file)).withColumn("meta_line", F.max(meta_line).over(file)).withColumn("has_thread", F.max(meta_line).over(so_far).isNotNull())
+    """``events`` with the thread of their file, their turn, whether they count (``ok``), and whether outputs answer a call.
 
+    The fold itself sees narrow rows only; they are joined with their items at the end, by place.
+    """
+    act, line = F.col("act"), F.col("line_no")
+    heads = _heads(rows)
     # An output belongs to the call just before it among the calls and outputs of its id.
-    calls = CALL, CALL_ORDER, act == "exec", act == "output"
-    rows = fold.pair_calls(rows, *calls, F.lit(True), "answers").withColumn("answers", F.coalesce("answers", F.lit(False)))
-
+    narrow = rows.select(*FILE, "file_seq", "segment", "line_no", "act", "turn_ref", "call_id", F.col("item").isNotNull().alias("describes")).join(heads, FILE, "left")
+    narrow = fold.pair_calls(narrow, CALL, CALL_ORDER, act == "exec", act == "output", F.lit(True), "answers").withColumn("answers", F.coalesce("answers", F.lit(False)))
     claims = act.isin("context", "started", "complete", "event", "exec", "tool", "bad_call", "response") | ((act == "output") & ~F.col("answers"))
     claim = F.when((claims | (act == "turn")) & F.col("turn_ref").isNotNull(), F.col("turn_ref"))
-    rows = rows.withColumn("claim", claim)
-    nth = F.row_number().over(Window.partitionBy(*FILE, "claim").orderBy(*LINE))
-    again = F.coalesce((act == "turn") & F.col("claim").isNotNull() & (nth > 1), F.lit(False))
-    rows = rows.withColumn("again", again)
-    rows = rows.withColumn("act", F.when(F.col("again"), "bad").otherwise(act)).withColumn("claim", F.when(~F.col("again"), F.col("claim")))
-    begins = act.isin("context", "started") & F.col("claim").isNull()
-    rows = fold.running_turn(rows, begins, FILE, LINE, "number")
-    rows = rows.withColumn("implicit", F.when(begins, F.concat_ws(":", F.lit("implicit"), F.left(F.md5(F.col("path").cast("binary")), F.lit(16)), F.col("number").cast("string"))))
-    rows = fold.promote(rows, FILE, LINE, "claim", "implicit", "mark", act != "turn")
-    rows = fold.forward_fill(rows, F.col("mark"), FILE, LINE, "current")
-
-    # Legacy items and unknown events name a turn that must be there already.
-    named = act.isin("item", "unknown") & F.col("turn_ref").isNotNull()
-    place = Window.partitionBy("root_no", "path", F.coalesce("mark", F.when(named, F.col("turn_ref"))))
-    there = F.min(F.when(F.col("mark").isNotNull(), line)).over(place) < line
-    rows = rows.withColumn("turn_id", F.when(named, F.when(there, F.col("turn_ref"))).otherwise(F.col("current")))
-    placed = F.col("turn_id").isNotNull()
+    narrow = staged(narrow.withColumn("claim", claim), "claims")
+
+    narrow = fold.first_sights(narrow, FILE, "segment", LINE, "claim", "first")
+    again = F.coalesce((act == "turn") & F.col("claim").isNotNull() & ~F.col("first"), F.lit(False))
+    narrow = narrow.withColumns({"act": F.when(again, "bad").otherwise(act), "claim": F.when(~again, F.col("claim"))})
+    narrow = narrow.withColumn("begins", act.isin("context", "started") & F.col("claim").isNull())
+    own_id = lambda number: F.concat_ws(":", F.lit("implicit"), F.left(F.md5(F.col("path").cast("binary")), F.lit(16)), number.cast("string"))
+    narrow = fold.segmented(narrow, FILE, "segment", LINE, "claim", "begins", F.col("first") & (act != "turn"), own_id, "mark", "current")
+    narrow = _named(rows, narrow.withColumn("turn_id", F.col("current")))
+    placed, has_thread = F.col("turn_id").isNotNull(), F.coalesce(F.col("first_meta") <= line, F.lit(False))
     ok = (
-        F.when(act.isin("meta", "thread", "turn", "context", "started"), True).when(act.isin("exec", "tool"), placed & F.col("has_thread"))
+        F.when(act.isin("meta", "thread", "turn", "context", "started"), True).when(act.isin("exec", "tool"), placed & has_thread)
         .when(act == "output", F.col("answers") | placed).when(act == "complete", placed)
-        .when(act.isin("event", "response", "item", "unknown"), placed & F.col("item").isNotNull()).otherwise(False)
+        .when(act.isin("event", "response", "item", "unknown"), placed & F.col("describes")).otherwise(False)
     )
-    rows = rows.withColumn("ok", ok)
-    rows = fold.pair_calls(rows, *calls, F.struct("turn_id", "item"), "call")
-    rows = fold.pending_calls(rows, *calls, "open_call")
-    return rows.withColumn("open_call", F.coalesce(F.col("open_call") & F.col("ok"), F.lit(False)))
+    found = narrow.select(*FILE, "segment", "line_no", "thread_id", "meta_line", "act", "mark", "current", "turn_id", "answers", ok.alias("ok"))
+    return rows.drop("act", "turn_ref").join(found, [*FILE, "segment", "line_no"])
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """The thread of each file that names one, and the first and last lines that do."""
+    told = rows.where("summary is not null").groupBy(*FILE)
+    return told.agg(F.max_by("summary.thread_id", "line_no").alias("thread_id"), F.max("line_no").alias("meta_line"), F.min("line_no").alias("first_meta"))
+
+
+def _named(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Legacy items and unknown events that name a turn belong to that one, if it is there already."""
+    act = F.col("act")
+    named = act.isin("item", "unknown") & F.col("turn_ref").isNotNull()
+    if rows.where(named).isEmpty():
+        return narrow
+    narrow = staged(narrow, "marked")
+    marks = narrow.where("mark is not null").groupBy(*FILE, F.col("mark").alias("turn_ref")).agg(F.min("line_no").alias("__there"))
+    own = narrow.where(named).join(marks, [*FILE, "turn_ref"], "left")
+    own = own.withColumn("turn_id", F.when(F.col("__there") < F.col("line_no"), F.col("turn_ref"))).select(narrow.columns)
+    return narrow.where(~F.coalesce(named, F.lit(False))).unionByName(own)
 
 
 def _files(rows: DataFrame) -> DataFrame:
@@ -395,15 +244,16 @@ def _all_items(rows: DataFrame) -> DataFrame:
     """The items in order of their place; a command stands where its output is, an unanswered one at the end."""
     place = ["thread_id", "turn_id", "file_seq", "line_no", "late"]
     own = rows.where("thread_id is not null and ok")
-    columns = lambda item: [F.col(f"{item}.{c}").alias(c) for c in ("kind", "is_typed", *_ITEM)]
+    columns = [F.col(f"item.{c}").alias(c) for c in ("kind", "is_typed", *ITEM)]
     plain = own.where("item is not null and act <> 'exec' and not answers").withColumn("late", F.lit(0))
     plain = plain.withColumn("item", F.when(F.col("act") == "output", F.col("item").withField("output", F.lit(None).cast("string"))).otherwise(F.col("item")))
-    answered = own.where("answers").select("thread_id", F.col("call.turn_id").alias("turn_id"), "file_seq", "line_no", F.lit(0).alias("late"), F.col("call.item").withField("output", F.col("item.output")).alias("item"))
-    waiting = own.where("open_call").withColumn("late", F.lit(1))
-    found = plain.select(*place, *columns("item"))
-    for more in (answered, waiting):
-        found = found.unionByName(more.select(*place, *columns("item")))
-    return found
+    act = F.col("act")
+    calls = rows.where((act == "exec") | (act == "output")).select("thread_id", "turn_id", "file_seq", "line_no", "call_id", "act", "answers", "ok", "item")
+    rule = CALL, CALL_ORDER, act == "exec", act == "output"
+    calls = fold.pending_calls(fold.pair_calls(calls, *rule, F.struct("turn_id", "item"), "call"), *rule, "open_call").where("thread_id is not null and ok")
+    answered = calls.where("answers").withColumns({"turn_id": F.col("call.turn_id"), "item": F.col("call.item").withField("output", F.col("item.output")), "late": F.lit(0)}).where("turn_id is not null")
+    waiting = calls.where("open_call").withColumn("late", F.lit(1))
+    return plain.select(*place, *columns).unionByName(answered.select(*place, *columns)).unionByName(waiting.select(*place, *columns))
 
 
 def history(spark: SparkSession, paths: list[str], names: DataFrame | None = None) -> History:
@@ -413,42 +263,47 @@ def history(spark: SparkSession, paths: list[str], names: DataFrame | None = Non
 
 def from_lines(read: DataFrame, names: DataFrame | None = None) -> History:
     """``history`` of lines that have been read."""
-    return merged(staged(folded(deepened(staged(events(read), "events"))), "folded-events"), names)
+    return History(staged(folded(deepened(staged(events(read), "events"))), "folded-events"), names)
+
+
+# Merge of each thread's files, in the order of their paths
 
 
-def merged(rows: DataFrame, names: DataFrame | None = None) -> History:
-    """The shards of each thread merged in the order of their paths."""
-    files = _files(rows)
+def _summaries(files: DataFrame) -> DataFrame:
     shards = merge.fresher(files.where("thread_id is not null"), ["thread_id"], "file_seq", _micros("updated_at"), _micros("created_at"))
     kept = ["name", "cwd", "source_kind", "model_provider", "ephemeral", "status"]
-    summaries = shards.groupBy("thread_id").agg(
+    return shards.groupBy("thread_id").agg(
         *[merge.preferred(c, "file_seq").alias(c) for c in kept], merge.first_known("preview", "file_seq").alias("preview"),
-        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.count("*").alias("n_files"),
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
     )
 
+
+def _threads(files: DataFrame, items: DataFrame) -> DataFrame:
+    counts = items.groupBy("thread_id").agg(F.count("*").alias("items_count"), _typed("command_execution").alias("commands_count"), _typed("file_change").alias("files_changed_count"))
+    threads = _summaries(files).join(counts, "thread_id", "left").fillna(0, ["items_count", "commands_count", "files_changed_count"])
+    return threads.select("thread_id", "name", "preview", "created_at", "updated_at", "cwd", "source_kind", "model_provider", "ephemeral", "status", "items_count", "commands_count", "files_changed_count")
+
+
+def _turns(rows: DataFrame, files: DataFrame, items: DataFrame) -> DataFrame:
+    """The turns of each thread in their order; one that only items name comes last."""
     shards = merge.fresher(_file_turns(rows), ["thread_id", "turn_id"], "file_seq", _micros("completed_at"), _micros("started_at"))
     turns = shards.groupBy("thread_id", "turn_id").agg(
         F.max_by("status", F.when(F.col("is_record"), F.col("file_seq"))).alias("status"), F.min("started_at").alias("started_at"), F.max("completed_at").alias("completed_at"),
-        F.min(F.struct("file_seq", "first_line")).alias("first"),
+        F.min(F.struct("file_seq", "first_line")).alias("first"), F.lit(0).alias("stray"),
     )
-    items = _commands_once(_all_items(rows))
-    stray = items.select("thread_id", "turn_id").distinct().join(turns, ["thread_id", "turn_id"], "left_anti")
-    turns = turns.withColumn("stray", F.lit(0)).unionByName(stray.withColumns({"status": F.lit("in_progress"), "stray": F.lit(1)}), allowMissingColumns=True)
-    turns = turns.join(summaries.select("thread_id", "n_files"), "thread_id")
-    many = F.col("n_files") > 1
+    held = items.groupBy("thread_id", "turn_id").agg(F.lit(True).alias("held"))
+    turns = turns.join(held, ["thread_id", "turn_id"], "full").withColumns({"status": F.coalesce("status", F.lit("in_progress")), "stray": F.coalesce("stray", F.lit(1))})
+    many = F.coalesce(F.col("n_files") > 1, F.lit(False))
+    turns = turns.join(files.where("thread_id is not null").groupBy("thread_id").agg(F.count("*").alias("n_files")), "thread_id")
     order = Window.partitionBy("thread_id").orderBy("stray", F.when(many, F.col("started_at")).asc_nulls_first(), F.when(many, F.col("completed_at")).asc_nulls_first(), F.when(many, F.col("turn_id")), "first", "turn_id")
-    turns = turns.withColumn("turn_pos", F.row_number().over(order).cast("long") - 1).select("thread_id", "turn_id", "status", "started_at", "completed_at", "turn_pos")
+    return turns.select("thread_id", "turn_id", "status", "started_at", "completed_at", (F.row_number().over(order).cast("long") - 1).alias("turn_pos"))
 
+
+def _numbered(items: DataFrame, turns: DataFrame) -> DataFrame:
+    """Items with their number within their turn, and that turn's within its thread."""
     at = Window.partitionBy("thread_id", "turn_id").orderBy("late", "file_seq", "line_no")
     items = items.withColumn("item_index", F.row_number().over(at).cast("long") - 1).join(turns.select("thread_id", "turn_id", "turn_pos"), ["thread_id", "turn_id"])
-    items = items.select("thread_id", "turn_id", "turn_pos", "item_index", "kind", "is_typed", *_ITEM)
-
-    counts = items.groupBy("thread_id").agg(F.count("*").alias("items_count"), _typed("command_execution").alias("commands_count"), _typed("file_change").alias("files_changed_count"))
-    threads = summaries.join(counts, "thread_id", "left").fillna(0, ["items_count", "commands_count", "files_changed_count"])
-    if names is not None:
-        threads = merge.back_fill(threads, names, "thread_id", "name")
-    threads = threads.select("thread_id", "name", "preview", "created_at", "updated_at", "cwd", "source_kind", "model_provider", "ephemeral", "status", "items_count", "commands_count", "files_changed_count")
-    return History(threads, turns, items, files.select("path", "thread_id", "malformed_lines"))
+    return items.select("thread_id", "turn_id", "turn_pos", "item_index", "kind", "is_typed", *ITEM)
 
 
 def _typed(kind: str) -> Column:
@@ -481,6 +336,5 @@ def _commands_once(items: DataFrame) -> DataFrame:
 def session_names(spark: SparkSession, path: str) -> DataFrame:
     """``thread_id, name`` of a JSONL file of names: bad lines and blank names skipped, the last line of an id holds."""
     read = spark.read.text(path).withColumn("at", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
-    v = F.col("v")
-    rows = read.withColumn("v", F.try_parse_json("value")).select("at", _text(v, "id").alias("thread_id"), _text(v, "thread_name").alias("name"))
-    return rows.where("thread_id is not null and trim(name) <> ''").groupBy("thread_id").agg(F.max_by("name", "at").alias("name"))
+    rows = read.withColumn("v", F.try_parse_json("value")).selectExpr("at", f"{text_field('v', 'id')} AS thread_id", f"{text_field('v', 'thread_name')} AS name")
+    return rows.where("thread_id is not null").where(has_text(F.col("name"))).groupBy("thread_id").agg(F.max_by("name", "at").alias("name"))

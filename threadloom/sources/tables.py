@@ -24,6 +24,8 @@ def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: From which row of a conversation on its next question begins the second file of ``conversation_logs``.
 LOG_SPLIT = 4
+#: Lines that a row can become.
+LOG_LINES = 32
 
 
 def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,14 +61,16 @@ def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = rows.where((F.col("role") == "user") & (t >= LOG_SPLIT)).groupBy("conv_id").agg(F.min("turn").alias("second"))
     rows = rows.join(second, "conv_id", "left").withColumn("late", F.coalesce(t >= F.col("second"), F.lit(False)).cast("int"))
     listed = F.when(F.col("role") == "user", question).when(F.col("role") == "assistant", answer).otherwise(policy)
-    lines = rows.select("conv_id", "late", (t + 1).alias("block"), F.posexplode(listed).alias("row", "raw"))
+    lines = rows.select("conv_id", "late", F.posexplode(listed).alias("n", "raw"), ((t + 1) * LOG_LINES).alias("at"))
     meta = line("session_meta", base, id=F.concat(F.lit("conv_"), c.cast("string")), timestamp=stamp(base), cwd=F.concat(F.lit("/work/"), (c % 7).cast("string")), source=F.lit("cli"), name=F.when(c % 3 == 0, F.concat(F.lit("Conversation "), c.cast("string"))))
     stray = line("response_item", base, type=F.lit("function_call_output"), call_id=F.lit("nobody"), output=F.lit("stray"))
     heads = F.when(c % 5 == 0, F.array(meta, F.lit("not json"), stray)).otherwise(F.array(meta))
-    files = rows.select("conv_id", "late").distinct().select("conv_id", "late", F.lit(0).cast("long").alias("block"), F.posexplode(heads).alias("row", "raw"))
+    files = rows.select("conv_id", "late").distinct().select("conv_id", "late", F.posexplode(heads).alias("n", "raw"), F.lit(0).cast("long").alias("at"))
     every = files.unionByName(lines)
     path = F.concat(F.lit("made/"), c.cast("string"), F.lit("-"), F.col("late").cast("string"), F.lit(".jsonl"))
-    return placed(every.select(F.lit(0).alias("root_no"), path.alias("path"), F.struct("block", F.col("row").cast("long").alias("row")).alias("line_no"), "raw"))
+    # Dealt out as many files would be, since few rows become many lines.
+    every = every.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return placed(every.select(F.lit(0).alias("root_no"), path.alias("path"), F.struct(F.lit(0).cast("long").alias("block"), (F.col("at") + F.col("n")).alias("row")).alias("line_no"), "raw"))
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
