@@ -1,4 +1,6 @@
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -48,6 +50,7 @@ def test_query_equals_brute_force(spark):
 @pytest.mark.parametrize("block", [1024, 4])
 def test_links_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "FEW", min(block, simhash.FEW))
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64).tolist()
     fps = {}
@@ -57,8 +60,8 @@ def test_links_equal_all_pairs(spark, monkeypatch, block):
             x ^= 1 << int(rng.integers(0, 64))
         fps[i] = x
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = spark.createDataFrame([(signed(x),) for x in set(fps.values())], "fp long")
-    roots = {r["node"]: r["root"] for r in components(simhash.links(rows)).collect()}
+    rows = spark.createDataFrame([(0, signed(x)) for x in set(fps.values())], "table int, fp long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(rows).select("a", "b")).collect()}
     one, two = defaultdict(set), defaultdict(set)
     for i, x in fps.items():
         one[roots.get(signed(x), signed(x))].add(i)
@@ -107,7 +110,30 @@ def test_representatives_of_similar_texts(spark):
     groups = similar_groups(rows)
     kept = {r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     wanted = set(groups.values())
-    assert wanted <= kept and len(kept) <= len(wanted) + 0.25 * (len(rows) - len(wanted)) and len(wanted) < len(rows) - 60
+    assert wanted <= kept and len(kept) <= len(wanted) + 0.08 * (len(rows) - len(wanted)) and len(wanted) < len(rows) - 60
+
+
+def test_recall_over_a_whole_table(spark):
+    """Similar pairs of all sf0.1 documents, found by brute force over each text's rarest fifth of shingles, of which similar texts share one."""
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.1") + "/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for i, text in sorted(map(tuple, docs.collect())):
+        texts.setdefault(text or "", i)
+    sets = {i: simhash.shingle_hashes(t, 5) for t, i in texts.items()}
+    often = Counter(h for own in sets.values() for h in own.tolist())
+    holders, pairs = defaultdict(list), set()
+    for i, own in sets.items():
+        for h in sorted(own.tolist(), key=lambda h: (often[h], h))[: len(own) - math.ceil(0.8 * len(own)) + 1]:
+            holders[h].append(i)
+    for i, j in {pair for ids in holders.values() for pair in combinations(ids, 2)}:
+        a, b = sets[i], sets[j]
+        if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            if shared >= 0.8 * (len(a) + len(b) - shared):
+                pairs.add((i, j))
+    kept = {r["doc_id"] for r in simhash.representatives(docs).collect()}
+    missed = [p for p in pairs if p[0] in kept and p[1] in kept]
+    assert len(pairs) == 48 and len(missed) <= 0.02 * len(pairs)
 
 
 def test_long_chains(spark):

@@ -8,9 +8,10 @@ grid range-join on it: of six groups of segments at least three are equal where
 is at most three, so linked fingerprints share the cell of one of the 20 choices of three
 groups. Pairs in a cell are bounded by the Manhattan distance and then verified exactly.
 
-No cell is ever one task's whole input: cells above ``BLOCK`` fingerprints are dealt into
-blocks and blocks are paired, and each pair of blocks yields the edges of a spanning forest
-and not all links. Components come from alternating large-star and small-star steps over
+The grid is dealt out once, as choice, cell and fingerprint; all else is computed from these.
+No cell is ever one task's whole input: cells above ``FEW`` fingerprints are dealt into blocks
+of ``BLOCK`` and blocks are paired, and each pair of blocks yields the edges of a spanning
+forest and not all links. Components come from alternating large-star and small-star steps over
 edges between distinct fingerprints, with each round's edges written to the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other;
@@ -22,7 +23,6 @@ the two named are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -39,6 +39,8 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 GROUPS = 6
+#: Up to so many fingerprints of a cell are compared by a join.
+FEW = 48
 #: Fingerprints of a cell that one task compares with as many others.
 BLOCK = 1024
 #: Words hashed at once in a long text.
@@ -46,7 +48,7 @@ CHUNK = 1 << 18
 #: What ``representatives`` takes for similar, and the odd numbers by which it mixes hashes of words.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-WORD_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+WORD_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C17)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -156,31 +158,32 @@ def _block_edges(pairs: pd.DataFrame) -> pd.DataFrame:
             i, j = i[i < j], j[i < j]
         found.append(spanning_edges(left[i].view(np.int64), right[j].view(np.int64)))
     edges = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(edges, columns=["a", "b"])
+    return pd.DataFrame({"choice": np.full(len(edges), pairs["choice"].iloc[0], np.int32), "a": edges[:, 0], "b": edges[:, 1]})
 
 
 def _grid(fps: DataFrame) -> DataFrame:
-    """Each fingerprint in its cell of every choice of groups."""
-    choices = F.array(*[
-        F.struct(F.lit(i).alias("choice"), F.lit(m).alias("mask"), *[F.lit(x).cast("long").alias(f"lower{k}") for k, x in enumerate(lower)])
-        for i, (m, lower) in enumerate(_choices())
-    ])
-    rows = fps.select("fp", _embedded(F.col("fp")).alias("e")).withColumn("c", F.explode(choices))
-    return rows.select("fp", "e", "c.choice", F.col("e").bitwiseAND(F.col("c.mask")).alias("cell"), *[f"c.lower{k}" for k in range(MAX_BITS)])
+    """Each fingerprint of each ``table`` in its cell of every choice of groups: ``choice, cell, fp``; dealt out by cell."""
+    choices = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("mask")) for i, (m, _) in enumerate(_choices())])
+    rows = fps.select("fp", _embedded(F.col("fp")).alias("e"), (F.col("table") * len(_choices())).alias("from"), F.explode(choices).alias("c"))
+    return rows.select((F.col("from") + F.col("c.i")).cast("int").alias("choice"), F.col("e").bitwiseAND(F.col("c.mask")).alias("cell"), "fp").repartition("choice", "cell")
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between distinct fingerprints ``fp`` that join exactly the fingerprints linked by chains of links."""
+    """Edges ``(table, a, b)`` between distinct fingerprints ``table, fp`` that join exactly the fingerprints linked by chains of links, each table for itself."""
     cells = _grid(fps)
-    large = cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    # The extremes keep all columns, so that counting and joining read the same exchange.
+    sizes = cells.groupBy("choice", "cell").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("choice", "cell", "n")
+    few, large = sizes.where(F.col("n") <= FEW).select("choice", "cell"), sizes.where(F.col("n") > FEW)
 
-    left, right = (cells.join(large, ["choice", "cell"], "left_anti").alias(x) for x in "ab")
-    apart = F.col("a.e").bitwiseXOR(F.col("b.e"))
-    first = [F.coalesce(apart.bitwiseAND(F.col(f"a.lower{k}")) != 0, F.lit(True)) for k in range(MAX_BITS)]
+    left, right = cells.join(few, ["choice", "cell"], "left_semi").alias("a"), cells.alias("b")
+    apart = _embedded(F.col("a.fp")).bitwiseXOR(_embedded(F.col("b.fp")))
     near = F.bit_count(apart) <= MAX_BITS  # the Manhattan distance of the counts
     exact = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_BITS
+    masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in low]) for _, low in _choices()])
+    lower = F.element_at(masks, F.col("a.choice") % len(_choices()) + 1)
+    first = F.forall(lower, lambda mask: mask.isNull() | (apart.bitwiseAND(mask) != 0))
     same_cell = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = left.join(right, same_cell & near & first[0] & first[1] & first[2] & exact).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    pairs = left.join(right, same_cell & near & exact & first).select(F.col("a.choice").alias("choice"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
     # A block of a large cell meets itself and each later one.
     rows = cells.join(large, ["choice", "cell"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -190,13 +193,14 @@ def links(fps: DataFrame) -> DataFrame:
         lambda k: F.struct(F.least(F.col("block"), k).alias("p"), F.greatest(F.col("block"), k).alias("q"), (k < F.col("block")).cast("int").alias("side")),
     )
     dealt = rows.select("fp", "choice", "cell", F.explode(met).alias("x")).select("fp", "choice", "cell", "x.p", "x.q", "x.side")
-    forests = dealt.groupBy("choice", "cell", "p", "q").applyInPandas(_block_edges, "a long, b long")
-    return pairs.unionByName(forests).distinct()
+    forests = dealt.groupBy("choice", "cell", "p", "q").applyInPandas(_block_edges, "choice int, a long, b long")
+    table = F.floor(F.col("choice") / len(_choices())).cast("int")
+    return pairs.unionByName(forests).select(table.alias("table"), "a", "b").distinct()
 
 
 def _rooted(classes: DataFrame) -> DataFrame:
     """``classes``, a row for each ``fp``, with the root of its component."""
-    edges = staged(links(classes.select("fp")), "fingerprint-links")
+    edges = staged(links(classes.select(F.lit(0).alias("table"), "fp")).select("a", "b"), "fingerprint-links")
     roots = components(edges)
     return classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -211,9 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _text_key(text: Column) -> Column:
-    """Names a text; texts without words are one."""
+    """Names a text by 128 bits; texts without words are one."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(0)
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text.cast("binary")))).otherwise(F.lit(bytearray()))
 
 
 def _id_key(doc_id: Column) -> Column:
@@ -221,15 +225,13 @@ def _id_key(doc_id: Column) -> Column:
 
 
 def _word_edges(classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of text keys whose fingerprints of distinct words are linked, enough of them to join all such texts."""
-    edges = []
-    for k in range(len(WORD_SEEDS)):
-        own = classes.select("key", F.col("fps")[k].alias("fp"))
-        first = staged(own.groupBy("fp").agg(F.min("key").alias("first")), "fingerprint-texts")
-        edges.append(own.join(first, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")))
-        apart = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
-        edges.append(apart.join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return reduce(DataFrame.unionByName, edges).distinct()
+    """Pairs ``(a, b)`` of text keys whose fingerprints of words are linked, enough of them to join all such texts."""
+    own = classes.select("key", F.posexplode("fps").alias("table", "fp"))
+    first = staged(own.groupBy("table", "fp").agg(F.min("key").alias("first")), "fingerprint-texts")
+    same = own.join(first, ["table", "fp"]).where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    apart = links(first.select("table", "fp")).join(first.select("table", F.col("fp").alias("a"), F.col("first").alias("x")), ["table", "a"])
+    apart = apart.join(first.select("table", F.col("fp").alias("b"), F.col("first").alias("y")), ["table", "b"])
+    return same.unionByName(apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -265,7 +267,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     text, doc_id = docs[text_col], docs[id_col]
     narrow = docs.select(doc_id.alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("__text"))
-    rows = narrow.mapInArrow(prints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, key long, fps array<long>")
+    rows = narrow.mapInArrow(prints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, key binary, fps array<long>")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     classes = staged(rows.groupBy("key").agg(F.min(first).alias("first"), F.first("fps").alias("fps")), "texts")
     edges = staged(_word_edges(classes), "text-links")
@@ -275,7 +277,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = ends.join(classes, "key").select("key", _id_key(F.col("first.doc_id")).alias("id_key"))
     held = docs.select(_text_key(text).alias("key"), _id_key(doc_id).alias("id_key"), text.cast("string").alias("__text"))
     texts = held.join(wanted, ["key", "id_key"]).groupBy("key", "id_key").agg(F.first("__text").alias("__text"))
-    sets = staged(texts.select("key", "__text").mapInArrow(shingled, "key long, hashes array<long>"), "shingle-sets")
+    sets = staged(texts.select("key", "__text").mapInArrow(shingled, "key binary, hashes array<long>"), "shingle-sets")
 
     roots = components(_similar(edges, sets, similarity))
     labelled = classes.select("key", "first").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
