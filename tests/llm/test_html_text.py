@@ -76,6 +76,19 @@ S = "A short one."
         (f"<div class='page with-sidebar'><p>{L}</p></div>", [L]),
         (f"<div class='sidebar-layout'><p>{L}</p><p>{L}</p><p>{L}</p></div>", [L, L, L]),
         (f"<section id=discussion><p>{L}</p></section>", [L]),
+        # Readers speak longer than the article.
+        *[(f"<div><article><p>{L}</p><p>{S}</p></article><{tag}>{f'<p>{L}</p>' * 6}</{end}></div>", [L, S]) for tag, end in (("div class=thread", "div"), ("div class=talk", "div"), ("section", "section"), ("div class='user-feedback'", "div"))],
+        (f"<main><p>{L}</p></main><section>{f'<p>{L}</p>' * 5}</section>", [L]),
+        (f"<article><p>{L}</p><h2>3 Comments</h2><ol><li>{L}</li><li>{L}</li></ol></article>", [L]),
+        (f"<div><p>{L}</p><p>{L}</p><div><h3>Leave a reply</h3><p>{L}</p></div></div>", [L, L]),
+        (f"<article><p>{L}</p><h2>Comments</h2><p>{L}</p><h2>Sequel</h2><p>{L}</p></article>", [L, "Sequel", L]),
+        (f"<article><p>{L}</p><div class=thread><p>{L}</p></div></article>", [L]),
+        *[(f"<article><p>{L}</p><div {name}><p>{L}</p></div></article>", [L]) for name in ("class=adbox", "data-ad", "data-ad-slot=3", "class=banner", "id=cookiebar", "class='cookie-notice'", "class=relatedPosts", "class='login-form'")],
+        # Parts of the article that only their names speak against, and its sources.
+        *[(f"<article><p>{L}</p><div class='{name}'><p>{L}</p></div></article>", [L, L]) for name in ("related-work", "login-guide", "promotion-history", "menu-of-the-day")],
+        (f"<article><p>{L}</p><h2>Sources</h2><ul><li><a href=1>{S}</a><li><a href=2>{S}</a><li><a href=3>{S}</a></ul></article>", [L, "Sources", S, S, S]),
+        (f"<article><p>{L}</p><h2>Related stories</h2><ul><li><a href=1>{S}</a><li><a href=2>{S}</a><li><a href=3>{S}</a></ul></article>", [L, "Related stories"]),
+        (f"<article><div class=banner><h1>Head</h1></div><p data-address=x>{L}</p></article>", ["Head", L]),
         # Elements within a line that are left out, nested or never closed.
         (f"<article><p>{L} <span class=promo>buy <span>now</span> cheap</span> end</p></article>", [f"{L} end"]),
         (f"<article><p>{L} <span class=promo>buy <p>{S}</article>", [L, S]),

@@ -3,17 +3,21 @@
 Each page is tokenised once into blocks of text, every one with the path of elements it
 stands in. Blocks that are paragraphs score points for their length and commas, discounted
 by their share of link text; points go in full to the parent and in halves to each further
-ancestor. The container with the most points is the first choice. If it lies in an
-``article`` (or else ``main``) element, that is the root; otherwise the root climbs from it
-to any ancestor that holds clearly more prose at a low share of links. Kept are all blocks of
+ancestor. Where ``article`` elements (or else ``main``) hold prose, the container with the most
+points within them is the choice and its outermost ``article`` the root, whatever readers wrote
+below it. Otherwise the root climbs from the best container to any ancestor that holds clearly
+more prose at a low share of links. Kept are all blocks of
 the root, and beside it paragraphs, headings, lists and containers that score well and are not
 made of links. Blocks are joined in page order.
 
 Elements that are never article text are left out before scoring. Tags, roles and ``hidden``
 decide by themselves. Names (``class`` and ``id``, split at hyphens, underscores, digits and
-camel case, whole parts compared) decide unless the text speaks against them: a name of
-``DOUBTFUL`` is overruled by a long text without links, one of ``UNLIKELY`` if the element holds
-most of the page's text. A header inside an article keeps its headings.
+camel case) decide unless the text speaks against them: a name of ``DOUBTFUL`` is overruled by
+a long text without links, and so is one of ``UNLIKELY`` that goes on with other words than
+those of ``LAYOUT`` (``related-work``, not ``related-posts``); any other one of ``UNLIKELY`` only if
+the element holds most of the page's text. A header inside an article keeps its headings. A
+heading like "3 Comments" ends the text of the element it stands in. Lists of links go, except
+those under a heading in an article, such as its sources.
 
 One pass over the rows without a shuffle; a task holds one page at a time, in time linear in
 its length. The parser is lenient: unclosed and stray tags, missing ends, and attributes
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|$)", re.S
 )
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|data-ads?(?:-[\w-]+)?)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACES = re.compile(r"\s+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Elements whose content is not parsed as markup.
@@ -65,9 +69,21 @@ COMMENTS = set("comment comments commentlist commenter commenters reply replies
 UNLIKELY = set(
     "ad ads advert adverts advertisement advertisements advertising adsbygoogle adslot sponsor sponsors sponsored promo promos promotion promoted breadcrumb breadcrumbs"
     " cookie cookies consent gdpr disclaimer disclaimers footer sidebar nav navbar navigation menu newsletter subscribe subscription pagination pager popup modal"
-    " notice notices related recommended recommendations outbrain taboola toolbar paywall login signup".split()
+    " notice notices related recommended recommendations outbrain taboola toolbar paywall login signup thread threads feedback talk".split()
 )
-DOUBTFUL = set("header masthead banner social share sharing shares sharebar widget widgets alert alerts notification topbar follow tags logo".split())
+DOUBTFUL = set("header masthead social share sharing shares sharebar widget widgets alert alerts notification topbar follow tags logo".split())
+#: Parts that say how something is laid out or shown, and so leave the sense of the others; they also follow others in one word.
+LAYOUT = set(
+    "area articles bar block block body bottom box button buttons card cards center column container content desktop footer form frame grid group head heading holder icon inner item items js label layer layout left"
+    " link links list message middle mobile module outer overlay page pane panel post posts region right row section shell slot space stories story strip teaser text title top unit user users view wrap wrapper zone".split()
+)
+_JOINED = re.compile(rf"(?:ads?|advert|cookies?|gdpr|promo|sponsor|newsletter|comments?|nav|menu|side)(?:{'|'.join(sorted(LAYOUT))}|banner|notice|consent|popup|modal)s?")
+#: Headings of readers' comments, and those of lists of links that are no part of the article.
+_TALK = re.compile(
+    r"(?:\d+ |all |reader |readers' |user |recent |view |show )*(?:comments?|responses?|replies|kommentare?|commentaires?|comentarios?|antworten|réponses|respuestas)(?: \(?\d+\)?| from readers)?:?"
+    r"|(?:leave|post|add|write)(?: a| your)? (?:reply|comment|response)s?|join the (?:discussion|conversation)|what do you think\??", re.I
+)
+_ELSEWHERE = re.compile(r"related|more (?:stories|from|on|news|articles|posts)|read (?:more|next|also)|(?:you )?(?:may|might) also|recommended|popular|most read|latest|trending|tags|topics|categories|share|follow|menu|navigation|contents|archives?|sponsored|siehe auch|mehr|lire aussi|leer más", re.I)
 #: Parts that turn the sense of a name: ``with-sidebar``, ``entry-header``.
 _NEGATING = set("has with no not without is hide hidden".split())
 _OWN = set("entry post article content story body main hentry".split())
@@ -106,7 +122,7 @@ class _Node:
 
 @lru_cache(maxsize=4096)
 def _named(names: str) -> str:
-    """What the names of an element say: ``comments``, ``unlikely``, ``doubtful`` or nothing."""
+    """What the names of an element say: ``comments``, ``unlikely``, ``banner``, ``doubtful`` or nothing."""
     said = ""
     tokens = [[x.lower() for x in _PART.findall(token)] for token in names.split()]
     own = any(len(parts) == 1 and parts[0] in _OWN for parts in tokens)
@@ -116,9 +132,11 @@ def _named(names: str) -> str:
             continue
         if held & COMMENTS and not own:
             return "comments"
-        if held & UNLIKELY:
+        if held & UNLIKELY and (held - UNLIKELY) <= LAYOUT | DOUBTFUL or any(map(_JOINED.fullmatch, parts)):
             said = "unlikely"
-        elif held & DOUBTFUL and not held & _OWN:
+        elif "banner" in held:
+            said = said or "banner"
+        elif held & UNLIKELY or held & DOUBTFUL and not held & _OWN:
             said = said or "doubtful"
     return said
 
@@ -128,7 +146,7 @@ def _attributes(attributes: str) -> tuple[str, bool]:
     names, out = [], False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next(filter(None, values), "")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+        if name == "hidden" or name.startswith("data-ad") or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
             out = True
         elif name in ("class", "id"):
             names.append(value)
@@ -240,26 +258,52 @@ def _blocks(html: str) -> tuple[list[Block], list[_Node]]:
     return blocks, nodes
 
 
-def _left_out(nodes: list[_Node]) -> None:
-    """Drop elements by their names, now that their texts are known."""
+def _left_out(blocks: list[Block], nodes: list[_Node]) -> None:
+    """Drop elements by their names and headings, now that their texts are known."""
     around = {id(nodes[0])}  # what stands around an article
     for x in nodes:
         if x.tag in ("article", "main") and x.chars:
             while x is not None and id(x) not in around:
                 around.add(id(x))
                 x = x.parent
+    titles: dict[int, str] = {}
+    firsts: dict[int, _Node] = {}  # the first element with text of each element
+    for own, _, _, node in blocks:
+        if node.tag in HEADINGS:
+            titles[id(node)] = own
+        x = node
+        while x.parent is not None and id(x.parent) not in firsts:
+            firsts[id(x.parent)] = x
+            x = x.parent
+    before: dict[int, _Node] = {}  # the sibling before each element, by what they stand in
+    talk: dict[int, str] = {}  # the rank of the heading after which readers speak
+    inside = {id(nodes[0]): False}
     for x in nodes[1:]:
-        if x.parent.dropped:
+        up = id(x.parent)
+        inside[id(x)] = inside[up] or x.tag in ("article", "main")
+        title = titles.get(id(x), "")
+        if title and _TALK.fullmatch(title):
+            talk[up] = x.tag
+            if firsts.get(up) is x and up not in around:
+                x.parent.dropped = True
+        elif title and up in talk and x.tag <= talk[up]:
+            del talk[up]  # another part of the text begins
+        headed = titles.get(id(before.get(up)), "")
+        before[up] = x
+        if x.parent.dropped or up in talk:
             x.dropped = True
         elif x.name == "doubtful":
             x.dropped = x.tag not in HEADINGS and (x.chars < LONG_CHARS or x.density >= LINKED)
+        elif x.name == "banner":
+            x.dropped = x.title < x.chars
         elif x.name == "unlikely":
             most = x.chars >= MOST_SHARE * nodes[0].chars and x.prose >= WRAPPED_CHARS and x.density < LINKED
             x.dropped = not most or len(around) > 1 and id(x) not in around
         elif x.name == "comments":
             x.dropped = True
         elif x.links > 2 and x.density > 0.8 and x.tag in ("ul", "ol", "dl", "div", "table", "section"):
-            x.dropped = True  # a menu without a name
+            # A menu without a name, unless it is a headed list of the article.
+            x.dropped = not (inside[id(x)] and headed and x.tag in LISTS and not _ELSEWHERE.match(headed))
 
 
 def _count(blocks: list[Block], nodes: list[_Node]) -> None:
@@ -295,6 +339,18 @@ def _score(blocks: list[Block]) -> None:
             up, points = up.parent, points / 2
 
 
+def _within(nodes: list[_Node]) -> list[_Node]:
+    """Where to look for the best container: in the articles, or else in ``main``, if these hold prose; or anywhere."""
+    for tag in ("article", "main"):
+        held = {id(x) for x in nodes if x.tag == tag and x.prose and not x.dropped and x.density < LINKED}
+        if held:
+            for x in nodes:
+                if x.parent is not None and id(x.parent) in held:
+                    held.add(id(x))
+            return [x for x in nodes if id(x) in held]
+    return nodes
+
+
 def _root(best: _Node) -> _Node:
     """The element that holds the article of which ``best`` scores most."""
     above = [best]
@@ -325,12 +381,12 @@ def extract(html: str | None) -> str:
     """The main text of a page: its blocks joined by two line feeds."""
     blocks, nodes = _blocks(html or "")
     _count(blocks, nodes)
-    _left_out(nodes)
+    _left_out(blocks, nodes)
     blocks = [b for b in blocks if not b[3].dropped and b[3].name != "header"]
     _count(blocks, nodes)
     _score(blocks)
     rated = lambda x: x.score * (1 - x.density)
-    best = max(nodes, key=rated)
+    best = max(_within(nodes), key=rated)
     if rated(best) <= 0:  # without any paragraph all text stays
         return "\n\n".join(own for own, linked, _, _ in blocks if linked < len(own) / 2)
     root = _root(best)
