@@ -120,6 +120,30 @@ def test_refresh_leaves_other_threads_where_they_are(spark, tmp_path):
     assert found("words") == after and make().index.counts(make().index.current()) == counts
 
 
+def test_refresh_parses_what_changed(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    said = lambda name, *words: "\n".join([meta("08:00:00", name), *[line(f"08:00:{i + 1:02}", "event_msg", type="user_message", turn_id="u", message=x) for i, x in enumerate(words)]]) + "\n"
+    for i in range(40):
+        (logs / f"{i:02}.jsonl").write_text(said(f"t{i}", f"word{i} here"))
+    make = lambda: Engine(spark, [str(logs)], str(tmp_path / "index"))
+    counts = lambda done: tuple(int(done[k]) for k in ("parsed_files", "new_threads", "changed_threads", "unchanged_threads", "tracked_thread_count"))
+    found = lambda words: sorted(r["thread_id"] for r in make().search(words).collect())
+    assert make().build_index()["parsed_files"] == "40"
+    assert counts(make().refresh_index()) == (0, 0, 0, 40, 40)
+    with (logs / "07.jsonl").open("a") as more:  # one edit of one file
+        more.write(line("09:00:00", "event_msg", type="user_message", turn_id="u", message="edited now") + "\n")
+    assert counts(make().refresh_index()) == (1, 0, 1, 39, 40) and found("edited") == ["t7"]
+    (logs / "zz.jsonl").write_text(said("t3", "second shard"))  # a further shard of a thread brings the thread's other file
+    (logs / "new.jsonl").write_text(said("n", "brand new"))
+    assert counts(make().refresh_index()) == (3, 1, 1, 39, 41) and found("shard") == ["t3"] == found("word3") and found("brand") == ["n"]
+    (logs / "zz.jsonl").unlink()  # a thread that loses a shard changes, one that is gone stays until it is pruned
+    (logs / "05.jsonl").unlink()
+    assert counts(make().refresh_index()) == (1, 0, 1, 39, 41) and found("shard") == [] and found("word5") == ["t5"]
+    assert counts(make().refresh_index(prune=True))[0] == 0 and found("word5") == [] and found("word6") == ["t6"]
+    assert make().index.doctor()["healthy"] is True
+
+
 def test_exports_are_redacted(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text("\n".join([meta("08:00:00", "s"), line("08:00:01", "event_msg", type="user_message", turn_id="u", message="a\napi_key=plainsecret123456 in /home/ann/x")]))
     own = Engine(spark, [str(tmp_path)], str(tmp_path / "index"))

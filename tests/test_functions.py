@@ -1,8 +1,10 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadloom.functions import redact, text
-from threadloom.operators import scope
+from threadloom.operators import freshness, scope
 
 
 def one(spark, value, column):
@@ -30,6 +32,26 @@ def test_secrets(spark, raw, safe):
     assert one(spark, raw, redact.secrets) == safe
 
 
+PIECES = st.sampled_from(["token", "to\u212aen", "\u017fecret", "Bearer ", "bearer\u00a0", ": ", "=", "'", '"', "abcdefgh12345678", "a" * 20, ".", "-", "_", "ghp_", "sk-", "AKIA", "AIza", "xoxb-", "glpat-", "github_pat_", " ", "\n", "é", "ABCDEFGH", "password", "x"])
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(PIECES, max_size=10).map("".join), min_size=60, max_size=60))
+def test_the_first_look_loses_no_secret(spark, texts):
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", redact.secrets(F.col("t")).alias("a"), redact._without_secrets(F.col("t")).alias("b"))
+    assert rows.where("a <> b").collect() == []
+
+
+def test_fingerprints_add_up_and_see_the_order(spark):
+    rows = [("t", i, f"x{i}") for i in range(50)] + [("u", i, f"x{i}") for i in (*range(10), *range(11, 50), 10)] + [("v", 49 - i, f"x{i}") for i in range(50)]
+    make = lambda rows: {r["thread_id"]: r["content_fingerprint"] for r in freshness.fingerprints(spark.createDataFrame(rows, "thread_id string, i int, x string").repartition(7), ["i"], ["x"]).collect()}
+    whole = make(rows)
+    assert whole["t"] == whole["u"] != whole["v"]
+    parts = [make(rows[:20])["t"], make(rows[20:50])["t"]]
+    assert whole["t"] == "-".join(str((int(a) + int(b)) % 2**64) for a, b in zip(*(p.split("-") for p in parts)))
+    assert make(rows[:49])["t"] != whole["t"] and make([]) == {}
+
+
 def test_home_paths(spark):
     assert one(spark, "cd /Users/ann/x (/home/bob) not/home/eve", redact.home_paths) == "cd ~/x (~) not/home/eve"
     assert one(spark, "in /srv/me/x", lambda c: redact.home_paths(c, "/srv/me")) == "in ~/x"

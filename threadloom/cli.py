@@ -218,9 +218,9 @@ def run(given: dict[str, object], engine: Engine, out=None) -> None:
     if command == "doctor":
         return _report(engine.doctor(), given, out)
     if operand == "build":
-        return _report({"path": engine.index.path} | engine.index.build(engine.history), given, out)
+        return _report({"path": engine.index.path} | engine.build_index(), given, out)
     if operand == "refresh":
-        return _report({"path": engine.index.path} | engine.index.refresh(engine.history), given, out)
+        return _report({"path": engine.index.path} | engine.refresh_index(), given, out)
     if operand == "doctor":
         return _report(engine.index.doctor(), given, out)
     if "--yes" not in flags:

@@ -9,10 +9,18 @@ SEPARATOR = "\x1f"
 
 
 def fingerprints(items: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """``thread_id, content_fingerprint``: the SHA-256 of the thread's items in order."""
-    line = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    listed = F.array_sort(F.collect_list(F.struct(*order, F.sha2(line.cast("binary"), 256).alias("line"))))
-    return items.groupBy("thread_id").agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["line"]), "\n"), 256).alias("content_fingerprint"))
+    """``thread_id, content_fingerprint``: four sums, modulo 2^64, of the parts of the SHA-256 of each item with its place.
+
+    Sums combine on the map side, so a thread of any length is no array and no single task, and
+    the print of a thread is that of its parts added up. An item's place is part of what is
+    hashed, so items in another order have another print.
+    """
+    line = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*order, *columns)])
+    rows = items.select("thread_id", F.sha2(line.cast("binary"), 256).alias("__hash"))
+    # A part is below 2^64 and a sum of as many as there can be items below 10^38.
+    parts = [F.sum(F.conv(F.substring("__hash", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")) for i in range(4)]
+    added = [(x.cast("decimal(38,0)") % F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string") for x in parts]
+    return rows.groupBy("thread_id").agg(F.concat_ws("-", *added).alias("content_fingerprint"))
 
 
 def classify(current: DataFrame, manifest: DataFrame) -> DataFrame:

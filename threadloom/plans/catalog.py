@@ -363,7 +363,8 @@ def search_scope_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _print_sql(value: str) -> str:
-    return f"SELECT thread_id, sha256(string_agg(sha256(kind || chr(31) || {value}), chr(10) ORDER BY item_index)) AS content_fingerprint FROM items GROUP BY 1"
+    parts = " || '-' || ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)" for i in range(4))
+    return f"SELECT thread_id, {parts} AS content_fingerprint FROM (SELECT thread_id, sha256(item_index || chr(31) || kind || chr(31) || {value}) AS h FROM items) GROUP BY 1"
 
 
 EDITED = "CASE WHEN role = 'assistant' AND length(text) > 2000 THEN text || ' edited' ELSE text END"

@@ -14,6 +14,7 @@ from threadloom.operators import grep as greps
 from threadloom.plans import export
 from threadloom.plans.index import Index, item_texts
 from threadloom.sources import logs
+from threadloom.storage import staged
 
 INDEX_VARIABLE = "THREADLOOM_INDEX"
 #: Where texts are in the order of a history, and hits of a search in theirs.
@@ -33,10 +34,37 @@ class Engine:
         self.names_path = names_path or logs.names_file()
         self.index = Index(spark, index_path or os.environ.get(INDEX_VARIABLE) or os.path.expanduser("~/.threadloom/index"))
 
+    @property
+    def _paths(self) -> list[str]:
+        return [x.path for x in self.roots if x.exists]
+
+    def _names(self) -> DataFrame | None:
+        return logs.session_names(self.spark, self.names_path) if self.names_path else None
+
     @cached_property
     def history(self) -> logs.History:
-        names = logs.session_names(self.spark, self.names_path) if self.names_path else None
-        return logs.history(self.spark, [x.path for x in self.roots if x.exists], names).written()
+        return logs.history(self.spark, self._paths, self._names()).written()
+
+    def _states(self) -> DataFrame:
+        """The log files as they are."""
+        return logs.file_states(self.spark, self._paths)
+
+    def build_index(self) -> dict[str, str]:
+        """Index everything anew."""
+        states = staged(self._states(), "file-states")  # as they are before they are parsed
+        return self.index.build(self.history, states) | {"parsed_files": str(self.history.files.count())}
+
+    def refresh_index(self, prune: bool = False) -> dict[str, str]:
+        """Index what changed; only new and changed files, and the others of their threads, are parsed.
+
+        Names that come from another file can change threads whose logs did not; where there is
+        such a file, all is parsed.
+        """
+        states = staged(self._states(), "file-states")
+        if self.names_path:
+            return self.index.refresh(self.history, states, prune) | {"parsed_files": str(self.history.files.count())}
+        found, files = self.index.touched(states, lambda only: logs.history(self.spark, self._paths, None, only).written())
+        return self.index.refresh(found, files, prune, whole=False) | {"parsed_files": str(found.files.count())}
 
     def list_threads(self) -> DataFrame:
         """Summaries, the latest update first."""

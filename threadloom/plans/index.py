@@ -3,13 +3,15 @@
 A version is a folder with the rows of the threads that it indexed: all of them for a build,
 new and changed ones for a refresh. Its manifest names every live thread and the version that
 holds its rows, so a refresh leaves the rows of other threads where they are, and a build
-starts anew. ``index_meta`` is written last: a version without it does not exist for readers,
+starts anew. A version also has the state of every log file with its thread, so a refresh
+parses only new and changed files and the other files of their threads. ``index_meta`` is written last: a version without it does not exist for readers,
 and readers take the newest one that has it. The index can be in any store that Spark reaches.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
@@ -24,9 +26,10 @@ from threadloom.operators.scope import in_scope
 from threadloom.sources.logs import History
 from threadloom.storage import staged
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 TABLES = ("threads", "turns", "items", "search_docs", "postings", "lengths")
 MANIFEST = "thread_manifest"
+LOG_FILES = "log_files"
 
 
 class IndexMissing(Exception):
@@ -116,26 +119,27 @@ class Index:
             rows = rows.join(self.manifest(meta).select("thread_id", "version"), ["thread_id", "version"], "left_semi")
         return rows.drop("version")
 
+    def files(self, meta: dict[str, str]) -> DataFrame:
+        """``path, size, modified, thread_id`` of the log files as they were indexed."""
+        return self.spark.read.parquet(f"{self.path}/{meta['version']}/{LOG_FILES}")
+
     def _next_version(self) -> str:
-        """A name after all folders there are, whatever became of them."""
-        found = [0]
-        for name in ("index_meta", MANIFEST, "threads"):
-            try:
-                files = self.spark.read.parquet(f"{self.path}/v*/{name}").inputFiles()
-            except AnalysisException:
-                continue
-            found += [int(x) for f in files for x in re.findall(r"/v(\d{10})/", f)]
-        return f"v{max(found) + 1:010d}"
+        """A name after all version folders there are, whatever became of them."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        names = [re.fullmatch(r"v(\d{10})", f.getPath().getName()) for f in found]
+        return f"v{max([int(x[1]) for x in names if x], default=0) + 1:010d}"
 
-    def _write(self, version: str, tables: dict[str, DataFrame], manifest: DataFrame, facts: dict[str, str]) -> dict[str, str]:
+    def _write(self, version: str, tables: dict[str, DataFrame], manifest: DataFrame, files: DataFrame, facts: dict[str, str]) -> dict[str, str]:
         for name, rows in tables.items():
             rows = rows.withColumn("version", F.lit(version))
             if name == "postings":
-                # Sorted by token, so a search reads the row groups of its tokens only.
-                rows = rows.repartitionByRange("token").sortWithinPartitions("token", "doc_id")
+                # Sorted by token, so a search reads the row groups of its tokens only; a frequent token is spread over several files.
+                rows = rows.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
             out = rows.write.mode("overwrite")
             (out.partitionBy("kind") if name == "search_docs" else out).parquet(f"{self.path}/{version}/{name}")
         manifest.write.mode("overwrite").parquet(f"{self.path}/{version}/{MANIFEST}")
+        files.write.mode("overwrite").parquet(f"{self.path}/{version}/{LOG_FILES}")
         facts = facts | {"version": version}
         seen = self.manifest(facts).agg(F.date_format(F.max("last_seen_updated_at"), "yyyy-MM-dd'T'HH:mm:ssXXX"), F.count("*")).first()
         size = ranking.corpus(self.table("lengths", facts)).first()
@@ -149,7 +153,11 @@ class Index:
         docs = search_documents(history)
         order = [F.desc_nulls_last("updated_at"), "thread_id", "turn_pos", "item_index"]
         # Documents are named by their place, so a thread's names do not change when others do.
-        docs = docs.withColumn("doc_id", F.concat_ws(":", "thread_id", F.coalesce("turn_id", F.lit("-")), "kind", F.row_number().over(Window.partitionBy("thread_id").orderBy(*order)).cast("string")))
+        # Only narrow rows are numbered.
+        key = ["thread_id", "turn_pos", "item_index"]
+        number = F.row_number().over(Window.partitionBy("thread_id").orderBy(*order)).cast("string")
+        docs = docs.join(docs.select(*key, "updated_at").select(*key, number.alias("n")), key).withColumn("doc_id", F.concat_ws(":", "thread_id", F.coalesce("turn_id", F.lit("-")), "kind", "n")).drop("n")
+        docs = staged(docs, "search-docs")
         of = docs.select("doc_id", "thread_id")
         return {
             "threads": history.threads, "turns": history.turns, "items": history.items, "search_docs": docs,
@@ -159,18 +167,53 @@ class Index:
     def _indexed(self, known: DataFrame, version: str) -> DataFrame:
         return known.withColumns({"last_indexed_at": F.current_timestamp(), "source_backend": F.lit("local"), "version": F.lit(version)})
 
-    def build(self, history: History) -> dict[str, str]:
-        """Index everything anew."""
+    def build(self, history: History, states: DataFrame | None = None) -> dict[str, str]:
+        """Index everything anew; ``states`` (``path, size, modified``) let refreshes tell which files changed since."""
         at, version = datetime.now(UTC).isoformat(timespec="seconds"), self._next_version()
         facts = {"last_build_at": at, "last_refresh_at": at, "versions": version, "whole": "true"}
-        meta = self._write(version, self._tables(history), self._indexed(manifest(history), version), facts)
+        meta = self._write(version, self._tables(history), self._indexed(manifest(history), version), self._states(history.files, states), facts)
         return meta | self.counts(meta)
 
-    def refresh(self, history: History, prune: bool = False) -> dict[str, str]:
-        """Index new and changed threads; the rows of others stay where they are. Threads that are gone stay unless ``prune``."""
+    def _states(self, files: DataFrame, states: DataFrame | None) -> DataFrame:
+        """Log files with their threads; without ``states`` none, so that the next refresh parses all."""
+        states = states if states is not None else self.spark.createDataFrame([], "path string, size long, modified long")
+        return states.join(files.select("path", "thread_id").dropDuplicates(["path"]), "path", "left").select("path", "size", "modified", "thread_id")
+
+    def touched(self, states: DataFrame, parse: Callable[[DataFrame], History]) -> tuple[History, DataFrame]:
+        """The history of threads with new, changed or removed files, and all files with their threads.
+
+        ``parse`` folds the files of a ``path`` column. Changed files are parsed together with
+        the others of the threads that they belonged to; where they name threads that have
+        more files, these are parsed as well.
+        """
+        known = self.files(self.current())
+        states = staged(states, "file-states")
+        same = states.join(known, ["path", "size", "modified"], "left_semi").select("path")
+        moved = known.join(same, "path", "left_anti").where("thread_id is not null").select("thread_id").distinct()
+        here = known.join(states.select("path"), "path", "left_semi")
+        paths = staged(states.join(same, "path", "left_anti").select("path").union(here.join(moved, "thread_id", "left_semi").select("path")).distinct(), "touched-files")
+        while True:
+            history = parse(paths)
+            threads = history.files.where("thread_id is not null").select("thread_id").distinct()
+            more = here.join(threads, "thread_id", "left_semi").select("path").join(paths, "path", "left_anti")
+            if more.isEmpty():
+                break
+            paths = staged(paths.union(more).distinct(), "touched-files")
+        owners = history.files.select("path", "thread_id").unionByName(known.join(paths, "path", "left_anti").select("path", "thread_id"))
+        return history, staged(self._states(owners, states), "log-files")
+
+    def refresh(self, history: History, states: DataFrame | None = None, prune: bool = False, whole: bool = True) -> dict[str, str]:
+        """Index new and changed threads; the rows of others stay where they are. Threads that are gone stay unless ``prune``.
+
+        Unless ``whole``, ``history`` is the one that ``touched`` found and ``states`` are all files with their threads.
+        """
         meta, version = self.current(), self._next_version()
         now, old = staged(manifest(history), "manifest"), self.manifest(meta)
+        files = self._states(history.files, states) if whole else states
         classes = freshness.classify(now.select("thread_id", "content_fingerprint"), old)
+        if not whole:
+            others = files.where("thread_id is not null").select("thread_id").distinct().join(now, "thread_id", "left_anti")
+            classes = classes.unionByName(others.select("thread_id", F.lit(None).cast("string").alias("content_fingerprint"), F.lit("unchanged").alias("freshness")))
         counts = {r["freshness"]: r["count"] for r in classes.groupBy("freshness").count().collect()}
         new, changed = counts.get("new", 0), counts.get("changed", 0)
         known = freshness.refreshed(old, self._indexed(now, version).select(old.columns), classes, prune)
@@ -182,7 +225,7 @@ class Index:
             tables = self._tables(History.of(only(history.threads), only(history.turns), only(history.items), history.files))
             facts["versions"] += f",{version}"
         done = {"new_threads": new, "changed_threads": changed, "unchanged_threads": counts.get("unchanged", 0), "indexed_threads": new + changed}
-        return self._write(version, tables, known, facts) | {k: str(v) for k, v in done.items()}
+        return self._write(version, tables, known, files, facts) | {k: str(v) for k, v in done.items()}
 
     def counts(self, meta: dict[str, str]) -> dict[str, str]:
         """How many live rows each table has."""

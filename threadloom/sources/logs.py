@@ -124,6 +124,17 @@ def log_files(path: str) -> tuple[list[str], list[str]]:
     return sorted(found), warnings
 
 
+def file_states(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, size, modified`` of every log file below the paths; no file is opened."""
+    read = None
+    for path in paths:
+        files, _ = log_files(path)
+        if files:
+            one = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(files).select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"))
+            read = one if read is None else read.unionByName(one)
+    return (spark.createDataFrame([], "path string, size long, modified long") if read is None else read).dropDuplicates(["path"])
+
+
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``root_no, path, file_seq, line_no, segment, raw`` of the lines of all ``.jsonl`` files below the paths, blank ones left out.
 
@@ -256,9 +267,13 @@ def _all_items(rows: DataFrame) -> DataFrame:
     return plain.select(*place, *columns).unionByName(answered.select(*place, *columns)).unionByName(waiting.select(*place, *columns))
 
 
-def history(spark: SparkSession, paths: list[str], names: DataFrame | None = None) -> History:
-    """Fold and merge all logs below the paths; ``names`` (``thread_id, name``) fill names that the logs lack."""
-    return from_lines(lines(spark, paths), names)
+def history(spark: SparkSession, paths: list[str], names: DataFrame | None = None, only: DataFrame | None = None) -> History:
+    """Fold and merge all logs below the paths, or those of them whose ``path`` ``only`` has; ``names`` (``thread_id, name``) fill names that the logs lack."""
+    read = lines(spark, paths)
+    if only is not None:
+        # The names reach the scan as constants, so other files are not opened.
+        read = read.where(F.col("path").isin([r["path"] for r in only.select("path").distinct().toLocalIterator()]))
+    return from_lines(read, names)
 
 
 def from_lines(read: DataFrame, names: DataFrame | None = None) -> History:
