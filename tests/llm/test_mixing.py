@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -25,9 +26,17 @@ def targets(sizes):
 
 
 def test_query(spark):
-    docs = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    read = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    docs = {r["doc_id"]: r["source"] for r in read}
+    words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in read}
     rows = op8_mixing(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == docs.keys() and len(rows) == len(docs)
+    assert {r["doc_id"]: r["size"] for r in rows} == words
+    # What the mix itself holds, counted from the texts it gives out.
+    given = Counter()
+    for r in mixing.mixed(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "text").collect():
+        given[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    assert {r["doc_id"]: r["taken"] for r in rows if r["taken"]} == {i: n for i, n in given.items() if n}
     sizes, taken, largest = Counter(), Counter(), Counter()
     for r in rows:
         sizes[docs[r["doc_id"]]] += r["size"]

@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-Pre-tokens found by the split pattern are resolved in two tiers. A minimal perfect hash
+Pre-tokens found by the split pattern are resolved in two tiers, behind a bounded dictionary
+of those met before, which answers most of them. A minimal perfect hash
 (hash and displace: as many slots as tokens, one probe and one comparison) finds those that
 are tokens themselves. Any other goes through merges: its bytes form a linked list and a
 heap yields the adjacent pair of lowest rank, leftmost first, until none is left.

@@ -1,6 +1,7 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
-Equal vectors of a label are one class from then on. A class is hashed by fast Hadamard
+Equal vectors of a label are one class from then on, named by a 64-bit hash of both (among
+10^9 different vectors any two share a name with a probability of 0.03). A class is hashed by fast Hadamard
 rotations (three rounds of random signs and a Hadamard transform): in each rotation the
 largest coordinate and its sign name a vertex of the cross-polytope, and three rotations
 make a bucket. Multiprobe adds the buckets with the second-best vertex in one of the three.
