@@ -143,6 +143,26 @@ def test_promotion_equals_the_sequential_fold(spark, groups):
         assert [found.get(g, {})[i] for i in range(len(marks))] == promoted([m for m in marks])
 
 
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from([None, None, "p", "q", "r", "-", "-"]), max_size=14), min_size=25, max_size=25), st.sampled_from([1, 2, 3, 50]))
+def test_the_fold_by_segments_equals_the_sequential_one(spark, groups, size):
+    rows = [(g, i // size, i, m if m not in (None, "-") else None, m is None) for g, marks in enumerate(groups) for i, m in enumerate(marks)]
+    frame = spark.createDataFrame(rows, "g int, seg int, i int, claim string, begins boolean")
+    frame = fold.first_sights(frame, ["g"], "seg", ["i"], "claim", "first")
+    found = {}
+    for r in fold.segmented(frame, ["g"], "seg", ["i"], "claim", "begins", F.col("first"), lambda n: F.concat(F.lit("im"), n.cast("string")), "mark", "current").collect():
+        found.setdefault(r["g"], {})[r["i"]] = (r["mark"], r["current"])
+    for g, marks in enumerate(groups):
+        markers = [(i, m) for i, m in enumerate(marks) if m != "-"]
+        begun = {f"im{k}": f"im{n}" for n, k in enumerate([k for k, (_, m) in enumerate(markers) if m is None], 1)}
+        named = {i: begun.get(name, name) for (i, _), name in zip(markers, promoted([m for _, m in markers]), strict=True)}
+        current, wanted = None, {}
+        for i in range(len(marks)):
+            current = named.get(i, current)
+            wanted[i] = (named.get(i), current)
+        assert found.get(g, {}) == wanted
+
+
 def merged_status(shards):
     status = updated = created = None
     for s, u, c in shards:

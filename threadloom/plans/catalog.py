@@ -490,7 +490,7 @@ SAID = f"""rows AS (SELECT conv_id AS c, turn AS t, role, text, 'conv_' || conv_
     max(base + to_seconds(t * 10 + 5)) FILTER (role = 'assistant') AS completed_at FROM said GROUP BY 1, 2, 3),
   parts AS (SELECT s.*, k.* FROM said s, (VALUES ('user', 2, 'user_message'), ('assistant', 2, 'command_execution'), ('assistant', 3, 'reasoning_summary'), ('assistant', 4, 'agent_message')) AS k(who, line, kind) WHERE role = who),
   made AS (SELECT *, CASE kind WHEN 'command_execution' THEN NULL WHEN 'reasoning_summary' THEN 'Thought ' || t ELSE text END AS said_text, CASE WHEN kind = 'command_execution' THEN 'run ' || t END AS command,
-    CASE WHEN kind = 'command_execution' THEN left(text, 40) END AS output, row_number() OVER (PARTITION BY c, turn_id ORDER BY t, line) - 1 AS item_index FROM parts)"""
+    CASE WHEN kind = 'command_execution' THEN text END AS output, row_number() OVER (PARTITION BY c, turn_id ORDER BY t, line) - 1 AS item_index FROM parts)"""
 THREADS = """threads AS (SELECT thread_id, CASE WHEN c % 3 = 0 THEN 'Conversation ' || c END AS name, arg_min(text, t) FILTER (role = 'user') AS preview, min(base) AS created_at,
     coalesce(max(base + to_seconds(t * 10 + CASE role WHEN 'user' THEN 2 ELSE 5 END)) FILTER (role <> 'system'), min(base)) AS updated_at, '/work/' || (c % 7) AS cwd, 'cli' AS source_kind,
     CASE WHEN coalesce(arg_max(role, t) FILTER (late = last_late AND (NOT bare OR role = 'assistant') AND role <> 'system') = 'assistant', false) THEN 'completed' ELSE 'running' END AS status,

@@ -52,7 +52,7 @@ def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = F.array(begins, said("event_msg", 2, "user_message", message=text))
     arguments = F.to_json(F.struct(F.concat(F.lit("run "), t.cast("string")).alias("cmd")))
     answer = F.array(
-        said("response_item", 1, "function_call", name=F.lit("exec_command"), call_id=call, arguments=arguments), said("response_item", 2, "function_call_output", call_id=call, output=F.substring(text, 1, 40)),
+        said("response_item", 1, "function_call", name=F.lit("exec_command"), call_id=call, arguments=arguments), said("response_item", 2, "function_call_output", call_id=call, output=text),
         said("response_item", 3, "reasoning", summary=F.array(F.struct(F.concat(F.lit("Thought "), t.cast("string")).alias("text")))),
         said("event_msg", 4, "agent_message", turn_id=F.when(bare, F.concat(F.lit("a"), t.cast("string"))), message=text), said("event_msg", 5, "task_complete"),
     )
