@@ -13,7 +13,7 @@ from threadloom.operators import grep as greps
 from threadloom.operators.scope import in_scope
 from threadloom.plans import export
 from threadloom.sources import logs
-from threadloom.sources.tables import LOG_SPLIT, conversation_items, conversation_logs, load, search_documents
+from threadloom.sources.tables import LOG_SPLIT, conversation_items, conversation_logs, event_logs, load, search_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -525,6 +525,27 @@ def logs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(spark, sf_dir).files.select("path", "thread_id", "malformed_lines")
 
 
+EVENT_LINES = "e AS (SELECT *, event_id % 10 AS n, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
+
+
+@query("logs_kinds", f"""WITH {EVENT_LINES} SELECT 'user_' || user_id AS thread_id, 't' AS turn_id, row_number() OVER (PARTITION BY user_id ORDER BY n = 8, event_id) - 1 AS item_index,
+  ['reasoning_summary', 'event:note', 'agent_message', 'user_message', 'mcp_tool_call', 'web_search_call', 'file_change', 'event:ping', 'command_execution', 'reasoning_summary'][n + 1] AS kind, n NOT IN (1, 5, 7) AS is_typed,
+  CASE n WHEN 0 THEN 'why ' || k WHEN 2 THEN event_type || chr(10) || chr(10) || 'part ' || k WHEN 3 THEN event_type WHEN 9 THEN 'inner ' || k END AS text, CASE WHEN n = 8 THEN 'run ' || k || ' now' END AS command,
+  CASE WHEN n = 6 THEN 'src/' || k || '.rs' END AS path, CASE WHEN n = 4 THEN event_type END AS tool, CASE WHEN n = 4 THEN '{{"k":' || k || '}}' END AS arguments,
+  CASE WHEN n IN (1, 5, 6, 7) THEN CAST(k AS VARCHAR) END AS k, CASE WHEN n IN (4, 8) THEN '"c' || event_id || '"' END AS call_id FROM e""")
+def logs_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of all kinds of lines, with calls that are never answered at the end of their turn."""
+    items = logs.from_lines(event_logs(spark, sf_dir)).items
+    return items.select("thread_id", "turn_id", "item_index", "kind", "is_typed", "text", "command", "path", "tool", "arguments", *[F.col("attributes")[c].alias(c) for c in ("k", "call_id")])
+
+
+@query("logs_kinds_threads", f"""WITH {EVENT_LINES} SELECT 'user_' || user_id AS thread_id, 'running' AS status, arg_min(event_type, event_id) FILTER (n = 3) AS preview, count(*) AS items_count,
+  count(*) FILTER (n = 8) AS commands_count, count(*) FILTER (n = 6) AS files_changed_count FROM e GROUP BY user_id""")
+def logs_kinds_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threads = logs.from_lines(event_logs(spark, sf_dir)).threads
+    return threads.select("thread_id", "status", "preview", "items_count", "commands_count", "files_changed_count")
+
+
 TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
 
 

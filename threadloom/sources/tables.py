@@ -73,6 +73,41 @@ def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(every.select(F.lit(0).alias("root_no"), path.alias("path"), F.struct(F.lit(0).cast("long").alias("block"), (F.col("at") + F.col("n")).alias("row")).alias("line_no"), "raw"))
 
 
+def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of one log file for each user, with the kinds of lines that conversations lack.
+
+    A user's file begins with its thread (a legacy line for every second user), for every third
+    user with a legacy turn, and with the turn that all else belongs to. An event then is one of
+    ten lines by its id: thoughts, messages, tool calls, legacy items, calls that are never
+    answered, and events and items of unknown kinds.
+    """
+    e, user, k = F.col("event_id"), F.col("user_id").cast("string"), F.get_json_object("props", "$.k").cast("int")
+    start = "2026-01-01T00:00:00Z"
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    flat = lambda **fields: F.to_json(F.struct(*[text(v).alias(n) for n, v in fields.items()]))
+    line = lambda kind, **payload: flat(timestamp=start, type=kind, payload=F.struct(*[text(v).alias(n) for n, v in payload.items()]))
+    said = lambda *parts: F.array(*[F.struct(F.lit("text").alias("type"), text(p).alias("text")) for p in parts])
+    word = lambda before, after="": F.concat(F.lit(before), k.cast("string"), F.lit(after))
+    call = F.concat(F.lit("c"), e.cast("string"))
+    choices = [
+        line("event_msg", type="agent_reasoning", text=word("why ")), line("event_msg", type="note", k=k),
+        line("response_item", type="message", role="assistant", content=said(F.col("event_type"), word("part "))), line("response_item", type="message", role="user", content=F.col("event_type")),
+        line("response_item", type="function_call", name=F.col("event_type"), call_id=call, arguments=word('{"k": ', "}")), line("response_item", type="web_search_call", k=k),
+        flat(type="item", turn_id="t", kind="file_change", path=word("src/", ".rs"), k=k), flat(type="ping", turn_id="t", k=k),
+        line("response_item", type="function_call", name="shell", call_id=call, arguments=flat(command=F.array(F.lit("run"), k.cast("string"), F.lit("now")))),
+        line("response_item", type="reasoning", content=F.array(F.struct(said(word("inner ")).alias("content"))), encrypted_content="x"),
+    ]
+    rows = load(spark, sf_dir, "events")
+    lines = rows.select("user_id", F.array(*choices)[(e % len(choices)).cast("int")].alias("raw"), (e + 10).alias("row"))
+    thread = F.concat(F.lit("user_"), user)
+    legacy = flat(type="thread", thread_id=thread, created_at=start, status="archived")
+    head = F.when(F.col("user_id") % 2 == 0, legacy).otherwise(line("session_meta", id=thread, timestamp=start))
+    old = F.when(F.col("user_id") % 3 == 0, flat(type="turn", turn_id="old", status="completed", started_at=start))
+    heads = rows.select("user_id").distinct().select("user_id", F.posexplode(F.array_compact(F.array(head, old, line("event_msg", type="task_started", turn_id="t")))).alias("row", "raw"))
+    every = lines.unionByName(heads.select("user_id", "raw", F.col("row").cast("long").alias("row"))).repartition(spark.sparkContext.defaultParallelism)
+    return placed(every.select(F.lit(0).alias("root_no"), F.concat(F.lit("made/u"), user, F.lit(".jsonl")).alias("path"), F.struct(F.lit(0).cast("long").alias("block"), "row").alias("line_no"), "raw"))
+
+
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as search documents, with the source as title and a kind for each language."""
     kind = F.lit("other")
