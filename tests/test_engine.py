@@ -135,7 +135,7 @@ def test_refresh_parses_what_changed(spark, tmp_path):
         more.write(line("09:00:00", "event_msg", type="user_message", turn_id="u", message="edited now") + "\n")
     assert counts(make().refresh_index()) == (1, 0, 1, 39, 40) and found("edited") == ["t7"]
     (logs / "zz.jsonl").write_text(said("t3", "second shard"))  # a further shard of a thread brings the thread's other file
-    (logs / "new.jsonl").write_text(said("n", "brand new"))
+    (logs / "new é 1.jsonl").write_text(said("n", "brand new"))
     assert counts(make().refresh_index()) == (3, 1, 1, 39, 41) and found("shard") == ["t3"] == found("word3") and found("brand") == ["n"]
     (logs / "zz.jsonl").unlink()  # a thread that loses a shard changes, one that is gone stays until it is pruned
     (logs / "05.jsonl").unlink()

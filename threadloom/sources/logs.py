@@ -130,7 +130,8 @@ def file_states(spark: SparkSession, paths: list[str]) -> DataFrame:
     for path in paths:
         files, _ = log_files(path)
         if files:
-            one = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(files).select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"))
+            one = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(files)
+            one = one.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.unix_micros("_metadata.file_modification_time").alias("modified"))
             read = one if read is None else read.unionByName(one)
     return (spark.createDataFrame([], "path string, size long, modified long") if read is None else read).dropDuplicates(["path"])
 

@@ -13,8 +13,8 @@ from threadloom.storage import released
 def refresh_available(spark: SparkSession, path: str, checkpoint: str, engine: Callable[[], Engine]) -> int:
     """Refresh the index once for all log files that arrived since the last call; returns how many batches did.
 
-    The stream's checkpoint remembers which files were seen. A new file names changed threads
-    only through the logs themselves, so each batch refreshes by fingerprints.
+    The stream's checkpoint remembers which files were seen; the refresh itself tells which
+    ones changed and parses these.
     """
     done = 0
 
@@ -23,7 +23,7 @@ def refresh_available(spark: SparkSession, path: str, checkpoint: str, engine: C
         if not rows.isEmpty():
             own = engine()
             with released(spark):
-                (own.index.refresh if own.index.meta() else own.index.build)(own.history)
+                (own.refresh_index if own.index.meta() else own.build_index)()
             done += 1
 
     files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
