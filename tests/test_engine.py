@@ -130,17 +130,18 @@ def test_refresh_parses_what_changed(spark, tmp_path):
     counts = lambda done: tuple(int(done[k]) for k in ("parsed_files", "new_threads", "changed_threads", "unchanged_threads", "tracked_thread_count"))
     found = lambda words: sorted(r["thread_id"] for r in make().search(words).collect())
     assert make().build_index()["parsed_files"] == "40"
-    assert counts(make().refresh_index()) == (0, 0, 0, 40, 40)
-    with (logs / "07.jsonl").open("a") as more:  # one edit of one file
+    # One file is edited, a further shard brings the other file of its thread, and one thread is new.
+    with (logs / "07.jsonl").open("a") as more:
         more.write(line("09:00:00", "event_msg", type="user_message", turn_id="u", message="edited now") + "\n")
-    assert counts(make().refresh_index()) == (1, 0, 1, 39, 40) and found("edited") == ["t7"]
-    (logs / "zz.jsonl").write_text(said("t3", "second shard"))  # a further shard of a thread brings the thread's other file
+    (logs / "zz.jsonl").write_text(said("t3", "second shard"))
     (logs / "new é 1.jsonl").write_text(said("n", "brand new"))
-    assert counts(make().refresh_index()) == (3, 1, 1, 39, 41) and found("shard") == ["t3"] == found("word3") and found("brand") == ["n"]
-    (logs / "zz.jsonl").unlink()  # a thread that loses a shard changes, one that is gone stays until it is pruned
+    assert counts(make().refresh_index()) == (4, 1, 2, 38, 41)
+    assert found("edited") == ["t7"] and found("shard") == ["t3"] == found("word3") and found("brand") == ["n"]
+    # A thread that loses a shard changes; one that is gone is pruned if asked for.
+    (logs / "zz.jsonl").unlink()
     (logs / "05.jsonl").unlink()
-    assert counts(make().refresh_index()) == (1, 0, 1, 39, 41) and found("shard") == [] and found("word5") == ["t5"]
-    assert counts(make().refresh_index(prune=True))[0] == 0 and found("word5") == [] and found("word6") == ["t6"]
+    assert counts(make().refresh_index(prune=True)) == (1, 0, 1, 39, 40) and found("shard") == [] == found("word5")
+    assert counts(make().refresh_index()) == (0, 0, 0, 40, 40)
     assert make().index.doctor()["healthy"] is True
 
 
