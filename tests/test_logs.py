@@ -5,9 +5,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from threadloom.operators import fold, merge
 from threadloom.plans import export
-from threadloom.sources import logs
+from threadloom.sources import logs, tables
+from threadloom.sources.events import deepened, events
+from threadloom.storage import staged
 
 
 def line(stamp, kind, **payload):
@@ -207,3 +210,13 @@ def test_content_at_any_depth(spark):
     frame = spark.createDataFrame([(0, "f", (0, i), x) for i, x in enumerate(rows)], "root_no int, path string, line_no struct<block:long,row:long>, raw string")
     items = logs.from_lines(logs.placed(frame)).items.orderBy("item_index").collect()
     assert [r["text"] for r in items] == ["deep", "x", "x\n\ny", "s", None, '"content": [\n\nz', "deep", "own"]
+
+
+def test_events_are_dealt_out_before_they_become_lines(spark):
+    plan = tables.event_logs(spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(plan) if "Repartition" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    below = [x for x in plan[at + 1 : next((i for i in range(at + 1, len(plan)) if depth(plan[i]) <= depth(plan[at])), len(plan))]]
+    assert below and not any("to_json" in x for x in below)
+    narrow = deepened(staged(events(tables.event_logs(spark, SF)), "events")).select("act", "describes")
+    assert "Python" not in narrow._jdf.queryExecution().executedPlan().toString()  # only items need their nested texts

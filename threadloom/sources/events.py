@@ -47,7 +47,7 @@ def _odd(fields: str) -> str:
 
 
 def _time(text: str) -> str:
-    return f"CASE WHEN {text} RLIKE r'{_RFC3339}' THEN try_cast(upper({text}) AS timestamp) END"
+    return f"CASE WHEN {text} RLIKE r'{_RFC3339}' THEN try_cast(translate({text}, 'tz', 'TZ') AS timestamp) END"
 
 
 def _string(v: str) -> str:
@@ -131,23 +131,25 @@ def events(raw: DataFrame) -> DataFrame:
     rows = raw.selectExpr(*place, "CASE WHEN is_valid_utf8(raw) THEN try_parse_json(raw) END AS v")
     rows = rows.selectExpr(*place, f"{_get('v', FIELDS)} AS line", f"try_variant_get(v, '$.payload', '{FIELDS}') AS payload")
     rows = rows.selectExpr(*place, "line", "payload", "map_filter(line, (k, x) -> k <> 'payload') AS bare")
-    rows = rows.selectExpr(*place, "line", "payload", *_named({"l": _texts("bare"), "lo": _odd("bare"), "p": _texts("payload"), "po": _odd("payload")}))
-    rows = rows.selectExpr(*place, "line", "payload", "l", "p", *_named({"act": _act(), "ts": _time("l.timestamp")}))
+    rows = rows.selectExpr(*place, "line", "payload", "bare", *_named({"l": _texts("bare"), "p": _texts("payload")}))
+    rows = rows.selectExpr("*", *_named({"ts": _time("l.timestamp")}))
+    rows = rows.selectExpr(*place, "line", "payload", "l", "p", "ts", *_named({"act": _act()}))
     held = {"said": "CASE WHEN act = 'response' THEN payload.content END", "summed": "CASE WHEN act = 'response' THEN payload.summary END"}
     parsed = f"CASE WHEN act = 'exec' THEN try_variant_get(try_parse_json(p.arguments), '$', '{FIELDS}') END"
     rows = rows.selectExpr("*", *_named({"what": _WHAT, "parsed": parsed} | held))
-    rows = rows.selectExpr("*", *_named({"content": _content("said"), "shown": _content("summed")}))
+    rows = rows.selectExpr("*", *_named({"content": _content("said"), "shown": _content("summed"), "left_out": _left_out()}))
     turn_ref = "CASE WHEN act IN ('turn', 'item', 'unknown') THEN l.turn_id ELSE p.turn_id END"
     turn = _struct({"status": "l.status", "started_at": _time("l.started_at"), "completed_at": _time("l.completed_at")})
-    found = {"turn_ref": turn_ref, "summary": _summary(), "item": _item(), "deep": _deep(), "call_id": "p.call_id", "legacy_turn": f"CASE WHEN act = 'turn' THEN {turn} END"}
+    found = {"turn_ref": turn_ref, "describes": "what IS NOT NULL", "summary": _summary(), "item": _item(), "deep": _deep(), "call_id": "p.call_id", "legacy_turn": f"CASE WHEN act = 'turn' THEN {turn} END"}
     return rows.selectExpr(*place, "act", "ts", *_named(found))
 
 
 def _act() -> str:
     texts = lambda odd, *keys: f"NOT arrays_overlap({odd}, array({', '.join(map(repr, keys))}))"
-    sealed = f"CASE WHEN l.timestamp IS NOT NULL THEN {_time('l.timestamp')} IS NOT NULL ELSE {texts('lo', 'timestamp')} END"
-    meta = f"{sealed} AND p.id IS NOT NULL AND {_time('p.timestamp')} IS NOT NULL AND {texts('po', 'name', 'title', 'cwd', 'originator', 'model_provider')}"
-    thread = f"l.thread_id IS NOT NULL AND {_time('l.created_at')} IS NOT NULL AND {texts('lo', 'name', 'preview', 'cwd', 'source_kind', 'model_provider', 'status')}"
+    lo, po = _odd("bare"), _odd("payload")  # written out, so that only the kinds of lines that ask for them pay for them
+    sealed = f"CASE WHEN l.timestamp IS NOT NULL THEN ts IS NOT NULL ELSE {texts(lo, 'timestamp')} END"
+    meta = f"{sealed} AND p.id IS NOT NULL AND {_time('p.timestamp')} IS NOT NULL AND {texts(po, 'name', 'title', 'cwd', 'originator', 'model_provider')}"
+    thread = f"l.thread_id IS NOT NULL AND {_time('l.created_at')} IS NOT NULL AND {texts(lo, 'name', 'preview', 'cwd', 'source_kind', 'model_provider', 'status')}"
     whole = f"(line.exit_code IS NULL OR {_is('line.exit_code', 'VOID')} OR ({_is('line.exit_code', 'BIGINT', 'INT')} AND {_get('line.exit_code', 'int')} IS NOT NULL))"
     item = f"l.turn_id IS NOT NULL AND l.kind IS NOT NULL AND (l.kind <> 'command_execution' OR {whole})"
     tools = ", ".join(map(repr, EXEC_TOOLS))
@@ -183,6 +185,11 @@ _WITHOUT = {
 }
 
 
+def _left_out() -> str:
+    choices = " ".join(f"WHEN '{name}' THEN array({', '.join(map(repr, keys))})" for name, keys in _WITHOUT.items())
+    return f"CASE what {choices} ELSE array('type', 'turn_id') END"
+
+
 def _item() -> str:
     """The item that a line describes, with null where its kind has no such field."""
     own = lambda k: f"CASE WHEN {_is(f'parsed.{k}', 'STRING')} THEN {_get(f'parsed.{k}', 'string')} END"
@@ -191,10 +198,9 @@ def _item() -> str:
     kind = """CASE what WHEN 'message' THEN CASE WHEN p.role = 'assistant' THEN 'agent_message' ELSE 'user_message' END WHEN 'legacy' THEN l.kind WHEN 'legacy_other' THEN l.kind WHEN 'unknown' THEN concat('event:', l.type)
       WHEN 'other' THEN CASE WHEN act = 'event' THEN concat('event:', p.type) ELSE p.type END WHEN 'exec' THEN 'command_execution' WHEN 'tool' THEN 'mcp_tool_call' WHEN 'output' THEN 'function_call_output'
       WHEN 'agent_reasoning' THEN 'reasoning_summary' WHEN 'reasoning' THEN 'reasoning_summary' ELSE what END"""
-    left_out = " ".join(f"WHEN '{name}' THEN array({', '.join(map(repr, keys))})" for name, keys in _WITHOUT.items())
     fields = "CASE WHEN what = 'exec' THEN coalesce(parsed, map_filter(payload, (k, x) -> false)) WHEN what IN ('legacy', 'legacy_other', 'unknown') THEN line ELSE payload END"
-    call_id = "map_filter(coalesce(payload, line), (k, x) -> k = 'call_id' AND what = 'exec')"
-    kept = f"map_concat(map_filter({fields}, (k, x) -> NOT array_contains(CASE what {left_out} ELSE array('type', 'turn_id') END, k)), {call_id})"
+    own_kept = f"map_filter({fields}, (k, x) -> NOT array_contains(left_out, k))"
+    kept = f"CASE WHEN what = 'exec' THEN map_concat({own_kept}, map_filter(coalesce(payload, line), (k, x) -> k = 'call_id')) ELSE {own_kept} END"
     special = {
         "text": "WHEN 'user_message' THEN p.message WHEN 'agent_message' THEN p.message WHEN 'agent_reasoning' THEN p.text WHEN 'message' THEN coalesce(content, p.text) WHEN 'reasoning' THEN coalesce(shown, content, p.text)",
         "command": f"WHEN 'exec' THEN CASE WHEN parsed IS NOT NULL THEN {command} ELSE coalesce(p.arguments, '') END",

@@ -172,7 +172,7 @@ def folded(rows: DataFrame) -> DataFrame:
     act, line = F.col("act"), F.col("line_no")
     heads = _heads(rows)
     # An output belongs to the call just before it among the calls and outputs of its id.
-    narrow = rows.select(*FILE, "file_seq", "segment", "line_no", "act", "turn_ref", "call_id", F.col("item").isNotNull().alias("describes")).join(heads, FILE, "left")
+    narrow = rows.select(*FILE, "file_seq", "segment", "line_no", "act", "turn_ref", "call_id", "describes").join(heads, FILE, "left")
     narrow = fold.pair_calls(narrow, CALL, CALL_ORDER, act == "exec", act == "output", F.lit(True), "answers").withColumn("answers", F.coalesce("answers", F.lit(False)))
     claims = act.isin("context", "started", "complete", "event", "exec", "tool", "bad_call", "response") | ((act == "output") & ~F.col("answers"))
     claim = F.when((claims | (act == "turn")) & F.col("turn_ref").isNotNull(), F.col("turn_ref"))
@@ -192,7 +192,7 @@ def folded(rows: DataFrame) -> DataFrame:
         .when(act.isin("event", "response", "item", "unknown"), placed & F.col("describes")).otherwise(False)
     )
     found = narrow.select(*FILE, "segment", "line_no", "thread_id", "meta_line", "act", "mark", "current", "turn_id", "answers", ok.alias("ok"))
-    return rows.drop("act", "turn_ref").join(found, [*FILE, "segment", "line_no"])
+    return rows.drop("act", "turn_ref", "describes").join(found, [*FILE, "segment", "line_no"])
 
 
 def _heads(rows: DataFrame) -> DataFrame:
