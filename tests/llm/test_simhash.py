@@ -158,3 +158,34 @@ def test_groups_that_share_an_id_each_keep_a_row(spark):
     rows = [(None, one), (None, two), (None, two), (5, three), (2, "uno dos tres cuatro cinco"), (5, "uno dos tres cuatro cinco"), (6, three), (None, three), (6, "ein zwei drei vier")]
     kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(None, one), (None, two), (5, three), (2, rows[4][1]), (6, rows[8][1])], key=str)
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "FEW", min(block, simhash.FEW))
+    monkeypatch.setattr(simhash, "OFTEN", 4)
+    rng = np.random.default_rng(5)
+    rows, common = [], [f"c{i}" for i in range(12)]
+    for base in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(6, 120)))] + common  # all share some shingles
+        for k in range(4):
+            own = list(words)
+            own[len(own) // 2 : len(own) // 2 + int(rng.integers(0, 2 + len(words) // 9))] = [f"n{base}x{k}x{i}" for i in range(int(rng.integers(0, 3)))]
+            rows.append((len(rows), " ".join(own)))
+    kept = {r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(similar_groups(rows).values()) and 60 < len(kept) < 200
+
+
+def test_rarest_shingles_meet_whatever_is_frequent():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        pool = np.unique(rng.integers(0, 1 << 62, 2 * n).astype(np.uint64))
+        a, b = pool[:n], np.sort(rng.choice(pool[: n + 3], min(n, len(pool[: n + 3])), replace=False))
+        shared = len(np.intersect1d(a, b))
+        often = np.sort(rng.permutation(pool)[: int(rng.integers(0, len(pool)))])
+        rank = rng.permutation(len(often))
+        assert np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+        if shared >= 0.8 * (len(a) + len(b) - shared):
+            assert len(np.intersect1d(simhash.rarest(a, 0.8, often, rank), simhash.rarest(b, 0.8, often, rank)))

@@ -22,6 +22,7 @@ the two named are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -48,7 +49,15 @@ CHUNK = 1 << 18
 #: What ``representatives`` takes for similar, and the odd numbers by which it mixes hashes of words.
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-WORD_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C17)
+WORD_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Frequent shingles are told by about so many texts, of which they are in ``OFTEN`` or more, and at most ``MOST_OFTEN`` are known.
+SAMPLE = 8192
+OFTEN = 3
+MOST_OFTEN = 100_000
+#: Bits by which candidates are bounded before their sets are compared.
+PARITIES = 1024
+#: Up to so many candidates their ends are sent to the texts instead of the texts to them.
+SENT = 100_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -104,6 +113,50 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces)))
 
 
+def rarest(hashes: np.ndarray, least: float, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The rarest of a text's shingles, of which two texts with a similarity of ``least`` share one, whatever is in ``often``.
+
+    Such texts share ``least`` times the larger one's number of shingles. So, in any order that
+    all texts have in common, their first shingles meet if only less than this number is left
+    out. The order is by hash, with those of ``often`` (sorted) at the end by their ``rank``.
+    """
+    if not len(hashes):
+        return hashes
+    n = len(hashes) - math.ceil(least * len(hashes) - 1e-6) + 1
+    if not len(often):
+        return hashes[:n]
+    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+    known = often[at] == hashes
+    rare = hashes[~known]
+    if len(rare) < n:
+        rare = np.concatenate([rare, often[at[known][np.argsort(rank[at[known]])]]])
+    return rare[:n]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of each of ``PARITIES`` buckets of a text's shingles whether it holds an odd number, as longs: two texts' differing shingles are at least their differing bits."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _often(docs: DataFrame, text: Column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, sorted, and their rank by frequency. They only spare work: ``rarest`` is right with any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                sets = [shingle_hashes(x.as_py(), shingle).view(np.int64) for x in batch.column(0).slice(at, 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["h"])
+
+    share = max(1, docs.count() // SAMPLE)
+    picked = docs.select(text.cast("string").alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(share)) == 0).distinct()
+    found = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    top = found.orderBy(F.desc("n"), "h").limit(MOST_OFTEN).collect()
+    found = np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    rank = np.argsort(found)
+    return found[rank], rank
+
+
 def _embedded(fp: Column) -> Column:
     """Bit counts of the two-bit segments in unary: 0 as 00, 1 as 01, 2 as 11."""
     low = F.lit(0x5555555555555555)
@@ -242,21 +295,47 @@ def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(near).where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _together(rare: DataFrame) -> DataFrame:
+    """``h, x`` of the shingles that stand among the rarest of several texts; ``rare``: ``x`` names a text, ``rare`` are its shingles."""
+    rows = rare.select(F.explode("rare").alias("h"), "x").repartition("h")
+    shared = rows.groupBy("h").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low < high").select("h")
+    return staged(rows.join(shared, "h"), "shared-shingles")
+
+
+def _apart(together: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of text keys that share a rare shingle, are of like size and not joined yet; ``texts``: ``x, key, size, root``."""
+    rows = together.join(texts, "x").select("h", "key", "size", "root")
+    sizes = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rows = rows.join(sizes.select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "h")
+    # A frequent shingle's texts are dealt into blocks, each of which meets all of them.
+    left = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).alias("l")
+    right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("r")
+    like = F.least("l.size", "r.size") >= least * F.greatest("l.size", "r.size")
+    met = (F.col("l.h") == F.col("r.h")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.key") < F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & like
+    return left.join(right, met).select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).distinct()
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """One row of each group of similar texts, all columns: one with the group's smallest id.
 
     Texts are similar if their sets of ``shingle``-word shingles have a Jaccard similarity of at
-    least ``similarity``. Candidates are texts whose SimHashes of distinct words (which edits
-    move less than those of shingles) are linked under one of ``WORD_SEEDS``; each link is
-    verified exactly on the whole texts. A group is known by its texts and not by an id, so
+    least ``similarity``. First candidates are texts whose SimHashes of distinct words (which
+    edits move less than those of shingles) are linked under one of ``WORD_SEEDS``, and for each
+    rare shingle (``rarest``) its texts with the first of them. What these leave apart is met by
+    all pairs that share a rare shingle, as all similar texts do; so no similar pair is left out.
+    Each candidate is verified on the whole texts' sets of shingle hashes. A group is known by its texts and not by an id, so
     groups that share an id, or have only null ids, each keep one row. Of rows with equal ids in
     a group one stays. Texts without words are one group.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([word_fingerprints(x.as_py()) for x in batch.column(2)], np.uint64).reshape(-1, len(WORD_SEEDS)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(found), pa.list_(pa.int64()))], names=["doc_id", "key", "fps"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = np.array([word_fingerprints(x.as_py()) for x in part.column(2)], np.uint64).reshape(-1, len(WORD_SEEDS)).view(np.int64)
+                sets = [shingle_hashes(x.as_py(), shingle) for x in part.column(2)]
+                rare = pa.array([rarest(x, similarity, often, rank).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(list(found), pa.list_(pa.int64())), pa.array(map(len, sets), pa.int32()), rare, pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "fps", "size", "rare", "odd"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,23 +345,43 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "hashes"])
 
     text, doc_id = docs[text_col], docs[id_col]
+    often, rank = _often(docs, text, shingle)
     narrow = docs.select(doc_id.alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("__text"))
-    rows = narrow.mapInArrow(prints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, key binary, fps array<long>")
+    rows = narrow.mapInArrow(prints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, key binary, fps array<long>, size int, rare array<long>, odd array<long>")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
-    classes = staged(rows.groupBy("key").agg(F.min(first).alias("first"), F.first("fps").alias("fps")), "texts")
-    edges = staged(_word_edges(classes), "text-links")
-
-    # One row of each text that has a link; by id and text, so copies are spread.
-    ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = ends.join(classes, "key").select("key", _id_key(F.col("first.doc_id")).alias("id_key"))
-    held = docs.select(_text_key(text).alias("key"), _id_key(doc_id).alias("id_key"), text.cast("string").alias("__text"))
-    texts = held.join(wanted, ["key", "id_key"]).groupBy("key", "id_key").agg(F.first("__text").alias("__text"))
-    sets = staged(texts.select("key", "__text").mapInArrow(shingled, "key binary, hashes array<long>"), "shingle-sets")
-
-    roots = components(_similar(edges, sets, similarity))
-    labelled = classes.select("key", "first").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    classes = staged(rows.groupBy("key").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("fps", "size", "rare", "odd")]), "texts")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        own = classes.select("key", "size", "odd")
+        both = candidates.join(own.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("odd").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("odd").alias("y")), "b")
+        differing = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda all, one: all + one)
+        bound = (F.col("m") + F.col("n")) * (1 - similarity) / (1 + similarity) + 1e-6  # what similar sets of these sizes differ by at most
+        edges = staged(both.where((F.least("m", "n") >= similarity * F.greatest("m", "n")) & (differing <= bound)).select("a", "b"), "text-links")
+        # One row of each text that has a link; by id and text, so copies are spread.
+        ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = ends.join(classes, "key").select("key", _id_key(F.col("first.doc_id")).alias("id_key"))
+        if edges.count() <= SENT:
+            wanted = F.broadcast(wanted)
+        held = docs.select(_text_key(text).alias("key"), _id_key(doc_id).alias("id_key"), text.cast("string").alias("__text"))
+        texts = held.join(wanted, ["key", "id_key"]).groupBy("key", "id_key").agg(F.first("__text").alias("__text"))
+        sets = staged(texts.select("key", "__text").mapInArrow(shingled, "key binary, hashes array<long>"), "shingle-sets")
+        return staged(_similar(edges, sets, similarity), "similar-texts")
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        roots = components(edges)
+        return classes.select("key", "first", "size").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    # Rows of shingles carry 64 bits of a text's name; texts that share these are all taken.
+    named = classes.select(F.xxhash64("key").alias("x"), "key", "size")
+    together = _together(classes.select(F.xxhash64("key").alias("x"), "rare"))
+    stars = together.join(together.groupBy("h").agg(F.min("x").alias("y")), "h").where("x <> y").select("x", "y").distinct()
+    stars = stars.join(named, "x").join(named.select(F.col("x").alias("y"), F.col("key").alias("other"), F.col("size").alias("of")), "y")
+    stars = stars.where(F.least("size", "of") >= similarity * F.greatest("size", "of")).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+    found = verified(_word_edges(classes).unionByName(stars).distinct())
+    rest = _apart(together, rooted(found).select(F.xxhash64("key").alias("x"), "key", "size", "root"), similarity)
+    labelled = rooted(found.unionByName(verified(rest)))
     kept = labelled.groupBy("root").agg(F.min(F.struct("first", "key")).alias("x")).select(F.col("x.key").alias("__key"), _id_key(F.col("x.first.doc_id")).alias("__id"))
-    named = docs.select(F.struct("*").alias("row"), _text_key(text).alias("__key"), _id_key(doc_id).alias("__id"))
+    whole = docs.select(F.struct("*").alias("row"), _text_key(text).alias("__key"), _id_key(doc_id).alias("__id"))
     # An id with one text is few rows, so this only drops repeats; it needs no further shuffle.
-    found = named.join(kept, ["__key", "__id"], "left_semi").groupBy("__key", "__id").agg(F.any_value("row").alias("row"))
+    found = whole.join(kept, ["__key", "__id"], "left_semi").groupBy("__key", "__id").agg(F.any_value("row").alias("row"))
     return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
