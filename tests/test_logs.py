@@ -220,3 +220,20 @@ def test_events_are_dealt_out_before_they_become_lines(spark):
     assert below and not any("to_json" in x for x in below)
     narrow = deepened(staged(events(tables.event_logs(spark, SF)), "events")).select("act", "describes")
     assert "Python" not in narrow._jdf.queryExecution().executedPlan().toString()  # only items need their nested texts
+
+
+def test_made_lines_are_not_made_for_a_filter_too(spark):
+    """A filter for blank lines would be pushed below the exchange with all that makes the lines, and they would be made twice."""
+    plan = tables.event_logs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x]
+    assert filters and not any("get_json_object" in x or "props" in x for x in filters)
+
+
+def test_only_claims_are_moved_for_first_sights(spark):
+    """Of rows with and without claims each keeps its place and columns; those without one go through no exchange."""
+    rows = [("g", 0, 1, "a"), ("g", 0, 2, None), ("g", 1, 3, "a"), ("g", 1, 4, "b"), ("h", 0, 1, "a"), ("h", 0, 2, None)]
+    frame = spark.createDataFrame(rows, "g string, seg long, i long, claim string")
+    found = fold.first_sights(frame, ["g"], "seg", ["i"], "claim", "first")
+    assert found.columns == ["g", "seg", "i", "claim", "first"]
+    assert {(r["g"], r["i"]): r["first"] for r in found.collect()} == {("g", 1): True, ("g", 2): False, ("g", 3): False, ("g", 4): True, ("h", 1): True, ("h", 2): False}
+    assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")

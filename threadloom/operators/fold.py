@@ -58,8 +58,11 @@ def first_sights(rows: DataFrame, by: list[str], segment: str, order: list[str],
     many rows have is no hot key.
     """
     place = F.min(F.struct(*order, segment)).alias("at")
-    firsts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(place).select(*by, *[F.col(f"at.{c}").alias(c) for c in (segment, *order)], F.lit(True).alias(name))
-    return rows.join(firsts, [*by, segment, *order], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    held = rows.where(F.col(value).isNotNull())
+    firsts = held.groupBy(*by, value).agg(place).select(*by, *[F.col(f"at.{c}").alias(c) for c in (segment, *order)], F.lit(True).alias(name))
+    found = held.join(firsts, [*by, segment, *order], "left").withColumn(name, F.coalesce(name, F.lit(False))).select(*rows.columns, name)
+    # Rows without a value, mostly nearly all, are not moved.
+    return found.unionByName(rows.where(F.col(value).isNull()).withColumn(name, F.lit(False)))
 
 
 def segmented(rows: DataFrame, by: list[str], segment: str, order: list[str], claim: str, begins: str, takes: Column, own_id: Callable[[Column], Column], mark: str, current: str) -> DataFrame:

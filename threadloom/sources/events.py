@@ -137,7 +137,7 @@ def events(raw: DataFrame) -> DataFrame:
     held = {"said": "CASE WHEN act = 'response' THEN payload.content END", "summed": "CASE WHEN act = 'response' THEN payload.summary END"}
     parsed = f"CASE WHEN act = 'exec' THEN try_variant_get(try_parse_json(p.arguments), '$', '{FIELDS}') END"
     rows = rows.selectExpr("*", *_named({"what": _WHAT, "parsed": parsed} | held))
-    rows = rows.selectExpr("*", *_named({"content": _content("said"), "shown": _content("summed"), "left_out": _left_out()}))
+    rows = rows.selectExpr("*", *_named({"content": _content("said"), "shown": _content("summed")}))
     turn_ref = "CASE WHEN act IN ('turn', 'item', 'unknown') THEN l.turn_id ELSE p.turn_id END"
     turn = _struct({"status": "l.status", "started_at": _time("l.started_at"), "completed_at": _time("l.completed_at")})
     found = {"turn_ref": turn_ref, "describes": "what IS NOT NULL", "summary": _summary(), "item": _item(), "deep": _deep(), "call_id": "p.call_id", "legacy_turn": f"CASE WHEN act = 'turn' THEN {turn} END"}
@@ -185,9 +185,13 @@ _WITHOUT = {
 }
 
 
-def _left_out() -> str:
-    choices = " ".join(f"WHEN '{name}' THEN array({', '.join(map(repr, keys))})" for name, keys in _WITHOUT.items())
-    return f"CASE what {choices} ELSE array('type', 'turn_id') END"
+def _kept() -> str:
+    """The fields of a line that stay as open attributes of its item; each kind of line looks for its own names only."""
+    own = lambda name: f"(k, x) -> k NOT IN ({', '.join(map(repr, _WITHOUT.get(name, ['type', 'turn_id'])))})"
+    call = "map_filter(coalesce(payload, line), (k, x) -> k = 'call_id')"
+    fields = {"tool": "payload", "message": "payload", "reasoning": "payload", "legacy": "line", "legacy_other": "line", "unknown": "line"}
+    choices = " ".join(f"WHEN '{name}' THEN map_filter({held}, {own(name)})" for name, held in fields.items())
+    return f"CASE what WHEN 'exec' THEN map_concat(map_filter(coalesce(parsed, map_filter(payload, (k, x) -> false)), {own('exec')}), {call}) {choices} ELSE map_filter(payload, {own('')}) END"
 
 
 def _item() -> str:
@@ -198,9 +202,6 @@ def _item() -> str:
     kind = """CASE what WHEN 'message' THEN CASE WHEN p.role = 'assistant' THEN 'agent_message' ELSE 'user_message' END WHEN 'legacy' THEN l.kind WHEN 'legacy_other' THEN l.kind WHEN 'unknown' THEN concat('event:', l.type)
       WHEN 'other' THEN CASE WHEN act = 'event' THEN concat('event:', p.type) ELSE p.type END WHEN 'exec' THEN 'command_execution' WHEN 'tool' THEN 'mcp_tool_call' WHEN 'output' THEN 'function_call_output'
       WHEN 'agent_reasoning' THEN 'reasoning_summary' WHEN 'reasoning' THEN 'reasoning_summary' ELSE what END"""
-    fields = "CASE WHEN what = 'exec' THEN coalesce(parsed, map_filter(payload, (k, x) -> false)) WHEN what IN ('legacy', 'legacy_other', 'unknown') THEN line ELSE payload END"
-    own_kept = f"map_filter({fields}, (k, x) -> NOT array_contains(left_out, k))"
-    kept = f"CASE WHEN what = 'exec' THEN map_concat({own_kept}, map_filter(coalesce(payload, line), (k, x) -> k = 'call_id')) ELSE {own_kept} END"
     special = {
         "text": "WHEN 'user_message' THEN p.message WHEN 'agent_message' THEN p.message WHEN 'agent_reasoning' THEN p.text WHEN 'message' THEN coalesce(content, p.text) WHEN 'reasoning' THEN coalesce(shown, content, p.text)",
         "command": f"WHEN 'exec' THEN CASE WHEN parsed IS NOT NULL THEN {command} ELSE coalesce(p.arguments, '') END",
@@ -211,7 +212,7 @@ def _item() -> str:
     columns = {c: f"CASE what {special.get(c, '')} WHEN 'legacy' THEN l.{c} END" for c in ITEM} | {
         "exit_code": f"CASE WHEN what = 'legacy' THEN {_get('line.exit_code', 'int')} END",
         "arguments": f"CASE what WHEN 'tool' THEN {arguments} WHEN 'legacy' THEN to_json(line.arguments) END",
-        "attributes": f"CASE WHEN what NOT IN ('user_message', 'agent_message', 'agent_reasoning') THEN transform_values({kept}, (k, x) -> coalesce(to_json(x), 'null')) END",
+        "attributes": f"CASE WHEN what NOT IN ('user_message', 'agent_message', 'agent_reasoning') THEN transform_values({_kept()}, (k, x) -> coalesce(to_json(x), 'null')) END",
     }
     typed = "what NOT IN ('other', 'output', 'legacy_other', 'unknown')"
     return f"CASE WHEN what IS NOT NULL THEN {_struct({'kind': kind, 'is_typed': typed} | columns)} END"

@@ -156,9 +156,14 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def placed(read: DataFrame) -> DataFrame:
     """Lines (``root_no, path, line_no, raw``) with the order of their file and their segment, blank ones left out."""
+    return seated(read.where(has_text(F.col("raw"))))
+
+
+def seated(read: DataFrame) -> DataFrame:
+    """``placed`` for lines of which none is blank; lines that are made are not made once more to see that."""
     seq = F.struct("root_no", F.split("path", "/").alias("parts"))
     segment = F.struct("line_no.block", F.shiftright("line_no.row", SEGMENT_BITS).alias("part"))
-    return read.where(has_text(F.col("raw"))).select("root_no", "path", seq.alias("file_seq"), "line_no", segment.alias("segment"), "raw")
+    return read.select("root_no", "path", seq.alias("file_seq"), "line_no", segment.alias("segment"), "raw")
 
 
 # Fold of each file
@@ -173,7 +178,9 @@ def folded(rows: DataFrame) -> DataFrame:
     heads = _heads(rows)
     # An output belongs to the call just before it among the calls and outputs of its id.
     narrow = rows.select(*FILE, "file_seq", "segment", "line_no", "act", "turn_ref", "call_id", "describes").join(heads, FILE, "left")
-    narrow = fold.pair_calls(narrow, CALL, CALL_ORDER, act == "exec", act == "output", F.lit(True), "answers").withColumn("answers", F.coalesce("answers", F.lit(False)))
+    called = act.isin("exec", "output")  # never null; only these lines meet by call, the others stay where they are
+    calls = fold.pair_calls(narrow.where(called), CALL, CALL_ORDER, act == "exec", act == "output", F.lit(True), "answers").withColumn("answers", F.coalesce("answers", F.lit(False)))
+    narrow = calls.unionByName(narrow.where(~called).withColumn("answers", F.lit(False)))
     claims = act.isin("context", "started", "complete", "event", "exec", "tool", "bad_call", "response") | ((act == "output") & ~F.col("answers"))
     claim = F.when((claims | (act == "turn")) & F.col("turn_ref").isNotNull(), F.col("turn_ref"))
     narrow = staged(narrow.withColumn("claim", claim), "claims")
