@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -189,3 +190,10 @@ def test_rarest_shingles_meet_whatever_is_frequent():
         assert np.bitwise_count((simhash.parities(a) ^ simhash.parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
         if shared >= 0.8 * (len(a) + len(b) - shared):
             assert len(np.intersect1d(simhash.rarest(a, 0.8, often, rank), simhash.rarest(b, 0.8, often, rank)))
+
+
+def test_shingle_sets_are_deleted_once_compared(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{k}" for k in range(60)) + (" tail" if i > 2 else "")) for i in range(6)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == [0, 1, 2]
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert any(x.startswith("similar-texts") for x in os.listdir(folder)) and not any(x.startswith("shingle-sets") for x in os.listdir(folder))

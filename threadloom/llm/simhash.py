@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import staged
 from threadloom.llm.components import components, spanning_edges
+from threadloom.storage import released
 
 SEED = 42
 SHINGLE = 3
@@ -218,7 +219,9 @@ def _grid(fps: DataFrame) -> DataFrame:
     """Each fingerprint of each ``table`` in its cell of every choice of groups: ``choice, cell, fp``; dealt out by cell."""
     choices = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("mask")) for i, (m, _) in enumerate(_choices())])
     rows = fps.select("fp", _embedded(F.col("fp")).alias("e"), (F.col("table") * len(_choices())).alias("from"), F.explode(choices).alias("c"))
-    return rows.select((F.col("from") + F.col("c.i")).cast("int").alias("choice"), F.col("e").bitwiseAND(F.col("c.mask")).alias("cell"), "fp").repartition("choice", "cell")
+    cells = rows.select((F.col("from") + F.col("c.i")).cast("int").alias("choice"), F.col("e").bitwiseAND(F.col("c.mask")).alias("cell"), "fp")
+    # None is null; said here, no reader adds a filter of its own below the exchange, and all of them share it.
+    return cells.where("choice is not null and cell is not null and fp is not null").repartition("choice", "cell")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -364,8 +367,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             wanted = F.broadcast(wanted)
         held = docs.select(_text_key(text).alias("key"), _id_key(doc_id).alias("id_key"), text.cast("string").alias("__text"))
         texts = held.join(wanted, ["key", "id_key"]).groupBy("key", "id_key").agg(F.first("__text").alias("__text"))
-        sets = staged(texts.select("key", "__text").mapInArrow(shingled, "key binary, hashes array<long>"), "shingle-sets")
-        return staged(_similar(edges, sets, similarity), "similar-texts")
+        # The sets are the largest table here and are needed for this one step.
+        with released(docs.sparkSession):
+            sets = staged(texts.select("key", "__text").mapInArrow(shingled, "key binary, hashes array<long>"), "shingle-sets")
+            return staged(_similar(edges, sets, similarity), "similar-texts", outlives=True)
 
     def rooted(edges: DataFrame) -> DataFrame:
         roots = components(edges)
