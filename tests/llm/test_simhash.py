@@ -1,13 +1,17 @@
 import math
 import os
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from threadloom import storage
 from threadloom.llm import simhash
 from threadloom.llm.components import components
 from threadloom.llm.queries import op7_simhash
@@ -197,3 +201,43 @@ def test_shingle_sets_are_deleted_once_compared(spark):
     assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == [0, 1, 2]
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     assert any(x.startswith("similar-texts") for x in os.listdir(folder)) and not any(x.startswith("shingle-sets") for x in os.listdir(folder))
+
+
+def test_wide_parities_tell_long_texts_apart(spark):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1100, 2000, 2200, 5000)]
+    sets.append(np.sort(np.concatenate([sets[2][:1900], sets[0][:100]])))  # similar to the third
+    pairs = [(i, j) for i in range(5) for j in range(5)]
+    rows = [(i, j, simhash.wide_parities(sets[i]).tolist(), simhash.wide_parities(sets[j]).tolist()) for i, j in pairs]
+    found = spark.createDataFrame(rows, "i int, j int, x array<long>, y array<long>").select("i", "j", simhash._differing(F.col("x"), F.col("y")).alias("n")).collect()
+    for i, j, n in found:
+        bound = (len(sets[i]) + len(sets[j])) / 9
+        assert n <= len(np.setxor1d(sets[i], sets[j])) and (n > bound) == (i != j and {i, j} != {2, 4})
+    # 1,024 buckets, all that there were before, tell none of these long texts apart.
+    assert np.bitwise_count((simhash.parities(sets[3]) ^ simhash.parities(np.flip(sets[3] + np.uint64(1 << 20)))).view(np.uint64)).sum() < 2 * len(sets[3]) / 9
+    assert simhash.wide_parities(sets[0][:1024]) is None and simhash.wide_parities(sets[0][:0]) is None
+
+
+def test_near_dedup_leaves_no_shuffle_files_and_no_large_tables(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"v{i % 4}x{k}" for k in range(1500)) + (" tail" if i > 3 else "")) for i in range(8)], "doc_id long, text string").repartition(3)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or storage.shared_dir(spark)
+    before = set(os.listdir(folder.removeprefix("file://")))
+    kept = simhash.representatives(docs)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder.removeprefix("file://"))) - before}
+    assert left == {"similar-texts", "kept-texts"}
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3]
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        folders = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+        return {p.name for f in folders for p in f.rglob("shuffle_*")}
+
+    before = shuffles()
+    table = storage.staged(spark.range(1000).repartition(5).groupBy(F.col("id") % 7).count(), "counted")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import staged
 from threadloom.llm.components import components, spanning_edges
-from threadloom.storage import released
+from threadloom.storage import released, unshuffled
 
 SEED = 42
 SHINGLE = 3
@@ -134,12 +134,28 @@ def rarest(hashes: np.ndarray, least: float, often: np.ndarray, rank: np.ndarray
     return rare[:n]
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """Of each of ``PARITIES`` buckets of a text's shingles whether it holds an odd number, as longs: two texts' differing shingles are at least their differing bits."""
-    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+def parities(hashes: np.ndarray, buckets: int = PARITIES) -> np.ndarray:
+    """Of each of ``buckets`` of a text's shingles whether it holds an odd number, as longs: two texts' differing shingles are at least their differing bits."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % buckets, minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parities(hashes: np.ndarray) -> np.ndarray | None:
+    """The ``parities`` of a text of more than ``PARITIES`` shingles, in a power of two of buckets that is no less than these."""
+    return parities(hashes, 1 << (len(hashes) - 1).bit_length()) if len(hashes) > PARITIES else None
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """Differing bits of two texts' ``parities``; the larger of them is folded to the buckets of the other."""
+    least = F.least(F.size(x), F.size(y))
+
+    def folded(odd: Column) -> Column:
+        parts = F.sequence(F.lit(0), (F.size(odd) / least).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), least - 1), lambda i: F.aggregate(parts, F.lit(0).cast("long"), lambda all, k: all.bitwiseXOR(F.get(odd, k * least + i))))
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda all, one: all + one)
+
+
 def _often(docs: DataFrame, text: Column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts of a sample have, sorted, and their rank by frequency. They only spare work: ``rarest`` is right with any."""
 
@@ -152,7 +168,8 @@ def _often(docs: DataFrame, text: Column, shingle: int) -> tuple[np.ndarray, np.
     share = max(1, docs.count() // SAMPLE)
     picked = docs.select(text.cast("string").alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(share)) == 0).distinct()
     found = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    top = found.orderBy(F.desc("n"), "h").limit(MOST_OFTEN).collect()
+    with unshuffled(docs.sparkSession):
+        top = found.orderBy(F.desc("n"), "h").limit(MOST_OFTEN).collect()
     found = np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
     rank = np.argsort(found)
     return found[rank], rank
@@ -338,7 +355,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found = np.array([word_fingerprints(x.as_py()) for x in part.column(2)], np.uint64).reshape(-1, len(WORD_SEEDS)).view(np.int64)
                 sets = [shingle_hashes(x.as_py(), shingle) for x in part.column(2)]
                 rare = pa.array([rarest(x, similarity, often, rank).view(np.int64) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(list(found), pa.list_(pa.int64())), pa.array(map(len, sets), pa.int32()), rare, pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "fps", "size", "rare", "odd"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(list(found), pa.list_(pa.int64())), pa.array(map(len, sets), pa.int32()), rare, pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.array([wide_parities(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "fps", "size", "rare", "odd", "wide"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,16 +367,23 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text, doc_id = docs[text_col], docs[id_col]
     often, rank = _often(docs, text, shingle)
     narrow = docs.select(doc_id.alias("doc_id"), _text_key(text).alias("key"), text.cast("string").alias("__text"))
-    rows = narrow.mapInArrow(prints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, key binary, fps array<long>, size int, rare array<long>, odd array<long>")
+    rows = narrow.mapInArrow(prints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, key binary, fps array<long>, size int, rare array<long>, odd array<long>, wide array<long>")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
-    classes = staged(rows.groupBy("key").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("fps", "size", "rare", "odd")]), "texts")
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        own = classes.select("key", "size", "odd")
-        both = candidates.join(own.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("odd").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("odd").alias("y")), "b")
-        differing = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda all, one: all + one)
+    def similar(candidates: DataFrame, classes: DataFrame) -> DataFrame:
         bound = (F.col("m") + F.col("n")) * (1 - similarity) / (1 + similarity) + 1e-6  # what similar sets of these sizes differ by at most
-        edges = staged(both.where((F.least("m", "n") >= similarity * F.greatest("m", "n")) & (differing <= bound)).select("a", "b"), "text-links")
+
+        def sided(edges: DataFrame, *columns: str) -> DataFrame:
+            """``edges`` with columns of both their texts."""
+            for end, names in (("a", ("m", "x")), ("b", ("n", "y"))):
+                edges = edges.join(classes.select(F.col("key").alias(end), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]), end)
+            return edges
+
+        near = sided(candidates, "size", "odd").where(F.least("m", "n") >= similarity * F.greatest("m", "n"))
+        edges = staged(near.where(_differing(F.col("x"), F.col("y")) <= bound).select("a", "b"), "text-candidates")
+        # Long texts fill the common buckets, so more of them tell which of these pairs need their sets.
+        known = F.col("x").isNull() | F.col("y").isNull()
+        edges = staged(sided(edges, "size", "wide").where(known | (_differing(F.col("x"), F.col("y")) <= bound)).select("a", "b"), "text-links")
         # One row of each text that has a link; by id and text, so copies are spread.
         ends = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         wanted = ends.join(classes, "key").select("key", _id_key(F.col("first.doc_id")).alias("id_key"))
@@ -370,22 +394,26 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # The sets are the largest table here and are needed for this one step.
         with released(docs.sparkSession):
             sets = staged(texts.select("key", "__text").mapInArrow(shingled, "key binary, hashes array<long>"), "shingle-sets")
-            return staged(_similar(edges, sets, similarity), "similar-texts", outlives=True)
+            return staged(_similar(edges, sets, similarity), "similar-texts", outlives=2)
 
-    def rooted(edges: DataFrame) -> DataFrame:
+    def rooted(edges: DataFrame, classes: DataFrame) -> DataFrame:
         roots = components(edges)
         return classes.select("key", "first", "size").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    # Rows of shingles carry 64 bits of a text's name; texts that share these are all taken.
-    named = classes.select(F.xxhash64("key").alias("x"), "key", "size")
-    together = _together(classes.select(F.xxhash64("key").alias("x"), "rare"))
-    stars = together.join(together.groupBy("h").agg(F.min("x").alias("y")), "h").where("x <> y").select("x", "y").distinct()
-    stars = stars.join(named, "x").join(named.select(F.col("x").alias("y"), F.col("key").alias("other"), F.col("size").alias("of")), "y")
-    stars = stars.where(F.least("size", "of") >= similarity * F.greatest("size", "of")).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-    found = verified(_word_edges(classes).unionByName(stars).distinct())
-    rest = _apart(together, rooted(found).select(F.xxhash64("key").alias("x"), "key", "size", "root"), similarity)
-    labelled = rooted(found.unionByName(verified(rest)))
-    kept = labelled.groupBy("root").agg(F.min(F.struct("first", "key")).alias("x")).select(F.col("x.key").alias("__key"), _id_key(F.col("x.first.doc_id")).alias("__id"))
+    # What is staged here is needed for the rows that stay, and deleted before these are fetched.
+    with released(docs.sparkSession):
+        classes = staged(rows.groupBy("key").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("fps", "size", "rare", "odd", "wide")]), "texts")
+        # Rows of shingles carry 64 bits of a text's name; texts that share these are all taken.
+        named = classes.select(F.xxhash64("key").alias("x"), "key", "size")
+        together = _together(classes.select(F.xxhash64("key").alias("x"), "rare"))
+        stars = together.join(together.groupBy("h").agg(F.min("x").alias("y")), "h").where("x <> y").select("x", "y").distinct()
+        stars = stars.join(named, "x").join(named.select(F.col("x").alias("y"), F.col("key").alias("other"), F.col("size").alias("of")), "y")
+        stars = stars.where(F.least("size", "of") >= similarity * F.greatest("size", "of")).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+        found = similar(_word_edges(classes).unionByName(stars).distinct(), classes)
+        rest = _apart(together, rooted(found, classes).select(F.xxhash64("key").alias("x"), "key", "size", "root"), similarity)
+        labelled = rooted(found.unionByName(similar(rest, classes)), classes)
+        kept = labelled.groupBy("root").agg(F.min(F.struct("first", "key")).alias("x")).select(F.col("x.key").alias("__key"), _id_key(F.col("x.first.doc_id")).alias("__id"))
+        kept = staged(kept, "kept-texts", outlives=1)
     whole = docs.select(F.struct("*").alias("row"), _text_key(text).alias("__key"), _id_key(doc_id).alias("__id"))
     # An id with one text is few rows, so this only drops repeats; it needs no further shuffle.
     found = whole.join(kept, ["__key", "__id"], "left_semi").groupBy("__key", "__id").agg(F.any_value("row").alias("row"))
