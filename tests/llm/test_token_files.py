@@ -107,3 +107,14 @@ def test_special_tokens_are_one_id_as_in_the_library(spark, tmp_path):
     token_files.write(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string"), str(tmp_path / "files"), WORD_VOCAB, END_ID)
     found = {r["doc_id"]: list(r["ids"]) for r in token_files.read(spark, str(tmp_path / "files"), WORD_VOCAB).collect()}
     assert found == {i: [*own, END_ID] for i, own in enumerate(ids)}
+
+
+def test_codes_are_words_and_many_lanes_are_coded_at_once():
+    rng = np.random.default_rng(2)
+    blocks = [np.minimum(rng.geometric(0.01 * (1 + i % 9), int(n)), 49407).astype(np.int32) for i, n in enumerate(rng.integers(1, 300, 400))]
+    codes = id_coder.encode(blocks, 49408)
+    assert all(len(c) % 4 == 0 for c in codes)
+    assert all((a == b).all() for a, b in zip(id_coder.decode(codes, [len(b) for b in blocks], 49408), blocks, strict=True))
+    assert token_files.CHUNKS_AT_ONCE * token_files.CHUNK_IDS // token_files.BLOCK_IDS >= 2048
+    with pytest.raises(ValueError):
+        id_coder.encode(blocks, 1 << 19)

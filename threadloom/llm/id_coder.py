@@ -32,18 +32,19 @@ GAIN, MOST, MOST_BYTE = 24, 8192, 255 - 2 * 24
 _ONE = 4096
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4096 - p - 0.5))))) for p in range(4096)], np.int32)
-_TOP = 1 << 24
-_MASK = np.uint64(0xFFFFFFFF)
-_8, _12, _24 = np.uint64(8), np.uint64(12), np.uint64(24)
+_TOP = 1 << 32
+_12, _32 = np.uint64(12), np.uint64(32)
 
 
 class _Writer:
+    """Intervals of 64 bits that give out words of 32, so a lane gives out one in some four ids."""
+
     def __init__(self, lanes: int, longest: int):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 0xFFFFFFFF, np.uint64)
+        self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.at = np.zeros(lanes, np.int64)
-        self.out = np.zeros((lanes, 0), np.uint8)
-        self._widen(64 + 2 * longest)
+        self.out = np.zeros((lanes, 0), np.uint32)
+        self._widen(16 + longest // 2)
 
     def _widen(self, width: int) -> None:
         self.out = np.pad(self.out, ((0, 0), (0, width - self.out.shape[1])))
@@ -51,50 +52,48 @@ class _Writer:
 
     def room(self) -> None:
         """Make sure that the next id of every lane fits."""
-        if self.at.max() + 32 > self.width:
+        if self.at.max() + 8 > self.width:
             self._widen(2 * self.width)
 
     def code(self, lanes: np.ndarray, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """Narrow each lane's interval to ``size`` parts (of the width ``part``) from ``start``."""
-        low = self.low.take(lanes) + part * start.astype(np.uint64, copy=False)
+        before = self.low.take(lanes)
+        low = before + part * start.astype(np.uint64, copy=False)
         wide = part * np.asarray(size, np.uint64)
-        over = low > _MASK
+        over = low < before
         if over.any():
             self._carry(lanes[over])
-            low &= _MASK
         k = np.flatnonzero(wide < _TOP)
-        while len(k):
+        if len(k):
             own, top = lanes.take(k), low.take(k)
             at = self.at.take(own)
-            self.flat[own * self.width + at] = top >> _24
+            self.flat[own * self.width + at] = top >> _32
             self.at[own] = at + 1
-            low[k] = (top << _8) & _MASK
-            wide[k] = more = wide.take(k) << _8
-            k = k[more < _TOP]
+            low[k] = top << _32
+            wide[k] = wide.take(k) << _32
         self.low[lanes], self.range[lanes] = low, wide
 
     def _carry(self, lanes: np.ndarray) -> None:
         at = self.at[lanes] - 1
         while len(lanes):
-            self.out[lanes, at] += np.uint8(1)
+            self.out[lanes, at] += np.uint32(1)
             full = self.out[lanes, at] == 0
             lanes, at = lanes[full], at[full] - 1
 
     def payloads(self) -> list[bytes]:
-        for k in range(4):
-            self.out[np.arange(len(self.at)), self.at + k] = (self.low >> np.uint64(24 - 8 * k)) & np.uint64(255)
-        return [row[: n + 4].tobytes() for row, n in zip(self.out, self.at, strict=True)]
+        for k in range(2):
+            self.out[np.arange(len(self.at)), self.at + k] = (self.low >> np.uint64(32 - 32 * k)) & np.uint64(0xFFFFFFFF)
+        return [row[: n + 2].astype(">u4").tobytes() for row, n in zip(self.out, self.at, strict=True)]
 
 
 class _Reader:
     def __init__(self, payloads: list[bytes]):
-        ends = np.cumsum([len(p) for p in payloads])
-        self.data = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8)
-        self.at = np.concatenate(([0], ends[:-1])).astype(np.int64) + 4
+        ends = np.cumsum([len(p) // 4 for p in payloads])
+        self.data = np.frombuffer(b"".join(payloads) + bytes(8), ">u4").astype(np.uint64)
+        self.at = np.concatenate(([0], ends[:-1])).astype(np.int64) + 2
         self.end = len(self.data) - 1
-        first = self.data[self.at[:, None] - 4 + np.arange(4)].astype(np.uint64)
-        self.value = (first << np.array([24, 16, 8, 0], np.uint64)).sum(axis=1, dtype=np.uint64)
-        self.range = np.full(len(payloads), 0xFFFFFFFF, np.uint64)
+        self.value = (self.data[self.at - 2] << _32) | self.data[self.at - 1]
+        self.range = np.full(len(payloads), 0xFFFFFFFFFFFFFFFF, np.uint64)
 
     def place(self, lanes: np.ndarray, part: np.ndarray) -> np.ndarray:
         """In which of the parts of the width ``part`` each lane's value lies."""
@@ -104,13 +103,12 @@ class _Reader:
         value = self.value.take(lanes) - part * start.astype(np.uint64, copy=False)
         wide = part * np.asarray(size, np.uint64)
         k = np.flatnonzero(wide < _TOP)
-        while len(k):
+        if len(k):
             own = lanes.take(k)
             at = self.at.take(own)
-            value[k] = (value.take(k) << _8) | self.data.take(np.minimum(at, self.end))
+            value[k] = (value.take(k) << _32) | self.data.take(np.minimum(at, self.end))
             self.at[own] = at + 1
-            wide[k] = more = wide.take(k) << _8
-            k = k[more < _TOP]
+            wide[k] = wide.take(k) << _32
         self.value[lanes], self.range[lanes] = value, wide
 
 
@@ -120,8 +118,10 @@ class _Model:
     def __init__(self, lanes: int, coder: _Writer | _Reader, ids: int):
         self.coder = coder
         self.writing = isinstance(coder, _Writer)
-        self.seen = [np.full(lanes * SLOTS, -1, np.int32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.int16) for _ in range(2)]
+        # Both orders' slots, order 2 first: the id last seen and one, and in the lowest 12 bits its trust; zero is empty.
+        if ids >= 1 << 19:
+            raise ValueError("too many ids")
+        self.slots, self.order1 = np.zeros(2 * lanes * SLOTS, np.int32), lanes * SLOTS
         self.plain = np.full(2 * lanes, FIRST, np.int32)
         self.weights = [np.full(2 * lanes, 1 << 14, np.int32) for _ in range(3)]
         self.base = base = max(2, math.ceil(round(ids ** (1 / DIGITS), 6)))
@@ -158,7 +158,7 @@ class _Model:
         upto = np.cumsum(counts, axis=1, dtype=np.int32)
         total = upto[:, -1]
         part = self.coder.range.take(lanes) // total.astype(np.uint64)
-        digit = truth if self.writing else (upto <= np.minimum(self.coder.place(lanes, part), total - 1)[:, None]).sum(axis=1)
+        digit = truth if self.writing else (upto > np.minimum(self.coder.place(lanes, part), total - 1)[:, None]).argmax(axis=1)
         cell = np.arange(len(lanes)) * self.base + digit
         size = counts.reshape(-1).take(cell)
         self.coder.code(lanes, part, upto.reshape(-1).take(cell) - size, size)
@@ -179,10 +179,12 @@ class _Model:
     def step(self, n: int, before: np.ndarray, before2: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
         """Code the next id of the first ``n`` lanes."""
         lanes = np.arange(n)
-        slots = lanes * SLOTS + ((before2[:n] * 40503 + before[:n] * 30011) >> 3) % SLOTS, lanes * SLOTS + (before[:n] * 40503 >> 4) % SLOTS
-        found = np.full(n, -1, np.int64)
-        guesses = [self.seen[k].take(slots[k]) for k in range(2)]
-        trust = [self.trust[k].take(slots[k]) for k in range(2)]
+        own = lanes * SLOTS
+        slots = np.concatenate((own + (((before2[:n] * 40503 + before[:n] * 30011) >> 3) & (SLOTS - 1)), own + (self.order1 + ((before[:n] * 40503 >> 4) & (SLOTS - 1)))))
+        found = np.full(n, -1, np.int32)
+        held = self.slots.take(slots)
+        seen, was = (held >> 12) - 1, held & 4095
+        guesses, trust = (seen[:n], seen[n:]), (was[:n], was[n:])
         # The prediction that was right more often; a slot that is empty has no trust.
         best = (trust[1] > trust[0]).astype(np.int64)
         guess = np.where(best, guesses[1], guesses[0])
@@ -200,29 +202,29 @@ class _Model:
             found[left] = self.fresh(left, None if truth is None else truth.take(left))
         if len(own):
             self.learn(p, of, found.take(own) == guess.take(own))
-        for k in range(2):
-            was = trust[k].astype(np.int32)
-            self.trust[k][slots[k]] = np.where(guesses[k] == found, was + (4095 - was >> 2), np.where(guesses[k] < 0, FIRST, was - (was >> 2)))
-            self.seen[k][slots[k]] = found
+        now = np.concatenate((found, found))
+        later = np.where(seen == now, was + (4095 - was >> 2), np.where(seen < 0, FIRST, was - (was >> 2)))
+        self.slots[slots] = (now + 1 << 12) | later
         return found
 
 
 def _walk(lengths: np.ndarray, coder: _Writer | _Reader, ids: int, blocks: np.ndarray | None) -> np.ndarray:
-    """Code all blocks; ``lengths`` fall, and so the lanes still busy are the first ones."""
+    """Code all blocks, one a column; ``lengths`` fall, and so the lanes still busy are the first ones."""
     model = _Model(len(lengths), coder, ids)
-    found = np.zeros((len(lengths), int(lengths[0]) if len(lengths) else 0), np.int32)
+    # A row for each step, so that a step's ids lie together.
+    found = np.zeros((int(lengths[0]) if len(lengths) else 0, len(lengths)), np.int32)
     before = np.zeros(len(lengths), np.int64)
     before2 = np.zeros(len(lengths), np.int64)
-    for t in range(found.shape[1]):
+    for t in range(len(found)):
         if blocks is not None:
             coder.room()
         n = int(np.searchsorted(-lengths, -t, "left"))
-        now = model.step(n, before, before2, None if blocks is None else blocks[:n, t].astype(np.int64))
+        now = model.step(n, before, before2, None if blocks is None else blocks[t, :n].astype(np.int64))
         if blocks is None:
-            found[:n, t] = now
+            found[t, :n] = now
         before2[:n] = before[:n]
         before[:n] = now
-    return found
+    return found.T
 
 
 def encode(blocks: list[np.ndarray], ids: int) -> list[bytes]:
@@ -231,10 +233,10 @@ def encode(blocks: list[np.ndarray], ids: int) -> list[bytes]:
         return []
     lengths = np.array([len(b) for b in blocks])
     order = np.argsort(-lengths, kind="stable")
-    table = np.zeros((len(blocks), int(lengths.max())), np.int32)
+    table = np.zeros((int(lengths.max()), len(blocks)), np.int32)
     for row, i in enumerate(order):
-        table[row, : lengths[i]] = blocks[i]
-    coder = _Writer(len(blocks), table.shape[1])
+        table[: lengths[i], row] = blocks[i]
+    coder = _Writer(len(blocks), len(table))
     _walk(lengths[order], coder, ids, table)
     payloads = coder.payloads()
     found: list[bytes] = [b""] * len(blocks)

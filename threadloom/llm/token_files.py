@@ -7,7 +7,7 @@ order), ``chunk``, ``start`` (ids before it in its file), the documents' ids and
 one binary ``payload``. Spark's committer writes the rows, so a lost executor leaves no half
 files, and any store that Spark reaches will do.
 
-A payload is: the magic ``TLI1``, the number of blocks (u32), then for each block its number
+A payload is: the magic ``TLI2``, the number of blocks (u32), then for each block its number
 of ids (u32), the crc32 of these ids as little-endian u32 (u32) and the size of its code
 (u32), then all codes. Numbers are little-endian. Each block is coded with a fresh model
 (see ``id_coder``) and verified against its checksum when it is read.
@@ -33,11 +33,11 @@ from tokenizers import Tokenizer
 
 from threadloom.llm import id_coder
 
-MAGIC = b"TLI1"
+MAGIC = b"TLI2"
 BLOCK_IDS = 4096
 CHUNK_IDS = 1 << 20
-#: Chunks that are coded at once; their blocks are the coder's lanes.
-CHUNKS_AT_ONCE = 4
+#: Chunks that are coded at once; their blocks are the coder's lanes, of which many make a numpy step cheap.
+CHUNKS_AT_ONCE = 8
 CACHE_ENTRIES = 250_000
 _ENDS = ".,!?;:|$%&*#"
 
