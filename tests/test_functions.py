@@ -1,3 +1,6 @@
+import hashlib
+
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -5,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import redact, text
 from threadloom.operators import freshness, scope
+from threadloom.plans import catalog
 
 
 def one(spark, value, column):
@@ -52,6 +56,30 @@ def test_fingerprints_add_up_and_see_the_order(spark):
     assert make(rows[:49])["t"] != whole["t"] and make([]) == {}
 
 
+@pytest.mark.parametrize("name", ["manifest_build"])
+def test_prints_are_digests_of_ordered_hashes(spark, tmp_path, name):
+    """Threads of many segments and batches, turns that are shared, missing, negative or far apart, and no text."""
+    of = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(1, i, f"x{i}") for i in range(1000)] + [(2, i, f"x{i}") for i in (*range(998), 999, 998)] + [(3, 999 - i, f"x{i}") for i in range(1000)]
+    rows += [(4, t, x) for t, x in ((0, "b"), (0, "a"), (-500, None), (None, "n"), (None, "m"), (2**60, "far"), (2**60 + 1, "é"))] + [(5, 0, "")]
+    frame = spark.createDataFrame([(c, t, "assistant" if x in ("a", "x7") else "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    frame.repartition(7).write.parquet(f"{tmp_path}/conversations.parquet")
+    wanted = {}
+    for c, t, x in rows:
+        kind = "agent_message" if x in ("a", "x7") else "user_message"
+        wanted.setdefault(f"conv_{c}", []).append((t is None, t or 0, of(f"{kind}\x1f{x or ''}")))
+    wanted = {c: of("\n".join(h for _, _, h in sorted(x))) for c, x in wanted.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {r["thread_id"]: r["content_fingerprint"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert found == wanted == {r[0]: r[1] for r in con.execute(catalog.ORACLES[name]).fetchall()}
+    assert found["conv_1"] == found["conv_2"] != found["conv_3"]
+
+
 def test_home_paths(spark):
     assert one(spark, "cd /Users/ann/x (/home/bob) not/home/eve", redact.home_paths) == "cd ~/x (~) not/home/eve"
     assert one(spark, "in /srv/me/x", lambda c: redact.home_paths(c, "/srv/me")) == "in ~/x"
