@@ -56,7 +56,7 @@ def test_fingerprints_add_up_and_see_the_order(spark):
     assert make(rows[:49])["t"] != whole["t"] and make([]) == {}
 
 
-@pytest.mark.parametrize("name", ["manifest_build"])
+@pytest.mark.parametrize("name", ["manifest_build", "freshness_classify"])
 def test_prints_are_digests_of_ordered_hashes(spark, tmp_path, name):
     """Threads of many segments and batches, turns that are shared, missing, negative or far apart, and no text."""
     of = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -80,6 +80,18 @@ def test_prints_are_digests_of_ordered_hashes(spark, tmp_path, name):
     assert found["conv_1"] == found["conv_2"] != found["conv_3"]
 
 
+def test_classes_of_prints(spark, tmp_path):
+    """A thread that had a long answer read otherwise, one of four items, and one as it was, by digests that their rows show."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a" * 2001), *[(2, i, "user", f"x{i}") for i in range(4)], (3, 0, "user", "b" * 2001), (3, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["thread_id"]: (r["content_fingerprint"], r["freshness"]) for r in catalog.QUERIES["freshness_classify"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert found == {r[0]: r[1:] for r in con.execute(catalog.ORACLES["freshness_classify"]).fetchall()}
+    assert {k: x[1] for k, x in found.items()} == {"conv_1": "changed", "conv_2": "new", "conv_3": "unchanged"}
+    assert {len(x[0]) for x in found.values()} == {64}
+
+
 def test_home_paths(spark):
     assert one(spark, "cd /Users/ann/x (/home/bob) not/home/eve", redact.home_paths) == "cd ~/x (~) not/home/eve"
     assert one(spark, "in /srv/me/x", lambda c: redact.home_paths(c, "/srv/me")) == "in ~/x"
